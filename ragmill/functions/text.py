@@ -46,6 +46,11 @@ def one_space(col: Column) -> Column:
     return F.regexp_replace(col, f"{WS}+", " ")
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with value computed once, however often ``use`` mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def map_of(values: dict) -> Column:
     """A small constant dictionary as a map column."""
     return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
@@ -57,8 +62,9 @@ def _nfkc(texts: pd.Series) -> pd.Series:
 
 
 def nfkc(col: Column) -> Column:
-    """Unicode NFKC; Spark has no built-in for it."""
-    return _nfkc(col)
+    """Unicode NFKC; Spark has no built-in for it. Pure ASCII text never leaves the JVM."""
+    plain = col.rlike(r"^[\x00-\x7F]*$")
+    return F.when(plain, col).otherwise(_nfkc(F.when(~plain, col)))
 
 
 def lf(col: Column) -> Column:

@@ -35,9 +35,9 @@ def days(col: Column) -> Column:
     return F.unix_date(col)
 
 
-def dedup_staging(df: DataFrame, keys: Sequence[str] = KEY, tiebreak: str = "load_no") -> DataFrame:
-    """One row per key: the last by the tie-break column."""
-    return pick_one(df, keys, F.col(tiebreak))
+def dedup_staging(df: DataFrame, keys: Sequence[str] = KEY, tiebreak: Sequence[str] = ("load_no",)) -> DataFrame:
+    """One row per key: the last by the tie-break columns."""
+    return pick_one(df, keys, F.struct(*tiebreak))
 
 
 def merge_changed(target: DataFrame, source: DataFrame, loaded_at: Column, stamp: str = "load_timestamp") -> DataFrame:

@@ -14,7 +14,7 @@ QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
 MODULES = (
-    "retrieval evaluation warehouse"
+    "retrieval evaluation warehouse ingest chunking names"
 ).split()
 
 

@@ -24,8 +24,7 @@ FROM {lineitem}
 @query(f"""WITH s AS ({STAGING_SQL}) SELECT law_id, unique_anchor, max(content) AS content, max(load_no) AS load_no
 FROM (SELECT *, rank() OVER (PARTITION BY law_id, unique_anchor ORDER BY load_no DESC) AS rn FROM s) WHERE rn = 1 GROUP BY law_id, unique_anchor""")
 def dedup_staging(spark, sf):
-    out = w.dedup_staging(sql(spark, sf, STAGING_SQL))
-    # Rows that tie on the tie-break may differ in content; the greater one is shown.
+    out = w.dedup_staging(sql(spark, sf, STAGING_SQL), tiebreak=("load_no", "content"))
     return out.select("law_id", "unique_anchor", "content", "load_no")
 
 
