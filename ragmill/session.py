@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -44,3 +44,14 @@ def shared_dir(spark: SparkSession) -> str:
     if spark.sparkContext.master.startswith("local"):
         return tempfile.mkdtemp(prefix="ragmill-")
     raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write an intermediate result to the shared folder and go on from there.
+
+    Several branches then read it instead of computing it again, and a lost executor
+    costs a re-read, not a recomputation.
+    """
+    path = f"{shared_dir(df.sparkSession)}/part"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
