@@ -14,7 +14,7 @@ QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
 MODULES = (
-    "retrieval evaluation warehouse ingest chunking names reports textclean scoring"
+    "retrieval evaluation warehouse ingest chunking names reports textclean scoring apps streams"
 ).split()
 
 
