@@ -45,13 +45,26 @@ def admin_scope(teams: DataFrame, users: DataFrame, user_id) -> DataFrame:
 def visible_apps(users: DataFrame, teams: DataFrame, apps: DataFrame, common_team) -> DataFrame:
     """(user_id, team_id, app_id, team_name, …): apps of each user's teams and the common team.
 
-    Teams that do not exist are skipped.
+    Teams that do not exist are skipped. The list is for the users who ask; for all users
+    at once see ``visible_app_counts``.
     """
-    own = users.select("user_id", "team_id")
-    common = users.select("user_id").distinct().withColumn("team_id", F.lit(common_team).cast(users.schema["team_id"].dataType))
-    scope = own.unionByName(common).distinct()
     named = apps.join(teams.select("team_id", F.col("name").alias("team_name")), "team_id")
-    return scope.join(named, "team_id")
+    return _scope(users, common_team).join(named, "team_id")
+
+
+def _scope(users: DataFrame, common_team) -> DataFrame:
+    own = users.select("user_id", "team_id")
+    common = users.select("user_id").withColumn("team_id", F.lit(common_team).cast(users.schema["team_id"].dataType))
+    return own.unionByName(common).distinct()
+
+
+def visible_app_counts(users: DataFrame, teams: DataFrame, apps: DataFrame, common_team) -> DataFrame:
+    """(user_id, teams, apps): what every user sees, without pairing users with apps."""
+    per_team = apps.groupBy("team_id").agg(F.count(F.lit(1)).alias("_apps"))
+    known = teams.select("team_id").join(per_team, "team_id", "left")
+    return _scope(users, common_team).join(known, "team_id").groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("teams"), F.sum(F.coalesce("_apps", F.lit(0))).alias("apps")
+    )
 
 
 def last_admin_guard(users: DataFrame, operations: DataFrame) -> DataFrame:

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ragmill.functions import files
-from ragmill.operators.embedding import EmbedFn, fill_vectors
+from ragmill.operators.embedding import EmbedFn, embed_rows
+from ragmill.session import spread
 
 # Chunk size, overlap, and the order in which separators are tried.
 MAX_SIZE = 1000
@@ -130,7 +131,7 @@ def chunk_documents(
             yield out
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*kept).schema]
-    return df.select(*kept, "text").mapInPandas(
+    return spread(df.select(*kept, "text")).mapInPandas(
         run, ", ".join([*fields, "chunk_index int, chunk_text string, header_path string"])
     )
 
@@ -158,9 +159,9 @@ def chunk_and_embed(
         refused = chunks.filter(F.col("chunk_index") == limit).select("document_id").distinct()
         chunks = chunks.join(refused, "document_id", "left_anti")
         docs = docs.join(refused, "document_id", "left_anti")
-    empty = chunks.withColumn("embedding", F.lit(None).cast("array<double>"))
-    filled = fill_vectors(empty, embed_fn, text="chunk_text")
-    counts = filled.groupBy("document_id").agg(F.count(F.lit(1)).alias("chunk_count"))
+    filled = embed_rows(chunks, embed_fn, text="chunk_text")
+    # Counting needs the chunks only; the vectors are left out of that branch.
+    counts = chunks.groupBy("document_id").agg(F.count(F.lit(1)).alias("chunk_count"))
     documents = docs.join(counts, "document_id", "left").withColumn(
         "chunk_count", F.coalesce("chunk_count", F.lit(0).cast("bigint"))
     )

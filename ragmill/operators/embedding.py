@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ragmill.operators.topk import bigram_codes
+from ragmill.session import spread
 
 EmbedFn = Callable[[list[str]], Sequence[Sequence[float]]]
 # Fixed value: texts per call of the embedding function.
@@ -26,7 +27,7 @@ def hashing_embedder(dim: int = 64) -> EmbedFn:
     def embed(texts: list[str]) -> list[list[float]]:
         out = np.zeros((len(texts), dim))
         for i, text in enumerate(texts):
-            mixed = bigram_codes(" ".join(["", *text.split(), ""])).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            mixed = bigram_codes(text).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
             np.add.at(out[i], (mixed >> np.uint64(32)) % np.uint64(dim), np.where(mixed >> np.uint64(63), 1.0, -1.0))
         norms = np.sqrt((out * out).sum(axis=1, keepdims=True))
         return np.divide(out, norms, out=out, where=norms > 0).tolist()
@@ -77,7 +78,22 @@ def embed_missing(
         for frame in frames:
             yield frame.assign(**{vector: embed_all(frame[text].tolist(), embed_fn, batch)})
 
-    return todo.mapInPandas(fill, df.schema)
+    return spread(todo).mapInPandas(fill, df.schema)
+
+
+def embed_rows(df: DataFrame, embed_fn: EmbedFn, text: str = "text", vector: str = "embedding", batch: int = BATCH) -> DataFrame:
+    """Add a vector to rows just made; blank text gets none. One pass, nothing is computed twice."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            texts = frame[text].fillna("")
+            has = texts.str.strip() != ""
+            made = iter(embed_all(texts[has].tolist(), embed_fn, batch))
+            yield frame.assign(**{vector: [next(made) if h else None for h in has]})
+
+    out = df.drop(vector)
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema]
+    return out.mapInPandas(run, ", ".join([*fields, f"`{vector}` array<double>"]))
 
 
 def fill_vectors(df: DataFrame, embed_fn: EmbedFn, text: str = "text", vector: str = "embedding") -> DataFrame:

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ragmill.functions.text import without_space
 
-TIE = "rank"
-
-
 def needle_hit(content: Column, needle: Column) -> Column:
     """The needle occurs in the content once all whitespace is gone; empty never hits."""
     a, b = without_space(F.coalesce(content, F.lit(""))), without_space(F.coalesce(needle, F.lit("")))
@@ -51,7 +48,7 @@ def compare_runs(runs: DataFrame, labels: DataFrame, k: int) -> DataFrame:
 
     ``runs`` has (run, query_id, rank, relevant); the divisor is the number of labels, or 1.
     """
-    total = labels.agg(F.greatest(F.count_distinct("query_id"), F.lit(1)).alias("n"))
+    total = labels.agg(F.greatest(F.count_distinct("query_id"), F.lit(1)).alias("n")).scalar()
     first = runs.groupBy("run", "query_id").agg(F.min(F.when(F.col("relevant"), F.col("rank"))).alias("r"))
     first = first.join(labels.select("query_id").distinct(), "query_id", "left_semi")
     sums = first.groupBy("run").agg(
@@ -59,21 +56,20 @@ def compare_runs(runs: DataFrame, labels: DataFrame, k: int) -> DataFrame:
         F.count_if(F.col("r") <= k).alias("hit_at_k"),
         F.coalesce(F.sum(F.lit(1.0) / F.col("r")), F.lit(0.0)).alias("rr"),
     )
-    # Both sides of these joins are aggregates: one row per run, and one row in all.
-    rates = sums.join(F.broadcast(total), F.lit(True)).select(
+    rates = sums.withColumn("n", total).select(
         "run", "hit_at_1", "hit_at_k",
         (100.0 * F.col("hit_at_1") / F.col("n")).alias("pct_at_1"),
         (100.0 * F.col("hit_at_k") / F.col("n")).alias("pct_at_k"),
         (F.col("rr") / F.col("n")).alias("mrr"),
     )
-    base = rates.filter(F.col("run") == "base").select(
-        F.col("hit_at_1").alias("b1"), F.col("hit_at_k").alias("bk"), F.col("mrr").alias("bm")
-    )
-    return rates.join(F.broadcast(base), F.lit(True), "left").select(
+    # One row per run is left here, so this window sees as many rows as there are runs.
+    runs_window = Window.partitionBy(F.lit(0))
+    base = lambda c: F.max(F.when(F.col("run") == "base", F.col(c))).over(runs_window)
+    return rates.select(
         "run", "hit_at_1", "hit_at_k", "pct_at_1", "pct_at_k", "mrr",
-        (F.col("hit_at_1") - F.col("b1")).alias("delta_at_1"),
-        (F.col("hit_at_k") - F.col("bk")).alias("delta_at_k"),
-        (F.col("mrr") - F.col("bm")).alias("delta_mrr"),
+        (F.col("hit_at_1") - base("hit_at_1")).alias("delta_at_1"),
+        (F.col("hit_at_k") - base("hit_at_k")).alias("delta_at_k"),
+        (F.col("mrr") - base("mrr")).alias("delta_mrr"),
     )
 
 

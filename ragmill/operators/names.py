@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ragmill.functions import names as n
 from ragmill.functions.bigrams import name_bigrams, set_jaccard
 from ragmill.functions.text import map_of
+from ragmill.session import spread
 
 #: Titles a task may hold for the dictionary scan; beyond it the scan becomes a join.
 MAX_TITLES = 200_000
@@ -142,13 +143,13 @@ def _scan_with_dictionary(texts: DataFrame, titles: dict[str, str], schema: str)
                 rows += [(qid, title, s, e) for s, e, title in _pick(hits)]
             yield pd.DataFrame(rows, columns=["query_id", "law_title", "start", "end"])
 
-    return texts.mapInPandas(scan, schema)
+    return spread(texts).mapInPandas(scan, schema)
 
 
 def _scan_with_join(texts: DataFrame, keys: DataFrame, schema: str) -> DataFrame:
     """Dictionary too large for a task: join substrings of the few lengths that titles have."""
-    sizes = F.broadcast(keys.select(F.length("key").alias("size")).distinct().agg(F.collect_list("size").alias("sizes")))
-    starts = texts.join(sizes, F.lit(True)).withColumn("start", F.explode(F.sequence(F.lit(0), F.length("text") - 1)))
+    sizes = keys.select(F.length("key").alias("size")).distinct().agg(F.collect_list("size")).scalar()
+    starts = texts.withColumn("sizes", sizes).withColumn("start", F.explode(F.sequence(F.lit(0), F.length("text") - 1)))
     before = F.substring(F.col("text"), F.col("start"), F.lit(1))
     open_start = starts.filter((F.col("start") == 0) | ~before.rlike(WORD_BEFORE))
     cut = open_start.withColumn("size", F.explode("sizes")).filter(F.col("start") + F.col("size") <= F.length("text"))
@@ -214,7 +215,7 @@ def resolve(
     )
 
     # One join finds exact and key matches of spoken and of searched names alike.
-    keyed = title_dictionary(names.withColumnRenamed("name", "law_title"))
+    keyed = title_dictionary(spread(names).withColumnRenamed("name", "law_title"))
     matches = _forms(keyed).join(_forms(master), ["stage_no", "form"])
     per_law = matches.groupBy("query_id", "law_num").agg(
         F.bool_or("is_spoken").alias("spoken_hit"), F.min(F.when(~F.col("is_spoken"), F.col("stage_no"))).alias("stage_no")

@@ -7,7 +7,6 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ragmill.functions.bigrams import padded
 from ragmill.functions.text import neutralize_markers
 from ragmill.operators.topk import SCOPE_ANY, BigramBlock, VectorBlock, batch_topk
 
@@ -15,6 +14,7 @@ RRF_K = 60
 TOP_M = 10
 FETCH_K = 20
 MIN_SIMILARITY = 0.2
+NOT_BLANK = r"[^\s　]"
 
 
 def _owner_scope(owner: Column) -> Column:
@@ -31,8 +31,7 @@ def _vector_side(df: DataFrame, *scopes: Column, id_col: str, name: str) -> Data
 
 
 def _text_side(df: DataFrame, *scopes: Column, id_col: str, name: str) -> DataFrame:
-    side = df.select(F.col(id_col).alias(name), *scopes, padded(F.col("text")).alias("payload"))
-    return side.filter(F.length("payload") > 0)
+    return df.filter(F.col("text").rlike(NOT_BLANK)).select(F.col(id_col).alias(name), *scopes, F.col("text").alias("payload"))
 
 
 def _any() -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ragmill.functions.text import let, nfkc, strip_close_tag, trimmed
+from ragmill.functions.text import nfkc, strip_close_tag, trimmed
 
 # Limits and words of the question format.
 NOUL_LABELS = ("Yes", "No")
@@ -41,40 +41,39 @@ def rounded(col: Column) -> Column:
     return F.round(col, DECIMALS)
 
 
-def match_label(token: Column, labels: Column) -> Column:
-    """The label a normalised token stands for, among (label, norm) structs.
+def match_label(norm: Column, bare: Column, lookup: Column) -> Column:
+    """The label a normalised token stands for, by a map of normal forms to labels.
 
     Equal; equal without surrounding punctuation; the only label the token begins.
     A label that begins the token does not count.
     """
-    norms = F.array_distinct(labels["norm"])
-
-    def labelled(norm: Column) -> Column:
-        # Of labels with the same normal form the last one counts.
-        same = F.filter(labels, lambda x: x["norm"] == norm)
-        return F.get(F.reverse(same), F.lit(0))["label"]
-
-    def find(token: Column) -> Column:
-        bare = F.regexp_replace(token, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
-        begun = F.filter(norms, lambda x: x.startswith(token))
-        only = F.when(F.size(begun) == 1, labelled(F.get(begun, F.lit(0))))
-        by_bare = F.when((bare != "") & (bare != token), labelled(bare))
-        return F.when(token != "", F.coalesce(labelled(token), by_bare, only))
-
-    return let(token, find)
+    begun = F.filter(F.map_keys(lookup), lambda x: x.startswith(norm))
+    found = F.coalesce(
+        F.try_element_at(lookup, norm),
+        F.when((bare != "") & (bare != norm), F.try_element_at(lookup, bare)),
+        F.when(F.size(begun) == 1, F.try_element_at(lookup, F.get(begun, F.lit(0)))),
+    )
+    return F.when(norm != "", found)
 
 
 def label_arrays(labels: DataFrame) -> DataFrame:
-    """(request_id, question, labels) of rows (request_id, question, pos, label), in order."""
+    """(request_id, question, labels, lookup) of rows (request_id, question, pos, label).
+
+    Of labels with the same normal form the last one counts.
+    """
     row = F.struct("pos", "label", normalize_token(F.col("label")).alias("norm"))
-    return labels.groupBy("request_id", "question").agg(F.sort_array(F.collect_list(row)).alias("labels"))
+    rows = labels.groupBy("request_id", "question").agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    norms = F.array_distinct("rows.norm")
+    last = F.transform(norms, lambda x: F.element_at(F.filter("rows", lambda r: r["norm"] == x), -1)["label"])
+    return rows.select("request_id", "question", F.col("rows.label").alias("labels"), F.map_from_arrays(norms, last).alias("lookup"))
 
 
 def match_labels(tokens: DataFrame, labels: DataFrame) -> DataFrame:
     """Tokens (request_id, question, token, logprob) with the label they count for, or null."""
-    joined = tokens.join(label_arrays(labels), ["request_id", "question"])
-    found = joined.withColumn("norm", normalize_token(F.col("token")))
-    return found.withColumn("label", match_label(F.col("norm"), F.col("labels")))
+    normal = tokens.withColumn("norm", normalize_token(F.col("token")))
+    normal = normal.withColumn("bare", F.regexp_replace("norm", r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
+    joined = normal.join(label_arrays(labels).select("request_id", "question", "lookup"), ["request_id", "question"])
+    return joined.withColumn("label", match_label(F.col("norm"), F.col("bare"), F.col("lookup")))
 
 
 def confidence(p: Column, n: Column) -> Column:
@@ -99,7 +98,7 @@ def score_candidates(tokens: DataFrame, labels: DataFrame) -> DataFrame:
     mass = matched.groupBy("request_id", "question", "label").agg(F.sum(F.exp("logprob")).alias("m"))
     masses = mass.groupBy("request_id", "question").agg(F.map_from_entries(F.collect_list(F.struct("label", "m"))).alias("mass"))
     out = label_arrays(labels).join(masses, ["request_id", "question"], "left")
-    names = F.col("labels.label")
+    names = F.col("labels")
     raw = F.transform(names, lambda x: F.coalesce(F.try_element_at("mass", x), F.lit(0.0)))
     total = F.aggregate("raw", F.lit(0.0), lambda a, x: a + x)
     out = out.withColumn("raw", raw).withColumn("total", total)
@@ -109,7 +108,7 @@ def score_candidates(tokens: DataFrame, labels: DataFrame) -> DataFrame:
     best = F.array_max("p")
     top = F.element_at(names, F.array_position(F.col("p"), best).cast("int"))
     return out.select(
-        "request_id", "question", names.alias("labels"),
+        "request_id", "question", "labels",
         F.transform("p", rounded).alias("probabilities"), F.when(ok, top).alias("top"),
         F.when(ok, confidence(best, F.size("labels"))).alias("confidence"),
         F.when(~ok, F.lit("no_candidate")).alias("error"),

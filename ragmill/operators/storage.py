@@ -78,9 +78,11 @@ def rehydrate(df: DataFrame, payloads: DataFrame, bucket: str) -> DataFrame:
     url = parse_storage_url(F.get_json_object("inputs", f"$.{MARKER}"))
     rest = F.replace(url["key"], _prefix(), F.lit(""))
     own = (url["bucket"] == bucket) & F.startswith(url["key"], _prefix()) & rest.rlike(UUID_JSON)
-    keyed = df.withColumn("object_key", F.when(own, url["key"]))
-    joined = keyed.join(payloads, "object_key", "left")
-    return joined.withColumn("inputs", F.coalesce("payload", "inputs")).select(*df.columns)
+    own = F.coalesce(own, F.lit(False))
+    # Rows without an own marker bypass the join: as null keys they would meet in one task.
+    joined = df.filter(own).withColumn("object_key", url["key"]).join(payloads, "object_key", "left")
+    restored = joined.withColumn("inputs", F.coalesce("payload", "inputs")).select(*df.columns)
+    return df.filter(~own).unionByName(restored)
 
 
 def artifact_name(name: Column) -> Column:

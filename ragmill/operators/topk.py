@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ragmill.session import spread
+
 #: Rows of one query block. With 768 float64 values a block is about 25 MB.
 QUERY_BLOCK_ROWS = 4096
 #: Bytes one broadcast query block may take; wider rows get shorter blocks.
@@ -98,8 +100,6 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
 class VectorBlock:
     """Query vectors of one block, grouped by scope."""
 
-    column = "embedding"
-
     def __init__(self, table: pa.Table):
         self.query_ids = _ids(table["query_id"].to_pandas())
         self.unit = _unit(_matrix(table["payload"].combine_chunks()))
@@ -107,7 +107,7 @@ class VectorBlock:
 
     def offer(self, top: TopK, ids: np.ndarray, scopes: list[np.ndarray], payload: pa.Array):
         vectors = _unit(_matrix(payload))
-        for rows, cols in _matching(self.by_scope, scopes, len(ids)):
+        for _, rows, cols in _matching(self.by_scope, scopes, len(ids)):
             step = max(1, SCORE_CELLS // max(1, len(rows)))
             for start in range(0, len(cols), step):
                 part = cols[start : start + step]
@@ -118,9 +118,7 @@ class VectorBlock:
 
 
 class BigramBlock:
-    """2-gram sets of one query block as a (2-gram x query) membership matrix."""
-
-    column = "padded"
+    """2-gram sets of one query block as (2-gram x query) membership matrices per scope."""
 
     def __init__(self, table: pa.Table, min_sim: float):
         self.query_ids = _ids(table["query_id"].to_pandas())
@@ -129,14 +127,16 @@ class BigramBlock:
         sets = [bigram_codes(t) for t in table["payload"].to_pylist()]
         self.sizes = np.array([len(s) for s in sets])
         self.vocabulary = np.unique(np.concatenate(sets)) if sets else np.empty(0, np.int64)
-        self.member = np.zeros((len(self.vocabulary), len(sets)), dtype=bool)
+        member = np.zeros((len(self.vocabulary), len(sets)), dtype=np.float32)
         for i, codes in enumerate(sets):
-            self.member[np.searchsorted(self.vocabulary, codes), i] = True
+            member[np.searchsorted(self.vocabulary, codes), i] = 1
+        self.member = {s: np.ascontiguousarray(member[:, rows]) for s, rows in self.by_scope.items()}
 
     def offer(self, top: TopK, ids: np.ndarray, scopes: list[np.ndarray], payload: pa.Array):
         sets = [bigram_codes(t) for t in payload.to_pylist()]
         widest = self.sizes.max(initial=0)
-        for rows, cols in _matching(self.by_scope, scopes, len(ids)):
+        for scope, rows, cols in _matching(self.by_scope, scopes, len(ids)):
+            member, sizes = self.member[scope], self.sizes[rows]
             out_row, out_score, out_col = [], [], []
             for col in cols:
                 codes = sets[col]
@@ -146,8 +146,8 @@ class BigramBlock:
                 at = np.searchsorted(self.vocabulary, codes)
                 at[at == len(self.vocabulary)] = 0
                 at = at[self.vocabulary[at] == codes]
-                common = self.member[at][:, rows].sum(axis=0)
-                sims = common / np.maximum(self.sizes[rows], len(codes))
+                common = np.add.reduce(member[at], axis=0).astype(np.float64)
+                sims = common / np.maximum(sizes, len(codes))
                 hit = np.nonzero((sims >= self.min_sim) & (common > 0) & (sims >= top.floor[rows]))[0]
                 out_row.append(rows[hit])
                 out_score.append(sims[hit])
@@ -156,12 +156,19 @@ class BigramBlock:
                 top.offer(np.concatenate(out_row), np.concatenate(out_score), ids[np.concatenate(out_col)])
 
 
-def bigram_codes(padded: str | None) -> np.ndarray:
-    """Distinct 2-grams of a padded text as sorted integers (two code points each)."""
-    if not padded or len(padded) < 2:
-        return np.empty(0, dtype=np.int64)
-    points = np.frombuffer(padded.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
-    return np.unique(points[:-1] << 21 | points[1:])
+#: Whitespace of the 2-gram measure: that of ``functions.text.WS``.
+_SPACES = np.array([9, 10, 11, 12, 13, 32, 0x3000])
+
+
+def bigram_codes(text: str | None) -> np.ndarray:
+    """Distinct 2-grams of a text as sorted integers (two code points each).
+
+    Words are separated and surrounded by one space, as in ``functions.bigrams.padded``.
+    """
+    points = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+    padded = np.concatenate([[32], np.where(np.isin(points, _SPACES), 32, points), [32]])
+    kept = padded[np.concatenate([[True], (padded[1:] != 32) | (padded[:-1] != 32)])]
+    return np.unique(kept[:-1] << 21 | kept[1:])
 
 
 def _rows_by_scope(table: pa.Table) -> dict[str, np.ndarray]:
@@ -169,15 +176,15 @@ def _rows_by_scope(table: pa.Table) -> dict[str, np.ndarray]:
     return {s: np.asarray(ix, dtype=np.int64) for s, ix in scopes.groupby(scopes).indices.items()}
 
 
-def _matching(by_scope, scopes, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(query rows, corpus positions) that share a scope."""
+def _matching(by_scope, scopes, n: int) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """(scope, query rows, corpus positions) that share a scope."""
     if SCOPE_ANY in by_scope:
-        yield by_scope[SCOPE_ANY], np.arange(n)
+        yield SCOPE_ANY, by_scope[SCOPE_ANY], np.arange(n)
     for column in scopes:
         for scope, cols in pd.Series(column).groupby(column).indices.items():
             rows = by_scope.get(scope)
             if rows is not None:
-                yield rows, np.asarray(cols)
+                yield scope, rows, np.asarray(cols)
 
 
 def _search(blocks_of: Callable, k: int, n_scopes: int) -> Callable:
@@ -235,7 +242,7 @@ def batch_topk(
             if len(found):
                 yield pa.RecordBatch.from_pandas(found, preserve_index=False)
 
-        partial = corpus.mapInArrow(scan, schema)
+        partial = spread(corpus).mapInArrow(scan, schema)
     else:
         partial = _blocked(queries, corpus, run, schema, block_rows, corpus_rows)
 

@@ -138,14 +138,15 @@ def stash_vectors(df: DataFrame, text: str = "content", vector: str = "embedding
 def restore_vectors(df: DataFrame, stash: DataFrame, text: str = "content", vector: str = "embedding") -> DataFrame:
     """Fill missing vectors from the stash by text hash.
 
-    Only distinct missing texts take part in the hash join; a text shared by many rows
-    is skewed on the left side alone, which adaptive skew handling can split.
+    Rows that have a vector bypass the join. A text shared by many rows is skewed on the
+    left side alone, which adaptive skew handling splits.
     """
     found = stash.select("text_md5", F.col(vector).alias("_found"))
-    keyed = df.withColumn("text_md5", F.when(F.col(vector).isNull(), F.md5(text)))
-    return keyed.join(found, "text_md5", "left").select(
-        *[F.coalesce(vector, "_found").alias(c) if c == vector else F.col(c) for c in df.columns]
+    keyed = df.filter(F.col(vector).isNull()).withColumn("text_md5", F.md5(text))
+    restored = keyed.join(found, "text_md5", "left").select(
+        *[F.col("_found").alias(c) if c == vector else F.col(c) for c in df.columns]
     )
+    return df.filter(F.col(vector).isNotNull()).unionByName(restored)
 
 
 def pending_counts(targets: dict[str, DataFrame], vector: str = "embedding") -> DataFrame:
@@ -252,5 +253,6 @@ def backfill_default_collection(docs: DataFrame, collections: DataFrame, name: s
     )
     all_collections = collections.unionByName(added)
     default = all_collections.filter(F.col("name") == name).select("owner", F.col("collection_id").alias("_default"))
-    assigned = docs.join(default, "owner", "left").withColumn("collection_id", F.coalesce("collection_id", "_default"))
-    return all_collections, assigned.select(*docs.columns)
+    lacking = docs.filter(F.col("collection_id").isNull()).join(default, "owner", "left")
+    assigned = lacking.withColumn("collection_id", F.col("_default")).select(*docs.columns)
+    return all_collections, docs.filter(F.col("collection_id").isNotNull()).unionByName(assigned)

@@ -78,10 +78,19 @@ def admin_scope(spark, sf):
     return a.admin_scope(_teams(spark, sf), users, first)
 
 
-@query(f"""WITH t AS ({TEAMS_SQL}), u AS ({USERS_SQL}), a AS ({APPS_SQL}), s AS (SELECT team_id, user_id FROM u UNION SELECT 0, user_id FROM u)
+@query(f"""WITH t AS ({TEAMS_SQL}), u AS (SELECT * FROM ({USERS_SQL}) WHERE user_id = (SELECT max(c_custkey) FROM customer)), a AS ({APPS_SQL}), s AS (SELECT team_id, user_id FROM u UNION SELECT 0, user_id FROM u)
 SELECT s.user_id, s.team_id, a.app_id, t.name AS team_name FROM s JOIN a ON a.team_id = s.team_id JOIN t ON t.team_id = s.team_id""")
 def visible_apps(spark, sf):
-    return a.visible_apps(_users(spark, sf), _teams(spark, sf), _apps(spark, sf), 0).select("user_id", "team_id", "app_id", "team_name")
+    """The list of the newest user."""
+    users = _users(spark, sf)
+    newest = users.filter(F.col("user_id") == users.agg(F.max("user_id")).scalar())
+    return a.visible_apps(newest, _teams(spark, sf), _apps(spark, sf), 0).select("user_id", "team_id", "app_id", "team_name")
+
+
+@query(f"""WITH t AS ({TEAMS_SQL}), u AS ({USERS_SQL}), n AS (SELECT t.team_id, count(p_partkey) AS n FROM t LEFT JOIN part ON p_partkey % 26 = t.team_id GROUP BY t.team_id), s AS (SELECT team_id, user_id FROM u UNION SELECT 0, user_id FROM u)
+SELECT s.user_id, count(*) AS teams, CAST(sum(n) AS BIGINT) AS apps FROM s JOIN n ON n.team_id = s.team_id GROUP BY s.user_id""")
+def visible_app_counts(spark, sf):
+    return a.visible_app_counts(_users(spark, sf), _teams(spark, sf), _apps(spark, sf), 0)
 
 
 OPERATIONS_SQL = "SELECT o_orderkey AS op_id, o_custkey % 25 AS team_id, o_custkey AS user_id, CASE WHEN o_orderstatus = 'F' THEN 'delete' ELSE 'demote' END AS action FROM {orders}"

@@ -8,7 +8,7 @@ from ragmill.functions import report as r
 from ragmill.operators import names as o
 from ragmill.operators import reports as rep
 from ragmill.operators import warehouse as w
-from ragmill.operators.embedding import fill_vectors, hashing_embedder
+from ragmill.operators.embedding import embed_rows, hashing_embedder
 from ragmill.plans import inputs as i
 from ragmill.plans import names as np
 from ragmill.plans import query
@@ -185,12 +185,12 @@ def _report_table(spark, sf, as_of):
     embed = hashing_embedder(32)
     articles = i.dwh(spark, sf).withColumn("law_title", F.concat(F.lit("特"), F.expr(np.KANJI.format("CAST(substring(law_num, 2) AS BIGINT)")), F.lit("令法")))
     index = w.search_index(articles, i.TODAY).withColumn("id", F.concat_ws("/", "law_num", "unique_anchor"))
-    index = fill_vectors(index.withColumn("embedding", F.lit(None).cast("array<double>")), embed, text="content")
+    index = embed_rows(index, embed, text="content")
     master = o.title_dictionary(w.title_master(articles))
     name = F.concat(F.lit("特"), F.expr(np.KANJI.format("c_custkey * 2")), F.lit("令法"))
     customers = table(spark, sf, "customer").select(F.col("c_custkey").alias("query_id"), name.alias("name"), "c_mktsegment")
-    asked = customers.select("query_id", F.concat("name", F.lit("の第2条は "), "c_mktsegment").alias("text"), F.lit(None).cast("array<double>").alias("embedding"))
-    asked = fill_vectors(asked, embed)
+    asked = customers.select("query_id", F.concat("name", F.lit("の第2条は "), "c_mktsegment").alias("text"))
+    asked = embed_rows(asked, embed)
     model = customers.select(
         "query_id", F.concat(F.lit('{"law_names": ["'), "name", F.lit('"]}')).alias("law_names_text"), F.lit("1, 2").alias("selection"),
         F.lit("<think>x</think># Report\nsee [1] and [2]").alias("report"),

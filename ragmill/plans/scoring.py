@@ -39,9 +39,9 @@ def match_labels(spark, sf):
 SCORES_DUCK = f"""t AS ({TOKENS_SQL}), m AS (SELECT request_id, {LABEL} AS label, sum(exp(logprob)) AS m FROM t GROUP BY 1, 2 HAVING label IS NOT NULL),
 l AS ({LABELS_SQL}), j AS (SELECT l.request_id, l.pos, l.label, coalesce(m.m, 0) AS m FROM l LEFT JOIN m ON m.request_id = l.request_id AND m.label = l.label),
 p AS (SELECT *, sum(m) OVER (PARTITION BY request_id) AS total FROM j),
-q AS (SELECT request_id, pos, label, total, CASE WHEN total > 0 THEN m / total END AS p FROM p),
+q AS (SELECT request_id, pos, label, total, CASE WHEN total > 0 THEN m / total END AS p, row_number() OVER (PARTITION BY request_id ORDER BY m DESC, pos) = 1 AS best_first FROM p),
 sc AS (SELECT request_id, any_value(total) AS total, string_agg(label || '=' || format('{{:.6f}}', round(p, 6)), ',' ORDER BY pos) AS probabilities,
-  arg_min(label, pos - 1000 * p) AS top, max(p) AS best, sum(pos * round(p, 6)) AS e FROM q GROUP BY request_id)"""
+  any_value(label) FILTER (best_first) AS top, max(p) AS best, sum(pos * round(p, 6)) AS e FROM q GROUP BY request_id)"""
 
 
 def _shown(scores):

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ragmill.functions.dates import era_to_date
+from ragmill.session import spread
 
 # Element names of the law XML and the words it uses.
 SUBITEMS = [f"Subitem{n}" for n in range(1, 11)]
@@ -124,7 +125,7 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def parse_law_xml(files: DataFrame) -> DataFrame:
     """(path, content) to one row per article, or one row with ``error`` per bad file."""
-    parsed = files.select("path", "content").mapInPandas(_parse, PARSED)
+    parsed = spread(files.select("path", "content")).mapInPandas(_parse, PARSED)
     year = F.when(F.col("xml_year").rlike(r"^\d+$"), F.col("xml_year").try_cast("int"))
     date = era_to_date(F.col("era"), F.col("xml_year"), F.col("xml_month"), F.col("xml_day"))
     return parsed.withColumn("year", F.coalesce(year, F.lit(0))).withColumn("promulgate_date", date)

@@ -39,14 +39,13 @@ def read_snapshot(spark: SparkSession, root: str, version: int | None = None) ->
 def write_chunks(chunks: DataFrame, root: str, model: str, config: dict, buckets: int = 32, mode: str = "append") -> None:
     """Append chunks with their vector, chunker settings and model, foldered by hash of the owner.
 
-    Rows of one owner are spread over several files, so a big owner is not one task.
+    Rebalancing splits the folder of a big owner over as many tasks as its size asks for.
     """
     settings = F.to_json(F.struct(*[F.lit(v).alias(k) for k, v in config.items()]))
     bucket = F.pmod(F.xxhash64("owner"), F.lit(buckets)).cast("int")
     out = chunks.withColumn("chunker_config", settings).withColumn("embedding_model", F.lit(model))
     out = out.withColumn("owner_bucket", bucket)
-    spread = F.pmod(F.xxhash64("document_id", "chunk_index"), F.lit(8))
-    out.repartition(F.col("owner_bucket"), spread).write.mode(mode).partitionBy("owner_bucket").parquet(root)
+    out.hint("rebalance", F.col("owner_bucket")).write.mode(mode).partitionBy("owner_bucket").parquet(root)
 
 
 def read_chunks(spark: SparkSession, root: str, owner: str | None = None, buckets: int = 32) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ragmill.functions import files
 from ragmill.functions.html import html_text
 from ragmill.operators.chunking import chunk_documents
-from ragmill.operators.embedding import EmbedFn, fill_vectors
+from ragmill.operators.embedding import EmbedFn, embed_rows
 
 
 def extract(raw: DataFrame, limits: dict | None = None) -> DataFrame:
@@ -36,4 +36,4 @@ def continuous_ingest(raw: DataFrame, embed_fn: EmbedFn, size: int = 1000, overl
     The checkpoint of the file source takes each file once.
     """
     chunks = chunk_documents(extract(raw), size, overlap)
-    return fill_vectors(chunks.withColumn("embedding", F.lit(None).cast("array<double>")), embed_fn, text="chunk_text")
+    return embed_rows(chunks, embed_fn, text="chunk_text")

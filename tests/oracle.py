@@ -49,8 +49,9 @@ def compare(spark, con, fn, sql, sf_dir):
     if got_names != want_names:
         return len(got), f"columns {got_names} != {want_names}"
     if got != want:
-        extra = [r for r in got if r not in set(want)][:3]
-        missing = [r for r in want if r not in set(got)][:3]
+        got_set, want_set = set(got), set(want)
+        extra = [r for r in got if r not in want_set][:3]
+        missing = [r for r in want if r not in got_set][:3]
         return len(got), f"{len(got)} vs {len(want)} rows\n   got  {extra}\n   want {missing}"[:3000]
     spark_types = dict(df.dtypes)
     loose = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "date": "DATE"}
