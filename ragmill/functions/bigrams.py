@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ragmill.functions.text import WS, trimmed, one_space
 
-#: Overlapping pairs of characters, found by a lookahead in one linear pass.
-PAIRS = r"(?s)(?=(..))"
+#: Overlapping pairs of characters: look two ahead, step one code point.
+PAIRS = r"(?s)(?=(..))."
 # Fixed value: characters ignored when two names are compared.
 NAME_PARTICLES = "をにはがのもとでやへからまで等"
 
