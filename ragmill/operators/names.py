@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ragmill.functions import names as n
 from ragmill.functions.bigrams import name_bigrams, set_jaccard
 from ragmill.functions.text import map_of
-from ragmill.session import spread
+from ragmill.session import materialize, spread
 
 #: Titles a task may hold for the dictionary scan; beyond it the scan becomes a join.
 MAX_TITLES = 200_000
@@ -31,7 +31,7 @@ ARTICLE_NUMBER = r"第(\d+)条"
 
 def title_dictionary(titles: DataFrame) -> DataFrame:
     """(law_num, law_title) with normal form and comparison key."""
-    normalized = titles.withColumn("normalized", n.normalize_name(F.col("law_title")))
+    normalized = spread(titles).withColumn("normalized", n.normalize_name(F.col("law_title")))
     return normalized.withColumn("key", n.identifier_key(n.strip_suffixes(F.col("normalized"))))
 
 
@@ -181,8 +181,9 @@ def gate_candidates(candidates: DataFrame, names: DataFrame, queries: DataFrame)
     spoken_rows = asked.join(named, "query_id", "left_anti").select(
         "query_id", F.explode(n.names_in_query(F.col("_text"))).alias("name")
     )
-    given = names.select("query_id", "name").unionByName(spoken_rows)
-    keys = given.select("query_id", n.name_key(F.col("name")).alias("key")).distinct()
+    keyed_names = names if "key" in names.columns else names.withColumn("key", n.name_key(F.col("name")))
+    given = keyed_names.select("query_id", "key").unionByName(spoken_rows.select("query_id", n.name_key(F.col("name")).alias("key")))
+    keys = given.distinct()
     keys = keys.filter(F.length("key") >= n.MIN_LENGTH).withColumn("_equal", F.lit(True))
     silent = asked.join(given.select("query_id").distinct(), "query_id", "left_anti").select(
         "query_id", n.identifier_key(n.normalize_name(F.col("_text"))).alias("_plain")
@@ -202,6 +203,7 @@ def resolve(
     ``candidates`` (query_id, law_num, law_title) is the title search, ``status`` comes
     from ``classify_enforcement``, ``found`` from ``titles_in_text``.
     """
+    master = materialize(master)
     found = titles_in_text(queries, master) if found is None else found
     titles = found.groupBy("query_id").agg(F.collect_set("law_title").alias("titles"))
     known = queries.join(titles, "query_id", "left").withColumn("titles", F.coalesce("titles", F.array().cast("array<string>")))
@@ -215,19 +217,20 @@ def resolve(
     )
 
     # One join finds exact and key matches of spoken and of searched names alike.
-    keyed = title_dictionary(spread(names).withColumnRenamed("name", "law_title"))
+    # Read three times below, so the normalised names are computed once.
+    keyed = materialize(title_dictionary(names.withColumnRenamed("name", "law_title")))
     matches = _forms(keyed).join(_forms(master), ["stage_no", "form"])
     per_law = matches.groupBy("query_id", "law_num").agg(
         F.bool_or("is_spoken").alias("spoken_hit"), F.min(F.when(~F.col("is_spoken"), F.col("stage_no"))).alias("stage_no")
     )
-    per_query = names.groupBy("query_id").agg(F.bool_or("is_spoken").alias("has_spoken"))
+    per_query = keyed.groupBy("query_id").agg(F.bool_or("is_spoken").alias("has_spoken"))
     hit_query = per_law.groupBy("query_id").agg(F.bool_or("spoken_hit").alias("spoken_hit"))
     # A law named by the user must exist; otherwise nothing else may answer for it.
     unknown = per_query.filter("has_spoken").join(hit_query.filter("spoken_hit"), "query_id", "left_anti").select("query_id")
 
     by_name = per_law.filter(F.col("stage_no").isNotNull()).select("query_id", "stage_no", "law_num")
     candidates = candidates.join(master.select("law_num", "key"), "law_num")
-    gated = gate_candidates(candidates, names.filter(~F.col("is_spoken")), queries).filter("accepted")
+    gated = gate_candidates(candidates, keyed.filter(~F.col("is_spoken")), queries).filter("accepted")
     gated = gated.select("query_id", F.lit(len(STAGES) - 1).alias("stage_no"), "law_num")
     hits = by_name.unionByName(gated).distinct().join(unknown, "query_id", "left_anti")
 

@@ -7,27 +7,52 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SPLITS = 64
-ACCURACY = 10_000
+from ragmill.session import plan_bytes
+
+#: Pieces of the order axis: one per so many bytes of input, within bounds.
+PIECE_BYTES = 64 << 20
+PIECES = (32, 4096)
+ACCURACY = 20_000
+
+
+def _pieces(df: DataFrame) -> int:
+    return min(max(plan_bytes(df) // PIECE_BYTES, PIECES[0]), PIECES[1])
+
+
+def _place(value: Column, cuts: list[int]) -> Column:
+    """How many cuts are at or below the value, by binary search over a constant array."""
+    if not cuts:
+        return F.lit(0)
+    array = F.array(*[F.lit(c) for c in cuts])
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(cuts).bit_length()))])
+    at_or_below = lambda place, step: F.get(array, place + step - 1) <= value
+    return F.aggregate(steps, F.lit(0), lambda place, step: place + F.when(at_or_below(place, step), step).otherwise(0))
 
 
 def running(
-    df: DataFrame, scope: Sequence[str], order: Column, ties: Sequence[str], sums: dict[str, Column], splits: int = SPLITS
+    df: DataFrame,
+    scope: Sequence[str],
+    order: Column,
+    ties: Sequence[str],
+    sums: dict[str, Column],
+    splits: int | None = None,
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """Add, per name in ``sums``, the sum over the rows before this one.
 
     Rows are ordered by ``order`` (a whole number) and ``ties``. The order axis is cut at
     quantiles of the whole table: totals per (scope, piece) are pre-aggregated and give
     each piece its starting value, so a scope that holds most rows is still spread over
-    all pieces.
+    all pieces. Quantiles are taken from ``source`` where that is cheaper to read than ``df``.
     """
     tagged = df.withColumn("_order", order)
     for name, value in sums.items():
         tagged = tagged.withColumn(f"_v_{name}", value)
+    splits = splits or _pieces(df if source is None else source)
     shares = F.array(*[F.lit(i / splits) for i in range(1, splits)])
-    bounds = tagged.agg(F.percentile_approx("_order", shares, ACCURACY)).first()[0] or []
-    cuts = F.array(*[F.lit(b) for b in sorted(set(bounds))]) if bounds else F.array().cast("array<bigint>")
-    tagged = tagged.withColumn("_piece", F.size(F.filter(cuts, lambda b: b <= F.col("_order"))))
+    ordered = (df if source is None else source).select(order.alias("_order"))
+    bounds = ordered.agg(F.percentile_approx("_order", shares, ACCURACY)).first()[0] or []
+    tagged = tagged.withColumn("_piece", _place(F.col("_order"), sorted(set(bounds))))
 
     keys = [*scope, "_piece"]
     totals = tagged.groupBy(*keys).agg(*[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in sums])
@@ -41,7 +66,7 @@ def running(
     return out.select(*df.columns, *sums)
 
 
-def ranked(df: DataFrame, scope: Sequence[str], order: Column, ties: Sequence[str], splits: int = SPLITS) -> DataFrame:
+def ranked(df: DataFrame, scope: Sequence[str], order: Column, ties: Sequence[str], splits: int | None = None) -> DataFrame:
     """Add ``rank``, from 1, per scope."""
     out = running(df, scope, order, ties, {"rank": F.lit(1).cast("bigint")}, splits)
     return out.withColumn("rank", F.col("rank") + 1)

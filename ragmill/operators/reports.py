@@ -107,7 +107,7 @@ def report_table(
         names.apply_aliases(spoken, known).alias("spoken"),
     )
     # Each of these feeds several branches below.
-    queries, asked, master, index = map(materialize, (queries, asked, master, index))
+    queries, asked, index = map(materialize, (queries, asked, index))
     found = materialize(names.titles_in_text(queries, master))
     status = warehouse.classify_enforcement(warehouse.enforcement_status(index))
     verdicts = materialize(names.resolve(asked, master, status, candidates, found))

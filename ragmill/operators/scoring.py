@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ragmill.functions.text import nfkc, strip_close_tag, trimmed
+from ragmill.session import spread
 
 # Limits and words of the question format.
 NOUL_LABELS = ("Yes", "No")
@@ -62,7 +63,7 @@ def label_arrays(labels: DataFrame) -> DataFrame:
     Of labels with the same normal form the last one counts.
     """
     row = F.struct("pos", "label", normalize_token(F.col("label")).alias("norm"))
-    rows = labels.groupBy("request_id", "question").agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    rows = spread(labels).groupBy("request_id", "question").agg(F.sort_array(F.collect_list(row)).alias("rows"))
     norms = F.array_distinct("rows.norm")
     last = F.transform(norms, lambda x: F.element_at(F.filter("rows", lambda r: r["norm"] == x), -1)["label"])
     return rows.select("request_id", "question", F.col("rows.label").alias("labels"), F.map_from_arrays(norms, last).alias("lookup"))
@@ -70,7 +71,7 @@ def label_arrays(labels: DataFrame) -> DataFrame:
 
 def match_labels(tokens: DataFrame, labels: DataFrame) -> DataFrame:
     """Tokens (request_id, question, token, logprob) with the label they count for, or null."""
-    normal = tokens.withColumn("norm", normalize_token(F.col("token")))
+    normal = spread(tokens).withColumn("norm", normalize_token(F.col("token")))
     normal = normal.withColumn("bare", F.regexp_replace("norm", r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
     joined = normal.join(label_arrays(labels).select("request_id", "question", "lookup"), ["request_id", "question"])
     return joined.withColumn("label", match_label(F.col("norm"), F.col("bare"), F.col("lookup")))

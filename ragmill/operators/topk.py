@@ -27,6 +27,8 @@ QUERY_BLOCK_ROWS = 4096
 QUERY_BLOCK_BYTES = 64 << 20
 #: Rows of one corpus block when both sides are blocked.
 CORPUS_BLOCK_ROWS = 50_000
+#: Bytes of one corpus block; long texts get shorter blocks.
+CORPUS_BLOCK_BYTES = 256 << 20
 #: Cells of one score matrix held at a time (float64).
 SCORE_CELLS = 1 << 22
 #: Scores are compared at this many decimals, so that ties do not hang on fold order.
@@ -260,7 +262,10 @@ def batch_topk(
 def _blocked(queries, corpus, run, schema, block_rows, corpus_rows) -> DataFrame:
     """Both sides in hash blocks; one task meets one query block and one corpus block."""
     q_blocks = max(1, math.ceil(queries.count() / block_rows))
-    c_blocks = max(1, math.ceil(corpus.count() / corpus_rows))
+    is_vector = isinstance(corpus.schema["payload"].dataType, T.ArrayType)
+    width = F.size("payload") * 8 if is_vector else F.octet_length("payload")
+    rows, size = corpus.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    c_blocks = max(1, math.ceil(rows / corpus_rows), math.ceil(size / CORPUS_BLOCK_BYTES))
 
     def every(n: int) -> Column:
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))

@@ -50,6 +50,11 @@ def shared_dir(spark: SparkSession) -> str:
 SMALL_BYTES = 1 << 30
 
 
+def plan_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate of a result; needs no job."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give every core a share of a small input before Python work on each row.
 
@@ -57,8 +62,7 @@ def spread(df: DataFrame) -> DataFrame:
     """
     if df.isStreaming:
         return df
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    if size > SMALL_BYTES:
+    if plan_bytes(df) > SMALL_BYTES:
         return df
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
