@@ -277,7 +277,8 @@ def _inputs(spark, sf):
     return sql(spark, sf, INPUTS_SQL).withColumn("inputs", F.to_json(F.struct(F.col("inputs").alias("q"))))
 
 
-@query()
+@query("""WITH d AS (SELECT *, strlen(CAST(to_json(struct_pack(q := text)) AS VARCHAR)) > 4096 AS moved, md5(lang || chr(31) || source || chr(31) || doc_id || chr(31) || '2024-01-01 00:00:00') AS h FROM documents)
+SELECT doc_id AS user_id, lang AS team_id, moved, CASE WHEN moved THEN chr(123) || '"__inputsRef":"s3://inputs/inputs/' || lang || '/' || source || '/' || doc_id || '/' || substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12) || '.json"' || chr(125) END AS marker FROM d""")
 def offload_large(spark, sf):
     rows, payloads = st.offload_large(_inputs(spark, sf), "inputs", 4096)
     moved = F.contains("inputs", F.lit(st.MARKER))

@@ -85,7 +85,13 @@ def _references(spark, sf):
     return sql(spark, sf, ARTICLES_SQL).withColumnRenamed("rank", "n").withColumn("title", F.concat_ws(" ", "law_title", "n"))
 
 
-@query()
+def _link(n: int) -> str:
+    return f"CASE WHEN u{n} IS NULL THEN '[{n}]' ELSE '[[{n}]](' || u{n} || ')' END"
+
+
+@query(f"""WITH a AS ({ARTICLES_SQL}), r AS ({REPORT_SQL}), u AS (SELECT query_id, {", ".join(f"max(CASE WHEN rank = {n} THEN url END) AS u{n}" for n in (1, 2, 3, 9, 12))} FROM a GROUP BY query_id)
+SELECT r.query_id, '# R' || chr(10) || CASE CAST(r.query_id % 4 AS INT) WHEN 0 THEN 'See ' || {_link(1)} || ' and ' || {_link(3)} || ' ' || {_link(2)} || '.' WHEN 1 THEN 'None here.'
+  WHEN 2 THEN {_link(9)} || ' ' || {_link(2)} || ' ' || {_link(2)} ELSE 'x [ 1] ' || {_link(12)} END AS report FROM r JOIN u ON u.query_id = r.query_id""")
 def link_citations(spark, sf):
     refs = _references(spark, sf).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("n", "url"))).alias("x"))
     rows = sql(spark, sf, REPORT_SQL).join(refs, "query_id")

@@ -270,6 +270,13 @@ def ann_recall(spark, sf):
     return out
 
 
+@query(f"WITH {i.LABEL_QUERIES_SQL}, rows AS (SELECT vec_id AS id, embedding FROM embeddings), "
+       f"{i.vector_hits_sql('hits', 'label_queries', 'rows', 10)} {HITS} hits")
+def ann_topk_all_cells(spark, sf):
+    """The cell search with every cell probed finds exactly what the exact search finds."""
+    return hits(v.ann_topk(i.label_queries(spark, sf), i.vectors(spark, sf), 10, cells=16, probes=16))
+
+
 def _index(spark, sf):
     return w.version_index(i.dwh(spark, sf), i.TODAY)
 
