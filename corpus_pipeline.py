@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ragmill.llm import minhash, toxicity
+from ragmill.llm import minhash, mixing, segmentation, surrogates, toxicity
 from ragmill.session import materialize
 from ragmill.tables import table
 
@@ -17,9 +17,27 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return minhash.drop_near_duplicates(docs)
 
 
+def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return surrogates.with_surrogates(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document at least once; those of small sources as often as the mix passes them."""
+    return mixing.mixed_documents(docs)
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return segmentation.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
 STAGES = [
     ("toxicity", drop_toxic),
     ("near-duplicates", drop_near_duplicates),
+    ("personal data", replace_personal_data),
+    ("mixing", mix_sources),
+    ("pieces", encode_pieces),
 ]
 
 #: SQL knows neither the classifier nor the sampled segmentation.

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragmill.llm import minhash, mixing, substrings, toxicity
+from ragmill.llm import minhash, mixing, segmentation, substrings, surrogates, toxicity
 from ragmill.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,3 +48,19 @@ def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "n_removed", "kept_sha256"
     )
+
+
+@query
+def op1_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its surrogates and where they stand."""
+    return surrogates.with_surrogates(table(spark, sf_dir, "documents").select("doc_id", "text"), spans=True).select(
+        "doc_id", "text", F.size("entities").alias("n_entities"), "entities"
+    )
+
+
+@query
+def op6_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    return segmentation.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
