@@ -120,9 +120,9 @@ def _fill(hashes, local, rows, out, m) -> None:
 
 
 def band_keys(signature: np.ndarray, rows: int = BAND_ROWS) -> np.ndarray:
-    """(sets, bands) keys of ``rows`` registers each."""
+    """(sets, bands) keys of ``rows`` registers each; the band is part of the key."""
     parts = signature.reshape(len(signature), -1, rows)
-    key = np.zeros(parts.shape[:2], np.uint64)
+    key = np.tile(np.arange(1, parts.shape[1] + 1, dtype=np.uint64), (len(signature), 1))
     for r in range(rows):
         key = mix(key * np.uint64(3) + parts[:, :, r])
     return key.view(np.int64)
@@ -225,16 +225,14 @@ def _linked(x: np.ndarray, y: np.ndarray) -> bool:
 def _cross_pairs(members: DataFrame, best_only: bool) -> DataFrame:
     """Pairs of one bucket in different components whose signatures agree enough.
 
-    Buckets are cut into blocks, and every two blocks of a bucket meet in a task of their own. With ``best_only``
+    ``members``: key, n (rows of that key), id, component, signature. Buckets are cut into blocks, and every two blocks of a bucket meet in a task of their own. With ``best_only``
     each member brings its likeliest partner only.
     """
-    sizes = members.groupBy("band", "key").agg(F.count("*").alias("n"))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     placed = (
-        members.join(sizes, ["band", "key"]).withColumn("blocks", blocks)
+        members.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
         .withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("band", "key", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "component", "signature")
+        .select("key", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "component", "signature")
     )
 
     def run(rows: pa.Table) -> pa.Table:
@@ -255,7 +253,7 @@ def _cross_pairs(members: DataFrame, best_only: bool) -> DataFrame:
         a, b = np.array(pa_, np.int64), np.array(pb_, np.int64)
         return pa.Table.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    return placed.groupBy("band", "key", "i", "j").applyInArrow(run, "a long, b long").distinct()
+    return placed.groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -266,39 +264,37 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     rows = materialize(signatures(docs))
     sets = rows.filter("doc_id is not null and n_shingles > 0")
-    classes = sets.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"))
     # Ids with several texts carry the links of each of them.
-    named = materialize(
-        sets.join(classes, ["d1", "d2", "n_shingles"]).select("doc_id", "id", "bands", "signature")
-    )
-    nodes = named.filter("doc_id = id").groupBy("id", "bands").agg(F.first("signature").alias("signature"))
-    entries = nodes.select("id", F.posexplode("bands").alias("band", "key"))
-    hubs = (
-        entries.groupBy("band", "key")
-        .agg(F.min_by("id", F.xxhash64("id", "band")).alias("hub"), F.min("id").alias("lo"), F.max("id").alias("hi"))
-        .filter("lo <> hi")
+    classes = sets.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("id"))
+    named = materialize(sets.select("doc_id", "d1", "d2", "n_shingles").join(classes, ["d1", "d2", "n_shingles"]))
+    same = named.filter("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
+    first = named.filter("doc_id = id").select("id", "d1", "d2", "n_shingles").distinct()
+    nodes = (
+        sets.withColumnRenamed("doc_id", "id").join(first, ["id", "d1", "d2", "n_shingles"])
+        .dropDuplicates(["id", "d1", "d2", "n_shingles"]).select("id", "bands", "signature")
     )
+    nodes = materialize(nodes)
+    entries = nodes.select("id", F.explode("bands").alias("key"))
+    hubs = entries.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).filter("n > 1")
+    # What follows is about buckets of several classes only.
+    shared = materialize(entries.join(hubs, "key").select("key", "id", "hub", "n"))
     stars = materialize(
-        entries.join(hubs, ["band", "key"]).filter("id <> hub")
-        .select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+        shared.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     )
-    same = named.filter("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
     links = tested = None
     if not stars.isEmpty():
         links, tested = materialize(verify(stars, docs)), stars
         for best_only in (True, False):
             found = components(links)
-            labelled = nodes.join(found, F.col("id") == F.col("node"), "left").select(
-                "id", F.coalesce("component", "id").alias("component"), "signature", F.posexplode("bands").alias("band", "key")
+            labelled = shared.filter("n > 2").join(found, F.col("id") == F.col("node"), "left").select(
+                "key", "id", "n", F.coalesce("component", "id").alias("component")
             )
             mixed = (
-                labelled.groupBy("band", "key")
-                .agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"))
-                .filter("lo <> hi and n > 2").select("band", "key")
-            )
-            fresh = materialize(
-                _cross_pairs(labelled.join(mixed, ["band", "key"]), best_only).join(tested, ["a", "b"], "left_anti")
+                labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+                .filter("lo <> hi").select("key")
             )
+            members = labelled.join(mixed, "key").join(nodes.select("id", "signature"), "id")
+            fresh = materialize(_cross_pairs(members, best_only).join(tested, ["a", "b"], "left_anti"))
             if fresh.isEmpty():
                 continue
             links = materialize(links.unionByName(verify(fresh, docs)))
