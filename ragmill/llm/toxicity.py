@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -53,7 +54,7 @@ VOTERS = (*LEXICONS, *PATTERNS, *(f"mined{j}" for j in range(MINED)), "silence")
 SILENCE = 1 << (len(VOTERS) - 1)
 BUCKETS = 1 << 14
 #: Rows on which the classifier is fitted, and labelled rows for its scale.
-SAMPLE_ROWS = 20_000
+SAMPLE_ROWS = 12_000
 THRESHOLD = 0.3
 
 _WORD = re.compile(r"\w+")
@@ -99,27 +100,32 @@ def voters(mined: list[list[str]] = ()) -> Voters:
     return Voters(words, patterns, stems)
 
 
-def mine(toxic: list[set[str]], clean: list[set[str]], support: int = 4, precision: float = 0.95) -> list[list[str]]:
+def mine(toxic: list[str], clean: list[str], support: int = 4, precision: float = 0.95) -> list[list[str]]:
     """Groups of word prefixes that labelled toxic rows have and clean ones hardly ever.
 
-    Rows are sets of words. A greedy cover picks, among the precise prefixes, those that explain most toxic rows
-    that no earlier one did; prefixes with the same first letters form one voter.
+    A row is a string of its distinct words. A greedy cover picks, among the precise prefixes, those that explain most
+    toxic rows that no earlier one did; prefixes with the same first letters form one voter.
     """
 
     def prefixes(words):
-        return {w[:k] for w in words if len(w) >= STEM for k in range(STEM, min(len(w), LONGEST) + 1)}
+        return {w[:k] for w in words.split() if len(w) >= STEM for k in range(STEM, min(len(w), LONGEST) + 1)}
 
-    rows: dict[str, set[int]] = {}
-    for i, words in enumerate(toxic):
-        for p in prefixes(words):
-            rows.setdefault(p, set()).add(i)
-    rows = {p: s for p, s in rows.items() if len(s) >= support}
-    misses = dict.fromkeys(rows, 0)
+    support = max(support, len(toxic) // 500)
+    hits = Counter()
+    for words in toxic:
+        hits.update(prefixes(words))
+    misses = {p: 0 for p, n in hits.items() if n >= support}
     for words in clean:
         for p in prefixes(words) & misses.keys():
             misses[p] += 1
+    precise = {p for p, n in misses.items() if hits[p] >= precision * (hits[p] + n)}
+    del hits, misses
+    rows: dict[str, set[int]] = {p: set() for p in precise}
+    for i, words in enumerate(toxic):
+        for p in prefixes(words) & precise:
+            rows[p].add(i)
     # Shorter prefixes first among equals: they cover forms not seen yet.
-    good = sorted((p for p in rows if len(rows[p]) >= precision * (len(rows[p]) + misses[p])), key=lambda p: (len(p), p))
+    good = sorted(precise, key=lambda p: (len(p), p))
     groups: dict[str, list[str]] = {}
     covered: set[int] = set()
     while good:
@@ -132,10 +138,7 @@ def mine(toxic: list[set[str]], clean: list[set[str]], support: int = 4, precisi
         good = [p for p in good if gains[p] >= 2 and not p.startswith(best)]
     for stem, group in groups.items():
         # All precise prefixes of a stem belong to its voter.
-        group.extend(
-            p for p in rows
-            if p[:STEM] == stem and len(rows[p]) >= precision * (len(rows[p]) + misses[p]) and not any(p.startswith(g) for g in group)
-        )
+        group.extend(sorted(p for p in precise if p[:STEM] == stem and not any(p.startswith(g) for g in group)))
     return list(groups.values())
 
 
@@ -330,7 +333,7 @@ def held_out(doc_id) -> F.Column:
 
 
 def _mined(learn: DataFrame, known: DataFrame, n_known: int, sample_rows: int) -> list[list[str]]:
-    """Mine the words of about ``sample_rows / 4`` labelled rows of each kind."""
+    """Mine the words of about ``sample_rows / 4`` labelled rows of each kind (both bounded by the parameter)."""
     part = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_003))
     counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     share = {t: int(1_000_003 * min(1.0, sample_rows / 4 / max(counts.get(t, 0), 1))) for t in (0, 1)}
@@ -345,7 +348,7 @@ def _mined(learn: DataFrame, known: DataFrame, n_known: int, sample_rows: int) -
     rows = (
         learn.join(F.broadcast(picked), "doc_id").select("toxic", "text").mapInArrow(words, "toxic int, words string").toPandas()
     )
-    kinds = {t: [set(w.split()) for w in rows["words"][rows["toxic"] == t].sort_values()] for t in (0, 1)}
+    kinds = {t: list(rows["words"][rows["toxic"] == t].sort_values()) for t in (0, 1)}
     return mine(kinds[1], kinds[0])
 
 
