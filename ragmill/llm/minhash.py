@@ -30,6 +30,9 @@ BANDS = REGISTERS // BAND_ROWS
 #: Pairs whose signatures agree less than this are no candidates of the later rounds: 0.75 lies 6.5 standard
 #: errors above it.
 LEAST_ESTIMATE = 0.5
+#: Bits of a set's bitmap. A bit that only one of two sets has is a shingle that only this one has, which bounds
+#: what they have in common from above.
+BITMAP = 2048
 #: Members of a bucket that one task compares with as many others.
 BLOCK = 512
 #: Bits of the filter that keeps texts without candidates out of the verification. A fixed size: when it fills
@@ -128,8 +131,24 @@ def band_keys(signature: np.ndarray, rows: int = BAND_ROWS) -> np.ndarray:
     return key.view(np.int64)
 
 
+def bitmaps(elements: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """(sets, BITMAP / 64) words with the bit of every shingle set."""
+    bits = np.zeros((len(counts), BITMAP), bool)
+    bits[np.repeat(np.arange(len(counts)), counts), (mix(elements ^ _GOLDEN) % np.uint64(BITMAP)).astype(np.int64)] = True
+    return np.packbits(bits, axis=1).view(np.uint64)
+
+
+def _may_link(bits: np.ndarray, size: np.ndarray, other: np.ndarray, other_size: int) -> np.ndarray:
+    """Whether sets can reach the threshold with one other, by their bitmaps and sizes; never false for a link."""
+    common = np.minimum(
+        size - np.bitwise_count(bits & ~other).sum(axis=1, dtype=np.int64),
+        other_size - np.bitwise_count(other & ~bits).sum(axis=1, dtype=np.int64),
+    )
+    return 100 * common >= 75 * (size + other_size - common)
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, n_shingles, a 128-bit digest of the set, band keys, and two bytes of each register."""
+    """Per row: doc_id, n_shingles, a 128-bit digest of the set, band keys, a byte of each register, and the bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,19 +159,20 @@ def signatures(docs: DataFrame) -> DataFrame:
                 sums = [np.concatenate([[0], np.cumsum(mix(elements ^ np.uint64(s)), dtype=np.uint64)]) for s in (11, 29)]
                 digest = [(s[starts[1:]] - s[starts[:-1]]).view(np.int64) for s in sums]
                 keys = band_keys(values)
-                short = mix(values).astype(np.uint16)
+                short, bits = mix(values).astype(np.uint8), bitmaps(elements, counts)
                 some = counts > 0
                 yield pa.RecordBatch.from_arrays(
                     [
                         column(part, "doc_id"), pa.array(counts), pa.array(digest[0]), pa.array(digest[1]),
                         pa.array([k if s else None for k, s in zip(keys, some, strict=True)], pa.list_(pa.int64())),
                         pa.array([x.tobytes() if s else None for x, s in zip(short, some, strict=True)], pa.binary()),
+                        pa.array([x.tobytes() if s else None for x, s in zip(bits, some, strict=True)], pa.binary()),
                     ],
-                    ["doc_id", "n_shingles", "d1", "d2", "bands", "signature"],
+                    ["doc_id", "n_shingles", "d1", "d2", "bands", "signature", "bits"],
                 )
 
     return docs.select("doc_id", "text").mapInArrow(
-        run, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, signature binary"
+        run, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, signature binary, bits binary"
     )
 
 
@@ -225,26 +245,29 @@ def _linked(x: np.ndarray, y: np.ndarray) -> bool:
 def _cross_pairs(members: DataFrame, best_only: bool) -> DataFrame:
     """Pairs of one bucket in different components whose signatures agree enough.
 
-    ``members``: key, n (rows of that key), id, component, signature. Buckets are cut into blocks, and every two blocks of a bucket meet in a task of their own. With ``best_only``
+    ``members``: key, n (rows of that key), id, component, n_shingles, signature, bits. Buckets are cut into blocks, and every two blocks of a bucket meet in a task of their own. With ``best_only``
     each member brings its likeliest partner only.
     """
     placed = (
         members.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
         .withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "component", "signature")
+        .select("key", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "component", "n_shingles", "signature", "bits")
     )
 
     def run(rows: pa.Table) -> pa.Table:
         ids, comp = rows["id"].to_numpy(), rows["component"].to_numpy()
         own = rows["own"].to_numpy()
-        sig = np.frombuffer(b"".join(rows["signature"].to_pylist()), np.uint16).reshape(len(ids), -1)
+        sig = np.frombuffer(b"".join(rows["signature"].to_pylist()), np.uint8).reshape(len(ids), -1)
+        bits = np.frombuffer(b"".join(rows["bits"].to_pylist()), np.uint64).reshape(len(ids), -1)
+        size = rows["n_shingles"].to_numpy()
         i, j = rows["i"][0].as_py(), rows["j"][0].as_py()
         a_rows, b_rows = np.flatnonzero(own == i), np.flatnonzero(own == j)
         pa_, pb_ = [], []
         for x in a_rows:
             agree = (sig[b_rows] == sig[x]).mean(axis=1)
             hit = (comp[b_rows] != comp[x]) & (agree >= LEAST_ESTIMATE) & ((ids[b_rows] > ids[x]) | (i != j))
+            hit[hit] = _may_link(bits[b_rows[hit]], size[b_rows[hit]], bits[x], size[x])
             found = b_rows[hit]
             if best_only and len(found):
                 found = found[[np.argmax(agree[hit])]]
@@ -271,7 +294,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     first = named.filter("doc_id = id").select("id", "d1", "d2", "n_shingles").distinct()
     nodes = (
         sets.withColumnRenamed("doc_id", "id").join(first, ["id", "d1", "d2", "n_shingles"])
-        .dropDuplicates(["id", "d1", "d2", "n_shingles"]).select("id", "bands", "signature")
+        .dropDuplicates(["id", "d1", "d2", "n_shingles"]).select("id", "n_shingles", "bands", "signature", "bits")
     )
     nodes = materialize(nodes)
     entries = nodes.select("id", F.explode("bands").alias("key"))
@@ -293,7 +316,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                 labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
                 .filter("lo <> hi").select("key")
             )
-            members = labelled.join(mixed, "key").join(nodes.select("id", "signature"), "id")
+            members = labelled.join(mixed, "key").join(nodes.select("id", "n_shingles", "signature", "bits"), "id")
             fresh = materialize(_cross_pairs(members, best_only).join(tested, ["a", "b"], "left_anti"))
             if fresh.isEmpty():
                 continue
