@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragmill.llm import minhash, mixing, segmentation, substrings, surrogates, toxicity
+from ragmill.llm import (
+    embeddings,
+    extraction,
+    minhash,
+    mixing,
+    segmentation,
+    substrings,
+    surrogates,
+    token_files,
+    topk,
+    toxicity,
+)
 from ragmill.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +75,34 @@ def op6_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     return segmentation.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").filter(topk.usable(F.col("embedding"))).select(
+        F.col("vec_id").alias("id"), topk.quantised(F.col("embedding")).alias("value")
+    )
+    return topk.search(rows, rows.filter("id % 50 = 0"))
+
+
+ORACLE["op5_topk"] = topk.ORACLE
+
+
+@query
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    files = token_files.write_and_read(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")
+    )
+    return files.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query
+def op10_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(table(spark, sf_dir, "pages"))
