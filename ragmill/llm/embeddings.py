@@ -22,9 +22,10 @@ from ragmill.llm.components import components
 from ragmill.session import materialize
 
 COSINE = 0.9
-PREFIX, SHARED = 12, 1
+#: At cosine 0.9 in 64 dimensions fewer than 1 in 10,000 pairs share less (1,024 pivots or fewer).
+PREFIX, SHARED = 16, 3
 #: Pivots grow with the root of the number of vectors, within these bounds.
-LEAST_PIVOTS, MOST_PIVOTS = 32, 2048
+LEAST_PIVOTS, MOST_PIVOTS = 32, 1024
 BLOCK, TILE = 4096, 1024
 
 
@@ -114,6 +115,7 @@ def _compare(table: pa.Table, cosine: float, shared: int) -> pa.Table:
     left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
     word, bit = divmod(pivot, 64)
     below = np.uint64((1 << bit) - 1)
+    shared = min(shared, int(np.bitwise_count(marks[0]).sum()))
     links = np.zeros(len(ids), np.int64)
     parent: dict[int, int] = {}
     forest: list[tuple[int, int]] = []

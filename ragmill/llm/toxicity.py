@@ -432,8 +432,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> C
     return calibrate(model, margins, scale["toxic"].to_numpy(float)) if len(margins) else model
 
 
-def score(docs: DataFrame, model: Classifier, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep``, and ``score`` of the whole text of every row; null and empty texts get a score too."""
+def score(docs: DataFrame, model: Classifier, keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
+    """The columns ``keep``, and as ``name`` the score of the whole text of every row; null and empty texts get a score too."""
     names = list(keep)
     source = docs.select(*names, F.col("text").alias("__text"))
 
@@ -446,10 +446,10 @@ def score(docs: DataFrame, model: Classifier, keep: tuple[str, ...] = ("doc_id",
             )
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*names).schema)
-    return source.mapInArrow(run, f"{schema}, score double")
+    return source.mapInArrow(run, f"{schema}, `{name}` double")
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that score below ``threshold``, in their own columns."""
     names = docs.columns
-    return score(docs, fit(docs, labels), tuple(names)).filter(F.col("score") < threshold).select(*names)
+    return score(docs, fit(docs, labels), tuple(names), "__score").filter(F.col("__score") < threshold).select(*names)
