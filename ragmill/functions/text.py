@@ -10,8 +10,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Whitespace including the ideographic space, which Java's ``\s`` leaves out.
-WS = r"[\s　]"
+#: All Unicode blanks, most of which Java's ``\s`` leaves out: separators of spaces, lines and paragraphs, and the
+#: blanks among the control characters.
+WS = r"[\p{Z}\t-\r\x1C-\x1F\x{85}]"
 WS_CHARS = " \t\n\r　"
 CONTROL = r"[\x00-\x08\x0B-\x1F\x7F\x80-\x9F]"
 CONTROL_ALL = r"[\x00-\x1F\x7F\x80-\x9F]"
@@ -34,7 +35,7 @@ JAPANESE = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}　-〿＀-￯]"
 
 
 def trimmed(col: Column) -> Column:
-    """Trim whitespace including the ideographic space."""
+    """Trim whitespace, all Unicode blanks."""
     return F.regexp_replace(col, f"^{WS}+|{WS}+$", "")
 
 

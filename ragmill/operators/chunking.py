@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections import deque
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator, Sequence
+from itertools import accumulate, groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -45,43 +46,48 @@ def split_headers(text: str) -> Iterator[tuple[str | None, str]]:
 
 
 def merge_splits(pieces: Sequence[str], sep: str, size: int, overlap: int) -> Iterator[str]:
-    """Pack pieces greedily; each pack starts with the tail of the one before, up to the overlap."""
-    pack: deque[str] = deque()
-    width = 0
-    for piece in pieces:
+    """The longest runs of pieces that fit; each begins with the longest tail of the run before that the overlap allows.
 
-        def full() -> bool:
-            return width + len(piece) + (len(sep) if pack else 0) > size
-
-        if pack and full():
-            yield sep.join(pack)
-            while pack and (width > overlap or (full() and width > 0)):
-                width -= len(pack.popleft())
-                width -= len(sep) if pack else 0
-        width += len(piece) + (len(sep) if pack else 0)
-        pack.append(piece)
-    yield sep.join(pack)
+    With the end places of all pieces known, a run's end and the next one's start are two binary searches.
+    """
+    n, gap = len(pieces), len(sep)
+    at = [0, *accumulate(len(p) + gap for p in pieces)]  # where each piece would begin if all were joined
+    start, least = 0, 1
+    while True:
+        stop = max(least, bisect_right(at, at[start] + size + gap) - 1)
+        if stop >= n:
+            yield sep.join(pieces[start:])
+            return
+        yield sep.join(pieces[start:stop])
+        tail = at[stop] - gap - overlap
+        room = at[stop + 1] - gap - size
+        # An empty piece has no width; it stays in front of one that hardly fits.
+        start = min(bisect_left(at, max(tail, room, at[start])), stop - (pieces[stop - 1] == ""))
+        least = stop + 1
 
 
 def recursive_split(text: str, seps: Sequence[str], size: int, overlap: int) -> Iterator[str]:
-    """Split on the first separator present; pieces of ``size`` or more go on to the later ones."""
-    at = next((i for i, s in enumerate(seps) if s == "" or s in text), len(seps) - 1)
-    sep = seps[at] if seps else ""
-    later = seps[at + 1 :] if sep else ()
-    run: list[str] = []
-    for piece in text.split(sep) if sep else text:
-        if len(piece) < size:
-            run.append(piece)
+    """Cut at the coarsest separator that occurs; pieces that are not below ``size`` are cut at finer ones.
+
+    Work that is left waits on a stack: texts with the separators still open to them, and runs to be packed.
+    """
+    waiting: list[tuple[str | list[str], Sequence[str] | str]] = [(text, seps)]
+    while waiting:
+        work, open_seps = waiting.pop()
+        if isinstance(work, list):
+            yield from merge_splits(work, open_seps, size, overlap)
+            continue
+        if open_seps is None:
+            yield work
             continue
-        if run:
-            yield from merge_splits(run, sep, size, overlap)
-            run = []
-        if later:
-            yield from recursive_split(piece, later, size, overlap)
-        else:
-            yield piece
-    if run:
-        yield from merge_splits(run, sep, size, overlap)
+        usable = [i for i, s in enumerate(open_seps) if s in work]
+        level = usable[0] if usable else len(open_seps) - 1
+        sep = open_seps[level] if open_seps else ""
+        finer = (open_seps[level + 1 :] or None) if sep else None
+        todo = []
+        for short, group in groupby(work.split(sep) if sep else work, key=lambda p: len(p) < size):
+            todo += [(list(group), sep)] if short else [(p, finer) for p in group]
+        waiting += reversed(todo)
 
 
 def chunk_text(text: str, size: int = MAX_SIZE, overlap: int = OVERLAP, seps: Sequence[str] = SEPARATORS):
@@ -111,29 +117,61 @@ def header_sections(df: DataFrame) -> DataFrame:
     )
 
 
-def chunk_documents(
-    df: DataFrame, size: int = MAX_SIZE, overlap: int = OVERLAP, seps: Sequence[str] = SEPARATORS
+def cut_documents(
+    df: DataFrame, size: int = MAX_SIZE, overlap: int = OVERLAP, seps: Sequence[str] = SEPARATORS, limit: int | None = None
 ) -> DataFrame:
-    """One row per chunk of (document_id, text, ...), numbered from 0 in each document.
+    """Chunks and outcome of (document_id, text, ...) in one pass: every document has at least one row.
 
-    ``text`` gives way to (chunk_index, chunk_text, header_path); other columns stay, so
-    provenance needs no join.
+    ``text`` gives way to (chunk_count, outcome, reason, chunk_index, chunk_text, header_path); other columns stay. A
+    document of more than ``limit`` chunks is ``rejected`` (``too_many_chunks``) and has one row without a chunk, and so
+    has one without any chunk, which is ``ok``. A document that comes with an ``outcome`` other than ``ok`` is not cut and
+    keeps its reason. The task that cuts a document knows all this, so nothing is counted or joined afterwards.
     """
-    kept = [c for c in df.columns if c != "text"]
+    judged = "outcome" in df.columns
+    kept = [c for c in df.columns if c not in ("text", "outcome", "reason")]
+    verdict = ["outcome", "reason"] if judged else []
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            cut = [list(chunk_text(t, size, overlap, seps)) for t in frame["text"]]
-            out = frame[kept].iloc[[i for i, chunks in enumerate(cut) for _ in chunks]].reset_index(drop=True)
-            out["chunk_index"] = [n for chunks in cut for n in range(len(chunks))]
-            out["chunk_text"] = [piece for chunks in cut for _, piece in chunks]
-            out["header_path"] = [path for chunks in cut for path, _ in chunks]
-            yield out
+            rows = []
+            verdicts = zip(frame["outcome"], frame["reason"]) if judged else (("ok", None) for _ in range(len(frame)))
+            for i, (text, (outcome, reason)) in enumerate(zip(frame["text"], verdicts)):
+                chunks = list(chunk_text(text, size, overlap, seps)) if outcome == "ok" else []
+                count = len(chunks)
+                if limit is not None and count > limit:
+                    outcome, reason, chunks = "rejected", "too_many_chunks", []
+                if chunks:
+                    rows += [(i, count, outcome, reason, n, piece, path) for n, (path, piece) in enumerate(chunks)]
+                else:
+                    rows.append((i, count, outcome, reason, None, None, None))
+            out = frame[kept].iloc[[r[0] for r in rows]].reset_index(drop=True)
+            made = pd.DataFrame(
+                [r[1:] for r in rows], columns=["chunk_count", "outcome", "reason", "chunk_index", "chunk_text", "header_path"]
+            )
+            made["chunk_index"] = made["chunk_index"].astype("Int32")
+            yield pd.concat([out, made], axis=1)
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*kept).schema]
-    return spread(df.select(*kept, "text")).mapInPandas(
-        run, ", ".join([*fields, "chunk_index int, chunk_text string, header_path string"])
-    )
+    made = "chunk_count bigint, outcome string, reason string, chunk_index int, chunk_text string, header_path string"
+    return spread(df.select(*kept, *verdict, "text")).mapInPandas(run, ", ".join([*fields, made]))
+
+
+def outcomes(cut: DataFrame) -> DataFrame:
+    """One row per document of ``cut_documents``: what became of it."""
+    chunk = ["chunk_index", "chunk_text", "header_path", "embedding"]
+    return cut.filter("chunk_index is null or chunk_index = 0").drop(*chunk)
+
+
+def chunk_documents(
+    df: DataFrame, size: int = MAX_SIZE, overlap: int = OVERLAP, seps: Sequence[str] = SEPARATORS
+) -> DataFrame:
+    """One row per chunk of (document_id, text, ...), numbered from 0 in each document.
+
+    ``text`` gives way to (chunk_index, chunk_text, header_path); other columns stay, so
+    provenance needs no join.
+    """
+    cut = cut_documents(df.drop("outcome", "reason", "chunk_count"), size, overlap, seps)
+    return cut.filter("chunk_index is not null").drop("chunk_count", "outcome", "reason")
 
 
 def reject_over_chunked(chunks: DataFrame, limit: int = files.LIMITS["max_chunks"]) -> DataFrame:
@@ -147,25 +185,16 @@ def reject_over_chunked(chunks: DataFrame, limit: int = files.LIMITS["max_chunks
 
 
 def chunk_and_embed(
-    docs: DataFrame, embed_fn: EmbedFn, size: int = MAX_SIZE, overlap: int = OVERLAP, limit: int | None = None
+    docs: DataFrame, embed_fn: EmbedFn, size: int = MAX_SIZE, overlap: int = OVERLAP, limit: int | None = files.LIMITS["max_chunks"]
 ) -> tuple[DataFrame, DataFrame]:
-    """(documents, chunks): every accepted document stays, also with no chunk at all.
+    """(documents, chunks): every document has its outcome, also one that is refused or has no chunk.
 
     ``docs`` has (document_id, owner, text, ...). Other columns travel with
-    the chunks as their provenance.
+    the chunks as their provenance. Write ``cut_documents`` once where both results are used.
     """
-    chunks = chunk_documents(docs, size, overlap)
-    if limit is not None:
-        refused = chunks.filter(F.col("chunk_index") == limit).select("document_id").distinct()
-        chunks = chunks.join(refused, "document_id", "left_anti")
-        docs = docs.join(refused, "document_id", "left_anti")
-    filled = embed_rows(chunks, embed_fn, text="chunk_text")
-    # Counting needs the chunks only; the vectors are left out of that branch.
-    counts = chunks.groupBy("document_id").agg(F.count(F.lit(1)).alias("chunk_count"))
-    documents = docs.join(counts, "document_id", "left").withColumn(
-        "chunk_count", F.coalesce("chunk_count", F.lit(0).cast("bigint"))
-    )
-    return documents, filled
+    cut = cut_documents(docs, size, overlap, limit=limit)
+    chunks = cut.filter("chunk_index is not null").drop("chunk_count", "outcome", "reason")
+    return outcomes(cut), embed_rows(chunks, embed_fn, text="chunk_text")
 
 
 def gate_documents(df: DataFrame, limits: dict | None = None) -> DataFrame:

@@ -9,7 +9,8 @@ from ragmill.operators import chunking as c
 from ragmill.operators import embedding as m
 from ragmill.plans import inputs as i
 from ragmill.plans import query
-from ragmill.tables import table
+from ragmill.streaming import intake
+from ragmill.tables import sql, table
 
 
 def _docs(spark, sf):
@@ -61,14 +62,68 @@ def reject_over_chunked(spark, sf):
 
 @query()
 def chunk_and_embed(spark, sf):
-    _, chunks = c.chunk_and_embed(_docs(spark, sf), m.hashing_embedder(32), limit=20)
+    _, chunks = c.chunk_and_embed(_docs(spark, sf), m.hashing_embedder(32))
     return chunks.select("document_id", "owner", "chunk_index", F.md5("chunk_text").alias("text_md5"), F.size("embedding").alias("dims"))
 
 
 @query()
 def chunked_documents(spark, sf):
-    documents, _ = c.chunk_and_embed(_docs(spark, sf), m.hashing_embedder(32), limit=20)
-    return documents.select("document_id", "owner", "chunk_count")
+    documents, _ = c.chunk_and_embed(_docs(spark, sf), m.hashing_embedder(32))
+    return documents.select("document_id", "owner", "chunk_count", "outcome", "reason")
+
+
+# Files whose fate their key tells: sections by the key's remainder of 7, kind by that of 5, padding by that of 11.
+BODY = "repeat('# h\nb\n', CAST(o_orderkey % 7 AS INT)) || CASE WHEN o_orderkey % 11 = 0 THEN repeat(' ', 60) ELSE '' END"
+FILE_COLUMNS = (
+    "concat_ws('/', 'u' || CAST(o_custkey % 10 AS STRING), CAST(o_orderkey AS STRING), 'a.' || CASE o_orderkey % 5 WHEN 0 THEN 'txt' WHEN 1 THEN 'pdf' WHEN 2 THEN 'png' WHEN 3 THEN 'md' ELSE 'docx' END) AS object_key",
+    f"encode(CASE WHEN o_orderkey % 5 = 1 THEN '%PDF-1' || {BODY} ELSE {BODY} END, 'utf-8') AS content",
+)
+FILES = f"SELECT {', '.join(FILE_COLUMNS)} FROM {{orders}}"
+SMALL = {"max_bytes": 50, "max_chars": 33, "max_chunks": 4}
+JUDGED = """WITH o AS (SELECT concat_ws('/', 'u' || (o_custkey % 10)::varchar, o_orderkey::varchar, 'a.' || CASE o_orderkey % 5 WHEN 0 THEN 'txt' WHEN 1 THEN 'pdf' WHEN 2 THEN 'png' WHEN 3 THEN 'md' ELSE 'docx' END) AS document_id,
+    'u' || (o_custkey % 10)::varchar AS owner, o_orderkey % 5 AS kind, o_orderkey % 7 AS n, o_orderkey % 11 = 0 AS padded FROM orders),
+  r AS (SELECT *, CASE WHEN padded OR (kind = 1 AND 6 + 6 * n > 50) THEN 'too_large' WHEN kind = 2 THEN 'unsupported' WHEN kind = 4 THEN 'content_mismatch' END AS gate FROM o),
+  v AS (SELECT *, CASE WHEN gate IS NOT NULL THEN 'rejected' WHEN kind = 1 OR n = 0 THEN 'failed' WHEN n > 4 THEN 'rejected' ELSE 'ok' END AS outcome,
+    CASE WHEN gate IS NOT NULL THEN gate WHEN kind = 1 THEN 'error' WHEN n = 0 THEN 'no_text' WHEN n = 6 THEN 'too_many_chars' WHEN n = 5 THEN 'too_many_chunks' END AS reason FROM r)
+"""
+OUTCOMES = f"{JUDGED} SELECT document_id, owner, outcome, reason, CASE WHEN outcome = 'ok' OR reason = 'too_many_chunks' THEN n ELSE 0 END AS chunk_count FROM v"
+
+
+@query(OUTCOMES)
+def intake_outcomes(spark, sf):
+    """Every file comes out once, with what became of it."""
+    cut = c.cut_documents(intake.extract(sql(spark, sf, FILES), SMALL), limit=SMALL["max_chunks"])
+    return c.outcomes(cut).select("document_id", "owner", "outcome", "reason", "chunk_count")
+
+
+@query(f"{JUDGED} SELECT document_id, unnest(range(n))::int AS chunk_index, 'h' AS header_path, 'b' AS chunk_text FROM v WHERE outcome = 'ok'")
+def intake_chunks(spark, sf):
+    cut = c.cut_documents(intake.extract(sql(spark, sf, FILES), SMALL), limit=SMALL["max_chunks"])
+    return cut.filter("chunk_index is not null").select("document_id", "chunk_index", "header_path", "chunk_text")
+
+
+@query("""SELECT o_orderkey AS document_id, unnest([0, 1, 2, 3])::int AS section, unnest([NULL, o_orderstatus, o_orderstatus || ' > ' || o_orderpriority, 'end']) AS header_path,
+  unnest(['before ' || o_orderkey, 'one' || chr(10) || '#no heading', 'two', o_clerk]) AS body FROM orders""".replace("o_clerk", "'c' || o_custkey"))
+def headed_sections(spark, sf):
+    """Sections of texts that are built from columns: levels open, close and lie empty."""
+    text = (
+        "'before ' || CAST(o_orderkey AS STRING) || '\n# ' || o_orderstatus || '\none\n#no heading\n## ' || o_orderpriority || '\n\ntwo\n### empty\n# end\nc' "
+        "|| CAST(o_custkey AS STRING)"
+    )
+    docs = sql(spark, sf, f"SELECT o_orderkey AS document_id, {text} AS text FROM {{orders}}")
+    return c.header_sections(docs).select("document_id", "section", "header_path", "body")
+
+
+# Runs of equal words: 16 words of 4 letters fill 79 of 80 characters, the next run begins with the last 4.
+@query("""WITH o AS (SELECT o_orderkey AS document_id, 1 + o_orderkey % 200 AS n FROM orders),
+  k AS (SELECT *, CASE WHEN n <= 16 THEN 1 ELSE 1 + CAST(ceil((n - 16) / 12.0) AS BIGINT) END AS chunks FROM o),
+  p AS (SELECT document_id, n, chunks, unnest(range(chunks)) AS i FROM k)
+SELECT document_id, i::int AS chunk_index, least(16, n - 12 * i) AS words FROM p""")
+def packed_words(spark, sf):
+    """The packing rule on words of one length, where it can be told in closed form."""
+    docs = sql(spark, sf, "SELECT o_orderkey AS document_id, trim(repeat('abcd ', CAST(1 + o_orderkey % 200 AS INT))) AS text FROM {orders}")
+    chunks = c.chunk_documents(docs, size=80, overlap=20, seps=(" ", ""))
+    return chunks.select("document_id", "chunk_index", F.size(F.split("chunk_text", " ")).cast("bigint").alias("words"))
 
 
 @query("SELECT doc_id AS id, 64 AS dims FROM documents LEFT JOIN embeddings ON vec_id = doc_id WHERE (embedding IS NULL OR lang = 'en') AND length(trim(text)) > 0")

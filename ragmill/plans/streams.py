@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ragmill.operators import apps as a
+from ragmill.operators import chunking
 from ragmill.operators.embedding import hashing_embedder
 from ragmill.plans import query
+from ragmill.plans.chunking import FILE_COLUMNS, OUTCOMES, SMALL
 from ragmill.session import shared_dir
 from ragmill.streaming import intake, jobs, run, tokens
 from ragmill.tables import sql, table
@@ -99,7 +101,16 @@ def continuous_ingest(spark, sf):
     key = F.concat_ws("/", F.split_part("url", F.lit("/"), F.lit(4)), F.col("page_id").cast("string"), F.lit("page.html"))
     raw = stream.select(key.alias("object_key"), F.encode("html", "utf-8").alias("content"))
     log = run.append_log(intake.continuous_ingest(raw, hashing_embedder(32)), shared_dir(spark))
-    return log.select("document_id", "owner", "chunk_index", F.md5("chunk_text").alias("text_md5"), F.size("embedding").alias("dims"))
+    chunks = log.filter("chunk_index is not null")
+    return chunks.select("document_id", "owner", "chunk_index", F.md5("chunk_text").alias("text_md5"), F.size("embedding").alias("dims"))
+
+
+@query(OUTCOMES)
+def intake_outcomes_stream(spark, sf):
+    """The outcomes of the same files as they arrive in a stream."""
+    raw = _stream(spark, sf, "orders").select(*[F.expr(x) for x in FILE_COLUMNS])
+    log = run.append_log(intake.continuous_ingest(raw, hashing_embedder(8), limits=SMALL), shared_dir(spark))
+    return chunking.outcomes(log).select("document_id", "owner", "outcome", "reason", "chunk_count")
 
 
 @query(f"WITH {STATE_DUCK}, l AS (SELECT job, status, max(CAST(split_part(job, '/', 2) AS DATE)) AS day FROM s GROUP BY job, status) SELECT job, status FROM l WHERE day + 364 >= DATE '2025-01-10'")

@@ -1,7 +1,7 @@
 """Job state from redelivered messages.
 
 A job goes QUEUED → IN_PROGRESS → COMPLETED or FAILED. The first final event wins,
-later messages change nothing, whatever order they arrive in.
+later messages change nothing: what has been reported as ended stays ended.
 """
 
 from __future__ import annotations
@@ -73,35 +73,43 @@ CHANGES = "job string, status string, seq bigint, attempts bigint, detail string
 STATE = "status string, seq bigint, attempts bigint, detail string, version bigint"
 
 
-def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Fold the messages of one job into its state; report only a change.
+def job_changes(events: DataFrame, expire_ms: int | None = None) -> DataFrame:
+    """The same as a stream: one row per change of a job's state, with a version.
 
-    Frames are folded one by one, so a job with many messages needs no more memory.
+    A job that has ended stays as it is, whatever comes later: its end has already been reported. Among the messages
+    of one batch the one with the smallest ``seq`` ends it; ``job_state`` takes a whole table as one batch. Frames
+    are folded one by one, so a job with many messages needs no more memory. A continuous job sets ``expire_ms`` to
+    forget jobs that nothing was heard of for so long; a run that stops at the end of its input must not, as waiting
+    timeouts keep it going.
     """
-    status, seq, attempts, detail, version = state.get if state.exists else (QUEUED, -1, 0, None, 0)
-    before = (status, seq, attempts, detail)
-    for frame in frames:
-        attempts += int((frame["outcome"] == "started").sum())
-        for asked in (COMPLETED, FAILED):
-            rows = frame[frame["outcome"] == asked.lower()]
-            if len(rows):
-                row = rows.loc[rows["seq"].idxmin()]
-                if RANK[status] < 2 or row["seq"] < seq:
-                    status, seq, detail = asked, int(row["seq"]), row["detail"]
-        if RANK[status] < 2:
-            if frame["outcome"].isin(["started", "retry"]).any():
-                status = IN_PROGRESS
-            seq = max(seq, int(frame["seq"].max()))
-    if (status, seq, attempts, detail) != before:
-        state.update((status, seq, attempts, detail, version + 1))
-        yield pd.DataFrame([(key[0], status, seq, attempts, detail, version + 1)], columns=[c.split()[0] for c in CHANGES.split(", ")])
-
 
-def job_changes(events: DataFrame) -> DataFrame:
-    """The same as a stream: one row per change of a job's state, with a version."""
+    def advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        status, seq, attempts, detail, version = state.get if state.exists else (QUEUED, -1, 0, None, 0)
+        if RANK[status] < 2:
+            before = (status, seq, attempts, detail)
+            end, running = None, status == IN_PROGRESS
+            for frame in frames:
+                ended = frame[frame["outcome"].isin(["completed", "failed"])]
+                if len(ended):
+                    row = ended.loc[ended["seq"].idxmin()]
+                    if end is None or row["seq"] < end[1]:
+                        end = (COMPLETED if row["outcome"] == "completed" else FAILED, int(row["seq"]), row["detail"])
+                attempts += int((frame["outcome"] == "started").sum())
+                running = running or bool(frame["outcome"].isin(["started", "retry"]).any())
+                seq = max(seq, int(frame["seq"].max()))
+            status, seq, detail = end or (IN_PROGRESS if running else status, seq, detail)
+            if (status, seq, attempts, detail) != before:
+                state.update((status, seq, attempts, detail, version + 1))
+                yield pd.DataFrame([(key[0], status, seq, attempts, detail, version + 1)], columns=[c.split()[0] for c in CHANGES.split(", ")])
+        if expire_ms and state.exists:
+            state.setTimeoutDuration(expire_ms)
+
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if expire_ms else GroupStateTimeout.NoTimeout
     return events.groupBy("job").applyInPandasWithState(
-        _advance, outputStructType=CHANGES, stateStructType=STATE, outputMode="append",
-        timeoutConf=GroupStateTimeout.NoTimeout,
+        advance, outputStructType=CHANGES, stateStructType=STATE, outputMode="append", timeoutConf=timeout
     )
 
 
