@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-import xml.etree.ElementTree as ET
+from xml.parsers import expat
 from collections.abc import Iterator
 
 import pandas as pd
@@ -33,80 +33,128 @@ PARSED = (
 )
 
 
-def text_of(node: ET.Element | None) -> str:
-    return "" if node is None else "".join(node.itertext()).strip()
-
-
-def flatten(block: ET.Element, depth: int = 0) -> Iterator[str]:
-    """Lines of a block: its titles and sentences first, then what it contains, one step deeper."""
-    heads = [text_of(n) for n in block if n.tag in TITLES]
-    heads += [text_of(n) for n in block if n.tag in SENTENCES]
-    if heads:
-        yield INDENT * depth + INDENT.join(heads)
-    for child in block:
-        if child.tag in BLOCKS:
-            yield from flatten(child, depth + 1)
-        elif child.tag not in TITLES and child.tag not in SENTENCES:
-            text = text_of(child)
-            if text:
-                yield INDENT * (depth + 1) + text
-
-
-def flatten_article(block: ET.Element) -> str:
-    return "\n".join(flatten(block))
-
-
-def is_stub(content: str) -> bool:
-    """Nothing but the deletion word below the title line."""
-    _, newline, rest = content.partition("\n")
-    return (rest if newline else content).strip(BLANKS) == DELETED
-
-
-def article(node: ET.Element, part: str) -> dict | None:
-    content = flatten_article(node)
-    if node.get("Delete") == "true" or is_stub(content):
-        return None
-    number = node.get("Num")
-    paragraph = node.find(".//Paragraph")
-    sentence = None if paragraph is None else paragraph.find(".//ParagraphSentence")
-    return {
-        "unique_anchor": f"{part}_Article_{number}",
-        "anchor": f"Mp-At_{number}" if part == "Main" else None,
-        "content": content,
-        "article_summary": text_of(node.find("ArticleCaption")) or text_of(sentence),
-    }
-
-
-def bare_provision(main: ET.Element | None) -> dict | None:
-    """A main provision without articles becomes one row holding its paragraphs."""
-    if main is None or main.find(".//Article") is not None:
-        return None
-    holder = ET.Element("Article")
-    holder.extend(main.findall("./Paragraph"))
-    body = flatten_article(holder)
-    anchor, heading = MAIN_PROVISION
-    if not body.strip(BLANKS) or body.strip(BLANKS) == DELETED:
-        return None
-    return {"unique_anchor": anchor, "anchor": None, "content": f"{heading}\n{body}", "article_summary": heading}
-
-
-def article_rows(root: ET.Element) -> list[dict]:
-    """Main provisions, then original (not amending) supplementary provisions."""
-    rows = [article(a, "Main") for a in root.findall(".//MainProvision//Article")]
-    rows.append(bare_provision(root.find(".//MainProvision")))
-    for part in root.findall(".//SupplProvision"):
-        if "AmendLawNum" not in part.attrib:
-            rows += [article(a, "Suppl") for a in part.findall(".//Article")]
-    shared = {
-        "law_num": text_of(root.find(".//LawNum")),
-        "law_title": text_of(root.find(".//LawTitle")),
-        "era": root.get("Era"),
-        "law_type": root.get("LawType"),
-        "xml_year": root.get("Year"),
-        "xml_month": root.get("PromulgateMonth"),
-        "xml_day": root.get("PromulgateDay"),
-    }
-    return [shared | row for row in rows if row is not None]
+class LawReader:
+    """Articles of one law file, put together while its elements close.
+
+    Every open block keeps the texts of its titles, of its sentences, and the lines of what it contains. When it closes, its
+    own line comes first and all lines go to the block around it, one step deeper. Text is one growing list of
+    pieces; an element's text is what was added since it opened.
+    """
+
+    def __init__(self):
+        self.pieces: list[str] = []
+        self.open: list[dict] = []
+        self.law: dict[str, str | None] = {"law_num": None, "law_title": None}
+        self.main: list[dict] = []
+        self.other: list[dict] = []
+        self.bare: list[str] | None = None  # lines of the first main provision, as long as it has no article
+
+    def start(self, tag: str, attrs: dict[str, str]) -> None:
+        up = self.open[-1] if self.open else None
+        if up is None:
+            self.law |= {
+                "era": attrs.get("Era"), "law_type": attrs.get("LawType"), "xml_year": attrs.get("Year"),
+                "xml_month": attrs.get("PromulgateMonth"), "xml_day": attrs.get("PromulgateDay"),
+            }
+        article = up["article"] if up else None
+        part = up["part"] if up else None
+        node = {"tag": tag, "begin": len(self.pieces), "article": article, "part": part, "block": None}
+        if tag == "MainProvision":
+            node["part"] = "Main"
+            node["first"] = self.bare is None
+            if node["first"]:
+                self.bare, self.has_article = [], False
+        elif tag == "SupplProvision":
+            node["part"] = "Suppl" if "AmendLawNum" not in attrs else None
+        elif tag == "Article":
+            if any(n.get("first") for n in self.open):
+                self.has_article = True
+            node["block"] = node["article"] = {
+                "number": attrs.get("Num"), "deleted": attrs.get("Delete") == "true", "caption": "", "paragraph": None, "sentence": "",
+                "titles": [], "sentences": [], "lines": [],
+            }
+        inside = up is not None and (up["block"] is not None or tag == "Paragraph" and up.get("first"))
+        if node["block"] is None and tag in BLOCKS and inside:
+            node["block"] = {"titles": [], "sentences": [], "lines": []}
+        if tag == "Paragraph" and article is not None and article["paragraph"] is None:
+            article["paragraph"] = node
+        self.open.append(node)
+
+    def text(self, data: str) -> None:
+        self.pieces.append(data)
+
+    def end(self, tag: str) -> None:
+        node = self.open.pop()
+        up = self.open[-1] if self.open else None
+        text = "".join(self.pieces[node["begin"] :]).strip()
+        if tag == "LawNum" and self.law["law_num"] is None:
+            self.law["law_num"] = text
+        if tag == "LawTitle" and self.law["law_title"] is None:
+            self.law["law_title"] = text
+        article = node["article"]
+        if tag == "ParagraphSentence" and article and article["sentence"] == "" and article["paragraph"] in self.open:
+            article["sentence"] = text or None
+        lines = self._lines(node["block"]) if node["block"] is not None else None
+        if tag == "Article":
+            self._close_article(node, lines)
+        if up is None:
+            return
+        if up["block"] is not None:
+            around = up["block"]
+            if tag in TITLES:
+                around["titles"].append(text)
+                if tag == "ArticleCaption" and up["tag"] == "Article" and not around["caption"]:
+                    around["caption"] = text
+            elif tag in SENTENCES:
+                around["sentences"].append(text)
+            elif lines is not None and tag in BLOCKS:
+                around["lines"] += [INDENT + x for x in lines]
+            elif text:
+                around["lines"].append(INDENT + text)
+        elif up.get("first") and tag == "Paragraph":
+            self.bare += [INDENT + x for x in lines]
+
+    @staticmethod
+    def _lines(block: dict) -> list[str]:
+        heads = block["titles"] + block["sentences"]
+        return ([INDENT.join(heads)] if heads else []) + block["lines"]
+
+    def _close_article(self, node: dict, lines: list[str]) -> None:
+        article, part = node["article"], node["part"]
+        content = "\n".join(lines)
+        # Below the first line, or in the only one.
+        if part is None or article["deleted"] or content[content.find("\n") + 1 :].strip(BLANKS) == DELETED:
+            return
+        row = {
+            "unique_anchor": f"{part}_Article_{article['number']}",
+            "anchor": f"Mp-At_{article['number']}" if part == "Main" else None,
+            "content": content,
+            "article_summary": article["caption"] or article["sentence"] or "",
+        }
+        (self.main if part == "Main" else self.other).append(row)
+
+    def rows(self) -> list[dict]:
+        """Main provisions, then original (not amending) supplementary provisions."""
+        found = list(self.main)
+        if self.bare and not self.has_article and "\n".join(self.bare).strip(BLANKS) not in ("", DELETED):
+            anchor, heading = MAIN_PROVISION
+            found.append(
+                {"unique_anchor": anchor, "anchor": None, "content": "\n".join([heading, *self.bare]), "article_summary": heading}
+            )
+        shared = {k: v for k, v in self.law.items()} | {k: self.law[k] or "" for k in ("law_num", "law_title")}
+        return [shared | row for row in found + self.other]
+
+
+def article_rows(content: bytes) -> list[dict]:
+    """The rows of one law file; a file that is no XML raises."""
+    reader = LawReader()
+    parser = expat.ParserCreate()
+    parser.buffer_text = True
+    parser.StartElementHandler = reader.start
+    parser.EndElementHandler = reader.end
+    parser.CharacterDataHandler = reader.text
+    parser.Parse(content, True)
+    return reader.rows()
 
 
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -116,7 +164,7 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for path, content in zip(batch["path"], batch["content"]):
             law_id = os.path.splitext(os.path.basename(path))[0]
             try:
-                found = article_rows(ET.fromstring(bytes(content)))
+                found = article_rows(bytes(content))
                 rows += [row | {"path": path, "law_id": law_id} for row in found]
             except Exception as exc:  # noqa: BLE001 - one bad file must not fail the run
                 rows.append({"path": path, "error": f"{type(exc).__name__}: {exc}"})
