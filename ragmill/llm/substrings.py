@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ragmill.llm.texts import column, mix, offsets_of, slices, split_words, word_hashes
@@ -105,33 +105,23 @@ def anchors(docs: DataFrame) -> DataFrame:
     return _keyed(docs).filter("text is not null").select("dk", "text").mapInArrow(run, "a long, block long, dk long, pos int")
 
 
-def marks(docs: DataFrame, hot_share: int = 256, hot_least: int = 10_000) -> DataFrame:
+def marks(docs: DataFrame) -> DataFrame:
     """(dk, marks): places of seeds that occur more than once, as ``4 * pos + kind``, by document.
 
-    Seeds with more than one in ``hot_share`` of all places are few; their places are counted before they are
-    shuffled, and joined to the counts, which splits however many of them there are. All others meet by seed.
+    Seeds and blocks are counted before their places are shuffled, and places are joined to the counts, one row each;
+    a join splits the places of a frequent seed over tasks.
     """
     found = anchors(docs)
-    counts = materialize(found.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    # At most hot_share rows, whatever the input.
-    hot = counts.filter(F.col("n") > max(hot_least, total // hot_share)).select("a")
-    has_hot = not hot.isEmpty()
-    cold = counts.join(F.broadcast(hot), "a", "left_anti") if has_hot else counts
-    block = Window.partitionBy("a", "block")
-    kinds = (
-        found.join(cold.select("a"), "a")
-        .withColumn("m", F.count("*").over(block)).withColumn("first", F.min(F.struct("dk", "pos")).over(block))
+    repeated = found.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").select("a")
+    places = materialize(found.join(repeated, "a"))
+    blocks = (
+        places.groupBy("a", "block").agg(F.count("*").alias("m"), F.min(F.struct("dk", "pos")).alias("first")).filter("m > 1")
+    )
+    kind = (
+        F.when(F.col("m").isNull(), EDGE).when(F.col("first") == F.struct("dk", "pos"), WITNESS).otherwise(AGREES)
     )
-    if has_hot:
-        rows = materialize(found.join(F.broadcast(hot), "a"))
-        blocks = rows.groupBy("a", "block").agg(F.count("*").alias("m"), F.min(F.struct("dk", "pos")).alias("first"))
-        kinds = kinds.select("dk", "pos", "m", "first").unionByName(
-            rows.join(blocks, ["a", "block"]).select("dk", "pos", "m", "first")
-        )
-    kind = F.when(F.col("m") == 1, EDGE).when(F.col("first") == F.struct("dk", "pos"), WITNESS).otherwise(AGREES)
     return (
-        kinds.select("dk", (F.col("pos") * 4 + kind).cast("int").alias("mark"))
+        places.join(blocks, ["a", "block"], "left").select("dk", (F.col("pos") * 4 + kind).cast("int").alias("mark"))
         .groupBy("dk").agg(F.collect_set("mark").alias("marks"))
     )
 
@@ -190,13 +180,12 @@ class Marked:
         return self.rolling.ranges(starts, starts + WINDOW).view(np.int64)
 
 
-def _marked_rows(batch: pa.RecordBatch):
-    for part in slices(batch, "text"):
-        words, sizes = word_hashes(column(part, "text"))
-        at = offsets_of(sizes)
-        marks, keys = column(part, "marks"), column(part, "dk").to_numpy()
-        for i in range(part.num_rows):
-            yield keys[i], Marked(words[at[i] : at[i + 1]], np.sort(marks[i].values.to_numpy()).astype(np.int64))
+def _marked_rows(part: pa.RecordBatch) -> Iterator[Marked]:
+    words, sizes = word_hashes(column(part, "text"))
+    at = offsets_of(sizes)
+    marks = column(part, "marks")
+    for i in range(part.num_rows):
+        yield Marked(words[at[i] : at[i + 1]], np.sort(marks[i].values.to_numpy()).astype(np.int64))
 
 
 def _windows(texts: DataFrame) -> DataFrame:
@@ -204,14 +193,18 @@ def _windows(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, doc in _marked_rows(batch):
-                a, b = len(doc.open), len(doc.witness)
+            for part in slices(batch, "text"):
+                docs = [(d, d.hashes(d.open), d.hashes(d.witness)) for d in _marked_rows(part)]
+                opened = np.array([len(d.open) for d, _, _ in docs])
+                shown = sum(len(d.witness) for d, _, _ in docs)
+                keys = np.repeat(column(part, "dk").to_numpy(), opened)
+                none = pa.nulls(shown, pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.concatenate([doc.hashes(doc.open), doc.hashes(doc.witness)])),
-                        pa.array([key] * a + [None] * b, pa.int64()),
-                        pa.array(np.concatenate([doc.open, doc.witness]).astype(np.int32)),
-                        pa.array(np.repeat([1, 2], [a, b]).astype(np.int32)),
+                        pa.array(np.concatenate([*(o for _, o, _ in docs), *(w for _, _, w in docs)])),
+                        pa.concat_arrays([pa.array(keys, pa.int64()), none]),
+                        pa.array(np.concatenate([*(d.open for d, _, _ in docs), np.zeros(shown, np.int64)]).astype(np.int32)),
+                        pa.array(np.repeat([1, 2], [len(keys), shown]).astype(np.int32)),
                     ],
                     ["h", "dk", "start", "weight"],
                 )
@@ -219,13 +212,13 @@ def _windows(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "h long, dk long, start int, weight int")
 
 
-def remove_repeats(docs: DataFrame, **hot) -> DataFrame:
+def remove_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, kept) per row of ``docs`` (doc_id, text).
 
     ``kept`` is the text of the words left, one space between them. Null texts have no words; texts below a window's
     length lose none. Rows that repeat both id and text get the same answer each.
     """
-    texts = materialize(marked_texts(docs, materialize(marks(docs, **hot))))
+    texts = materialize(marked_texts(docs, materialize(marks(docs))))
     windows = _windows(texts)
     repeated = windows.groupBy("h").agg(F.sum("weight").alias("n")).filter("n > 1").select("h")
     hits = (
@@ -234,27 +227,23 @@ def remove_repeats(docs: DataFrame, **hot) -> DataFrame:
     )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            starts = column(batch, "starts")
-            out = {"dk": [], "n_removed": [], "kept_sha256": []}
-            codes = (c for part in slices(batch, "text") for c in _texts(part))
-            for i, ((key, doc), words) in enumerate(zip(_marked_rows(batch), codes, strict=True)):
+        for part in (p for batch in batches for p in slices(batch, "text")):
+            starts, removed, digests = column(part, "starts"), [], []
+            for i, (doc, words) in enumerate(zip(_marked_rows(part), _texts(part), strict=True)):
                 begin = np.flatnonzero(doc.known)
                 if starts[i].is_valid:
                     begin = np.concatenate([begin, starts[i].values.to_numpy()])
                 gone = covered(doc.n, begin.astype(np.int64), WINDOW)
-                left = " ".join(w for w, g in zip(words, gone, strict=True) if not g)
-                out["dk"].append(int(key))
-                out["n_removed"].append(int(gone.sum()))
-                out["kept_sha256"].append(hashlib.sha256(left.encode()).hexdigest())
-            yield pa.RecordBatch.from_pydict(
-                out, pa.schema([("dk", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
+                removed.append(int(gone.sum()))
+                digests.append(hashlib.sha256(" ".join(words[~gone].tolist()).encode()).hexdigest())
+            yield pa.RecordBatch.from_arrays(
+                [column(part, "dk"), pa.array(removed, pa.int64()), pa.array(digests, pa.string())], ["dk", "n_removed", "kept_sha256"]
             )
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                texts = list(_texts(part))
+                texts = [w.tolist() for w in _texts(part)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         column(part, "doc_id"), column(part, "dk"), pa.array([len(w) for w in texts], pa.int64()),
@@ -273,9 +262,9 @@ def remove_repeats(docs: DataFrame, **hot) -> DataFrame:
     )
 
 
-def _texts(part: pa.RecordBatch) -> Iterator[list[str]]:
+def _texts(part: pa.RecordBatch) -> Iterator[np.ndarray]:
     codes, dictionary, sizes = split_words(column(part, "text"))
     names = np.array(dictionary.to_pylist() or [""], object)
     at = offsets_of(sizes)
     for i in range(len(sizes)):
-        yield names[codes[at[i] : at[i + 1]]].tolist()
+        yield names[codes[at[i] : at[i + 1]]]
