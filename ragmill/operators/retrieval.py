@@ -7,14 +7,14 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ragmill.functions.text import neutralize_markers
+from ragmill.functions.text import WS, neutralize_markers
 from ragmill.operators.topk import SCOPE_ANY, BigramBlock, VectorBlock, batch_topk
 
 RRF_K = 60
 TOP_M = 10
 FETCH_K = 20
 MIN_SIMILARITY = 0.2
-NOT_BLANK = r"[^\s　]"
+NOT_BLANK = f"[^{WS[1:]}"
 
 
 def _owner_scope(owner: Column) -> Column:

@@ -5,6 +5,7 @@ broadcast, every task keeps a running top-k per query over its own part of the
 corpus, and only tasks x queries x k rows reach the final ranking. When there are
 more queries than fit one block, both sides are cut into hash blocks and joined
 block by block, so no task ever holds more than one query block and one corpus block.
+Searches inside scopes have a key: both sides are grouped by scope.
 """
 
 from __future__ import annotations
@@ -159,7 +160,7 @@ class BigramBlock:
 
 
 #: Whitespace of the 2-gram measure: that of ``functions.text.WS``.
-_SPACES = np.array([9, 10, 11, 12, 13, 32, 0x3000])
+_SPACES = np.array([*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
 
 
 def bigram_codes(text: str | None) -> np.ndarray:
@@ -225,40 +226,86 @@ def batch_topk(
     """Exact top-k per query: (query_id, rank, id, score).
 
     ``queries`` has (query_id, scope, payload), ``corpus`` has (id, payload,
-    scope_0..). ``SCOPE_ANY`` as query scope searches the whole corpus.
+    scope_0..). Without corpus scopes every query searches the whole corpus. With them the two sides meet by scope, and
+    corpus rows of a scope that no query names are not shuffled.
     """
     block_rows = query_rows or _block_rows(queries)
     id_type = corpus.schema["id"].dataType.simpleString()
     qid_type = queries.schema["query_id"].dataType.simpleString()
     schema = f"query_id {qid_type}, id {id_type}, score double"
-    run = _search(blocks_of, k, n_scopes)
 
-    head = queries.limit(block_rows + 1).toArrow()
-    if head.nbytes > QUERY_BLOCK_BYTES:
-        block_rows = max(1, head.num_rows * QUERY_BLOCK_BYTES // head.nbytes // 2)
-    if head.num_rows <= block_rows:
-        shared = queries.sparkSession.sparkContext.broadcast(head)
-
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            found = run(batches, shared.value)
-            if len(found):
-                yield pa.RecordBatch.from_pandas(found, preserve_index=False)
-
-        partial = spread(corpus).mapInArrow(scan, schema)
+    if n_scopes:
+        partial = _by_scope(queries, corpus, k, blocks_of, n_scopes, schema, block_rows, corpus_rows)
     else:
-        partial = _blocked(queries, corpus, run, schema, block_rows, corpus_rows)
+        run = _search(blocks_of, k, 0)
+        head = queries.limit(block_rows + 1).toArrow()
+        if head.nbytes > QUERY_BLOCK_BYTES:
+            block_rows = max(1, head.num_rows * QUERY_BLOCK_BYTES // head.nbytes // 2)
+        if head.num_rows <= block_rows:
+            shared = queries.sparkSession.sparkContext.broadcast(head)
+
+            def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                found = run(batches, shared.value)
+                if len(found):
+                    yield pa.RecordBatch.from_pandas(found, preserve_index=False)
+
+            partial = spread(corpus).mapInArrow(scan, schema)
+        else:
+            partial = _blocked(queries, corpus, run, schema, block_rows, corpus_rows)
 
-    # Copies of a query row (one per scope) meet here again; ids stay distinct.
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
+    if n_scopes:
+        # A query that names several scopes may meet a row in each of them; the other search never repeats one.
+        partial = partial.groupBy("query_id", "id").agg(F.max("score").alias("score"))
     return (
-        partial.groupBy("query_id", "id")
-        .agg(F.max("score").alias("score"))
-        .withColumn("rank", F.row_number().over(order))
+        partial.withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= k)
         .select("query_id", "rank", "id", F.when(F.col("score") > -1.5, F.col("score")).alias("score"))
     )
 
 
+def _by_scope(queries, corpus, k, blocks_of, n_scopes, schema, block_rows, corpus_rows) -> DataFrame:
+    """Both sides grouped by scope. Scopes above a block's size are cut: their corpus rows lie in blocks, and only
+    their own queries are copied to them; many queries of one scope are cut likewise."""
+    run = _search(blocks_of, k, 0)
+    placed = corpus.select("id", "payload", F.explode(F.array_distinct(F.array_compact(F.array(*[f"scope_{i}" for i in range(n_scopes)])))).alias("scope"))
+    asked = queries.groupBy("scope").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("q_blocks"))
+    is_vector = isinstance(corpus.schema["payload"].dataType, T.ArrayType)
+    width = F.size("payload") * 8 if is_vector else F.octet_length("payload")
+    sizes = (
+        placed.groupBy("scope").agg(F.count(F.lit(1)).alias("rows"), F.sum(width.cast("long")).alias("bytes")).join(asked, "scope")
+        .select("scope", "q_blocks", F.ceil(F.greatest(F.col("rows") / corpus_rows, F.col("bytes") / CORPUS_BLOCK_BYTES)).cast("int").alias("c_blocks"))
+    )
+
+    def every(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    def own(key: str, n: str) -> Column:
+        return F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+
+    # Queries and sizes are keyed by scope as well, so a scope's rows are found by an equi-join.
+    right = (
+        placed.join(sizes, "scope").withColumn("cb", own("id", "c_blocks")).withColumn("qb", every("q_blocks"))
+        .select("scope", "cb", "qb", "id", "payload")
+    )
+    left = (
+        queries.join(sizes, "scope").withColumn("qb", own("query_id", "q_blocks")).withColumn("cb", every("c_blocks"))
+        .select("scope", "cb", "qb", "query_id", "payload")
+    )
+
+    def meet(qs: pa.Table, cs: pa.Table) -> pa.Table:
+        found = None
+        if qs.num_rows and cs.num_rows:
+            whole = qs.set_column(qs.schema.get_field_index("scope"), "scope", pa.array([SCOPE_ANY] * qs.num_rows))
+            found = run(cs.combine_chunks().to_batches(), whole)
+        if found is None or not len(found):
+            return pa.table({"query_id": qs["query_id"][:0], "id": cs["id"][:0], "score": pa.array([], pa.float64())})
+        return pa.Table.from_pandas(found, preserve_index=False)
+
+    keys = ("scope", "qb", "cb")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, schema)
+
+
 def _blocked(queries, corpus, run, schema, block_rows, corpus_rows) -> DataFrame:
     """Both sides in hash blocks; one task meets one query block and one corpus block."""
     q_blocks = max(1, math.ceil(queries.count() / block_rows))

@@ -68,7 +68,7 @@ def test_topk_equals_brute_force_in_one_block_and_in_many(spark, query_rows, cor
     queries = [(i, "ab"[i % 2] if scoped else "", vectors[i * 2].tolist()) for i in range(11)]
     q = spark.createDataFrame(queries, "query_id int, scope string, payload array<double>")
     c = spark.createDataFrame([(i, s, v.tolist()) for i, s, v in corpus], "id int, scope_0 string, payload array<double>")
-    found = batch_topk(q, c.repartition(5), 6, VectorBlock, 1, query_rows, corpus_rows).orderBy("query_id", "rank").collect()
+    found = batch_topk(q, c.repartition(5), 6, VectorBlock, int(scoped), query_rows, corpus_rows).orderBy("query_id", "rank").collect()
     got = {}
     for row in found:
         got.setdefault(row["query_id"], []).append(row["id"])
