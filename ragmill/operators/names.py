@@ -17,8 +17,6 @@ from ragmill.functions.bigrams import name_bigrams, set_jaccard
 from ragmill.functions.text import map_of
 from ragmill.session import materialize, spread
 
-#: Titles a task may hold for the dictionary scan; beyond it the scan becomes a join.
-MAX_TITLES = 200_000
 #: Aliases become a constant map in the plan.
 MAX_ALIASES = 10_000
 # A title must not follow one of these characters.
@@ -83,6 +81,12 @@ def apply_aliases(names: Column, aliases: dict[str, str]) -> Column:
     return F.array_distinct(F.transform(names, lambda x: F.coalesce(known[n.alias_key(x)], x)))
 
 
+def titles_in_order() -> Column:
+    """Aggregate of ``titles_in_text``: distinct titles of a text in the order of their places."""
+    places = F.sort_array(F.collect_list(F.struct("start", "end", "law_title")))
+    return F.array_distinct(F.transform(places, lambda p: p["law_title"])).alias("titles")
+
+
 def _title_keys(master: DataFrame) -> DataFrame:
     """(key, law_title): every title under both of its forms, first title first."""
     forms = master.select(
@@ -100,63 +104,35 @@ def _pick(hits: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     return sorted(taken)
 
 
-def titles_in_text(texts: DataFrame, master: DataFrame, max_titles: int = MAX_TITLES) -> DataFrame:
+def titles_in_text(texts: DataFrame, master: DataFrame) -> DataFrame:
     """(query_id, law_title, start, end): dictionary titles written out in (query_id, text).
 
-    No title right after a kanji or katakana. Positions refer to the normalised text.
+    No title right after a kanji or katakana. Positions refer to the normalised text. Titles are keyed by their first
+    two characters (one, where they have no more); the places of a text are joined on that key, where most drop
+    out, and what is left is compared in full. Rows that repeat both id and text count once.
     """
-    keys = _title_keys(master)
-    normal = texts.select("query_id", n.normalize_query(F.col("text")).alias("text"))
-    qid = texts.schema["query_id"].dataType.simpleString()
-    schema = f"query_id {qid}, law_title string, start int, end int"
-    local = keys.limit(max_titles + 1).collect()
-    if len(local) <= max_titles:
-        hits = _scan_with_dictionary(normal, {r["key"]: r["law_title"] for r in local}, schema)
-    else:
-        hits = _scan_with_join(normal, keys, schema)
-    return hits
-
-
-def _scan_with_dictionary(texts: DataFrame, titles: dict[str, str], schema: str) -> DataFrame:
-    import re
-
-    shared = texts.sparkSession.sparkContext.broadcast(titles)
-    before = re.compile(WORD_BEFORE)
-
-    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = shared.value
-        by_first: dict[str, list[int]] = {}
-        for size, first in sorted({(len(k), k[0]) for k in known}):
-            by_first.setdefault(first, []).append(size)
-        for frame in frames:
-            rows = []
-            for qid, text in zip(frame["query_id"], frame["text"]):
-                hits = []
-                for at, char in enumerate(text):
-                    sizes = by_first.get(char)
-                    if sizes is None or (at and before.match(text[at - 1])):
-                        continue
-                    for size in sizes:
-                        title = known.get(text[at : at + size])
-                        if title is not None and at + size <= len(text):
-                            hits.append((at, at + size, title))
-                rows += [(qid, title, s, e) for s, e, title in _pick(hits)]
-            yield pd.DataFrame(rows, columns=["query_id", "law_title", "start", "end"])
-
-    return spread(texts).mapInPandas(scan, schema)
-
-
-def _scan_with_join(texts: DataFrame, keys: DataFrame, schema: str) -> DataFrame:
-    """Dictionary too large for a task: join substrings of the few lengths that titles have."""
-    sizes = keys.select(F.length("key").alias("size")).distinct().agg(F.collect_list("size")).scalar()
-    starts = texts.withColumn("sizes", sizes).withColumn("start", F.explode(F.sequence(F.lit(0), F.length("text") - 1)))
-    before = F.substring(F.col("text"), F.col("start"), F.lit(1))
-    open_start = starts.filter((F.col("start") == 0) | ~before.rlike(WORD_BEFORE))
-    cut = open_start.withColumn("size", F.explode("sizes")).filter(F.col("start") + F.col("size") <= F.length("text"))
-    cut = cut.select("query_id", "start", "size", F.substring(F.col("text"), F.col("start") + 1, F.col("size")).alias("key"))
-    span = F.struct("start", (F.col("start") + F.col("size")).alias("end"), "law_title")
+    keys = _title_keys(master).withColumn("head", F.left("key", F.lit(2)))
+    longest = keys.agg(F.coalesce(F.max(F.length("key")), F.lit(0))).scalar()
+    text = texts.select("query_id", n.normalize_query(F.col("text")).alias("text"))
+    letters = text.select("query_id", "text", F.split("text", "").alias("chars")).withColumn("longest", longest)
+    # The characters that a place can still use, so that no row carries the whole text.
+    window = F.transform(
+        F.sequence(F.lit(1), F.size("chars")),
+        lambda i: F.struct(
+            (i - 1).alias("start"), F.when(i > 1, F.get("chars", i - 2)).otherwise("").alias("before"),
+            F.array_join(F.slice("chars", i, F.col("longest")), "").alias("piece"),
+        ),
+    )
+    open_places = F.filter(window, lambda w: ~w["before"].rlike(WORD_BEFORE))
+    places = (
+        letters.filter((F.size("chars") > 0) & (F.col("longest") > 0))
+        .select("query_id", F.xxhash64("text").alias("text_key"), F.inline(open_places))
+    )
+    heads = F.array_distinct(F.array(F.left("piece", F.lit(2)), F.left("piece", F.lit(1))))
+    met = places.withColumn("head", F.explode(heads)).join(keys, "head")
+    span = F.struct("start", (F.col("start") + F.length("key")).alias("end"), "law_title")
     # Spans of one text only; their number is bounded by the length of that text.
-    hits = cut.join(keys, "key").groupBy("query_id").agg(F.collect_list(span).alias("hits"))
+    hits = met.filter(F.startswith("piece", F.col("key"))).groupBy("query_id", "text_key").agg(F.collect_set(span).alias("hits"))
 
     @F.pandas_udf("array<struct<law_title:string,start:int,end:int>>")
     def pick(column: pd.Series) -> pd.Series:
@@ -205,7 +181,7 @@ def resolve(
     """
     master = materialize(master)
     found = titles_in_text(queries, master) if found is None else found
-    titles = found.groupBy("query_id").agg(F.collect_set("law_title").alias("titles"))
+    titles = found.groupBy("query_id").agg(titles_in_order())
     known = queries.join(titles, "query_id", "left").withColumn("titles", F.coalesce("titles", F.array().cast("array<string>")))
     searched = F.array_union("law_names", n.expand_ordinances(F.col("titles")))
     roles = F.array(
@@ -234,13 +210,17 @@ def resolve(
     gated = gated.select("query_id", F.lit(len(STAGES) - 1).alias("stage_no"), "law_num")
     hits = by_name.unionByName(gated).distinct().join(unknown, "query_id", "left_anti")
 
-    judged = hits.join(status.select("law_num", "verdict"), "law_num", "left")
-    judged = judged.withColumn("verdict", F.coalesce("verdict", F.lit("pending")))
+    judged = hits.join(status.select("law_num", F.col("verdict").alias("known")), "law_num", "left")
+    # A law without a status makes nothing current, and is none of the laws of the answer.
+    judged = judged.withColumn("verdict", F.coalesce("known", F.lit("pending")))
+    per_stage = judged.groupBy("query_id", "stage_no", "verdict").agg(F.count("known").alias("n_known"))
     # The earliest stage wins; within it 'current' sorts before 'pending'.
-    best = judged.groupBy("query_id").agg(F.min(F.struct("stage_no", "verdict")).alias("b"))
+    best = per_stage.groupBy("query_id").agg(F.min(F.struct("stage_no", "verdict", "n_known")).alias("b"))
     kept = judged.join(best, "query_id").filter(
         (F.col("stage_no") == F.col("b.stage_no")) & (F.col("verdict") == F.col("b.verdict"))
+        & (F.col("known").isNotNull() | (F.col("b.n_known") == 0))
     )
+    kept = kept.withColumn("law_num", F.when(F.col("known").isNotNull(), F.col("law_num"))).distinct()
     stage = F.element_at(F.array(*[F.lit(s) for s in STAGES]), F.col("stage_no") + 1)
     answered = kept.select("query_id", "verdict", stage.alias("stage"), "law_num")
     missed = queries.select("query_id").join(best, "query_id", "left_anti")

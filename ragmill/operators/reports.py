@@ -102,7 +102,7 @@ def report_table(
     spoken = names_fn.names_in_query(names_fn.normalize_query(F.col("text")))
     known = aliases or {}
     asked = given.select(
-        "query_id", "text", estimated.alias("estimated"), spoken.alias("spoken_raw"),
+        "query_id", "text", estimated.alias("estimated"), names_fn.name_spans(names_fn.normalize_query(F.col("text"))).alias("spans"),
         names_fn.expand_ordinances(names.apply_aliases(estimated, known)).alias("law_names"),
         names.apply_aliases(spoken, known).alias("spoken"),
     )
@@ -129,15 +129,15 @@ def report_table(
     mentioned = names.mentioned_articles(queries, chosen)
     full = chosen.filter(F.length("content") > 0)
     wanted = F.regexp_extract_all("text", F.lit(names.ARTICLE_NUMBER), F.lit(1))
-    keys = queries.select("query_id", F.explode(wanted).alias("num")).select(
+    keys = queries.select("query_id", F.posexplode(wanted).alias("place", "num")).groupBy(
         "query_id", F.concat(F.lit("Main_Article_"), "num").alias("unique_anchor")
-    ).distinct()
+    ).agg(F.min("place").cast("bigint").alias("place"))
     laws_of = chosen.select("query_id", "law_num").distinct()
     allowed = keys.join(laws_of, "query_id").join(laws.select("query_id", "law_num", "pending"), ["query_id", "law_num"])
     named = allowed.join(article, ["law_num", "unique_anchor"]).filter(
         ~F.col("is_future") | F.col("pending") | F.lit(include_future)
     )
-    named = named.select("query_id", F.lit(0).alias("part"), F.xxhash64("law_num", "unique_anchor").alias("rank"), *[c for c in article.columns if c != "id"])
+    named = named.select("query_id", F.lit(0).alias("part"), F.col("place").alias("rank"), *[c for c in article.columns if c != "id"])
     rest = full.join(named.select("query_id", "unique_anchor").distinct(), ["query_id", "unique_anchor"], "left_anti")
     final = named.unionByName(rest.withColumn("part", F.lit(1)).withColumn("rank", F.col("rank").cast("bigint")))
 
@@ -173,13 +173,15 @@ def report_table(
     mentions = mentioned.groupBy("query_id").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("pos", "number", "article_summary"))), lambda m: F.struct(m["number"].alias("number"), m["article_summary"].alias("article_summary"))).alias("mentions")
     )
-    titles = found.groupBy("query_id").agg(F.collect_set("law_title").alias("titles"))
+    titles = found.groupBy("query_id").agg(names.titles_in_order(), F.collect_list(F.struct("start", "end")).alias("title_spans"))
     law_titles = articles.groupBy("query_id").agg(F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("rank", "law_title"))), lambda x: x["law_title"])).alias("law_titles"))
     context = asked.join(titles, "query_id", "left").join(law_titles, "query_id", "left").join(pending, "query_id", "left").join(mentions, "query_id", "left")
     empty = F.array().cast("array<string>")
     titles_col = F.coalesce("titles", empty)
-    # Words that lie inside a title found in the text are pieces of it, not names of their own.
-    outside = F.filter("spoken_raw", lambda s: ~F.exists(titles_col, lambda t: F.contains(t, s)))
+    # Words that stand inside a title found in the text are pieces of it, not names of their own.
+    spans = F.coalesce("title_spans", F.array().cast("array<struct<start:int,end:int>>"))
+    own = F.filter("spans", lambda s: ~F.exists(spans, lambda t: (t["start"] <= s["start"]) & (s["end"] <= t["end"])))
+    outside = F.array_distinct(F.transform(own, lambda s: s["name"]))
     prefix = r.prompt_prefix(
         F.coalesce("pending", F.expr("CAST(array() AS array<struct<law_num:string,law_title:string,future_main_articles:bigint,earliest_future_enforce_date:date,enforcement_clause:string>>)")),
         F.lit(as_of).cast("date"),

@@ -34,16 +34,17 @@ def test_spoken_names_are_not_cut_out_of_words(spark):
     assert [(s["name"], text[s["start"] : s["end"]]) for s in spans] == [("労働基準法", "労働基準法")]
 
 
-def titles(spark, text, *names, **options):
+def titles(spark, text, *names):
     master = o.title_dictionary(spark.createDataFrame([(f"L{i}", t) for i, t in enumerate(names)], "law_num string, law_title string"))
     texts = spark.createDataFrame([(1, text)], "query_id int, text string")
-    return [(x["law_title"], x["start"], x["end"]) for x in o.titles_in_text(texts, master, **options).orderBy("start").collect()]
+    return [(x["law_title"], x["start"], x["end"]) for x in o.titles_in_text(texts, master).orderBy("start").collect()]
 
 
 def test_titles_longest_first_and_not_inside_words(spark):
-    for options in ({}, {"max_titles": 0}):
-        assert titles(spark, "民法施行法と移民法と会社法", "民法", "民法施行法", "会社法", **options) == [("民法施行法", 0, 5), ("会社法", 10, 13)]
-        assert titles(spark, "この民法と 会社法", "民法", "会社法", **options) == [("民法", 2, 4), ("会社法", 5, 8)]
+    assert titles(spark, "民法施行法と移民法と会社法", "民法", "民法施行法", "会社法") == [("民法施行法", 0, 5), ("会社法", 10, 13)]
+    assert titles(spark, "この民法と 会社法", "民法", "会社法") == [("民法", 2, 4), ("会社法", 5, 8)]
+    assert titles(spark, "憲と民法", "憲", "民法") == [("憲", 0, 1), ("民法", 2, 4)]
+    assert titles(spark, "", "民法") == titles(spark, "民法") == []
 
 
 def resolve(spark, text, law_names, spoken, laws, candidates=()):
@@ -63,6 +64,9 @@ def test_resolution_stages(spark):
     assert resolve(spark, "x", ["民法", "防災庁設置法"], [], LAWS) == [("current", "2-0", "L1")]
     assert resolve(spark, "x", ["民法"], ["人工知能人格権法"], LAWS) == [("none", "2-Q", None)]
     assert resolve(spark, "防災庁はもう設置されていますか", [], [], LAWS, [("L2", "防災庁設置法"), ("L3", "会社更生法")]) == [("pending", "2-3", "L2")]
+    # A law without a status is pending without being one of the laws.
+    assert resolve(spark, "x", ["民法"], [], [("L1", "民法", None)]) == [("pending", "2-0", None)]
+    assert resolve(spark, "x", ["民法", "会社更生法"], [], [("L1", "民法", None), ("L3", "会社更生法", "pending")]) == [("pending", "2-0", "L3")]
     assert resolve(spark, "宇宙移民法の要件は", [], [], LAWS, [("L1", "民法")]) == [("none", "2-3", None)]
 
 
