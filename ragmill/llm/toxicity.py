@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ragmill.llm.texts import column
+from ragmill.llm.texts import column, text_batches
 from ragmill.session import materialize
 
 # The word lists of the voters.
@@ -48,13 +48,14 @@ PATTERNS: dict[str, str] = {
 #: Voters mined from labelled rows: prefixes of words, grouped by their first letters.
 MINED = 16
 STEM, LONGEST = 4, 8
+CANDIDATES, PRECISION = 200_000, 0.95
 FIXED = len(LEXICONS) + len(PATTERNS)
 #: The last voter speaks, for "clean", where all others abstain.
 VOTERS = (*LEXICONS, *PATTERNS, *(f"mined{j}" for j in range(MINED)), "silence")
 SILENCE = 1 << (len(VOTERS) - 1)
 BUCKETS = 1 << 14
 #: Rows on which the classifier is fitted, and labelled rows for its scale.
-SAMPLE_ROWS = 12_000
+SAMPLE_ROWS = 6_000
 THRESHOLD = 0.3
 
 _WORD = re.compile(r"\w+")
@@ -100,29 +101,27 @@ def voters(mined: list[list[str]] = ()) -> Voters:
     return Voters(words, patterns, stems)
 
 
-def mine(toxic: list[str], clean: list[str], support: int = 4, precision: float = 0.95) -> list[list[str]]:
-    """Groups of word prefixes that labelled toxic rows have and clean ones hardly ever.
+def prefixes(words) -> set[str]:
+    return {w[:k] for w in words if len(w) >= STEM for k in range(STEM, min(len(w), LONGEST) + 1)}
 
-    A row is a string of its distinct words. A greedy cover picks, among the precise prefixes, those that explain most
-    toxic rows that no earlier one did; prefixes with the same first letters form one voter.
-    """
-
-    def prefixes(words):
-        return {w[:k] for w in words.split() if len(w) >= STEM for k in range(STEM, min(len(w), LONGEST) + 1)}
 
-    support = max(support, len(toxic) // 500)
+def candidates(toxic: list[str], support: int = 4, most: int = CANDIDATES) -> list[str]:
+    """Prefixes that several labelled toxic rows (strings of their words) share, the most frequent ones."""
     hits = Counter()
     for words in toxic:
-        hits.update(prefixes(words))
-    misses = {p: 0 for p, n in hits.items() if n >= support}
-    for words in clean:
-        for p in prefixes(words) & misses.keys():
-            misses[p] += 1
-    precise = {p for p, n in misses.items() if hits[p] >= precision * (hits[p] + n)}
-    del hits, misses
+        hits.update(prefixes(words.split()))
+    support = max(support, len(toxic) // 500)
+    return sorted((p for p, n in hits.items() if n >= support), key=lambda p: (-hits[p], p))[:most]
+
+
+def mine(toxic: list[str], precise: set[str]) -> list[list[str]]:
+    """Groups of the precise prefixes, those with the same first letters together.
+
+    A greedy cover picks those that explain most toxic rows that no earlier one did.
+    """
     rows: dict[str, set[int]] = {p: set() for p in precise}
     for i, words in enumerate(toxic):
-        for p in prefixes(words) & precise:
+        for p in prefixes(words.split()) & precise:
             rows[p].add(i)
     # Shorter prefixes first among equals: they cover forms not seen yet.
     good = sorted(precise, key=lambda p: (len(p), p))
@@ -332,24 +331,47 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def _mined(learn: DataFrame, known: DataFrame, n_known: int, sample_rows: int) -> list[list[str]]:
-    """Mine the words of about ``sample_rows / 4`` labelled rows of each kind (both bounded by the parameter)."""
-    part = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_003))
+def _mined(learn: DataFrame, known: DataFrame, sample_rows: int) -> list[list[str]]:
+    """Mine the words of about ``sample_rows / 4`` labelled toxic rows.
+
+    How precise a prefix is, is counted on about ``8 * sample_rows`` labelled rows of both kinds, inside the tasks. Both
+    bounds are parameters; only prefixes and counts reach the driver.
+    """
     counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    share = {t: int(1_000_003 * min(1.0, sample_rows / 4 / max(counts.get(t, 0), 1))) for t in (0, 1)}
-    picked = known.filter(part < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0]))
+
+    def part(salt: int, rows: float, total: int):
+        return F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1_000_003)) < int(1_000_003 * min(1.0, rows / max(total, 1)))
+
+    def words_of(text: str | None) -> set[str]:
+        return {w[:LONGEST] for w in _WORD.findall((text or "").lower())}
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [" ".join({w[:LONGEST] for w in _WORD.findall((t.as_py() or "").lower())}) for t in column(batch, "text")]
-            yield pa.RecordBatch.from_arrays([column(batch, "toxic"), pa.array(texts, pa.string())], ["toxic", "words"])
+            found = [" ".join(sorted(words_of(t.as_py()))) for t in column(batch, "text")]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["words"])
+
+    # The ids that are picked are as many as the bound of their sample.
+    picked = known.filter("toxic = 1").filter(part(7, sample_rows / 4, counts.get(1, 0))).select("doc_id")
+    toxic = sorted(learn.join(F.broadcast(picked), "doc_id").select("text").mapInArrow(words, "words string").toPandas()["words"])
+    asked = {p: i for i, p in enumerate(candidates(toxic))}
 
-    # The picked ids are as many as the sample's bound.
-    rows = (
-        learn.join(F.broadcast(picked), "doc_id").select("toxic", "text").mapInArrow(words, "toxic int, words string").toPandas()
+    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros((2, len(asked)), np.int64)
+        for batch in batches:
+            for text, label in zip(column(batch, "text"), column(batch, "toxic").to_pylist(), strict=True):
+                for p in prefixes(words_of(text.as_py())) & asked.keys():
+                    seen[label, asked[p]] += 1
+        at = np.flatnonzero(seen.sum(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[0, at]), pa.array(seen[1, at])], ["i", "clean", "toxic"])
+
+    counted = known.filter(part(8, 8 * sample_rows, sum(counts.values())))
+    found = (
+        learn.join(F.broadcast(counted), "doc_id").select("text", "toxic").mapInArrow(hits, "i long, clean long, toxic long")
+        .groupBy("i").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toPandas()
     )
-    kinds = {t: list(rows["words"][rows["toxic"] == t].sort_values()) for t in (0, 1)}
-    return mine(kinds[1], kinds[0])
+    sure = found[(found["toxic"] >= 3) & (found["toxic"] >= PRECISION * (found["toxic"] + found["clean"]))]
+    names = list(asked)
+    return mine(toxic, {names[i] for i in sure["i"]})
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Classifier:
@@ -359,13 +381,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> C
     rows, its scale one of as many labelled rows; both bounds are parameters. An empty table gives a model
     that scores by the prior.
     """
-    learn = docs.select("doc_id", "text").filter(~held_out(F.col("doc_id")))
+    learn = text_batches(docs).select("doc_id", "text").filter(~held_out(F.col("doc_id")))
     known = (
         labels.filter("toxic in (0, 1) and doc_id is not null").filter(~held_out(F.col("doc_id")))
         .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     )
     n_rows, n_known = max(learn.count(), 1), max(known.count(), 1)
-    mined = _mined(learn, known, n_known, sample_rows)
+    mined = _mined(learn, known, sample_rows)
     part = F.expr(_HASH.format(id="doc_id"))
     marked = learn.select(
         "doc_id", "text",
@@ -435,7 +457,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> C
 def score(docs: DataFrame, model: Classifier, keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
     """The columns ``keep``, and as ``name`` the score of the whole text of every row; null and empty texts get a score too."""
     names = list(keep)
-    source = docs.select(*names, F.col("text").alias("__text"))
+    source = text_batches(docs).select(*names, F.col("text").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vote = voters(model.mined)
