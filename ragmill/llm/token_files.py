@@ -16,10 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ragmill.llm.texts import column, offsets_of, slices, split_words
+from ragmill.llm.texts import column, offsets_of, slices, split_words, text_batches
 from ragmill.session import shared_dir
 
 CHUNK_BITS = 8
@@ -31,7 +32,9 @@ SEGMENT_IDS = 1 << 18
 CELL = 1 << 18
 END_ID = 1
 #: Distinct words whose ids a task keeps.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 800_000
+#: ASCII punctuation that the pieces of a word never join; an apostrophe may begin a piece of its own kind.
+_TAIL = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 
 
 # --- codes ------------------------------------------------------------------------------------
@@ -84,7 +87,14 @@ def unpack(levels: list[dict]) -> np.ndarray:
 
 class WordTokens:
     """Ids of texts, word by word: white space never reaches the pieces of this tokenizer, so equal words have
-    equal ids wherever they stand. Words are encoded once and kept."""
+    equal ids wherever they stand. Words are encoded once and kept.
+
+    Nor do pieces reach from a letter or digit to the punctuation behind it, and letters are lower-cased before anything
+    else: a word is looked up as its lower-case head and its tail of ASCII punctuation. Words that may hold a special
+    token are taken as they are.
+    """
+
+    END, EMPTY = 0, 1
 
     def __init__(self, path: str):
         import os
@@ -96,31 +106,63 @@ class WordTokens:
         self._reset()
 
     def _reset(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known: dict[str, int] = {"": self.EMPTY}
         self.flat = np.array([END_ID], np.uint32)
-        self.starts, self.lengths = np.zeros(1, np.int64), np.ones(1, np.int64)  # number 0: the end of a document
+        self.starts, self.lengths = np.array([0, 0], np.int64), np.array([1, 0], np.int64)
+
+    def _learn(self, fresh: list[str]) -> None:
+        """Encode new words: plain ones many in one text, told apart by where their tokens begin, others alone."""
+        plain = [w for w in fresh if w.isascii() or max(w) < "\u0250"]
+        others = [w for w in fresh if not (w.isascii() or max(w) < "\u0250")]
+        flats, counts = [], []
+        for at in range(0, len(plain), 20_000):
+            groups = [plain[i : i + 100] for i in range(at, min(at + 20_000, len(plain)), 100)]
+            for group, found in zip(groups, self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+                begins = np.cumsum([0] + [len(w) + 1 for w in group])
+                flats.append(np.array(found.ids, np.uint32))
+                places = np.array([o[0] for o in found.offsets], np.int64)
+                counts.append(np.bincount(np.searchsorted(begins, places, side="right") - 1, minlength=len(group)))
+        for found in self.tokenizer.encode_batch(others, add_special_tokens=False):
+            flats.append(np.array(found.ids, np.uint32))
+            counts.append(np.array([len(found.ids)]))
+        lengths = np.concatenate(counts)
+        self.known.update(zip(plain + others, range(len(self.starts), len(self.starts) + len(fresh)), strict=True))
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
+        self.lengths = np.concatenate([self.lengths, lengths])
+        self.flat = np.concatenate([self.flat, *flats])
+
+    def _numbers(self, names: list[str]) -> np.ndarray:
+        found = list(map(self.known.get, names))
+        if None in found:
+            self._learn(list(dict.fromkeys(w for w, n in zip(names, found, strict=True) if n is None)))
+            found = list(map(self.known.get, names))
+        return np.array(found, np.int64)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each with the end id; ids per text)"""
         if len(self.known) > KEPT_WORDS:
             self._reset()
-        codes, dictionary, sizes = split_words(texts)
-        names, known = dictionary.to_pylist(), self.known
-        fresh = [w for w in names if w not in known]
-        if fresh:
-            found = [e.ids for e in self.tokenizer.encode_batch(fresh, add_special_tokens=False)]
-            lengths = np.array([len(i) for i in found], np.int64)
-            flat = np.array([x for i in found for x in i], np.uint32)
-            known.update((w, len(self.starts) + j) for j, w in enumerate(fresh))
-            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
-            self.lengths = np.concatenate([self.lengths, lengths])
-            self.flat = np.concatenate([self.flat, flat])
-        number = np.array([known[w] for w in names], np.int64)
-        words = np.insert(number[codes] if len(codes) else np.zeros(0, np.int64), offsets_of(sizes)[1:], 0)
-        lengths = self.lengths[words]
+        codes, words, sizes = split_words(texts)
+        trimmed = pc.ascii_rtrim(words, characters=_TAIL)
+        special = pc.match_substring(words, "<|")
+        # The lower case of a dotted capital I ends in a mark, which joins the punctuation.
+        parted = pc.and_not(pc.match_substring_regex(trimmed, r"[\p{L}\p{N}]$"), pc.or_(special, pc.ends_with(trimmed, "İ")))
+        heads = pc.if_else(parted, trimmed, words)
+        names = pc.if_else(special, heads, pc.ascii_lower(heads))
+        tail = (pc.binary_length(words).to_numpy() - pc.binary_length(heads).to_numpy()).astype(np.int64)
+        numbers = np.full((len(words), 2), self.EMPTY, np.int64)
+        if len(words):
+            unique = names.dictionary_encode()
+            numbers[:, 0] = self._numbers(unique.dictionary.to_pylist())[unique.indices.to_numpy()]
+            some = np.flatnonzero(tail)
+            numbers[some, 1] = self._numbers(
+                [w[-n:] for w, n in zip(words.take(pa.array(some)).to_pylist(), tail[some].tolist(), strict=True)]
+            )
+        units = np.insert(numbers[codes].ravel() if len(codes) else np.zeros(0, np.int64), 2 * offsets_of(sizes)[1:], self.END)
+        lengths = self.lengths[units]
         before = np.cumsum(lengths) - lengths
-        ids = self.flat[np.repeat(self.starts[words] - before, lengths) + np.arange(lengths.sum())]
-        ends = offsets_of(sizes + 1)
+        ids = self.flat[np.repeat(self.starts[units] - before, lengths) + np.arange(lengths.sum())]
+        ends = offsets_of(2 * sizes + 1)
         totals = np.add.reduceat(lengths, ends[:-1]) if len(sizes) else np.zeros(0, np.int64)
         return ids, totals
 
@@ -132,7 +174,7 @@ def encoded(docs: DataFrame, path: str, bounds: list[int], kind: str = "<u4") ->
         words = WordTokens(path)
         cuts = np.array(bounds, np.int64)
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
+            for part in slices(batch, "text", 3 << 20):
                 ids, totals = words.encode(column(part, "text"))
                 at = offsets_of(totals)
                 wide = ids.astype(kind)
@@ -146,7 +188,7 @@ def encoded(docs: DataFrame, path: str, bounds: list[int], kind: str = "<u4") ->
                     ["bucket", "doc_id", "tie", "ids"],
                 )
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).mapInArrow(
+    return text_batches(docs).select("doc_id", "text", F.xxhash64("text").alias("tie")).mapInArrow(
         run, "bucket int, doc_id long, tie long, ids binary"
     )
 
@@ -215,10 +257,10 @@ def write(docs: DataFrame, path: str, tokenizer: str) -> None:
 def index(spark: SparkSession, path: str) -> DataFrame:
     """The segments with ``start``, the number of ids before them; levels are not read unless they are asked for."""
     segments = spark.read.parquet(path)
-    # One row per bucket, of which there are as many as partitions.
+    # One row per bucket, of which there are as many as partitions: few enough to send to every task.
     totals = segments.groupBy("bucket").agg(F.sum("n").alias("total"))
     before = F.coalesce(F.sum("total").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return segments.join(totals.select("bucket", before.alias("before")), "bucket").withColumn(
+    return segments.join(F.broadcast(totals.select("bucket", before.alias("before"))), "bucket").withColumn(
         "start", F.col("before") + F.col("offset")
     )
 
