@@ -114,12 +114,20 @@ def names_in_query(spark, sf):
     return sql(spark, sf, QUESTIONS_SQL).select("query_id", F.array_join(found, "|").alias("names")).filter("names <> ''")
 
 
-@query()
+FLAT_DUCK = f"flat AS (SELECT query_id, replace(replace(regexp_replace(text, '[\\s　]', '', 'g'), '（', '('), '）', ')') AS text FROM ({QUESTIONS_SQL}))"
+
+
+@query(f"""WITH {FLAT_DUCK}, hits AS (SELECT query_id, unnest(regexp_extract_all(text, '[一-龥ァ-ヴー]+')) AS name, text FROM flat)
+SELECT query_id, name, (instr(text, name) - 1)::int AS start, (instr(text, name) - 1 + length(name))::int AS "end" FROM hits WHERE length(name) >= 4 AND regexp_matches(name, '(法律|法|規則|政令|条例|省令)$')""")
 def name_spans(spark, sf):
     return sql(spark, sf, QUESTIONS_SQL).select("query_id", F.inline(n.name_spans(n.normalize_query(F.col("text")))))
 
 
-@query()
+# Every question names one law of the master's kind; the longest title that stands there counts.
+@query(f"""WITH {FLAT_DUCK}, k AS (SELECT law_num, law_title, unnest([regexp_replace(law_title, '（.*）', ''), replace(replace(law_title, '（', '('), '）', ')')]) AS key FROM ({MASTER_SQL})),
+  t AS (SELECT key, arg_min(law_title, law_num) AS law_title FROM k GROUP BY key),
+  h AS (SELECT query_id, law_title, instr(text, '特') - 1 AS s, length(key) AS l, row_number() OVER (PARTITION BY query_id ORDER BY length(key) DESC) AS r FROM flat JOIN t ON starts_with(substr(text, instr(text, '特')), key))
+SELECT query_id, law_title, s::int AS start, (s + l)::int AS "end" FROM h WHERE r = 1""")
 def titles_in_text(spark, sf):
     return o.titles_in_text(sql(spark, sf, QUESTIONS_SQL), _master(spark, sf))
 
