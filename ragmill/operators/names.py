@@ -6,7 +6,6 @@ Columns used throughout: ``master`` is (law_num, law_title, normalized, key), ma
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ragmill.functions.dates import enforce_date
@@ -207,19 +207,26 @@ def resolve_as_of(keys: DataFrame, dwh: DataFrame, as_of: str, today: str) -> Da
 def resolve_as_of_each(requests: DataFrame, dwh: DataFrame) -> DataFrame:
     """As-of join where every request brings its own date: (request_id, law_num, unique_anchor, as_of).
 
-    Versions collapse to one per (article, date) first, so an article with many copies
-    brings at most one row per date to the join.
+    Versions collapse to one per (article, date) first. Versions and dates of an article then stand in one order, where
+    each date takes the last version before it and the first one after it; they are never paired.
     """
     dated = dwh.filter(F.col("enforce_date").isNotNull())
     versions = pick_one(dated, [*ARTICLE, "enforce_date"], F.col("law_id"))
-    asked = requests.select(*ARTICLE, "as_of").distinct()
     cols = [c for c in versions.columns if c not in ARTICLE]
-    found = asked.join(versions, list(ARTICLE)).groupBy(*ARTICLE, "as_of").agg(
-        F.max_by(F.struct(*cols), F.when(F.col("enforce_date") <= F.col("as_of"), F.col("enforce_date"))).alias("v"),
-        F.max(F.col("enforce_date") <= F.col("as_of")).alias("any"),
-        F.min(F.when(F.col("enforce_date") > F.col("as_of"), F.col("enforce_date"))).alias("next_enforce_date"),
+    asked = requests.select(*ARTICLE, "as_of").distinct()
+    line = versions.select(
+        *ARTICLE, F.col("enforce_date").alias("day"), F.lit(0).alias("kind"), F.struct(*cols).alias("v")
+    ).unionByName(
+        asked.select(*ARTICLE, F.col("as_of").alias("day"), F.lit(1).alias("kind")), allowMissingColumns=True
+    )
+    forward = Window.partitionBy(*ARTICLE).orderBy("day", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    back = Window.partitionBy(*ARTICLE).orderBy(F.desc("day"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = (
+        line.withColumn("before", F.last("v", ignorenulls=True).over(forward))
+        .withColumn("next_enforce_date", F.last("v.enforce_date", ignorenulls=True).over(back))
+        .filter("kind = 1 and before is not null")
+        .select(*ARTICLE, F.col("day").alias("as_of"), "before.*", "next_enforce_date")
     )
-    found = found.filter("any").select(*ARTICLE, "as_of", "v.*", "next_enforce_date")
     return requests.join(found, [*ARTICLE, "as_of"])
 
 
