@@ -120,20 +120,45 @@ def _nearest_cells(spark, centres: np.ndarray, n: int):
     return cells
 
 
+def _placed(corpus: DataFrame, centres: np.ndarray) -> DataFrame:
+    one = _nearest_cells(corpus.sparkSession, centres, 1)
+    vec = F.col("embedding").cast("array<double>")
+    return corpus.filter(F.col("embedding").isNotNull()).select("id", one("embedding")[0].alias("cell"), vec.alias("payload"))
+
+
+def build_cells(corpus: DataFrame, root: str, cells: int = 16, rounds: int = 2) -> None:
+    """Store (id, embedding) by cell under ``root``, and the centres: made once, searched many times."""
+    spark = corpus.sparkSession
+    centres = cell_centres(corpus, cells, rounds)
+    _placed(corpus, centres).write.partitionBy("cell").parquet(f"{root}/vectors")
+    rows = [(i, [float(x) for x in c]) for i, c in enumerate(centres)]
+    spark.createDataFrame(rows, "cell int, centre array<double>").coalesce(1).write.parquet(f"{root}/centres")
+
+
+def search_cells(queries: DataFrame, root: str, k: int, probes: int = 4) -> DataFrame:
+    """Approximate cosine top-k over stored cells; cells that no query looks into are not read."""
+    spark = queries.sparkSession
+    centres = spark.read.parquet(f"{root}/centres").orderBy("cell").toPandas()
+    many = _nearest_cells(spark, _stack(centres["centre"]), probes)
+    vec = F.col("embedding").cast("array<double>")
+    asked = queries.select("query_id", F.explode(many("embedding")).alias("scope"), vec.alias("payload"))
+    # As many values as there are cells at most.
+    probed = [r["scope"] for r in asked.select("scope").distinct().collect()]
+    rows = spark.read.parquet(f"{root}/vectors").filter(F.col("cell").cast("string").isin(probed))
+    placed = rows.select("id", F.col("cell").cast("string").alias("scope_0"), "payload")
+    return batch_topk(asked, placed, k, VectorBlock, n_scopes=1)
+
+
 def ann_topk(queries: DataFrame, corpus: DataFrame, k: int, cells: int = 16, probes: int = 4) -> DataFrame:
     """Approximate cosine top-k: each query looks only into its nearest cells.
 
-    The cell is the search scope, so a crowded cell is still spread over all tasks.
+    For one search of a corpus; ``build_cells`` and ``search_cells`` keep the cells.
     """
-    spark = corpus.sparkSession
     centres = cell_centres(corpus, cells)
-    one, many = _nearest_cells(spark, centres, 1), _nearest_cells(spark, centres, probes)
+    many = _nearest_cells(corpus.sparkSession, centres, probes)
     vec = F.col("embedding").cast("array<double>")
     asked = queries.select("query_id", F.explode(many("embedding")).alias("scope"), vec.alias("payload"))
-    placed = corpus.filter(F.col("embedding").isNotNull()).select(
-        "id", one("embedding")[0].alias("scope_0"), vec.alias("payload")
-    )
-    return batch_topk(asked, placed, k, VectorBlock, n_scopes=1)
+    return batch_topk(asked, _placed(corpus, centres).withColumnRenamed("cell", "scope_0"), k, VectorBlock, n_scopes=1)
 
 
 def recall_at_k(approx: DataFrame, exact: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from ragmill.operators import vectors as v
 from ragmill.operators import warehouse as w
 from ragmill.plans import inputs as i
 from ragmill.plans import query
+from ragmill.session import materialize, shared_dir
 from ragmill.tables import table
 
 HITS = "SELECT query_id, rank, id, round(score, 6) AS score FROM "
@@ -261,10 +262,12 @@ def context_text(spark, sf):
 def ann_recall(spark, sf):
     """Recall of the cell search against the exact one, per number of probed cells."""
     asked, rows = i.label_queries(spark, sf), i.vectors(spark, sf)
-    exact = r.vector_topk(asked, rows, 10)
+    exact = materialize(r.vector_topk(asked, rows, 10))
+    root = shared_dir(spark)
+    v.build_cells(rows, root)
     out = None
     for probes in (1, 4, 16):
-        part = v.recall_at_k(v.ann_topk(asked, rows, 10, cells=16, probes=probes), exact)
+        part = v.recall_at_k(v.search_cells(asked, root, 10, probes), exact)
         part = part.withColumn("probes", F.lit(probes))
         out = part if out is None else out.unionByName(part)
     return out
@@ -277,6 +280,15 @@ def ann_topk_all_cells(spark, sf):
     return hits(v.ann_topk(i.label_queries(spark, sf), i.vectors(spark, sf), 10, cells=16, probes=16))
 
 
+@query(f"WITH {i.LABEL_QUERIES_SQL}, rows AS (SELECT vec_id AS id, embedding FROM embeddings), "
+       f"{i.vector_hits_sql('hits', 'label_queries', 'rows', 10)} {HITS} hits")
+def stored_cells_all(spark, sf):
+    """The same over stored cells."""
+    root = shared_dir(spark)
+    v.build_cells(i.vectors(spark, sf), root)
+    return hits(v.search_cells(i.label_queries(spark, sf), root, 10, probes=16))
+
+
 def _index(spark, sf):
     return w.version_index(i.dwh(spark, sf), i.TODAY)
 
