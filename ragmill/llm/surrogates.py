@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ragmill.llm.texts import column
+from ragmill.llm.texts import column, text_batches
 from ragmill.session import materialize
 
 KEY = "surrogates"
@@ -215,8 +215,8 @@ _PATTERNS = [
     ("ip", re.compile(r"(?<![\d.])((?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d))(?![\d]|\.\d)")),
     ("mac", re.compile(r"\b([0-9A-Fa-f]{2}(?:[:-][0-9A-Fa-f]{2}){5})\b")),
     ("ssn", re.compile(r"(?<![\d-])(\d{3}-\d{2}-\d{4})(?![\d-])")),
-    ("phone", re.compile(r"(?<![\w+])(\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)")),
-    ("card", re.compile(r"(?<![\d.-])(\d(?:[ -]?\d){12,18})(?![\d-])")),
+    ("phone", re.compile(r"(?<![\w+])(\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)")),
+    ("card", re.compile(r"(?<![\d.-])(\d{13,19}|\d{4}([ -])\d{4}\2\d{4}\2\d{1,7}|\d{4}([ -])\d{6}\3\d{5})(?![\d-])")),
 ]
 _TITLE = "|".join(sorted(TITLES, key=len, reverse=True))
 _UPPER = r"[A-ZÀ-ÖØ-ÞΆ-ΫЀ-Я][^\W\d_]+"
@@ -390,7 +390,7 @@ def with_surrogates(docs: DataFrame, key: str = KEY, spans: bool = False) -> Dat
 
     With ``spans`` an array of (kind, start, end) of the surrogates follows. Null and empty texts stay as they are.
     """
-    found = materialize(mentions(docs))
+    found = materialize(mentions(text_batches(docs)))
     redrawn = assign(found.select("kind", "canonical").distinct(), key).filter("attempt > 0")
     exceptions = materialize(
         found.join(redrawn.select("kind", "canonical", "attempt"), ["kind", "canonical"])

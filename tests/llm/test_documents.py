@@ -311,6 +311,15 @@ def test_surrogates_in_documents(frame):
     assert surrogates.with_surrogates(frame([])).count() == 0
 
 
+def test_neighbouring_entities_are_told_apart():
+    text = "4451718024887799 27.65.93.188 4111-1111-1111-1111 378282246310005 +1 (372) 555-2774 12345 2024-05-06"
+    kinds = [(text[a:b], k) for a, b, k, _ in surrogates.entities(text)]
+    assert kinds == [
+        ("4451718024887799", "card"), ("27.65.93.188", "ip"), ("4111-1111-1111-1111", "card"), ("378282246310005", "card"),
+        ("+1 (372) 555-2774", "phone"),
+    ]
+
+
 def test_surrogate_collisions_are_drawn_anew(spark):
     """Entities of a shape with few members: their surrogates hit real ones until they are drawn anew."""
     names = [("surname", a + b) for a in "Bcd" for b in "ae"] + [("surname", "Zu")]
