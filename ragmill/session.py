@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +29,11 @@ def local_session(cores: int | str = 8, app: str = "ragmill", shuffle: int = 8)
     )
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
+    if SparkSession.getActiveSession() is None:
+        # One machine: what intermediate results leave goes with the process.
+        scratch = tempfile.mkdtemp(prefix="ragmill-")
+        atexit.register(shutil.rmtree, scratch, ignore_errors=True)
+        builder = builder.config("spark.checkpoint.dir", scratch)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
