@@ -74,7 +74,7 @@ def name_contains(spark, sf):
 @query(f"WITH t AS ({TEAMS_SQL}), u AS ({USERS_SQL}) SELECT team_id, name FROM t WHERE team_id IN (SELECT team_id FROM u WHERE is_admin AND user_id = (SELECT min(c_custkey) FROM customer WHERE c_acctbal > 9000))")
 def admin_scope(spark, sf):
     users = _users(spark, sf)
-    first = users.filter("is_admin").agg(F.min("user_id")).first()[0]
+    first = users.filter("is_admin").agg(F.min("user_id")).scalar()
     return a.admin_scope(_teams(spark, sf), users, first)
 
 

@@ -48,7 +48,7 @@ def job_state_stream(spark, sf):
     return jobs.current(changes)
 
 
-POLLS = "SELECT CAST(user_id AS STRING) AS key, event_id AS seq, CASE event_type WHEN 'signup' THEN 'COMPLETED' WHEN 'purchase' THEN 'ERROR' ELSE 'PENDING' END AS poll_status FROM {events} WHERE event_type <> 'view'"
+POLLS = "SELECT CAST(user_id AS STRING) AS key, event_id AS seq, CASE event_type WHEN 'signup' THEN 'COMPLETED' WHEN 'purchase' THEN 'ERROR' ELSE 'PENDING' END AS poll_status FROM {events}"
 HISTORIES = "SELECT CAST(c_custkey AS STRING) AS key FROM {customer} WHERE c_acctbal > 0"
 
 
@@ -56,7 +56,7 @@ HISTORIES = "SELECT CAST(c_custkey AS STRING) AS key FROM {customer} WHERE c_acc
     CASE WHEN h.key IS NULL THEN 'invoke history not found' WHEN poll_status = 'ERROR' THEN 'external app reported ERROR' END AS detail FROM p LEFT JOIN h ON h.key = p.key)
 SELECT key AS job, coalesce(arg_min(s, seq) FILTER (s IS NOT NULL), 'running') AS status, (arg_min(struct_pack(d := detail), seq) FILTER (s IS NOT NULL)).d AS detail FROM e GROUP BY key""")
 def invocation_state_stream(spark, sf):
-    stream = _stream(spark, sf, "events").filter("event_type <> 'view'")
+    stream = _stream(spark, sf, "events")
     status = F.when(F.col("event_type") == "signup", "COMPLETED").when(F.col("event_type") == "purchase", "ERROR").otherwise("PENDING")
     polls = stream.select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("seq"), status.alias("poll_status"))
     events = jobs.invocation_events(polls, sql(spark, sf, HISTORIES))
