@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ragmill.llm.components import components
-from ragmill.llm.texts import column, mix, offsets_of, slices, window_hashes, word_hashes
+from ragmill.llm.texts import column, mix, offsets_of, slices, text_batches, window_hashes, word_hashes
 from ragmill.session import materialize
 
 SHINGLE = 5
@@ -171,7 +171,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                     ["doc_id", "n_shingles", "d1", "d2", "bands", "signature", "bits"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(
+    return text_batches(docs).select("doc_id", "text").mapInArrow(
         run, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, signature binary, bits binary"
     )
 

@@ -27,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ragmill.llm.texts import column, mix, slices
+from ragmill.llm.texts import column, mix, slices, text_batches
 
 ALPHA = 2.0
 MARK = "▁"
 #: Edges that a worker keeps for units seen again; beyond that it starts anew.
-KEPT_EDGES = 5_000_000
+KEPT_EDGES = 2_000_000
 _UNIT = re.compile(" *[^ ]+| +")
 
 
@@ -127,6 +127,7 @@ class Lattices:
 
     #: Longer units are filtered one by one.
     LONG = 48
+    CELLS = 50_000
 
     def __init__(self, vocab: Vocabulary):
         self.vocab = vocab
@@ -152,8 +153,12 @@ class Lattices:
         parts = []
         order = np.argsort(lengths, kind="stable")
         short = order[lengths[order] <= self.LONG]
-        for at in range(0, len(short), 8192):
-            rows = short[at : at + 8192]
+        at = 0
+        while at < len(short):
+            # Units of about one length; the arrays of a step hold CELLS places with all their pieces.
+            width = int(lengths[short[min(at + 255, len(short) - 1)]])
+            rows = short[at : at + max(256, self.CELLS // width)]
+            at += len(rows)
             parts.append(self._filter([fresh[i] for i in rows], lengths[rows], base[rows]))
         for i in order[len(short) :]:
             parts.append(self._filter_long(fresh[i], int(base[i])))
@@ -312,7 +317,7 @@ def encode(docs: DataFrame, path: str, seed: int = 0, alpha: float = ALPHA) -> D
         vocab = vocabulary(path, alpha)
         lattices = Lattices(vocab)
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
+            for part in slices(batch, "text", 1 << 20):
                 texts = [t or "" for t in column(part, "text").to_pylist()]
                 ids = sample(texts, column(part, "key").to_numpy().view(np.uint64), vocab, lattices)
                 if len(lattices.cum) > KEPT_EDGES:
@@ -329,7 +334,7 @@ def encode(docs: DataFrame, path: str, seed: int = 0, alpha: float = ALPHA) -> D
                     ["doc_id", "pieces", "n_pieces", "pieces_crc32", "lossless"],
                 )
 
-    rows = docs.select("doc_id", "text", row_keys(F.col("doc_id"), F.col("text"), seed).alias("key"))
+    rows = text_batches(docs).select("doc_id", "text", row_keys(F.col("doc_id"), F.col("text"), seed).alias("key"))
     return rows.mapInArrow(run, "doc_id long, pieces array<int>, n_pieces long, pieces_crc32 long, lossless boolean")
 
 

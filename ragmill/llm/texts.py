@@ -5,11 +5,24 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 #: Bytes of text that a task holds as words at one time; one longer text makes a slice of its own.
 SLICE_BYTES = 4 << 20
 
 
+#: Rows of an Arrow batch of documents; the default of 10,000 long texts is much for small executors.
+BATCH_ROWS = 2_000
+
+
+def text_batches(df: DataFrame) -> DataFrame:
+    """``df``, with Arrow batches of ``BATCH_ROWS`` rows in its session, unless a number was chosen there."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key) == "10000":
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def slices(batch: pa.RecordBatch, column: str, size: int = SLICE_BYTES):
     """Cuts of a batch with about ``size`` bytes of one text column each, whole rows only."""
     lengths = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0)
@@ -20,6 +33,7 @@ def slices(batch: pa.RecordBatch, column: str, size: int = SLICE_BYTES):
         stop = max(start + 1, int(np.searchsorted(total, before + size, side="right")))
         yield batch.slice(start, stop - start)
         start = stop
+    pa.default_memory_pool().release_unused()
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
