@@ -32,7 +32,7 @@ SEGMENT_IDS = 1 << 18
 CELL = 1 << 18
 END_ID = 1
 #: Distinct words whose ids a task keeps.
-KEPT_WORDS = 800_000
+KEPT_WORDS = 1_200_000
 #: ASCII punctuation that the pieces of a word never join; an apostrophe may begin a piece of its own kind.
 _TAIL = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 
@@ -174,7 +174,7 @@ def encoded(docs: DataFrame, path: str, bounds: list[int], kind: str = "<u4") ->
         words = WordTokens(path)
         cuts = np.array(bounds, np.int64)
         for batch in batches:
-            for part in slices(batch, "text", 3 << 20):
+            for part in slices(batch, "text", 8 << 20):
                 ids, totals = words.encode(column(part, "text"))
                 at = offsets_of(totals)
                 wide = ids.astype(kind)
