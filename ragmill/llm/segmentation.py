@@ -20,7 +20,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import islice
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +32,12 @@ from ragmill.llm.texts import column, mix, slices, text_batches
 ALPHA = 2.0
 MARK = "▁"
 #: Edges that a worker keeps for units seen again; beyond that it starts anew.
-KEPT_EDGES = 2_000_000
+KEPT_EDGES = 4_000_000
 _UNIT = re.compile(" *[^ ]+| +")
 
 
+#: Pieces up to this length are looked for at every place.
+SHORT = 6
 TABLE_BITS, SECOND = 20, 0xD6E8FEB86659FD93
 _BASE = 0x9E3779B97F4A7C15
 
@@ -82,6 +84,9 @@ class Vocabulary:
             if self.slots[table, at[table]] >= 0:
                 raise ValueError("the piece tables are too small")
             self.slots[table, at[table]] = i
+        self.long_ends = np.zeros(1 << TABLE_BITS, bool)
+        ends = np.array([reversed_hash(p[-SHORT:]) for p in plain if len(p) > SHORT], np.uint64)
+        self.long_ends[self._places(ends)[0]] = True
         self.log_of_id = np.full(len(self.pieces) + 1, -np.inf)
         for p, i in plain.items():
             self.log_of_id[i] = self.log[p]
@@ -138,12 +143,14 @@ class Lattices:
 
     def codes_of(self, found: list[list[str]]) -> np.ndarray:
         """The codes of all units; units not seen before are filtered."""
+        unique = pa.array(list(chain.from_iterable(found)), pa.string()).dictionary_encode()
         codes, before = self.codes, len(self.codes)
-        out = np.fromiter((codes.setdefault(u, len(codes)) for us in found for u in us), np.int64, sum(map(len, found)))
+        names = unique.dictionary.to_pylist()
+        own = np.fromiter((codes.setdefault(u, len(codes)) for u in names), np.int64, len(names))
         if len(codes) > before:
-            fresh = list(codes)[before:] if before == 0 else list(islice(reversed(codes), len(codes) - before))[::-1]
-            self._add([u if u[:1] == " " else " " + u for u in fresh])
-        return out
+            # New units got their numbers in the order of their names.
+            self._add([u if u[:1] == " " else " " + u for u, c in zip(names, own.tolist(), strict=True) if c >= before])
+        return own[unique.indices.to_numpy()]
 
     def _add(self, fresh: list[str]) -> None:
         lengths = np.array([len(u) for u in fresh], np.int64)
@@ -180,10 +187,19 @@ class Lattices:
         depth = min(vocab.longest, width)
         ids = np.full((n, width, depth + 1), -1, np.int32)  # the last one stands for bytes
         h = np.zeros((n, width), np.uint64)
-        for k in range(1, depth + 1):
+        for k in range(1, min(depth, SHORT) + 1):
             h = h[:, 1:] if k > 1 else h
             h = h * np.uint64(_BASE) + chars[:, : width - k + 1] + np.uint64(1)
             ids[:, k - 1 :, depth - k] = np.where(inside[:, k - 1 :], vocab.find(h), -1)
+        if depth > SHORT:
+            # Longer pieces only where their last characters stand.
+            u, e = np.nonzero(vocab.long_ends[vocab._places(h)[0]] & inside[:, SHORT - 1 :])
+            h, e = h[u, e], e + SHORT - 1
+            for k in range(SHORT + 1, depth + 1):
+                ok = e >= k - 1
+                u, e, h = u[ok], e[ok], h[ok]
+                h = h * np.uint64(_BASE) + chars[u, e - k + 1] + np.uint64(1)
+                ids[u, e, depth - k] = vocab.find(h)
         raw = inside & (ids[:, :, depth - 1] < 0)
         size = np.where(chars < 0x80, 1, np.where(chars < 0x800, 2, np.where(chars < 0x10000, 3, 4)))
         weight = vocab.log_of_id[ids]
@@ -317,7 +333,7 @@ def encode(docs: DataFrame, path: str, seed: int = 0, alpha: float = ALPHA) -> D
         vocab = vocabulary(path, alpha)
         lattices = Lattices(vocab)
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
+            for part in slices(batch, "text", 2 << 20):
                 texts = [t or "" for t in column(part, "text").to_pylist()]
                 ids = sample(texts, column(part, "key").to_numpy().view(np.uint64), vocab, lattices)
                 if len(lattices.cum) > KEPT_EDGES:
