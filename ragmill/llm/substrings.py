@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ragmill.llm.texts import column, mix, offsets_of, slices, split_words, word_hashes
+from ragmill.llm.texts import column, mix, offsets_of, slices, split_words, text_batches, word_hashes
 from ragmill.session import materialize
 
 WINDOW, SEED = 35, 8
@@ -108,13 +108,13 @@ def anchors(docs: DataFrame) -> DataFrame:
 def marks(docs: DataFrame) -> DataFrame:
     """(dk, marks): places of seeds that occur more than once, as ``4 * pos + kind``, by document.
 
-    Seeds and blocks are counted before their places are shuffled, and places are joined to the counts, one row each;
-    a join splits the places of a frequent seed over tasks.
+    Seeds and blocks are counted before their places are shuffled, and places are joined to the counts, one row each. The
+    counts are written first: a join of two plain shuffles can be split where a seed has very many places.
     """
     found = anchors(docs)
-    repeated = found.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").select("a")
+    repeated = materialize(found.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").select("a"))
     places = materialize(found.join(repeated, "a"))
-    blocks = (
+    blocks = materialize(
         places.groupBy("a", "block").agg(F.count("*").alias("m"), F.min(F.struct("dk", "pos")).alias("first")).filter("m > 1")
     )
     kind = (
@@ -218,7 +218,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     ``kept`` is the text of the words left, one space between them. Null texts have no words; texts below a window's
     length lose none. Rows that repeat both id and text get the same answer each.
     """
-    texts = materialize(marked_texts(docs, materialize(marks(docs))))
+    texts = materialize(marked_texts(text_batches(docs), materialize(marks(docs))))
     windows = _windows(texts)
     repeated = windows.groupBy("h").agg(F.sum("weight").alias("n")).filter("n > 1").select("h")
     hits = (
