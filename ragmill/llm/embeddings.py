@@ -1,9 +1,11 @@
 """Near-duplicate vectors by a pivot-permutation index.
 
-A vector is described by the order of its nearest reference points (pivots, a bounded sample). Its ``PREFIX`` nearest ones
-are its entries in inverted pivot lists. Two vectors are candidates if they share ``SHARED`` pivots, counted on
-bitmaps, and are compared in the list of the first pivot that they share, so each pair is met once. Candidates are
-verified by their cosine in double precision.
+A vector is described by the order of its nearest reference points (pivots, a bounded sample of which no two are close).
+Its ``PREFIX`` nearest ones are its entries in inverted pivot lists. Two vectors that share a pivot are compared by their
+cosine in double precision, in the list of the first pivot that they share, so each pair is met once.
+
+A dense region of different vectors has one pivot, or a few, however many of the rows it holds. They are in the lists of
+all its members, so the region is compared in full; its cost is the square of its distinct vectors.
 
 Equal vectors are one class with a weight. A list is cut into blocks; every two blocks of a list meet in a task of their
 own, which returns link counts per vector and a spanning forest of what it linked, never the pairs.
@@ -22,8 +24,11 @@ from ragmill.llm.components import components
 from ragmill.session import materialize
 
 COSINE = 0.9
-#: At cosine 0.9 in 64 dimensions fewer than 1 in 10,000 pairs share less (1,024 pivots or fewer).
+#: Pairs that share one pivot are compared. At cosine 0.9 in 64 dimensions fewer than 1 in 10,000 pairs share less than
+#: ``SHARED`` of 1,024 spread pivots or fewer: the margin, not a condition.
 PREFIX, SHARED = 16, 3
+#: No two pivots have this cosine. Inside a region full of pivots the order of the nearest ones would be noise.
+CLOSE = 0.7
 #: Pivots grow with the root of the number of vectors, within these bounds.
 LEAST_PIVOTS, MOST_PIVOTS = 32, 1024
 BLOCK, TILE = 4096, 1024
@@ -47,9 +52,9 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 
 def choose_pivots(vectors: DataFrame, n: int) -> dict[int, np.ndarray]:
-    """dimensions -> unit pivots: a hash sample of bounded size. Dimensions without one have no index."""
+    """dimensions -> unit pivots: a hash sample of bounded size, thinned. Dimensions without one have no index."""
     want = int(min(MOST_PIVOTS, max(LEAST_PIVOTS, math.sqrt(max(n, 1)))))
-    share = min(1.0, 2.0 * want / max(n, 1))
+    share = min(1.0, 4.0 * want / max(n, 1))
     rows = (
         vectors.filter(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1_000_003)) < int(1_000_003 * share) + 1)
         .orderBy(F.xxhash64("id", F.lit(5))).limit(4 * want).select("vector").toArrow()
@@ -57,7 +62,24 @@ def choose_pivots(vectors: DataFrame, n: int) -> dict[int, np.ndarray]:
     by_size: dict[int, list] = {}
     for v in rows["vector"].to_pylist():
         by_size.setdefault(len(v), []).append(v)
-    return {d: unit_rows(np.array(v[:want], np.float64)) for d, v in by_size.items()}
+    return {d: spread_pivots(unit_rows(np.array(v, np.float64)), want) for d, v in by_size.items()}
+
+
+def spread_pivots(sample: np.ndarray, want: int) -> np.ndarray:
+    """The first ``want`` rows that are not ``CLOSE`` to an earlier one, those with most of the sample near them first.
+
+    Pairs of a dense region meet in the list of its own pivot then, and blocks of other lists that hold only such pairs
+    are passed over.
+    """
+    open_rows = np.ones(len(sample), bool)
+    chosen: list[int] = []
+    while len(chosen) < want and open_rows.any():
+        chosen.append(int(np.argmax(open_rows)))
+        open_rows &= sample @ sample[chosen[-1]] < CLOSE
+        open_rows[chosen[-1]] = False
+    pivots = sample[chosen]
+    near = np.bincount(nearest_pivots(sample, pivots, 1)[:, 0], minlength=len(pivots))
+    return pivots[np.argsort(-near, kind="stable")]
 
 
 def nearest_pivots(x: np.ndarray, pivots: np.ndarray, prefix: int = PREFIX) -> np.ndarray:
@@ -105,17 +127,20 @@ def _find(parent: dict[int, int], x: int) -> int:
     return x
 
 
-def _compare(table: pa.Table, cosine: float, shared: int) -> pa.Table:
+def _compare(table: pa.Table, cosine: float) -> pa.Table:
     """One pair of blocks of one pivot list: (a, b, links). Rows with b are forest links; others count links of a."""
+    bits = np.frombuffer(b"".join(table["mark"].to_pylist()), np.uint8).reshape(table.num_rows, -1)
+    # Rows with the same first pivot stand together, so that whole tiles are met in an earlier list.
+    order = np.argsort(np.unpackbits(bits, axis=1, bitorder="little").argmax(axis=1), kind="stable")
+    table, marks = table.take(pa.array(order)), np.ascontiguousarray(bits[order]).view(np.uint64)
     ids, weight = table["id"].to_numpy(), table["weight"].to_numpy()
     x = unit_rows(_matrix(table["vector"]))
-    marks = np.frombuffer(b"".join(table["mark"].to_pylist()), np.uint64).reshape(len(ids), -1)
     pivot, i, j = (table[c][0].as_py() for c in ("pivot", "i", "j"))
     own = table["own"].to_numpy()
     left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
     word, bit = divmod(pivot, 64)
-    below = np.uint64((1 << bit) - 1)
-    shared = min(shared, int(np.bitwise_count(marks[0]).sum()))
+    low = marks[:, : word + 1].copy()
+    low[:, word] &= np.uint64((1 << bit) - 1)
     links = np.zeros(len(ids), np.int64)
     parent: dict[int, int] = {}
     forest: list[tuple[int, int]] = []
@@ -123,15 +148,15 @@ def _compare(table: pa.Table, cosine: float, shared: int) -> pa.Table:
         a = left[s : s + TILE]
         for t in range(s if i == j else 0, len(right), TILE):
             b = right[t : t + TILE]
+            if (np.bitwise_and.reduce(low[a]) & np.bitwise_and.reduce(low[b])).any():
+                continue
             hit = x[a] @ x[b].T >= cosine
             if i == j:
                 hit &= a[:, None] < b[None, :]
             p, q = np.nonzero(hit)
             p, q = a[p], b[q]
-            both = marks[p] & marks[q]
-            first = (both[:, :word] == 0).all(axis=1) & ((both[:, word] & below) == 0)
-            ok = first & (np.bitwise_count(both).sum(axis=1) >= shared)
-            p, q = p[ok], q[ok]
+            first = ~(low[p] & low[q]).any(axis=1)
+            p, q = p[first], q[first]
             np.add.at(links, p, weight[q])
             np.add.at(links, q, weight[p])
             for u, v in zip(p.tolist(), q.tolist(), strict=True):
@@ -151,7 +176,7 @@ def _compare(table: pa.Table, cosine: float, shared: int) -> pa.Table:
     )
 
 
-def near_vectors(rows: DataFrame, cosine: float = COSINE, prefix: int = PREFIX, shared: int = SHARED) -> DataFrame:
+def near_vectors(rows: DataFrame, cosine: float = COSINE, prefix: int = PREFIX) -> DataFrame:
     """(vec_id, n_links, component_id, kept) per row of ``rows`` (vec_id, embedding; nothing else is looked at).
 
     Vectors that are null, zero or hold null or non-finite components link with nothing, and so do rows with a null id
@@ -179,7 +204,7 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE, prefix: int = PREFIX,
     )
     found = materialize(
         pairs.groupBy("dims", "pivot", "i", "j").applyInArrow(
-            lambda table: _compare(table, cosine, shared), "a long, b long, links long"
+            lambda table: _compare(table, cosine), "a long, b long, links long"
         )
     )
     counts = found.filter("b is null").groupBy("a").agg(F.sum("links").alias("others"))

@@ -79,6 +79,25 @@ def test_recall_at_the_threshold():
     assert (shared >= embeddings.SHARED).mean() > 0.995
 
 
+def test_hot_group_with_many_pivots(spark, monkeypatch):
+    """A third of the rows in one dense group of different vectors: every link, against all pairs."""
+    monkeypatch.setattr(embeddings, "LEAST_PIVOTS", 1024)
+    rng = np.random.default_rng(9)
+    centre, noise = np.eye(64)[:1], rng.normal(size=(1500, 64))
+    noise[:, 0] = 0
+    x = np.vstack([np.sqrt(0.91) * centre + 0.3 * embeddings.unit_rows(noise), embeddings.unit_rows(rng.normal(size=(3000, 64)))])
+    x[4000:] = embeddings.unit_rows(x[3500:4000] + 0.4 * embeddings.unit_rows(rng.normal(size=(500, 64))))
+    x = x.astype(np.float32)
+    table = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], ROWS).repartition(4)
+    unit = embeddings.unit_rows(x.astype(float))
+    pivots = embeddings.choose_pivots(table.selectExpr("vec_id as id", "embedding as vector"), len(x))[64]
+    assert len(pivots) == 1024 and (pivots @ pivots.T - 2 * np.eye(len(pivots))).max() < embeddings.CLOSE
+    want = (unit @ unit.T >= 0.9).sum(axis=1) - 1
+    assert want[:1500].sum() > 1_000_000
+    got = {r["vec_id"]: r["n_links"] for r in embeddings.near_vectors(table).collect()}
+    assert [got[i] for i in range(len(x))] == want.tolist()
+
+
 def query(table):
     rows = table.filter(topk.usable(F.col("embedding"))).select(F.col("vec_id").alias("id"), topk.quantised(F.col("embedding")).alias("value"))
     return topk.search(rows, rows.filter("id % 50 = 0"))
