@@ -220,6 +220,8 @@ _PATTERNS = [
 ]
 _TITLE = "|".join(sorted(TITLES, key=len, reverse=True))
 _UPPER = r"[A-ZÀ-ÖØ-ÞΆ-ΫЀ-Я][^\W\d_]+"
+#: Runs of letters, as _NAME cuts them, whatever mark stands beside them.
+_LETTERS = re.compile(r"[^\W\d_]+")
 _NAME = re.compile(rf"\b(?:({_TITLE})\.? )?({_UPPER}(?:[ ]{_UPPER}){{0,2}})")
 
 
@@ -277,7 +279,7 @@ def entities(text: str | None) -> list[tuple[int, int, str, str]]:
             add(m.start(1), m.end(1), *_canonical(kind, m[1]))
     listed = _listed()
     surnames: set[str] = set()
-    if not _hints().isdisjoint(text.replace("(", " ").replace('"', " ").split()):
+    if not _hints().isdisjoint(_LETTERS.findall(text)):
         for m in _NAME.finditer(text):
             words = [(m.start(2) + w.start(), w[0]) for w in re.finditer(r"\S+", m[2])]
             while words and not m[1] and words[0][1] not in listed:
@@ -302,7 +304,7 @@ def entities(text: str | None) -> list[tuple[int, int, str, str]]:
 @lru_cache(maxsize=1)
 def _hints() -> frozenset[str]:
     """Without one of these words there is no name in a text."""
-    return frozenset({*TITLES, *(f"{t}." for t in TITLES), *_listed()})
+    return frozenset({*TITLES, *_listed()})
 
 
 def replace(text: str | None, key: str = KEY, attempts: dict[tuple[str, str], int] | None = None):

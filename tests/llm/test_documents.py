@@ -320,6 +320,16 @@ def test_neighbouring_entities_are_told_apart():
     ]
 
 
+@pytest.mark.parametrize("frame_of", ["[{}]", "'{}'", "„{}“", "«{}»", "Name:{}", "<b>{}</b>", "x —{}", "{},", "{}2", "/{}/"])
+@pytest.mark.parametrize("name", ["Anna Schmidt", "Мария Иванова", "Dr. Weber"])
+def test_names_beside_any_mark(frame_of, name):
+    text = frame_of.format(name)
+    new, spans = surrogates.replace(text)
+    assert spans and name.split()[1] not in new and (name[:2] == "Dr" or name.split()[0] not in new)
+    # The same entity as in a plain document.
+    assert name[:2] == "Dr" or new == text.replace(name, surrogates.replace(f"so {name} said")[0][3:-5])
+
+
 def test_surrogate_collisions_are_drawn_anew(spark):
     """Entities of a shape with few members: their surrogates hit real ones until they are drawn anew."""
     names = [("surname", a + b) for a in "Bcd" for b in "ae"] + [("surname", "Zu")]
