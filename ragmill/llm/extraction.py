@@ -29,6 +29,8 @@ DROPPED = frozenset(
     "script style noscript template iframe object svg canvas nav header footer aside form button select option textarea "
     "input label fieldset dialog menu head title audio video map math".split()
 )
+#: What can stand in a page's head; anything else ends it.
+HEAD = frozenset("base basefont bgsound link meta title noscript noframes style script template head html".split())
 BLOCKS = frozenset(
     "html body article section main div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption "
     "blockquote pre figure figcaption address hr hgroup details summary center".split()
@@ -86,8 +88,12 @@ class Tree(HTMLParser):
         self.close()
 
     def handle_starttag(self, tag, attrs):
+        if self.skipped and self._ends_skipped(tag):
+            if self.skipped[0] == "head":
+                self._end_head(tag)
+            self.skipped.clear()
         if self.skipped:
-            if tag not in VOID and tag not in ("p", "li", "option", "dt", "dd", "tr", "td", "th"):
+            if tag not in VOID:
                 self.skipped.append(tag)
             return
         if tag in ("html", "body") and any(n.tag == tag for n in self._open()):
@@ -118,7 +124,12 @@ class Tree(HTMLParser):
             if tag in self.skipped:
                 while self.skipped.pop() != tag:
                     pass
-            return
+                return
+            # The end of an element around the unwanted part ends this too; inline elements do not reach over blocks.
+            inline = tag not in BLOCKS and any(t in BLOCKS or t in DROPPED for t in self.skipped)
+            if inline or all(n.tag != tag for n in self._open()):
+                return
+            self.skipped.clear()
         if tag in ("html", "body"):
             return
         for node in self._open():
@@ -129,9 +140,29 @@ class Tree(HTMLParser):
                 return
 
     def handle_data(self, data):
+        if self.skipped == ["head"] and data.strip():
+            self._end_head("#text")
+            self.skipped.clear()
         if not self.skipped:
             self.at.children.append(data)
 
+    def _ends_skipped(self, tag: str) -> bool:
+        """Whether an opening tag ends the unwanted part around it, whose own end tag may be left out."""
+        root, inner = self.skipped[0], self.skipped[1:]
+        if root == "head":
+            return tag == "body" or not inner and tag not in HEAD
+        if root == "p":
+            return (tag in BLOCKS or tag in ("nav", "header", "footer", "aside", "form")) and DROPPED.isdisjoint(inner)
+        ended, border = (x.split() for x in CLOSES.get(tag, ("", "")))
+        return (root == tag or root in ended) and tag in CLOSES and set(border).isdisjoint(inner)
+
+    def _end_head(self, tag: str):
+        """What follows a head without an end tag stands in the body, whose start tag may be left out."""
+        if tag != "body" and all(n.tag != "body" for n in self._open()):
+            body = Node("body", self.at)
+            self.at.children.append(body)
+            self.at = body
+
     def _open(self):
         node = self.at
         while node.parent is not None:

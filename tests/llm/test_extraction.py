@@ -30,6 +30,27 @@ def test_main_text(html, text):
     assert extraction.main_text(html) == text
 
 
+UNCLOSED = [
+    ("<html><head><title>t</title><body><article><p>Text</article>", "Text"),
+    ("<html><head><title>t</title><meta charset=x><div><p>Text</div></html>", "Text"),
+    ("<head><script>var a</script><noscript><img src=x></noscript> Text <b>bold</b>", "Text bold"),
+    ("<html><head><title>t</title></head><body><article><p>Text</article>", "Text"),
+    ("<body><div><nav><a href=1>Home</a></div><article><p>Text</article>", "Text"),
+    ("<body><div><form><p>enter</div><article><p>Text</article>", "Text"),
+    ("<body><div><header><ul><li>x</div><article><p>Text</article>", "Text"),
+    ('<body><article><section><div class="ad">Buy</section><p>Text</article>', "Text"),
+    ('<article><ul><li class="ad">Buy<ul><li>b</li></ul> c<li>Text</ul></article>', "Text"),
+    ('<article><p class="ad">Buy<p>Text</article>', "Text"),
+    ("<article><ul><li>a<nav><ul><li>x</li><li>y</ul></nav>b</ul></article>", "a b"),
+    ('<article><b>a<div class="ad">x</b>y</div></b>c</article>', "a c"),
+]
+
+
+@pytest.mark.parametrize("html,text", UNCLOSED)
+def test_unclosed_unwanted_parts(html, text):
+    assert extraction.main_text(html) == text
+
+
 def reference(html):
     """The pages of the given tables hold one article of headings and paragraphs."""
     article = re.search(r"<article>(.*?)</article>", html, re.S)[1]
