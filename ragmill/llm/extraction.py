@@ -5,7 +5,8 @@ and link tags against those of the whole body. A node's sum is the sum of its ch
 the largest sum holds the most text-like children. The least density on the way from it to the body is the
 threshold: what lies above it at the top is text, and inside it the subtree of the largest sum is taken. The sum favours
 one section over the whole of an article, so the choice grows to the article or main element around it, where
-there is one, and takes the neighbours under the same parent that reach the threshold.
+there is one, and takes the neighbours of its kind under the same parent that reach the threshold. On other pages all of the
+parent is taken, its own texts, headings and short sections too, but for neighbours below the threshold that are mostly links.
 
 Parts that are no text by their kind (menus, page headers and footers, sidebars, forms, scripts) or by their name
 (adverts, notices, comments and the like) are left out of the tree before densities are computed.
@@ -216,7 +217,29 @@ def density(node: Node, body: Node) -> float:
     return c / t * math.log(max(c / lc * t / lt, 1.0)) / math.log(base)
 
 
-def _main_nodes(root: Node) -> list[Node]:
+def _beside(chosen: Node, dense: dict[int, float], threshold: float) -> list[Node | str]:
+    """The children of the chosen node's parent without the parts that are mostly links.
+
+    A part is a block, or a run of texts and inline elements: a link inside running text is text.
+    """
+    parts: list[list[Node | str]] = []
+    inline = False
+    for c in chosen.parent.children:
+        block = isinstance(c, Node) and c.tag in BLOCKS
+        if block or not inline:
+            parts.append([])
+        parts[-1].append(c)
+        inline = not block
+    kept: list[Node | str] = []
+    for part in parts:
+        nodes = [c for c in part if isinstance(c, Node)]
+        chars = sum(c.chars for c in nodes) + sum(len("".join(c.split())) for c in part if isinstance(c, str))
+        if 2 * sum(c.link_chars for c in nodes) < chars or any(c is chosen or dense[id(c)] >= threshold for c in nodes):
+            kept += part
+    return kept
+
+
+def _main_nodes(root: Node) -> list[Node | str]:
     nodes = _measure(root)
     body = next((n for n in nodes if n.tag == "body"), root)
     inside = {id(body)}
@@ -246,11 +269,10 @@ def _main_nodes(root: Node) -> list[Node]:
     # A leaf block is not a page's text: its parent is.
     while chosen.parent is not body and chosen.tag in ("p", "li", "ul", "ol", "table", "tbody", "tr", "td", "blockquote", "b", "i", "em", "strong", "span", "a"):
         chosen = chosen.parent
-    siblings = [c for c in chosen.parent.children if isinstance(c, Node)]
-    return [c for c in siblings if c is chosen or dense[id(c)] >= threshold]
+    return _beside(chosen, dense, threshold)
 
 
-def blocks_of(nodes: list[Node]) -> list[str]:
+def blocks_of(nodes: list[Node | str]) -> list[str]:
     """Texts of the blocks in page order, white space as one space, empty ones left out."""
     blocks: list[list[str]] = [[]]
     stack: list[Node | str | None] = list(reversed(nodes))

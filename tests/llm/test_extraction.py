@@ -51,6 +51,18 @@ def test_unclosed_unwanted_parts(html, text):
     assert extraction.main_text(html) == text
 
 
+LONG = "A long paragraph of running text that goes on and on, as paragraphs of a page do. " * 4
+
+
+def test_short_parts_beside_a_dense_section():
+    page = (
+        f'<body><div><h2>Head</h2>Own text, <a href=1>linked</a> inside.<br>More<div class="text"><p>{LONG}</p><p>{LONG}</p></div>'
+        '<ul><li>one</li><li>two</li></ul><div><a href=2>Next page here</a> <a href=3>Previous page</a></div>Last words</div></body>'
+    )
+    text = LONG.strip()
+    assert extraction.main_text(page).split("\n") == ["Head", "Own text, linked inside. More", text, text, "one", "two", "Last words"]
+
+
 def reference(html):
     """The pages of the given tables hold one article of headings and paragraphs."""
     article = re.search(r"<article>(.*?)</article>", html, re.S)[1]
