@@ -90,6 +90,9 @@ class Vocabulary:
         self.log_of_id = np.full(len(self.pieces) + 1, -np.inf)
         for p, i in plain.items():
             self.log_of_id[i] = self.log[p]
+        spaced = [p for p in plain if " " in p.lstrip(" ")]
+        if spaced:
+            raise ValueError(f"pieces reach over word starts: {spaced[:3]}")
 
     @staticmethod
     def _places(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -101,9 +104,6 @@ class Vocabulary:
         one, two = self._places(h)
         first, second = self.slots[0][one], self.slots[1][two]
         return np.where(self.hash_of_id[first] == h, first, np.where(self.hash_of_id[second] == h, second, -1))
-        spaced = [p for p in plain if " " in p.lstrip(" ")]
-        if spaced:
-            raise ValueError(f"pieces reach over word starts: {spaced[:3]}")
 
 
 @lru_cache(maxsize=4)

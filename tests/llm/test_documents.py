@@ -216,6 +216,17 @@ def test_segmentation_samples_the_lattice(vocab):
         assert set(got) <= {p for p, _ in paths}
 
 
+def test_pieces_over_word_starts_are_refused(tmp_path):
+    import sentencepiece as spm
+
+    spm.SentencePieceTrainer.train(
+        sentence_iterator=iter(["of the sea of the land"] * 50), model_prefix=str(tmp_path / "m"), vocab_size=290, model_type="bpe",
+        byte_fallback=True, split_by_whitespace=False, hard_vocab_limit=False, minloglevel=2,
+    )
+    with pytest.raises(ValueError, match="reach over word starts"):
+        segmentation.Vocabulary(str(tmp_path / "m.model"))
+
+
 def test_segmentation_long_units_have_the_same_lattice(vocab):
     v = segmentation.vocabulary(vocab)
     lattices = segmentation.Lattices(v)
