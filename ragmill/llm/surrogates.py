@@ -8,7 +8,7 @@ Payment cards keep their check digit rule, IP addresses stay in their private or
 
 The corpus-wide check: a surrogate must differ from its own entity, from every real entity of its type, and from every
 other surrogate. Those that don't are drawn anew with the next attempt until none is left, and only these few
-travel to the documents as exceptions.
+travel to the documents as exceptions. Shapes that real entities nearly fill are told in ``assign``.
 """
 
 from __future__ import annotations
@@ -361,14 +361,71 @@ def _drawn(entities: DataFrame, key: str) -> DataFrame:
     )
 
 
+def group(kind: str, canonical: str) -> str:
+    """What an entity has in common with all its surrogates; entities of two groups never share one."""
+    if kind == "ip":
+        value = sum(int(p) << s for p, s in zip(canonical.split("."), (24, 16, 8, 0), strict=True))
+        return "public" if _range(value) == "public" else str(value >> 16)
+    if kind in ("secret", "mac"):
+        return str(len(canonical))
+    blocks = ("." if not any(low <= ord(c) < high for low, high in BLOCKS) else chr(ord(c) & ~63) for c in canonical)
+    return "".join(_CLASS[c][0][0] if c in _CLASS else b for c, b in zip(canonical, blocks, strict=True))
+
+
+def _grouped(drawn: DataFrame) -> DataFrame:
+    """``drawn`` with the group of each entity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds, names = (column(batch, n).to_pylist() for n in ("kind", "canonical"))
+            made = pa.array([group(k, c) for k, c in zip(kinds, names, strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, made], [*batch.schema.names, "group"])
+
+    return drawn.select("kind", "canonical", "attempt", "made").mapInArrow(
+        run, "kind string, canonical string, attempt int, made string, group string"
+    )
+
+
+def _common(drawn: DataFrame, clash: DataFrame, key: str, first: int, rounds: int) -> DataFrame:
+    """``drawn``, with one common attempt for all entities of every group that has one of ``clash``."""
+    grouped = materialize(_grouped(drawn))
+    full = materialize(grouped.join(clash, ["kind", "canonical"], "left_semi").select("kind", "group").distinct())
+    rest = grouped.join(full, ["kind", "group"], "left_anti").filter("kind <> 'given'")
+    given = grouped.filter("kind = 'given'")
+    done = [rest, given]
+    left = materialize(grouped.join(full, ["kind", "group"], "left_semi"))
+    for attempt in range(first, first + rounds):
+        left = materialize(_grouped(_drawn(left.withColumn("attempt", F.lit(attempt)), key)))
+        twice = left.groupBy("kind", "group", "made").agg(F.count("*").alias("n")).filter("n > 1").select("kind", "group")
+        own = left.filter("made = canonical").select("kind", "group")
+        again = materialize(twice.union(own).distinct())
+        done.append(left.join(again, ["kind", "group"], "left_anti"))
+        left = materialize(left.join(again, ["kind", "group"], "left_semi"))
+        if left.isEmpty():
+            break
+    else:
+        if not left.groupBy("kind", "made").count().filter("count > 1").isEmpty():
+            raise ValueError("entities without surrogates of their own are left")
+        done.append(left)
+    names = ["kind", "canonical", "attempt", "made"]
+    out = done[0].select(*names)
+    for part in done[1:]:
+        out = out.unionByName(part.select(*names))
+    return materialize(out)
+
+
 def assign(entities: DataFrame, key: str = KEY, rounds: int = 50) -> DataFrame:
     """(kind, canonical, attempt, made): surrogates without collisions for distinct (kind, canonical).
 
+    Where real entities nearly fill their shape, some still clash after the rounds. All entities of such a shape then take
+    one common attempt, a permutation of the shape: their surrogates are distinct and differ from their own entity, but
+    may be other real entities. Only a shape of a single string keeps its entity. A clash beyond that is an error.
+
     Given names come from closed lists, where real names and surrogates are the same by design; the list is
     permuted as a whole, so only their distinctness is at stake, and that holds by construction.
     """
     drawn = materialize(_drawn(entities.withColumn("attempt", F.lit(0)), key))
-    for _ in range(rounds):
+    for attempt in range(rounds + 1):
         free = drawn.filter("kind <> 'given'")
         real = free.select("kind", F.col("canonical").alias("made"), F.lit(True).alias("real"))
         winners = free.groupBy("kind", "made").agg(F.min(F.struct("attempt", "canonical")).alias("w"), F.count("*").alias("n"))
@@ -379,12 +436,13 @@ def assign(entities: DataFrame, key: str = KEY, rounds: int = 50) -> DataFrame:
         clash = materialize(clash)
         if clash.isEmpty():
             return drawn
+        if attempt == rounds:
+            break
         again = drawn.join(clash, ["kind", "canonical"], "left_semi").withColumn("attempt", F.col("attempt") + 1)
         drawn = materialize(
             drawn.join(clash, ["kind", "canonical"], "left_anti").unionByName(_drawn(again, key))
         )
-    # A shape with hardly any members, all of them real: nothing else of that shape is left to take.
-    return drawn
+    return _common(drawn, clash, key, rounds + 1, 50)
 
 
 def with_surrogates(docs: DataFrame, key: str = KEY, spans: bool = False) -> DataFrame:

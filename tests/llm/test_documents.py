@@ -353,6 +353,25 @@ def test_surrogate_collisions_are_drawn_anew(spark):
 INSULTS = "idiot moron stupid loser worthless trash scum pathetic disgusting clown".split()
 
 
+def test_surrogates_of_a_nearly_full_shape_stay_distinct(spark):
+    full = [("surname", a + b) for a in "AEIOU" for b in "bcdfghjklmnpqrstvwxyz"][:95]
+    rows = [*full, ("surname", "Schmidt"), ("ip", "10.0.0.1"), ("given", "Anna"), ("given", "Maria")]
+    got = surrogates.assign(spark.createDataFrame(rows, "kind string, canonical string"), rounds=6).collect()
+    assert sorted((r["kind"], r["canonical"]) for r in got) == sorted(rows)
+    assert len({(r["kind"], r["made"]) for r in got}) == len(rows)
+    assert all(r["made"] != r["canonical"] for r in got if r["kind"] != "given")
+    assert all(r["made"] == surrogates.surrogate(r["kind"], r["canonical"], attempt=r["attempt"]) for r in got)
+    assert len({r["attempt"] for r in got if ("surname", r["canonical"]) in full}) == 1
+
+
+@pytest.mark.parametrize("kind,name", [
+    ("ip", "192.168.3.4"), ("ip", "8.8.8.8"), ("ip", "172.20.1.1"), ("secret", "00ff12ab" * 4), ("mac", "AA:0B:cc:01:02:03"),
+    ("card", "4111111111111111"), ("phone", "+49|3012345678"), ("email", "anna.b@example.com"), ("surname", "Łąß山田カ"), ("iban", "DE89370400440532013000"),
+])
+def test_surrogates_stay_in_their_group(kind, name):
+    assert all(surrogates.group(kind, surrogates.surrogate(kind, name, attempt=t)) == surrogates.group(kind, name) for t in range(40))
+
+
 def test_toxicity_learns_and_rejects(frame, spark):
     rng = random.Random(8)
     docs, labels = [], []
