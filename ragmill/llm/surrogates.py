@@ -4,6 +4,8 @@ A surrogate is a keyed permutation of all strings of the same shape: digits beco
 letters of the same script and case, separators stay. Two entities of one type can therefore never share a
 surrogate unless one had to be drawn anew, and every mention of an entity gets the same one in every document.
 Names from the lists become names of the same gender and script; other name parts are permuted in their letters.
+Names are found after a title or by a listed given name, in Latin, Greek and Cyrillic letters. Names that neither a title nor
+a listed given name introduces, and all names in other scripts (Arabic, Hebrew, Devanagari, Kana, Han, Hangul), stay in clear.
 Payment cards keep their check digit rule, IP addresses stay in their private or public range.
 
 The corpus-wide check: a surrogate must differ from its own entity, from every real entity of its type, and from every
