@@ -333,16 +333,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """One document of each group of near-duplicates, in the columns of ``docs``.
 
-    Of rows that repeat an id, the one with the smallest text stays; rows with a null id all stay.
+    Of rows that repeat an id, the one with the smallest text stays; rows with a null id all stay. Which row of an id stays
+    is settled first, so no document is dropped for being near to a row that is dropped itself.
     """
     names = docs.columns
-    decided = near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
     repeated = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("__n")).filter("__n > 1")
-    kept = docs.filter("doc_id is not null").join(decided, "doc_id", "left_semi")
     repeated = materialize(repeated.select("doc_id"))
     if not repeated.isEmpty():
-        twice = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(
+        twice = docs.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(
             F.min_by(F.struct(*names), F.struct(F.coalesce("text", F.lit("")))).alias("r")
         )
-        kept = kept.join(repeated, "doc_id", "left_anti").select(*names).unionByName(twice.select("r.*"))
+        # Written, so that every later pass sees the same row of an id.
+        docs = docs.join(repeated, "doc_id", "left_anti").select(*names).unionByName(materialize(twice.select("r.*")))
+    decided = near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id")
+    kept = docs.filter("doc_id is not null").join(decided, "doc_id", "left_semi")
     return kept.select(*names).unionByName(docs.filter("doc_id is null").select(*names))

@@ -79,6 +79,12 @@ def test_near_duplicates_null_ids_and_empty(frame):
     assert sorted((r["doc_id"] or -1, r["text"]) for r in kept) == [(-1, "n"), (-1, "n"), (1, "a"), (2, "q")]
 
 
+def test_near_duplicates_of_a_dropped_row_stay(frame):
+    one, other = "a b c d e f g h i j", "q r s t u v w x y z"
+    kept = minhash.drop_near_duplicates(frame([(1, one), (1, other), (3, other), (4, other), (5, one), (None, one)])).collect()
+    assert sorted((r["doc_id"] or -1, r["text"]) for r in kept) == [(-1, one), (1, one), (3, other)]
+
+
 def test_superminhash_estimates_and_registers():
     rng = np.random.default_rng(0)
     pool = rng.integers(1, 1 << 62, 600).astype(np.uint64)
