@@ -3,6 +3,7 @@ import random
 import re
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -82,19 +83,18 @@ def test_against_plain_arithmetic(spark, rows):
 
 
 def test_levels_slices_and_shuffled_joins_change_nothing(spark, rows, monkeypatch):
-    for name, value in (("FIRST", 1), ("SLICE_BYTES", 500), ("FOLD_ROWS", 40), ("SENT_BYTES", -1), ("BLOCK", 8)):
+    for name, value in (("FIRST", 1), ("SLICE_BYTES", 500), ("ROWS_OUT", 30), ("SENT_BYTES", -1), ("BLOCK", 8), ("BLOCK_ROWS", 9)):
         monkeypatch.setattr(divergence, name, value)
-    monkeypatch.setattr(divergence.kept_terms, "__defaults__", (3, 1))
     assert got(divergence.audit(table(spark, rows, 5), top=7)) == by_hand(rows, top=7)
 
 
 def test_prefixes_are_discarded(spark):
     texts = [(0, "alpha alpine", "en", "s"), (1, "alps alpha", "en", "s"), (2, "alpaca beta", "en", "s"), (3, "beta", "en", "s")]
-    terms = divergence.term_rows(table(spark, texts))
-    level = {(bytes(r["prefix"]), r["complete"]) for r in divergence.prefixes(terms, 3).collect()}
+    packs = divergence.term_packs(table(spark, texts))
+    level = {(bytes(r["prefix"]), r["complete"]) for r in divergence.prefixes(packs, 3).collect()}
     assert level == {(b"alp", False)}  # three documents hold it, though no term below it is in three
-    assert divergence.kept_terms(terms, 3, 3).collect() == []
-    assert [r["term"] for r in divergence.kept_terms(terms, 2, 3).orderBy("term").collect()] == ["alpha", "beta"]
+    assert divergence.kept_terms(packs, 3, 3).collect() == []
+    assert [r["term"] for r in divergence.kept_terms(packs, 2, 3).orderBy("term").collect()] == ["alpha", "beta"]
 
 
 def test_terms_are_the_pattern():
@@ -108,9 +108,9 @@ def test_terms_are_the_pattern():
     assert [names.to_pylist()[c] for c in codes] == [t for w in want[2:5] for t in w]
 
 
-def test_counts_beyond_a_long(spark):
-    row = spark.createDataFrame([(10**12, 3 * 10**12, 5), (0, 7, 3)], "n long, total long, terms long").select(divergence._share("n"))
-    assert [r[0] for r in row.collect()] == [1 + 10**9 * (10**12 + 1) // (3 * 10**12 + 5), 1 + 10**9 // 10]
+def test_counts_beyond_a_long():
+    n, below = np.array([[10**12, 0]]), np.array([3 * 10**12 + 5, 10])
+    assert divergence._shares(n, below).tolist() == [[1 + 10**9 * (10**12 + 1) // (3 * 10**12 + 5), 1 + 10**9 // 10]]
 
 
 def test_sql_and_empty_tables_and_clashing_names(spark, rows):
