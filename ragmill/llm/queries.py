@@ -11,6 +11,7 @@ from ragmill.llm import (
     divergence,
     embeddings,
     extraction,
+    filter_audit,
     minhash,
     mixing,
     segmentation,
@@ -117,6 +118,14 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(spark, f"{sf_dir}/documents.parquet", table(spark, sf_dir, "labels"))
+
+
+ORACLE["op12_filter_audit"] = filter_audit.ORACLE
+
+
 @query
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
