@@ -13,14 +13,17 @@ the counters say how many documents fail which filters together, they give every
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import sha256
 from itertools import permutations
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ragmill.llm.texts import column, slices, split_words
 from ragmill.session import shared_dir
 
 FILTERS = "ABCDE"
@@ -29,6 +32,8 @@ MIN_WORDS, DISTINCT_PERCENT, CAPITAL_PERCENT, SIGNS = 50, 65, 5, "#$%&*|"
 COPY = 16
 #: Files of a micro-batch.
 BATCH_FILES = 4
+#: Text that a task judges together.
+SLICE_BYTES = 4 << 20
 #: Rows that a task folds before the shuffle.
 FOLD_ROWS = 200_000
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -40,20 +45,41 @@ _FOLDED = pa.schema([
 ])
 
 
-def words_of(text: F.Column) -> F.Column:
-    return F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
+_SIGN = np.zeros(256, bool)
+_SIGN[list(SIGNS.encode())] = True
 
 
-def mask(text: F.Column, words: F.Column) -> F.Column:
-    """Bits of the filters A to D that a text with these words fails: 1, 2, 4, 8."""
-    capitals = F.length(text) - F.length(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))
+def masks(texts: pa.Array) -> np.ndarray:
+    """Bits of the filters A to D that each text fails: 1, 2, 4, 8."""
+    texts = pc.fill_null(pc.cast(texts, pa.string()), "")
+    codes, names, sizes = split_words(texts)
+    pairs = np.unique(np.repeat(np.arange(len(sizes)), sizes) * max(1, len(names)) + codes)
+    distinct = np.bincount(pairs // max(1, len(names)), minlength=len(sizes))
+    _, places, data = texts.buffers()
+    at = np.frombuffer(places, np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
+
+    def number(of: np.ndarray) -> np.ndarray:
+        run = np.zeros(len(raw) + 1, np.int32)
+        np.cumsum(of, out=run[1:])
+        return (run[at[1:] - at[0]] - run[at[:-1] - at[0]]).astype(np.int64)
+
     fails = [
-        F.size(words) < MIN_WORDS,
-        100 * F.size(F.array_distinct(words)).cast("long") < DISTINCT_PERCENT * F.size(words).cast("long"),
-        100 * capitals.cast("long") > CAPITAL_PERCENT * F.length(text).cast("long"),
-        F.length(F.translate(text, SIGNS, "")) < F.length(text),
+        sizes < MIN_WORDS, 100 * distinct < DISTINCT_PERCENT * sizes,
+        100 * number((raw >= 0x41) & (raw <= 0x5A)) > CAPITAL_PERCENT * number((raw & 0xC0) != 0x80),  # bytes that begin a character
+        number(_SIGN[raw]) > 0,
     ]
-    return sum((F.when(f, 1 << i).otherwise(0) for i, f in enumerate(fails)), F.lit(0))
+    return sum(f.astype(np.int32) << i for i, f in enumerate(fails))
+
+
+def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for rows in slices(batch, "text", SLICE_BYTES):
+            text = column(rows, "text")
+            key = pa.array([sha256(t.as_buffer()).digest() for t in text], pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [column(rows, "doc_id"), column(rows, "part"), key, pa.array(masks(text), pa.int32())], ["doc_id", "part", "key", "mask"]
+            )
 
 
 def _single(stream: DataFrame, labels: DataFrame) -> DataFrame:
@@ -64,8 +90,7 @@ def _single(stream: DataFrame, labels: DataFrame) -> DataFrame:
         .withColumn("salt", F.lit(0))
     )
     rows = stream.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("source", F.lit("")).alias("part"), F.coalesce("text", F.lit("")).alias("text"))
-    words = rows.withColumn("words", words_of(F.col("text")))
-    narrow = words.select("doc_id", "part", F.unhex(F.sha2("text", 256)).alias("key"), mask(F.col("text"), F.col("words")).alias("mask"))
+    narrow = rows.mapInArrow(_judged, "doc_id long, part string, key binary, mask int")
     # Rows without an id have no label and are spread.
     salted = narrow.select(
         "*", F.coalesce("doc_id", F.lit(0)).alias("id"),
@@ -163,6 +188,8 @@ def run(stream: DataFrame, labels: DataFrame, root: str) -> None:
     settings = {
         "spark.sql.streaming.stateStore.providerClass": PROVIDER,
         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+        # Many small stores: their files are not made larger than what is in them.
+        "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
         "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
     }
