@@ -6,6 +6,7 @@ Columns used throughout: ``master`` is (law_num, law_title, normalized, key), ma
 
 from __future__ import annotations
 
+from bisect import bisect_left
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,12 +15,16 @@ from pyspark.sql import functions as F
 from ragmill.functions import names as n
 from ragmill.functions.bigrams import name_bigrams, set_jaccard
 from ragmill.functions.text import map_of
-from ragmill.session import materialize, spread
+from ragmill.session import materialize, plan_bytes, spread
 
 #: Aliases become a constant map in the plan.
 MAX_ALIASES = 10_000
-# A title must not follow one of these characters.
-WORD_BEFORE = "[一-龥ァ-ヴー々]"
+#: Characters of a text that are looked at together.
+WINDOW = 128
+#: Written bytes up to which the dictionary of titles is sent to every task; a larger one is joined by a shuffle.
+DICTIONARY_BYTES = 16 << 20
+# A title must not follow one of the characters of these ranges.
+WORD_BEFORE = (("一", "龥"), ("ァ", "ヴ"), ("ー", "ー"), ("々", "々"))
 # Stages of the resolution, in the order they are tried.
 STAGES = ("2-0", "2-2", "2-3")
 STAGE_UNKNOWN_NAME = "2-Q"
@@ -96,42 +101,74 @@ def _title_keys(master: DataFrame) -> DataFrame:
 
 def _pick(hits: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Longest first, the earlier of equal ones, nothing overlapping; in text order."""
+    starts: list[int] = []
     taken: list[tuple[int, int, str]] = []
     for start, end, title in sorted(hits, key=lambda h: (h[0] - h[1], h[0])):
-        if all(end <= s or e <= start for s, e, _ in taken):
-            taken.append((start, end, title))
-    return sorted(taken)
+        at = bisect_left(starts, end)
+        if not at or taken[at - 1][1] <= start:
+            starts.insert(at, start)
+            taken.insert(at, (start, end, title))
+    return taken
 
 
-def titles_in_text(texts: DataFrame, master: DataFrame) -> DataFrame:
-    """(query_id, law_title, start, end): dictionary titles written out in (query_id, text).
+def _halves(master: DataFrame) -> DataFrame:
+    """Keys of titles with hashes of their first and last ``size`` characters, ``size`` the largest power of two that fits.
 
-    No title right after a kanji or katakana. Positions refer to the normalised text. Titles are keyed by their first
-    two characters (one, where they have no more); the places of a text are joined on that key, where most drop
-    out, and what is left is compared in full. Rows that repeat both id and text count once.
+    Two strings of one length are equal just when these two halves are, which overlap.
     """
-    keys = _title_keys(master).withColumn("head", F.left("key", F.lit(2)))
-    longest = keys.agg(F.coalesce(F.max(F.length("key")), F.lit(0))).scalar()
-    text = texts.select("query_id", n.normalize_query(F.col("text")).alias("text"))
-    letters = text.select("query_id", "text", F.split("text", "").alias("chars")).withColumn("longest", longest)
-    # The characters that a place can still use, so that no row carries the whole text.
-    window = F.transform(
-        F.sequence(F.lit(1), F.size("chars")),
-        lambda i: F.struct(
-            (i - 1).alias("start"), F.when(i > 1, F.get("chars", i - 2)).otherwise("").alias("before"),
-            F.array_join(F.slice("chars", i, F.col("longest")), "").alias("piece"),
+    size = F.expr("cast(1 << cast(floor(log2(length(key))) as int) as int)")
+    return _title_keys(master).withColumn("size", size).select(
+        "key", "law_title", "size", F.length("key").alias("length"),
+        F.expr("xxhash64(left(key, size))").alias("head"), F.expr("xxhash64(right(key, size))").alias("tail"),
+    )
+
+
+def _places(texts: DataFrame, longest: int) -> DataFrame:
+    """(query_id, text_key, start, rest): places of (query_id, text) where a title may begin, with what it may span.
+
+    Texts are cut into windows first, so that a place costs no more in a long text than in a short one.
+    """
+    text = texts.select("query_id", F.xxhash64("text").alias("text_key"), F.split("text", "").alias("chars")).filter("size(chars) > 0")
+    windows = text.select(
+        "query_id", "text_key",
+        F.expr(
+            f"inline(transform(sequence(0, size(chars) - 1, {WINDOW}), at -> struct(at, least({WINDOW}, size(chars) - at) as places, "
+            f"if(at > 0, chars[at - 1], '') as before, array_join(slice(chars, at + 1, {WINDOW + longest}), '') as piece)))"
         ),
     )
-    open_places = F.filter(window, lambda w: ~w["before"].rlike(WORD_BEFORE))
-    places = (
-        letters.filter((F.size("chars") > 0) & (F.col("longest") > 0))
-        .select("query_id", F.xxhash64("text").alias("text_key"), F.inline(open_places))
+    places = windows.select("*", F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("i")).select(
+        "query_id", "text_key", (F.col("at") + F.col("i")).alias("start"),
+        F.expr("if(i > 0, substring(piece, i, 1), before)").alias("before"), F.expr(f"substring(piece, i + 1, {longest})").alias("rest"),
     )
-    heads = F.array_distinct(F.array(F.left("piece", F.lit(2)), F.left("piece", F.lit(1))))
-    met = places.withColumn("head", F.explode(heads)).join(keys, "head")
-    span = F.struct("start", (F.col("start") + F.length("key")).alias("end"), "law_title")
+    within = F.lit(False)
+    for low, high in WORD_BEFORE:
+        within = within | F.col("before").between(low, high)
+    return places.filter(~within).drop("before")
+
+
+def titles_in_text(texts: DataFrame, master: DataFrame) -> DataFrame:
+    """(query_id, law_title, start, end): dictionary titles written out in (query_id, text).
+
+    No title right after a kanji or katakana. Positions refer to the normalised text. Every place is looked up by the hashes
+    of its next 1, 2, 4, … characters among the beginnings of titles, as far as there are titles of that size; a beginning gives
+    the lengths of its titles, and beginning, length and end the title. So a place meets one title for each
+    length at most, however many titles begin alike. Rows that repeat both id and text count once.
+    """
+    keys = materialize(_halves(master))
+    found = keys.agg(F.max("length").alias("longest"), F.sort_array(F.collect_set("size")).alias("sizes")).first()
+    longest, sizes = found["longest"] or 1, found["sizes"] or [1]
+    small = plan_bytes(keys) <= DICTIONARY_BYTES
+    heads = keys.groupBy("size", "head").agg(F.collect_set("length").alias("lengths"))
+    text = texts.select("query_id", n.normalize_query(F.col("text")).alias("text"))
+    begun = F.array(*[F.expr(f"if(length(rest) >= {s}, struct({s} as size, xxhash64(left(rest, {s})) as head), null)") for s in sizes])
+    places = _places(text, longest).withColumn("x", F.explode(begun)).filter("x is not null")
+    met = places.select("query_id", "text_key", "start", "rest", "x.*").join(F.broadcast(heads) if small else heads, ["size", "head"])
+    spans = met.withColumn("length", F.explode("lengths")).filter("length <= length(rest)")
+    spans = spans.withColumn("tail", F.expr("xxhash64(substring(rest, length - size + 1, size))"))
+    known = spans.join(F.broadcast(keys) if small else keys, ["size", "length", "head", "tail"]).filter("left(rest, length) = key")
+    span = F.struct("start", (F.col("start") + F.col("length")).alias("end"), "law_title")
     # Spans of one text only; their number is bounded by the length of that text.
-    hits = met.filter(F.startswith("piece", F.col("key"))).groupBy("query_id", "text_key").agg(F.collect_set(span).alias("hits"))
+    hits = known.groupBy("query_id", "text_key").agg(F.collect_set(span).alias("hits"))
 
     @F.pandas_udf("array<struct<law_title:string,start:int,end:int>>")
     def pick(column: pd.Series) -> pd.Series:
@@ -139,7 +176,8 @@ def titles_in_text(texts: DataFrame, master: DataFrame) -> DataFrame:
             lambda hs: [{"law_title": t, "start": s, "end": e} for s, e, t in _pick([(h["start"], h["end"], h["law_title"]) for h in hs])]
         )
 
-    return hits.select("query_id", F.inline(pick("hits")))
+    single = hits.filter("size(hits) = 1").select("query_id", F.inline("hits")).select("query_id", "law_title", "start", "end")
+    return single.unionByName(hits.filter("size(hits) > 1").select("query_id", F.inline(pick("hits"))))
 
 
 def gate_candidates(candidates: DataFrame, names: DataFrame, queries: DataFrame) -> DataFrame:

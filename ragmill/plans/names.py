@@ -132,6 +132,24 @@ def titles_in_text(spark, sf):
     return o.titles_in_text(sql(spark, sf, QUESTIONS_SQL), _master(spark, sf))
 
 
+# Titles that all begin with the same twenty characters, two to a question.
+ALIKE = "こくみんのきそくをさだめるほうりつだいご"
+ALIKE_MASTER_SQL = MASTER_SQL.replace("'特' ||", f"'{ALIKE}' ||")
+ALIKE_SQL = f"""SELECT o_orderkey AS query_id, '次の、{ALIKE}' || {KANJI.format('o_custkey')} || {FORMS.format('o_orderkey')} || 'と、 {ALIKE}' || {KANJI.format('o_custkey * 2')} || {FORMS.format('o_custkey')} || 'の' AS text FROM {{orders}}"""
+
+
+@query(f"""WITH flat AS (SELECT query_id, replace(replace(regexp_replace(text, '[\s　]', '', 'g'), '（', '('), '）', ')') AS text FROM ({ALIKE_SQL})),
+  p AS (SELECT query_id, string_split(text, '{ALIKE}') AS parts FROM flat),
+  places AS (SELECT query_id, length(parts[1]) AS s, parts[2] AS rest FROM p UNION ALL SELECT query_id, length(parts[1]) + {len(ALIKE)} + length(parts[2]), parts[3] FROM p),
+  k AS (SELECT law_num, law_title, unnest([regexp_replace(law_title, '（.*）', ''), replace(replace(law_title, '（', '('), '）', ')')]) AS key FROM ({ALIKE_MASTER_SQL})),
+  t AS (SELECT substr(key, {len(ALIKE) + 1}) AS tail, arg_min(law_title, law_num) AS law_title FROM k GROUP BY 1),
+  h AS (SELECT query_id, s, law_title, length(tail) AS l, row_number() OVER (PARTITION BY query_id, s ORDER BY length(tail) DESC) AS r
+    FROM places JOIN t ON substr(rest, 1, 1) = substr(tail, 1, 1) AND starts_with(rest, tail))
+SELECT query_id, law_title, s::int AS start, (s + {len(ALIKE)} + l)::int AS "end" FROM h WHERE r = 1""")
+def titles_that_begin_alike(spark, sf):
+    return o.titles_in_text(sql(spark, sf, ALIKE_SQL), o.title_dictionary(sql(spark, sf, ALIKE_MASTER_SQL)))
+
+
 # Candidates of the title search, stood in for by the neighbours of the asked number.
 CANDIDATES_SPARK_SQL = f"""SELECT q.query_id, m.law_num, m.law_title FROM (SELECT o_orderkey AS query_id, explode(array(o_custkey, o_custkey * 2)) AS p FROM {{orders}}) q JOIN ({MASTER_SQL}) m ON m.p_partkey = q.p"""
 GATED_NAMES = "query_id % 3 = 0"

@@ -1,3 +1,7 @@
+import random
+import re
+
+import pytest
 from pyspark.sql import functions as F
 
 from ragmill.functions import names as n
@@ -47,6 +51,33 @@ def test_titles_longest_first_and_not_inside_words(spark):
     assert titles(spark, "", "民法") == titles(spark, "民法") == []
 
 
+def plain_titles(text, names):
+    """Every title at every place, longest first."""
+    text, before = text.replace(" ", ""), "[一-龥ァ-ヴー々]"
+    spans = [
+        (i, i + len(t), t) for i in range(len(text)) for t in set(names)
+        if t and text.startswith(t, i) and not (i and re.match(before, text[i - 1]))
+    ]
+    taken = []
+    for s, e, t in sorted(spans, key=lambda x: (x[0] - x[1], x[0])):
+        if all(e <= a or b <= s for a, b, _ in taken):
+            taken.append((s, e, t))
+    return [(t, s, e) for s, e, t in sorted(taken)]
+
+
+@pytest.mark.parametrize("sent", [None, -1])
+def test_titles_that_begin_alike_and_long_texts(spark, monkeypatch, sent):
+    if sent is not None:
+        monkeypatch.setattr(o, "DICTIONARY_BYTES", sent)
+    rng = random.Random(1)
+    common = "このたびさだめるいちばんながいきそくの"
+    names = [common + "".join(rng.choice("あいう😀法") for _ in range(rng.randrange(1, 9))) for _ in range(120)] + ["あ", "いう", "法", common[:16]]
+    pieces = [*names, "、", "あ", "漢", "ー", "x y", "😀", common]
+    text = "".join(rng.choice(pieces) for _ in range(400))
+    assert titles(spark, text, *names) == plain_titles(text, names)
+    assert titles(spark, "あ" * 1000, "ああ", "あああ") == [("あああ", 3 * i, 3 * i + 3) for i in range(333)]
+
+
 def resolve(spark, text, law_names, spoken, laws, candidates=()):
     master = o.title_dictionary(spark.createDataFrame([(k, t) for k, t, _ in laws], "law_num string, law_title string"))
     status = spark.createDataFrame([(k, v) for k, _, v in laws], "law_num string, verdict string")
