@@ -333,18 +333,31 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """One document of each group of near-duplicates, in the columns of ``docs``.
 
-    Of rows that repeat an id, the one with the smallest text stays; rows with a null id all stay. Which row of an id stays
-    is settled first, so no document is dropped for being near to a row that is dropped itself.
+    Rows that share an id and a text are one document. Rows that share an id and differ in their texts are documents of their
+    own: the smallest text has the id, the others stand behind all ids, so they go only where they are near to another
+    document. Null and empty texts are the same. Rows with a null id all stay, an empty table gives none; texts of any length
+    are compared whole.
     """
     names = docs.columns
-    repeated = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("__n")).filter("__n > 1")
+    text = F.coalesce("text", F.lit(""))
+    repeated = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")
     repeated = materialize(repeated.select("doc_id"))
-    if not repeated.isEmpty():
-        twice = docs.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(
-            F.min_by(F.struct(*names), F.struct(F.coalesce("text", F.lit("")))).alias("r")
-        )
-        # Written, so that every later pass sees the same row of an id.
-        docs = docs.join(repeated, "doc_id", "left_anti").select(*names).unionByName(materialize(twice.select("r.*")))
-    decided = near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id")
-    kept = docs.filter("doc_id is not null").join(decided, "doc_id", "left_semi")
-    return kept.select(*names).unionByName(docs.filter("doc_id is null").select(*names))
+    if repeated.isEmpty():
+        decided = near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id")
+        kept = docs.filter("doc_id is not null").join(decided, "doc_id", "left_semi")
+        return kept.select(*names).unionByName(docs.filter("doc_id is null").select(*names))
+    rows = docs.filter("doc_id is not null").select("doc_id", text.alias("text"), F.struct(*names).alias("row"))
+    # Written, so that every later pass sees the same row of an id and text.
+    several = materialize(
+        rows.join(repeated, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.first("row").alias("row"))
+    )
+    first = several.groupBy("doc_id").agg(F.min("text").alias("text"))
+    low, high = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
+    place = F.monotonically_increasing_id()
+    own = several.join(first, ["doc_id", "text"], "left_anti").select(
+        (F.lit(high + 1) + place if high < 1 << 62 else F.lit(low - 1) - place).alias("doc_id"), "text", "row"
+    )
+    every = rows.join(repeated, "doc_id", "left_anti").unionByName(several.join(first, ["doc_id", "text"], "left_semi"))
+    every = every.unionByName(materialize(own))
+    decided = near_duplicates(every.select("doc_id", "text")).filter("kept").select("doc_id")
+    return every.join(decided, "doc_id", "left_semi").select("row.*").unionByName(docs.filter("doc_id is null").select(*names))

@@ -27,12 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ragmill.llm.texts import column, mix, slices, text_batches
+from ragmill.llm.texts import column, mix, release, slices, text_batches
 
 ALPHA = 2.0
 MARK = "▁"
-#: Edges that a worker keeps for units seen again; beyond that it starts anew.
-KEPT_EDGES = 4_000_000
+#: Bytes, about, that a worker keeps for units seen again; beyond that it starts anew.
+KEPT_BYTES = 48 << 20
+#: Text that a worker holds as units at one time.
+SLICE_BYTES = 512 << 10
 _UNIT = re.compile(" *[^ ]+| +")
 
 
@@ -121,6 +123,25 @@ def units(text: str) -> list[str]:
     return [u[1:] if u[:1] == " " and u[1:2] not in ("", " ") else u for u in _UNIT.findall(" " + text)]
 
 
+class Growing:
+    """An array that is added to at its end; its room doubles, so what it holds is seldom copied."""
+
+    def __init__(self, dtype):
+        self.room, self.n = np.zeros(1 << 12, dtype), 0
+
+    def add(self, values: np.ndarray) -> None:
+        if self.n + len(values) > len(self.room):
+            room = np.zeros(max(self.n + len(values), 2 * len(self.room)), self.room.dtype)
+            room[: self.n] = self.held
+            self.room = room
+        self.room[self.n : self.n + len(values)] = values
+        self.n += len(values)
+
+    @property
+    def held(self) -> np.ndarray:
+        return self.room[: self.n]
+
+
 class Lattices:
     """The filtered lattices of distinct units, as flat arrays of draw states.
 
@@ -137,9 +158,18 @@ class Lattices:
     def __init__(self, vocab: Vocabulary):
         self.vocab = vocab
         self.codes: dict[str, int] = {}
-        self.cum, self.piece, self.target = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
-        self.ends, self.first = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.states = 0
+        self._cum, self._piece, self._target = Growing(np.int64), Growing(np.int32), Growing(np.int32)
+        self._ends, self._first = Growing(np.int64), Growing(np.int64)
+        self.states = self.chars = 0
+
+    cum, piece, target = (property(lambda self, n=n: getattr(self, n).held) for n in ("_cum", "_piece", "_target"))
+    ends, first = (property(lambda self, n=n: getattr(self, n).held) for n in ("_ends", "_first"))
+
+    @property
+    def bytes(self) -> int:
+        """What is kept: arrays with their room, strings and their places in the dictionary."""
+        arrays = (self._cum, self._piece, self._target, self._ends, self._first)
+        return sum(x.room.nbytes for x in arrays) + 2 * self.chars + 180 * len(self.codes)
 
     def codes_of(self, found: list[list[str]]) -> np.ndarray:
         """The codes of all units; units not seen before are filtered."""
@@ -156,7 +186,8 @@ class Lattices:
         lengths = np.array([len(u) for u in fresh], np.int64)
         base = self.states + np.cumsum(lengths) - lengths
         self.states += int(lengths.sum())
-        self.ends = np.concatenate([self.ends, base + lengths - 1])
+        self.chars += int(lengths.sum())
+        self._ends.add(base + lengths - 1)
         parts = []
         order = np.argsort(lengths, kind="stable")
         short = order[lengths[order] <= self.LONG]
@@ -173,10 +204,10 @@ class Lattices:
         by_state = np.argsort(cum, kind="stable")
         edges = np.zeros(self.states - len(self.first), np.int64)
         np.add.at(edges, ((cum - 1) >> 32) - len(self.first), 1)
-        self.first = np.concatenate([self.first, len(self.cum) + np.cumsum(edges) - edges])
-        self.cum = np.concatenate([self.cum, cum[by_state]])
-        self.piece = np.concatenate([self.piece, np.concatenate([p[1] for p in parts])[by_state].astype(np.int32)])
-        self.target = np.concatenate([self.target, np.concatenate([p[2] for p in parts])[by_state].astype(np.int32)])
+        self._first.add(len(self.cum) + np.cumsum(edges) - edges)
+        self._cum.add(cum[by_state])
+        self._piece.add(np.concatenate([p[1] for p in parts])[by_state])
+        self._target.add(np.concatenate([p[2] for p in parts])[by_state])
 
     def _filter(self, found: list[str], lengths: np.ndarray, base: np.ndarray):
         """Forward filtering of many units at once: all places, by piece length."""
@@ -254,11 +285,11 @@ class Lattices:
 
     def draw(self, state: np.ndarray, number: np.ndarray) -> np.ndarray:
         """The edge of each state that holds its number: the first with a larger running probability."""
-        edge, value = self.first[state], (state << 32) + number
-        late = np.flatnonzero(self.cum[edge] <= value)
+        cum, edge, value = self.cum, self.first[state], (state << 32) + number
+        late = np.flatnonzero(cum[edge] <= value)
         while len(late):
             edge[late] += 1
-            late = late[self.cum[edge[late]] <= value[late]]
+            late = late[cum[edge[late]] <= value[late]]
         return edge
 
 
@@ -333,10 +364,10 @@ def encode(docs: DataFrame, path: str, seed: int = 0, alpha: float = ALPHA) -> D
         vocab = vocabulary(path, alpha)
         lattices = Lattices(vocab)
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
+            for part in slices(batch, "text", SLICE_BYTES):
                 texts = [t or "" for t in column(part, "text").to_pylist()]
                 ids = sample(texts, column(part, "key").to_numpy().view(np.uint64), vocab, lattices)
-                if len(lattices.cum) > KEPT_EDGES:
+                if lattices.bytes > KEPT_BYTES:
                     lattices = Lattices(vocab)
                 sizes = np.array([len(i) for i in ids])
                 flat = np.concatenate(ids) if len(ids) else np.zeros(0, np.int32)
@@ -349,6 +380,7 @@ def encode(docs: DataFrame, path: str, seed: int = 0, alpha: float = ALPHA) -> D
                     ],
                     ["doc_id", "pieces", "n_pieces", "pieces_crc32", "lossless"],
                 )
+            release()
 
     rows = text_batches(docs).select("doc_id", "text", row_keys(F.col("doc_id"), F.col("text"), seed).alias("key"))
     return rows.mapInArrow(run, "doc_id long, pieces array<int>, n_pieces long, pieces_crc32 long, lossless boolean")

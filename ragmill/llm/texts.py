@@ -36,6 +36,16 @@ def slices(batch: pa.RecordBatch, column: str, size: int = SLICE_BYTES):
     pa.default_memory_pool().release_unused()
 
 
+def release() -> None:
+    """Give memory that is no longer in use back to the system, where the C library can; workers outlive their tasks."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 

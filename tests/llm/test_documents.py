@@ -76,7 +76,7 @@ def test_near_duplicates_null_ids_and_empty(frame):
     assert sorted((r["doc_id"] or -1, r["kept"]) for r in got) == [(-1, True), (-1, True), (1, True)]
     assert minhash.near_duplicates(frame([])).count() == 0
     kept = minhash.drop_near_duplicates(frame([(1, "b"), (1, "a"), (2, "q"), (2, "q"), (None, "n"), (None, "n")])).collect()
-    assert sorted((r["doc_id"] or -1, r["text"]) for r in kept) == [(-1, "n"), (-1, "n"), (1, "a"), (2, "q")]
+    assert sorted((r["doc_id"] or -1, r["text"]) for r in kept) == [(-1, "n"), (-1, "n"), (1, "a"), (1, "b"), (2, "q")]
 
 
 def test_near_duplicates_of_a_dropped_row_stay(frame):
@@ -85,6 +85,16 @@ def test_near_duplicates_of_a_dropped_row_stay(frame):
     assert sorted((r["doc_id"] or -1, r["text"]) for r in kept) == [(-1, one), (1, one), (3, other)]
 
 
+def test_texts_that_share_an_id_are_compared_on_their_own(frame):
+    one, other, third = "a b c d e f g h i j", "q r s t u v w x y z", "k l m n o p k k l m"
+    rows = [(1, one), (1, other), (1, third), (1, third), (1, None), (1, ""), (1 << 40, other + " a"), (2, one + " a"), (2, "2 3 4 5 6 7")]
+    kept = [(r["doc_id"], r["text"] or "") for r in minhash.drop_near_duplicates(frame(rows)).collect()]
+    assert sorted(kept) == sorted([(1, one), (1, third), (1, ""), (1 << 40, other + " a"), (2, "2 3 4 5 6 7")])
+    far = [((1 << 63) - 1, one), ((1 << 63) - 1, other), (5, other), (6, third)]
+    kept = minhash.drop_near_duplicates(frame(far)).collect()
+    assert sorted(r["text"] for r in kept) == sorted([one, other, third])
+
+
 def test_superminhash_estimates_and_registers():
     rng = np.random.default_rng(0)
     pool = rng.integers(1, 1 << 62, 600).astype(np.uint64)
