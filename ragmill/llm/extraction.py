@@ -8,8 +8,10 @@ one section over the whole of an article, so the choice grows to the article or
 there is one, and takes the neighbours of its kind under the same parent that reach the threshold. On other pages all of the
 parent is taken, its own texts, headings and short sections too, but for neighbours below the threshold that are mostly links.
 
-Parts that are no text by their kind (menus, page headers and footers, sidebars, forms, scripts) or by their name
-(adverts, notices, comments and the like) are left out of the tree before densities are computed.
+Parts that are no text by their kind (menus, page headers and footers, sidebars, forms, scripts) are left out of the tree
+before densities are computed. A name (adverts, notices, comments and the like) only makes a part a suspect: what holds the
+page's article, or most of its text, stays whatever it is called, and so does the header of an article that holds its
+heading. A name is a whole token of a class or id; tokens that tell how a page is laid out (no-sidebar, has-menu) name nothing.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from ragmill.llm.texts import column, slices, text_batches
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 DROPPED = frozenset(
     "script style noscript template iframe object svg canvas nav header footer aside form button select option textarea "
-    "input label fieldset dialog menu head title audio video map math".split()
+    "input fieldset dialog menu head title audio video map".split()
 )
 #: What can stand in a page's head; anything else ends it.
 HEAD = frozenset("base basefont bgsound link meta title noscript noframes style script template head html".split())
@@ -45,23 +47,29 @@ CLOSES = {
 _UNWANTED_NAMES = (
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu "
     "breadcrumb breadcrumbs sidebar side footer masthead topbar cookie cookies consent gdpr notice notices alert popup modal "
-    "newsletter subscribe subscription signup login share sharing social related recommended comment comments respond reply "
-    "replies disqus pagination pager widget toolbar"
+    "newsletter subscribe subscription signup login share sharing social related recommended pagination pager widget toolbar"
 ).split()
+#: Names of what readers write; it may be longer than the article.
+_READERS = frozenset("comment comments commentlist respond reply replies disqus discussion discussions feedback talkback".split())
+_UNWANTED = _READERS | frozenset(_UNWANTED_NAMES)
+#: Tokens with such a first or last word tell the state or layout of what they stand on.
+_STATE_FIRST = frozenset("no not has have with without is side hide hides show shows single open enable enabled disable disabled".split())
+_STATE_LAST = frozenset("open closed enabled disabled active inactive on off true false none left right layout page visible hidden top bottom below above".split())
 _UNWANTED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
-_NAME = re.compile(r"[a-z]+")
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class Node:
-    __slots__ = ("chars", "children", "link_chars", "link_tags", "parent", "tag", "tags")
+    __slots__ = ("chars", "children", "link_chars", "link_tags", "name", "parent", "tag", "tags")
 
-    def __init__(self, tag: str, parent: Node | None):
-        self.tag, self.parent = tag, parent
+    def __init__(self, tag: str, parent: Node | None, name: str = ""):
+        self.tag, self.parent, self.name = tag, parent, name
         self.children: list[Node | str] = []
         self.chars = self.link_chars = self.tags = self.link_tags = 0
 
 
 def unwanted(tag: str, attrs) -> bool:
+    """Whether an element is no text by its kind, role or style."""
     if tag in DROPPED:
         return True
     if tag in ("html", "body", "article", "main"):
@@ -71,13 +79,29 @@ def unwanted(tag: str, attrs) -> bool:
             return True
         if name == "role" and value and value.lower() in _UNWANTED_ROLES:
             return True
-        if name in ("class", "id") and value and not set(_NAME.findall(value.lower())).isdisjoint(_UNWANTED_NAMES):
-            return True
         if name == "style" and value and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
     return False
 
 
+def name_of(tag: str, attrs) -> str:
+    """"readers" or "part" for an element whose class or id names something that is no text of the page, else empty."""
+    found = ""
+    if tag in ("html", "body", "main"):
+        return found
+    for name, value in attrs:
+        if name in ("class", "id") and value:
+            for token in value.split():
+                words = [w.lower() for w in _WORD.findall(token)]
+                if not words or len(words) > 1 and (words[0] in _STATE_FIRST or words[-1] in _STATE_LAST):
+                    continue
+                if not _READERS.isdisjoint(words):
+                    return "readers"
+                if not _UNWANTED.isdisjoint(words):
+                    found = "part"
+    return found
+
+
 class Tree(HTMLParser):
     """A page as a tree of nodes and texts, without the unwanted parts. Unclosed and stray tags are forgiven."""
 
@@ -99,19 +123,20 @@ class Tree(HTMLParser):
             return
         if tag in ("html", "body") and any(n.tag == tag for n in self._open()):
             return
-        if unwanted(tag, attrs):
+        titled = tag == "header" and any(n.tag in ("article", "main") for n in self._open())
+        if unwanted(tag, attrs) and not titled:
             if tag in BLOCKS or tag in ("nav", "header", "footer", "aside", "form"):
                 self._close_p()
                 self.at.children.append("\n")
             if tag not in VOID:
                 self.skipped.append(tag)
             return
-        if tag in BLOCKS:
+        if tag in BLOCKS or titled:
             self._close_p()
         if tag in CLOSES:
             ended, border = (x.split() for x in CLOSES[tag])
             self._pop(set(ended), set(border))
-        node = Node(tag, self.at)
+        node = Node(tag, self.at, "header" if titled else name_of(tag, attrs))
         self.at.children.append(node)
         if tag not in VOID:
             self.at = node
@@ -137,7 +162,7 @@ class Tree(HTMLParser):
             if node.tag == tag:
                 self.at = node.parent
                 return
-            if node.tag in ("article", "main", "td", "th", "table") and tag not in BLOCKS:
+            if (node.name or node.tag in ("article", "main", "td", "th", "table")) and tag not in BLOCKS:
                 return
 
     def handle_data(self, data):
@@ -204,6 +229,56 @@ def _measure(root: Node) -> list[Node]:
     return nodes
 
 
+def _pruned(root: Node) -> list[Node]:
+    """All nodes, measured, without the suspects that are no text of the page."""
+    nodes = _measure(root)
+    if not any(n.name for n in nodes):
+        return nodes
+    body = next((n for n in nodes if n.tag == "body"), root)
+    marks = [n for n in nodes if n.tag in ("article", "main") and not n.name] or [n for n in nodes if n.tag == "article"]
+    held: set[int] = set()
+    if marks:
+        # Small articles, such as readers' comments, do not make what is around them the page's text.
+        node = max(marks, key=lambda n: n.chars - n.link_chars)
+        while node is not None:
+            held.add(id(node))
+            node = node.parent
+    gone: set[int] = set()
+    for node in nodes:
+        if node.parent is not None and id(node.parent) in gone:
+            gone.add(id(node))
+        elif node.name and id(node) not in held and not _is_text(node, body, nodes):
+            gone.add(id(node))
+            block = node.tag in BLOCKS or node.tag == "header"
+            siblings = node.parent.children
+            siblings[next(i for i, c in enumerate(siblings) if c is node)] = "\n" if block else ""
+    for node in nodes:
+        node.chars = node.link_chars = node.tags = node.link_tags = 0
+    return _measure(root)
+
+
+def _is_text(node: Node, body: Node, nodes: list[Node]) -> bool:
+    """Whether a suspect is text all the same: a heading's header, or most of what is around it and not links."""
+    around = node.parent
+    while around is not None and around.tag not in ("article", "main"):
+        around = around.parent
+    if node.name == "header":
+        inner = list(node.children)
+        heading = False
+        while inner and not heading:
+            c = inner.pop()
+            if isinstance(c, Node):
+                heading = c.tag in ("h1", "h2", "h3", "h4", "h5", "h6")
+                inner += c.children
+        return heading and 2 * node.link_chars < max(node.chars, 1)
+    if around is None and any(n.tag in ("article", "main") and not n.name for n in nodes):
+        return False
+    rest = (around or body).chars - node.chars
+    if node.name == "readers" and rest > 0:
+        return False
+    return node.chars > 2 * rest and 2 * node.link_chars < node.chars
+
+
 def density(node: Node, body: Node) -> float:
     """Composite text density ``C/T * log_b(C/LC * T/LT)``, ``b = 1 + ln(C/(C-LC) * LC + LCb/Cb * C + e)``.
 
@@ -240,7 +315,7 @@ def _beside(chosen: Node, dense: dict[int, float], threshold: float) -> list[Nod
 
 
 def _main_nodes(root: Node) -> list[Node | str]:
-    nodes = _measure(root)
+    nodes = _pruned(root)
     body = next((n for n in nodes if n.tag == "body"), root)
     inside = {id(body)}
     within = [body]
@@ -299,7 +374,11 @@ def main_text(html: str | None) -> str:
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, n_chars) per row of ``pages`` (page_id, url, html); repeated rows come out repeated."""
+    """(page_id, url, text, n_chars) per row of ``pages`` (page_id, url, html).
+
+    Repeated rows come out repeated, null and empty pages with an empty text, an empty table as an empty one. A page of any
+    length is parsed whole by one task. Other columns are not read, whatever their names are.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -51,6 +51,59 @@ def test_unclosed_unwanted_parts(html, text):
     assert extraction.main_text(html) == text
 
 
+BODY = "".join(f"<p>Paragraph {w} of the article runs on for a good while, as paragraphs do, and says something.</p>" for w in ("one", "two", "three"))
+TEXT = "\n".join(f"Paragraph {w} of the article runs on for a good while, as paragraphs do, and says something." for w in ("one", "two", "three"))
+NAV = '<nav><a href="/">Home</a><a href="/b">Blog</a></nav>'
+READER = "<div class='c'><p>A reader writes a long remark about all of this and goes on and on, longer than the article itself is.</p></div>"
+TEMPLATES = [
+    f'<body><div class="layout no-sidebar">{NAV}<article>{BODY}</article></div></body>',
+    f'<body class="has-menu comments-open"><div class="has-menu"><main>{BODY}</main></div></body>',
+    f'<body><div class="side-by-side"><article>{BODY}</article></div></body>',
+    f'<body><div class="post comments-open"><article>{BODY}</article></div></body>',
+    f'<body><div class="page sidebar-right"><div class="content"><article>{BODY}</article></div><div class="sidebar"><p>About me and my site</p></div></div></body>',
+    f'<body><div id="sidebar-layout"><main>{BODY}</main><aside>x</aside></div></body>',
+    f'<body><div class="menu"><article>{BODY}</article></div></body>',
+    f'<body><div class="widget-area"><div class="navigation-wrapper"><main><div>{BODY}</div></main></div></div></body>',
+    f'<body><article>{BODY}</article><section id="reader-discussion">{READER * 6}</section></body>',
+    f'<body><article>{BODY}<section class="comments">{READER * 6}</section></article></body>',
+    f'<body><article>{BODY}</article><section id="comments">{"".join(f"<article>{READER}</article>" for _ in range(5))}</section></body>',
+    f'<body><article>{BODY}</article>{"".join(f"<article class=comment>{READER}</article>" for _ in range(5))}</body>',
+    f'<body><article>{BODY}<div class="related"><a href=1>More</a></div><div id="shareBar" class="socialLinks">Share</div></article></body>',
+    f'<body><div class="wrapper with-sidebar"><div id="main">{BODY}</div><div id="sidebar"><ul><li><a href=1>Link one</a></ul></div></div></body>',
+    f'<body>{NAV}<div class="promotion-page">{BODY}</div><div class="cookie-consent"><p>We use cookies</p></div></body>',
+    f'<body><div class="social"><div class="text">{BODY}</div></div><div class="newsletter"><p>Join us</p></div></body>',
+    f'<body><div class="single-sidebar" id="content"><div class="entry">{BODY}</div></div><div class="commentlist">{READER}</div></body>',
+    f'<body><header class="site"><h1>Site</h1></header><div id="page"><div class="banner">Sale</div><div>{BODY}</div></div><footer>f</footer></body>',
+    f'<body><main><div class="alert">Read this first</div>{BODY}<div class="pagination"><a href=2>2</a></div></main></body>',
+    f'<body><div id="nav-menu"><ul><li><a href=1>a</a><li><a href=2>b</a></ul></div><article class="post related-enabled">{BODY}</article></body>',
+    f'<body><article id="comment-policy">{BODY}</article></body>',
+    f'<body><article>{BODY}<footer>By me</footer></article><div class="ad ad-top">Buy</div></body>',
+]
+
+
+@pytest.mark.parametrize("html", TEMPLATES)
+def test_names_of_wrappers_and_parts(html):
+    assert extraction.main_text(html) == TEXT
+
+
+def test_articles_keep_their_heading_labels_and_formulas():
+    page = f'<body><article><header><h1>Title</h1><p>By someone</p></header>{BODY}<p>So <label>this</label> <math><mi>x</mi></math> holds</p></article></body>'
+    assert extraction.main_text(page) == f"Title\nBy someone\n{TEXT}\nSo this x holds"
+    page = f'<body><article><header><a href=1>Home</a></header>{BODY}</article></body>'
+    assert extraction.main_text(page) == TEXT
+
+
+@pytest.mark.parametrize(
+    "value,name",
+    [
+        ("sidebar", "part"), ("no-sidebar", ""), ("left-sidebar", "part"), ("comments-open", ""), ("CommentList", "readers"), ("adSlot", "part"),
+        ("badge heading", ""), ("post-header", ""), ("shadow", ""), ("a b c menu", "part"), ("", ""), ("x-1 2", ""), ("reader-discussion", "readers"),
+    ],
+)
+def test_names(value, name):
+    assert extraction.name_of("div", [("class", value)]) == name == extraction.name_of("div", [("id", value)])
+
+
 LONG = "A long paragraph of running text that goes on and on, as paragraphs of a page do. " * 4
 
 
