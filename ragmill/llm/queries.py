@@ -66,8 +66,9 @@ def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op1_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with its surrogates and where they stand."""
-    return surrogates.with_surrogates(table(spark, sf_dir, "documents").select("doc_id", "text"), spans=True).select(
+    """Every document with its surrogates and where they stand. The tables are made up, so a test key may do."""
+    key = surrogates.key_of(spark, test_key="key for made-up documents")
+    return surrogates.with_surrogates(table(spark, sf_dir, "documents").select("doc_id", "text"), key, spans=True).select(
         "doc_id", "text", F.size("entities").alias("n_entities"), "entities"
     )
 

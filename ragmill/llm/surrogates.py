@@ -17,17 +17,19 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ragmill.llm.texts import column, text_batches
 from ragmill.session import materialize
 
-KEY = "surrogates"
+#: The setting of a session that holds the key. Whoever knows the key can undo surrogates, so there is no key here.
+KEY_SETTING = "spark.ragmill.surrogates.key"
 
 # Given names by gender and script.
 NAMES: dict[str, str] = {
@@ -202,7 +204,7 @@ def _hex(text: str, key: str, label: str) -> str:
 _MAKERS = {"secret": _hex, "mac": _hex, "card": _card, "account": _card, "ip": _ip, "phone": _phone, "email": _email, "given": _given}
 
 
-def surrogate(kind: str, canonical: str, key: str = KEY, attempt: int = 0) -> str:
+def surrogate(kind: str, canonical: str, key: str, attempt: int = 0) -> str:
     """The surrogate of an entity; each attempt is a permutation of its own."""
     return _MAKERS.get(kind, reshape)(canonical, key, f"{kind}|{attempt}")
 
@@ -262,11 +264,12 @@ def entities(text: str | None) -> list[tuple[int, int, str, str]]:
     if not text:
         return []
     found: list[tuple[int, int, str, str]] = []
-    taken: list[tuple[int, int]] = []
+    taken: list[tuple[int, int]] = []  # in order, without overlaps
 
     def add(start: int, end: int, kind: str, canonical: str) -> None:
-        if all(end <= a or start >= b for a, b in taken):
-            taken.append((start, end))
+        at = bisect_left(taken, (end, 0))
+        if not at or taken[at - 1][1] <= start:
+            taken.insert(at, (start, end))
             found.append((start, end, kind, canonical))
 
     digits = any(c in text for c in "0123456789")
@@ -309,7 +312,7 @@ def _hints() -> frozenset[str]:
     return frozenset({*TITLES, *_listed()})
 
 
-def replace(text: str | None, key: str = KEY, attempts: dict[tuple[str, str], int] | None = None):
+def replace(text: str | None, key: str, attempts: dict[tuple[str, str], int] | None = None):
     """(text with surrogates, [(kind, start, end)] in it); null stays null."""
     if not text:
         return text, []
@@ -416,7 +419,7 @@ def _common(drawn: DataFrame, clash: DataFrame, key: str, first: int, rounds: in
     return materialize(out)
 
 
-def assign(entities: DataFrame, key: str = KEY, rounds: int = 50) -> DataFrame:
+def assign(entities: DataFrame, key: str, rounds: int = 50) -> DataFrame:
     """(kind, canonical, attempt, made): surrogates without collisions for distinct (kind, canonical).
 
     Where real entities nearly fill their shape, some still clash after the rounds. All entities of such a shape then take
@@ -447,11 +450,24 @@ def assign(entities: DataFrame, key: str = KEY, rounds: int = 50) -> DataFrame:
     return _common(drawn, clash, key, rounds + 1, 50)
 
 
-def with_surrogates(docs: DataFrame, key: str = KEY, spans: bool = False) -> DataFrame:
+def key_of(spark: SparkSession, test_key: str | None = None) -> str:
+    """The key that the session is given in ``KEY_SETTING``; ``test_key`` only stands in for it where data are made up."""
+    key = spark.conf.get(KEY_SETTING, None) or test_key
+    if not key:
+        raise ValueError(f"set {KEY_SETTING} to a secret of at least 16 characters")
+    return key
+
+
+def with_surrogates(docs: DataFrame, key: str, spans: bool = False) -> DataFrame:
     """``docs`` with every entity in ``text`` replaced, and ``n_chars``, where there is one, counted anew.
 
-    With ``spans`` an array of (kind, start, end) of the surrogates follows. Null and empty texts stay as they are.
+    With ``spans`` an array ``entities`` of (kind, start, end) of the surrogates follows; a column of that name, whatever its
+    case, is refused. Null and empty texts stay as they are, texts of any length are taken whole. Rows that repeat an
+    id or a text each have their own row, equal entities get equal surrogates in all of them. An empty table gives an
+    empty one. Other columns are passed on, whatever their names are.
     """
+    if spans and "entities" in (c.lower() for c in docs.columns):
+        raise ValueError("docs has a column entities")
     found = materialize(mentions(text_batches(docs)))
     redrawn = assign(found.select("kind", "canonical").distinct(), key).filter("attempt > 0")
     exceptions = materialize(
@@ -459,25 +475,26 @@ def with_surrogates(docs: DataFrame, key: str = KEY, spans: bool = False) -> Dat
         .distinct().groupBy("row").agg(F.collect_list(F.struct("kind", "canonical", "attempt")).alias("redrawn"))
     )
     names = docs.columns
-    rows = docs.select(*names, _row_key().alias("__row"))
+    # The places of columns count, so that no name can clash.
+    rows = docs.select(F.struct(*names).alias("doc"), _row_key().alias("row"))
     if exceptions.isEmpty():
-        rows = rows.withColumn("__redrawn", F.lit(None).cast("array<struct<kind:string,canonical:string,attempt:int>>"))
+        rows = rows.withColumn("redrawn", F.lit(None).cast("array<struct<kind:string,canonical:string,attempt:int>>"))
     else:
-        rows = rows.join(exceptions.selectExpr("row as __row", "redrawn as __redrawn"), "__row", "left")
-    rows = rows.select(*names, "__redrawn")
+        rows = rows.join(exceptions, "row", "left")
+    rows = rows.select("doc", "redrawn")
     at = names.index("text")
     types = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, places = [], []
-            redrawn = column(batch, "__redrawn").to_pylist()
-            for i, text in enumerate(column(batch, "text")):
+            redrawn = column(batch, "redrawn").to_pylist()
+            columns = column(batch, "doc").flatten()
+            for i, text in enumerate(columns[at]):
                 tries = {(r["kind"], r["canonical"]): r["attempt"] for r in redrawn[i] or ()}
                 new, marks = replace(text.as_py(), key, tries)
                 texts.append(new)
                 places.append([{"kind": k, "start": a, "end": b} for k, a, b in marks])
-            columns = [batch.column(i) for i in range(len(names))]
             columns[at] = pa.array(texts, pa.string())
             if "n_chars" in names:
                 old = columns[names.index("n_chars")]

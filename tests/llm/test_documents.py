@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -14,6 +15,7 @@ from ragmill.llm import minhash, mixing, segmentation, substrings, surrogates, t
 from tests import oracle
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
+KEY = "a key for tests"
 FOLD = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
 
 
@@ -85,6 +87,24 @@ def test_near_duplicates_of_a_dropped_row_stay(frame):
     assert sorted((r["doc_id"] or -1, r["text"]) for r in kept) == [(-1, one), (1, one), (3, other)]
 
 
+def test_surrogates_need_a_key_and_scan_long_texts_once(spark, frame):
+    with pytest.raises(ValueError, match="surrogates.key"):
+        surrogates.key_of(spark)
+    assert surrogates.key_of(spark, "k") == "k"
+    spark.conf.set(surrogates.KEY_SETTING, "of the session")
+    assert surrogates.key_of(spark, "k") == "of the session"
+    spark.conf.unset(surrogates.KEY_SETTING)
+    assert surrogates.surrogate("ssn", "123-45-6789", "one") != surrogates.surrogate("ssn", "123-45-6789", "two")
+    text = " ".join(f"u{i}@mail{i}.org" for i in range(16_000))
+    start = time.perf_counter()
+    assert len(surrogates.entities(text)) == 16_000 and time.perf_counter() - start < 2
+    odd = frame([(1, "mail a.b@c.org now")]).selectExpr("*", "1 as row", "2 as redrawn", "'e' as ENTITIES")
+    out = surrogates.with_surrogates(odd, KEY).first()
+    assert (out["row"], out["redrawn"], out["ENTITIES"]) == (1, 2, "e") and "a.b@c.org" not in out["text"]
+    with pytest.raises(ValueError, match="entities"):
+        surrogates.with_surrogates(odd, KEY, spans=True)
+
+
 def test_texts_that_share_an_id_are_compared_on_their_own(frame):
     one, other, third = "a b c d e f g h i j", "q r s t u v w x y z", "k l m n o p k k l m"
     rows = [(1, one), (1, other), (1, third), (1, third), (1, None), (1, ""), (1 << 40, other + " a"), (2, one + " a"), (2, "2 3 4 5 6 7")]
@@ -291,22 +311,22 @@ def test_codes():
 
 
 def test_surrogates_are_distinct_and_keep_their_form():
-    seen = {surrogates.surrogate("surname", a + b + c) for a in "bcd" for b in "aeiou" for c in "lmnr"}
+    seen = {surrogates.surrogate("surname", a + b + c, KEY) for a in "bcd" for b in "aeiou" for c in "lmnr"}
     assert len(seen) == 60 and all(len(s) == 3 and s[1] in "aeiou" for s in seen)
     for text in ("Ελένη", "Петров", "Müller-Lüdenscheidt", "王小明", "كمال"):
-        new = surrogates.surrogate("surname", text)
+        new = surrogates.surrogate("surname", text, KEY)
         assert len(new) == len(text) and [c.isupper() for c in new] == [c.isupper() for c in text]
         assert [ord(c) >> 8 for c in new] == [ord(c) >> 8 for c in text] or text.startswith(("M", "王"))
-    card = surrogates.surrogate("card", "4111111111111111")
+    card = surrogates.surrogate("card", "4111111111111111", KEY)
     assert surrogates.luhn_ok(card) and card != "4111111111111111"
     for ip in ("10.1.2.3", "192.168.0.7", "8.8.8.8"):
-        new = surrogates.surrogate("ip", ip)
+        new = surrogates.surrogate("ip", ip, KEY)
         assert surrogates._range(sum(int(x) << s for x, s in zip(new.split("."), (24, 16, 8, 0), strict=True))) == surrogates._range(
             sum(int(x) << s for x, s in zip(ip.split("."), (24, 16, 8, 0), strict=True))
         )
     for kind, names in surrogates.NAMES.items():
-        assert {surrogates.surrogate("given", n) for n in names.split()} == set(names.split()), kind
-    assert re.fullmatch("[0-9a-f]{40}", surrogates.surrogate("secret", "1eb9c654e721b4f812088970e66a6345cee33dd6"))
+        assert {surrogates.surrogate("given", n, KEY) for n in names.split()} == set(names.split()), kind
+    assert re.fullmatch("[0-9a-f]{40}", surrogates.surrogate("secret", "1eb9c654e721b4f812088970e66a6345cee33dd6", KEY))
 
 
 PRIVATE = (
@@ -319,7 +339,7 @@ PRIVATE = (
 def test_surrogates_in_documents(frame):
     docs = [(1, PRIVATE), (2, "again 8.196.197.208!! and Mr. Smith"), (3, None), (4, ""), (5, "nothing here"), (None, PRIVATE), (1, PRIVATE)]
     table = frame(docs)
-    out = surrogates.with_surrogates(table)
+    out = surrogates.with_surrogates(table, KEY)
     assert out.columns == table.columns
     got = {(r["doc_id"], r["n_chars"]): r["text"] for r in out.collect()}
     texts = {i: t for (i, _), t in got.items()}
@@ -335,7 +355,7 @@ def test_surrogates_in_documents(frame):
     surname = re.search(r"Mr\. \w+ (\w+) met", new)[1]
     assert f"{surname} left" in new and f"Mr. {surname}" in texts[2]
     assert re.search(r"ip (\S+),", new)[1] in texts[2]
-    assert surrogates.with_surrogates(frame([])).count() == 0
+    assert surrogates.with_surrogates(frame([]), KEY).count() == 0
 
 
 def test_neighbouring_entities_are_told_apart():
@@ -351,19 +371,19 @@ def test_neighbouring_entities_are_told_apart():
 @pytest.mark.parametrize("name", ["Anna Schmidt", "Мария Иванова", "Dr. Weber"])
 def test_names_beside_any_mark(frame_of, name):
     text = frame_of.format(name)
-    new, spans = surrogates.replace(text)
+    new, spans = surrogates.replace(text, KEY)
     assert spans and name.split()[1] not in new and (name[:2] == "Dr" or name.split()[0] not in new)
     # The same entity as in a plain document.
-    assert name[:2] == "Dr" or new == text.replace(name, surrogates.replace(f"so {name} said")[0][3:-5])
+    assert name[:2] == "Dr" or new == text.replace(name, surrogates.replace(f"so {name} said", KEY)[0][3:-5])
 
 
 def test_surrogate_collisions_are_drawn_anew(spark):
     """Entities of a shape with few members: their surrogates hit real ones until they are drawn anew."""
     names = [("surname", a + b) for a in "Bcd" for b in "ae"] + [("surname", "Zu")]
-    rows = surrogates.assign(spark.createDataFrame(names, "kind string, canonical string")).collect()
+    rows = surrogates.assign(spark.createDataFrame(names, "kind string, canonical string"), KEY).collect()
     made = [r["made"] for r in rows]
     assert len(set(made)) == len(names) and not set(made) & {c for _, c in names}
-    assert all(r["made"] == surrogates.surrogate(r["kind"], r["canonical"], attempt=r["attempt"]) for r in rows)
+    assert all(r["made"] == surrogates.surrogate(r["kind"], r["canonical"], KEY, attempt=r["attempt"]) for r in rows)
 
 
 INSULTS = "idiot moron stupid loser worthless trash scum pathetic disgusting clown".split()
@@ -372,11 +392,11 @@ INSULTS = "idiot moron stupid loser worthless trash scum pathetic disgusting clo
 def test_surrogates_of_a_nearly_full_shape_stay_distinct(spark):
     full = [("surname", a + b) for a in "AEIOU" for b in "bcdfghjklmnpqrstvwxyz"][:95]
     rows = [*full, ("surname", "Schmidt"), ("ip", "10.0.0.1"), ("given", "Anna"), ("given", "Maria")]
-    got = surrogates.assign(spark.createDataFrame(rows, "kind string, canonical string"), rounds=6).collect()
+    got = surrogates.assign(spark.createDataFrame(rows, "kind string, canonical string"), KEY, rounds=6).collect()
     assert sorted((r["kind"], r["canonical"]) for r in got) == sorted(rows)
     assert len({(r["kind"], r["made"]) for r in got}) == len(rows)
     assert all(r["made"] != r["canonical"] for r in got if r["kind"] != "given")
-    assert all(r["made"] == surrogates.surrogate(r["kind"], r["canonical"], attempt=r["attempt"]) for r in got)
+    assert all(r["made"] == surrogates.surrogate(r["kind"], r["canonical"], KEY, attempt=r["attempt"]) for r in got)
     assert len({r["attempt"] for r in got if ("surname", r["canonical"]) in full}) == 1
 
 
@@ -385,7 +405,7 @@ def test_surrogates_of_a_nearly_full_shape_stay_distinct(spark):
     ("card", "4111111111111111"), ("phone", "+49|3012345678"), ("email", "anna.b@example.com"), ("surname", "Łąß山田カ"), ("iban", "DE89370400440532013000"),
 ])
 def test_surrogates_stay_in_their_group(kind, name):
-    assert all(surrogates.group(kind, surrogates.surrogate(kind, name, attempt=t)) == surrogates.group(kind, name) for t in range(40))
+    assert all(surrogates.group(kind, surrogates.surrogate(kind, name, KEY, attempt=t)) == surrogates.group(kind, name) for t in range(40))
 
 
 def test_toxicity_learns_and_rejects(frame, spark):
@@ -437,7 +457,7 @@ def test_extra_columns_do_not_matter(frame, rows):
     assert minhash.near_duplicates(odd).count() == 40
     assert substrings.remove_repeats(odd).count() == 40
     assert mixing.mix(odd).count() >= 40
-    for out in (minhash.drop_near_duplicates(odd), mixing.mixed_documents(odd), surrogates.with_surrogates(odd)):
+    for out in (minhash.drop_near_duplicates(odd), mixing.mixed_documents(odd), surrogates.with_surrogates(odd, KEY)):
         assert out.columns == odd.columns and out.count() > 0
     labels = odd.selectExpr("doc_id", "1 as quality", "0 as toxic")
     assert toxicity.reject_toxic(odd, labels).columns == odd.columns
