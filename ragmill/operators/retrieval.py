@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ragmill.functions.text import WS, neutralize_markers
-from ragmill.operators.topk import SCOPE_ANY, BigramBlock, VectorBlock, batch_topk
+from ragmill.operators.topk import SCOPE_ANY, GramIndex, VectorBlock, batch_topk
 
 RRF_K = 60
 TOP_M = 10
@@ -56,7 +56,7 @@ def bigram_topk(
         _text_side(queries, _any(), id_col="query_id", name="query_id"),
         _text_side(corpus, id_col=id_col, name="id"),
         k,
-        partial(BigramBlock, min_sim=min_sim),
+        partial(GramIndex, min_sim=min_sim),
     )
 
 
@@ -98,7 +98,7 @@ def bigram_topk_scoped(
         _text_side(_scoped_queries(queries), F.col("scope"), id_col="query_id", name="query_id"),
         _text_side(corpus, *_corpus_scopes(), id_col=id_col, name="id"),
         k,
-        partial(BigramBlock, min_sim=min_sim),
+        partial(GramIndex, min_sim=min_sim),
         n_scopes=2,
     )
 

@@ -120,43 +120,83 @@ class VectorBlock:
                 top.offer_matrix(rows, scores, ids[part])
 
 
-class BigramBlock:
-    """2-gram sets of one query block as (2-gram x query) membership matrices per scope."""
+class GramIndex:
+    """2-gram sets of one query block as an index over the distinct 2-grams, per scope.
+
+    A 2-gram that few queries hold has a list of them; only those that more than one in ``SPARSE`` hold have a row of
+    flags. The rows are fewer than ``SPARSE`` times the mean set, whatever the alphabet, so the index grows with the sets of
+    its queries and not with their number times the vocabulary. Documents are counted many at a time.
+    """
+
+    SPARSE = 32
 
     def __init__(self, table: pa.Table, min_sim: float):
         self.query_ids = _ids(table["query_id"].to_pandas())
         self.by_scope = _rows_by_scope(table)
         self.min_sim = min_sim
         sets = [bigram_codes(t) for t in table["payload"].to_pylist()]
-        self.sizes = np.array([len(s) for s in sets])
-        self.vocabulary = np.unique(np.concatenate(sets)) if sets else np.empty(0, np.int64)
-        member = np.zeros((len(self.vocabulary), len(sets)), dtype=np.float32)
-        for i, codes in enumerate(sets):
-            member[np.searchsorted(self.vocabulary, codes), i] = 1
-        self.member = {s: np.ascontiguousarray(member[:, rows]) for s, rows in self.by_scope.items()}
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
+        owner = np.repeat(np.arange(len(sets)), self.sizes)
+        self.vocabulary, code = np.unique(flat, return_inverse=True)
+        self.parts = {scope: self._part(rows, owner, code) for scope, rows in self.by_scope.items()}
+
+    def _part(self, rows: np.ndarray, owner: np.ndarray, code: np.ndarray):
+        """(row of flags or -1 by 2-gram, flags, starts of lists by 2-gram, lists) for the queries of a scope."""
+        place = np.full(len(self.sizes), -1)
+        place[rows] = np.arange(len(rows))
+        mine = place[owner] >= 0
+        order = np.argsort(code[mine], kind="stable")
+        gram, who = code[mine][order], place[owner[mine]][order]
+        held = np.bincount(gram, minlength=len(self.vocabulary))
+        often = held * self.SPARSE > len(rows)
+        row = np.where(often, np.cumsum(often) - 1, -1)
+        flags = np.zeros((int(often.sum()), len(rows)), np.uint8)
+        flags[row[gram[often[gram]]], who[often[gram]]] = 1
+        few = ~often[gram]
+        starts = np.concatenate([[0], np.cumsum(np.where(often, 0, held))])
+        return row, flags, starts, who[few]
+
+    def _common(self, part, at: np.ndarray, doc: np.ndarray, n: int, wide: int) -> np.ndarray:
+        """How many 2-grams each of ``n`` documents shares with each query."""
+        row, flags, starts, lists = part
+        common = np.zeros((n, wide), np.int32)
+        often = row[at] >= 0
+        if often.any():
+            rows, own = row[at[often]], doc[often]
+            cuts = np.flatnonzero(np.diff(own, prepend=-1))
+            common[own[cuts]] = np.add.reduceat(flags[rows], cuts, axis=0, dtype=np.int32)
+        rare, own = at[~often], doc[~often]
+        length = starts[rare + 1] - starts[rare]
+        if length.sum():
+            before = np.cumsum(length) - length
+            who = lists[np.repeat(starts[rare] - before, length) + np.arange(length.sum())]
+            common += np.bincount(np.repeat(own, length) * wide + who, minlength=n * wide).reshape(n, wide).astype(np.int32)
+        return common
 
     def offer(self, top: TopK, ids: np.ndarray, scopes: list[np.ndarray], payload: pa.Array):
         sets = [bigram_codes(t) for t in payload.to_pylist()]
-        widest = self.sizes.max(initial=0)
+        lengths = np.array([len(s) for s in sets], np.int64)
+        widest, least = self.sizes.max(initial=0), self.sizes.min(initial=0)
         for scope, rows, cols in _matching(self.by_scope, scopes, len(ids)):
-            member, sizes = self.member[scope], self.sizes[rows]
-            out_row, out_score, out_col = [], [], []
-            for col in cols:
-                codes = sets[col]
-                # common / max(sizes) >= t is impossible once the sizes differ that much.
-                if len(codes) == 0 or len(codes) * self.min_sim > widest:
-                    continue
+            sizes = self.sizes[rows]
+            # common / larger set >= t is impossible once the sizes differ that much.
+            cols = cols[(lengths[cols] > 0) & (lengths[cols] * self.min_sim <= widest) & (least * self.min_sim <= lengths[cols])]
+            cells = np.cumsum(lengths[cols] * len(rows))
+            start = 0
+            while start < len(cols):
+                stop = max(start + 1, int(np.searchsorted(cells, (cells[start - 1] if start else 0) + SCORE_CELLS, side="right")))
+                own = cols[start:stop]
+                doc = np.repeat(np.arange(len(own)), lengths[own])
+                codes = np.concatenate([sets[c] for c in own])
                 at = np.searchsorted(self.vocabulary, codes)
                 at[at == len(self.vocabulary)] = 0
-                at = at[self.vocabulary[at] == codes]
-                common = np.add.reduce(member[at], axis=0).astype(np.float64)
-                sims = common / np.maximum(sizes, len(codes))
-                hit = np.nonzero((sims >= self.min_sim) & (common > 0) & (sims >= top.floor[rows]))[0]
-                out_row.append(rows[hit])
-                out_score.append(sims[hit])
-                out_col.append(np.full(len(hit), col))
-            if out_row:
-                top.offer(np.concatenate(out_row), np.concatenate(out_score), ids[np.concatenate(out_col)])
+                known = self.vocabulary[at] == codes
+                common = self._common(self.parts[scope], at[known], doc[known], len(own), len(rows))
+                sims = common / np.maximum(sizes[None, :], lengths[own][:, None])
+                hit, query = np.nonzero((common > 0) & (sims >= self.min_sim) & (sims >= top.floor[rows][None, :]))
+                top.offer(rows[query], sims[hit, query], ids[own[hit]])
+                start = stop
 
 
 #: Whitespace of the 2-gram measure: that of ``functions.text.WS``.

@@ -1,10 +1,12 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from ragmill.functions.bigrams import bigram_jaccard, bigram_similarity
 from ragmill.operators import evaluation as e
 from ragmill.operators import retrieval as r
+from ragmill.operators import topk
 from ragmill.operators.topk import VectorBlock, batch_topk, bigram_codes
 from ragmill.operators.vectors import ann_topk, recall_at_k
 
@@ -117,3 +119,49 @@ def test_probing_every_cell_is_exact(spark):
     exact = r.vector_topk(queries, corpus, 5)
     assert recall_at_k(ann_topk(queries, corpus, 5, cells=8, probes=8), exact).first()["recall"] == 1.0
     assert recall_at_k(ann_topk(queries, corpus, 5, cells=8, probes=2), exact).first()["recall"] > 0.3
+
+
+def grams(text):
+    flat = " ".join(text.split())
+    return {f" {flat} "[i : i + 2] for i in range(len(flat) + 1)} if flat else set()
+
+
+def bigram_brute(queries, corpus, k, least, same):
+    out = []
+    for qid, scope, q in queries:
+        a = grams(q)
+        found = []
+        for i, s, t in corpus:
+            b = grams(t)
+            if a and b and (not same or s == scope):
+                sim = len(a & b) / max(len(a), len(b))
+                if sim >= least and a & b:
+                    found.append((-sim, i))
+        out += [(qid, n, i, round(-s, 9)) for n, (s, i) in enumerate(sorted(found)[:k], 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("sparse, cells", [(32, 1 << 22), (1, 50), (10**9, 300)])
+@pytest.mark.parametrize("scoped", [False, True])
+def test_bigram_search_with_a_gram_in_every_row(spark, monkeypatch, sparse, cells, scoped):
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(topk.GramIndex, "SPARSE", sparse)
+    monkeypatch.setattr(topk, "SCORE_CELLS", cells)
+    letters = list("abcdefgh漢字😀 ")
+    texts = ["zq " + "".join(rng.choice(letters, rng.integers(0, 30))) for _ in range(150)] + ["", " ", "zq", "zq", "a" * 500]
+    corpus = [(i, "ab"[i % 2], t) for i, t in enumerate(texts)]
+    queries = [(i, "ab"[i % 2], texts[i * 3]) for i in range(45)] + [(90, "a", ""), (91, "b", "nothing of this"), (92, "a", "zq")]
+    q = spark.createDataFrame([(i, s, t) for i, s, t in queries], "query_id int, owner string, text string").withColumn("collections", F.lit(None).cast("array<string>"))
+    c = spark.createDataFrame([(i, s, None, t) for i, s, t in corpus], "id int, owner string, collection string, text string").repartition(5)
+    search = r.bigram_topk_scoped if scoped else r.bigram_topk
+    got = sorted((x["query_id"], x["rank"], x["id"], round(x["score"], 9)) for x in search(q, c, 7, 0.15).collect())
+    assert got == bigram_brute(queries, corpus, 7, 0.15, scoped)
+
+
+def test_gram_index_grows_with_its_sets():
+    rng = np.random.default_rng(1)
+    texts = ["".join(chr(0x4E00 + x) for x in rng.integers(0, 20_000, 40)) for _ in range(3_000)]
+    table = pa.table({"query_id": range(3_000), "scope": [""] * 3_000, "payload": texts})
+    index = topk.GramIndex(table, 0.2)
+    row, flags, starts, lists = index.parts[""]
+    assert len(index.vocabulary) > 100_000 and flags.nbytes < 1 << 20 and len(lists) <= index.sizes.sum()
