@@ -20,7 +20,7 @@ from ragmill.session import materialize, plan_bytes, spread
 #: Aliases become a constant map in the plan.
 MAX_ALIASES = 10_000
 #: Characters of a text that are looked at together.
-WINDOW = 128
+WINDOW = 32
 #: Written bytes up to which the dictionary of titles is sent to every task; a larger one is joined by a shuffle.
 DICTIONARY_BYTES = 16 << 20
 # A title must not follow one of the characters of these ranges.
@@ -123,20 +123,22 @@ def _halves(master: DataFrame) -> DataFrame:
     )
 
 
-def _places(texts: DataFrame, longest: int) -> DataFrame:
+def _places(texts: DataFrame, begins: DataFrame, size: int, longest: int) -> DataFrame:
     """(query_id, text_key, start, rest): places of (query_id, text) where a title may begin, with what it may span.
 
-    Texts are cut into windows first, so that a place costs no more in a long text than in a short one.
+    ``begins`` are the beginnings of ``size`` characters that titles have. Texts are cut into windows first, so that a place
+    costs no more in a long text than in a short one.
     """
-    text = texts.select("query_id", F.xxhash64("text").alias("text_key"), F.split("text", "").alias("chars")).filter("size(chars) > 0")
+    text = texts.select("query_id", F.xxhash64("text").alias("text_key"), F.split("text", "").alias("chars"))
     windows = text.select(
         "query_id", "text_key",
         F.expr(
-            f"inline(transform(sequence(0, size(chars) - 1, {WINDOW}), at -> struct(at, least({WINDOW}, size(chars) - at) as places, "
+            f"inline(transform(if(size(chars) > 0, sequence(0, size(chars) - 1, {WINDOW}), array()), at -> struct(at, least({WINDOW}, size(chars) - at) as places, "
             f"if(at > 0, chars[at - 1], '') as before, array_join(slice(chars, at + 1, {WINDOW + longest}), '') as piece)))"
         ),
     )
-    places = windows.select("*", F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("i")).select(
+    places = windows.select("*", F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("i"))
+    places = places.withColumn("begin", F.expr(f"substring(piece, i + 1, {size})")).join(begins, "begin").select(
         "query_id", "text_key", (F.col("at") + F.col("i")).alias("start"),
         F.expr("if(i > 0, substring(piece, i, 1), before)").alias("before"), F.expr(f"substring(piece, i + 1, {longest})").alias("rest"),
     )
@@ -159,9 +161,10 @@ def titles_in_text(texts: DataFrame, master: DataFrame) -> DataFrame:
     longest, sizes = found["longest"] or 1, found["sizes"] or [1]
     small = plan_bytes(keys) <= DICTIONARY_BYTES
     heads = keys.groupBy("size", "head").agg(F.collect_set("length").alias("lengths"))
-    text = texts.select("query_id", n.normalize_query(F.col("text")).alias("text"))
+    text = spread(texts.select("query_id", "text")).select("query_id", n.normalize_query(F.col("text")).alias("text"))
     begun = F.array(*[F.expr(f"if(length(rest) >= {s}, struct({s} as size, xxhash64(left(rest, {s})) as head), null)") for s in sizes])
-    places = _places(text, longest).withColumn("x", F.explode(begun)).filter("x is not null")
+    begins = keys.select(F.left("key", F.lit(sizes[0])).alias("begin")).distinct()
+    places = _places(text, F.broadcast(begins) if small else begins, sizes[0], longest).withColumn("x", F.explode(begun)).filter("x is not null")
     met = places.select("query_id", "text_key", "start", "rest", "x.*").join(F.broadcast(heads) if small else heads, ["size", "head"])
     spans = met.withColumn("length", F.explode("lengths")).filter("length <= length(rest)")
     spans = spans.withColumn("tail", F.expr("xxhash64(substring(rest, length - size + 1, size))"))

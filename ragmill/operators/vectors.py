@@ -6,14 +6,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ragmill.operators.topk import VectorBlock, batch_topk
+from ragmill.session import materialize
 
 #: Cell centres are broadcast, so their number is bounded.
 MAX_CELLS = 16_384
+#: A cell with more rows than so many times the mean is split.
+CROWDED = 2
 
 
 def clean_vector(col: Column) -> Column:
@@ -76,35 +79,59 @@ def _stack(column: pd.Series) -> np.ndarray:
     return np.where(np.isfinite(vectors), vectors, 0.0)
 
 
+def _mean_step(vectors: DataFrame, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Centres moved to the mean of their rows, and the rows of each; cells x dim sums leave a task."""
+    shared = vectors.sparkSession.sparkContext.broadcast(centres)
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, n = np.zeros_like(shared.value), np.zeros(len(shared.value), np.int64)
+        for batch in batches:
+            if len(batch):
+                unit = _unit(_stack(batch["embedding"]))
+                cell = np.argmax(unit @ shared.value.T, axis=1)
+                np.add.at(total, cell, unit)
+                n += np.bincount(cell, minlength=len(n))
+        used = np.nonzero(n)[0]
+        yield pd.DataFrame({"cell": used, "n": n[used], "total": list(total[used])})
+
+    partial = vectors.mapInPandas(sums, "cell int, n long, total array<double>")
+    dim = centres.shape[1]
+    new = partial.groupBy("cell").agg(F.sum("n").alias("n"), *[F.sum(F.col("total")[i]).alias(f"s{i}") for i in range(dim)]).toPandas()
+    sizes, moved = np.zeros(len(centres), np.int64), centres.copy()
+    if len(new):
+        at = new["cell"].to_numpy()
+        sizes[at] = new["n"].to_numpy()
+        moved[at] = _unit(new.drop(columns=["cell", "n"]).to_numpy(dtype=np.float64))
+    return moved, sizes
+
+
+def _split(vectors: DataFrame, centres: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """More centres for cells of more than ``CROWDED`` times the mean, out of a sample of their own rows."""
+    mean = max(1.0, sizes.sum() / max(1, np.count_nonzero(sizes)))
+    more = {int(c): int(np.ceil(sizes[c] / mean)) - 1 for c in np.flatnonzero(sizes > CROWDED * mean)}
+    if not more or len(centres) + sum(more.values()) > MAX_CELLS:
+        return centres
+    one = _nearest_cells(vectors.sparkSession, centres, 1)
+    wanted = F.create_map(*[F.lit(x) for c, n in more.items() for x in (str(c), n)])
+    rows = vectors.withColumn("cell", one("embedding")[0]).withColumn("wanted", wanted[F.col("cell")]).filter("wanted is not null")
+    nth = F.row_number().over(Window.partitionBy("cell").orderBy(F.md5(F.col("id").cast("string")), "id"))
+    found = rows.withColumn("nth", nth).filter(F.col("nth") <= max(more.values())).filter("nth <= wanted").toPandas()
+    return np.concatenate([centres, _unit(_stack(found["embedding"]))]) if len(found) else centres
+
+
 def cell_centres(corpus: DataFrame, cells: int, rounds: int = 2) -> np.ndarray:
-    """Centres from a sample, improved by a few mean steps over the whole corpus.
+    """Centres from a sample, improved by a few mean steps over the whole corpus; crowded cells are split once more.
 
-    Only cells x dim sums leave each task, and cells is bounded.
+    ``cells`` is what the sample starts with. Only cells x dim sums leave each task, and cells is bounded.
     """
     if cells > MAX_CELLS:
         raise ValueError(f"at most {MAX_CELLS} cells")
     vectors = corpus.filter(F.col("embedding").isNotNull()).select("id", "embedding")
     centres = _unit(_stack(md5_sample(vectors, ["id"], cells).toPandas()["embedding"]))
-    for _ in range(rounds):
-        shared = vectors.sparkSession.sparkContext.broadcast(centres)
-
-        def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total = np.zeros_like(shared.value)
-            for batch in batches:
-                if len(batch):
-                    unit = _unit(_stack(batch["embedding"]))
-                    np.add.at(total, np.argmax(unit @ shared.value.T, axis=1), unit)
-            used = np.nonzero(np.abs(total).sum(axis=1))[0]
-            yield pd.DataFrame({"cell": used, "total": list(total[used])})
-
-        partial = vectors.mapInPandas(sums, "cell int, total array<double>")
-        dim = centres.shape[1]
-        merged = partial.groupBy("cell").agg(*[F.sum(F.col("total")[i]).alias(f"s{i}") for i in range(dim)])
-        new = merged.toPandas()
-        if len(new):
-            moved = new.drop(columns="cell").to_numpy(dtype=np.float64)
-            centres = centres.copy()
-            centres[new["cell"].to_numpy()] = _unit(moved)
+    for step in range(rounds):
+        centres, sizes = _mean_step(vectors, centres)
+        if step == 0 and rounds > 1:
+            centres = _split(vectors, centres, sizes)
     return centres
 
 
@@ -120,33 +147,102 @@ def _nearest_cells(spark, centres: np.ndarray, n: int):
     return cells
 
 
-def _placed(corpus: DataFrame, centres: np.ndarray) -> DataFrame:
-    one = _nearest_cells(corpus.sparkSession, centres, 1)
-    vec = F.col("embedding").cast("array<double>")
-    return corpus.filter(F.col("embedding").isNotNull()).select("id", one("embedding")[0].alias("cell"), vec.alias("payload"))
+def _placed(corpus: DataFrame, centres: np.ndarray, spill: int = 1) -> DataFrame:
+    """(id, cell, home, payload): every row in its ``spill`` best cells; ``home`` marks the best."""
+    near = _nearest_cells(corpus.sparkSession, centres, spill)
+    rows = corpus.filter(F.col("embedding").isNotNull()).select(
+        "id", near("embedding").alias("cells"), F.col("embedding").cast("array<double>").alias("payload")
+    )
+    return rows.select("id", F.posexplode("cells").alias("place", "cell"), "payload").select(
+        "id", "cell", (F.col("place") == 0).alias("home"), "payload"
+    )
 
 
-def build_cells(corpus: DataFrame, root: str, cells: int = 16, rounds: int = 2) -> None:
-    """Store (id, embedding) by cell under ``root``, and the centres: made once, searched many times."""
+def _angles(spark, centres: np.ndarray):
+    """The angle between a row and the centre of its cell."""
+    shared = spark.sparkContext.broadcast(centres)
+
+    @F.pandas_udf("double")
+    def angle(vectors: pd.Series, cell: pd.Series) -> pd.Series:
+        own = shared.value[cell.astype(int).to_numpy()]
+        return pd.Series(np.arccos(np.clip((_unit(_stack(vectors)) * own).sum(axis=1), -1, 1)))
+
+    return angle
+
+
+def build_cells(corpus: DataFrame, root: str, cells: int = 16, rounds: int = 2, spill: int = 2) -> None:
+    """Store (id, embedding) by cell under ``root``, and the centres: made once, searched many times.
+
+    A row lies in its ``spill`` best cells, so that neighbours on both sides of a border are found in one cell. Each
+    cell is stored with its rows and its radius, the largest angle between its centre and a row that has its home there.
+    """
     spark = corpus.sparkSession
     centres = cell_centres(corpus, cells, rounds)
-    _placed(corpus, centres).write.partitionBy("cell").parquet(f"{root}/vectors")
-    rows = [(i, [float(x) for x in c]) for i, c in enumerate(centres)]
-    spark.createDataFrame(rows, "cell int, centre array<double>").coalesce(1).write.parquet(f"{root}/centres")
+    _placed(corpus, centres, min(spill, len(centres))).write.partitionBy("cell").parquet(f"{root}/vectors")
+    stored = spark.read.parquet(f"{root}/vectors").withColumn("cell", F.col("cell").cast("string"))
+    size = stored.groupBy("cell").agg(
+        F.count("*").alias("n"), F.max(F.when(F.col("home"), _angles(spark, centres)("payload", "cell"))).alias("radius")
+    )
+    rows = [(str(i), [float(x) for x in c]) for i, c in enumerate(centres)]
+    known = spark.createDataFrame(rows, "cell string, centre array<double>").join(size, "cell", "left")
+    known.select(F.col("cell").cast("int"), "centre", F.coalesce("n", F.lit(0)).alias("n"), "radius").coalesce(1).write.parquet(f"{root}/centres")
+
+
+def _cell_order(queries: DataFrame, centres: pd.DataFrame) -> DataFrame:
+    """(query_id, payload, cells): all cells by the best score that a row at home there can have, then by their centre's."""
+    unit, radius = _unit(_stack(centres["centre"])), centres["radius"].fillna(-4.0).to_numpy()
+    shared = queries.sparkSession.sparkContext.broadcast((unit, radius))
+
+    @F.pandas_udf("array<struct<cell:string,bound:double>>")
+    def cells(vectors: pd.Series) -> pd.Series:
+        unit, radius = shared.value
+        scores = _unit(_stack(vectors)) @ unit.T
+        apart = np.arccos(np.clip(scores, -1, 1)) - radius
+        bound = np.where(radius < -3, -2.0, np.cos(np.maximum(apart, 0.0)))
+        order = np.argsort(-scores, axis=1, kind="stable")
+        return pd.Series([[{"cell": str(c), "bound": float(b[c])} for c in row] for row, b in zip(order, bound, strict=True)])
+
+    return queries.select("query_id", F.col("embedding").cast("array<double>").alias("payload"), cells("embedding").alias("cells"))
 
 
-def search_cells(queries: DataFrame, root: str, k: int, probes: int = 4) -> DataFrame:
-    """Approximate cosine top-k over stored cells; cells that no query looks into are not read."""
+def search_cells(queries: DataFrame, root: str, k: int, probes: int = 4, by_bound: bool = False) -> DataFrame:
+    """Approximate cosine top-k over stored cells; cells that no query looks into are not read.
+
+    A query looks into the ``probes`` cells of the nearest centres. With ``by_bound`` it goes on with those whose rows
+    can still reach its k-th score, which makes the result exact; where rows lie in clusters these are few.
+    """
+    return cells_read(queries, root, k, probes, by_bound)[0]
+
+
+def cells_read(queries: DataFrame, root: str, k: int, probes: int, by_bound: bool = False) -> tuple[DataFrame, DataFrame]:
+    """``search_cells``, and (query_id, cell, n): the cells that were read with their rows."""
     spark = queries.sparkSession
     centres = spark.read.parquet(f"{root}/centres").orderBy("cell").toPandas()
-    many = _nearest_cells(spark, _stack(centres["centre"]), probes)
-    vec = F.col("embedding").cast("array<double>")
-    asked = queries.select("query_id", F.explode(many("embedding")).alias("scope"), vec.alias("payload"))
-    # As many values as there are cells at most.
-    probed = [r["scope"] for r in asked.select("scope").distinct().collect()]
-    rows = spark.read.parquet(f"{root}/vectors").filter(F.col("cell").cast("string").isin(probed))
-    placed = rows.select("id", F.col("cell").cast("string").alias("scope_0"), "payload")
-    return batch_topk(asked, placed, k, VectorBlock, n_scopes=1)
+    vectors = spark.read.parquet(f"{root}/vectors")
+    ordered = materialize(_cell_order(queries, centres))
+
+    def searched(asked: DataFrame) -> DataFrame:
+        # As many values as there are cells at most.
+        probed = [r["scope"] for r in asked.select("scope").distinct().collect()]
+        rows = vectors.filter(F.col("cell").cast("string").isin(probed))
+        return batch_topk(asked, rows.select("id", F.col("cell").cast("string").alias("scope_0"), "payload"), k, VectorBlock, n_scopes=1)
+
+    first = ordered.select("query_id", "payload", F.explode(F.transform(F.slice("cells", 1, probes), lambda c: c["cell"])).alias("scope"))
+    found, asked = searched(first), first.select("query_id", "scope")
+    if by_bound:
+        found = materialize(found)
+        floors = found.filter(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
+        rest = ordered.join(floors, "query_id", "left").select(
+            "query_id", "payload", F.explode(F.slice("cells", probes + 1, max(1, len(centres)))).alias("c"), "floor"
+        )
+        # A hair below, as scores are compared at some decimals.
+        more = rest.filter(F.col("floor").isNull() | (F.col("c.bound") >= F.col("floor") - 1e-7)).select("query_id", "payload", F.col("c.cell").alias("scope"))
+        both = found.unionByName(searched(materialize(more))).groupBy("query_id", "id").agg(F.max("score").alias("score"))
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+        found = both.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+        asked = asked.unionByName(more.select("query_id", "scope"))
+    sizes = spark.read.parquet(f"{root}/centres").select(F.col("cell").cast("string").alias("cell"), "n")
+    return found, asked.withColumnRenamed("scope", "cell").join(sizes, "cell")
 
 
 def ann_topk(queries: DataFrame, corpus: DataFrame, k: int, cells: int = 16, probes: int = 4) -> DataFrame:
@@ -158,7 +254,8 @@ def ann_topk(queries: DataFrame, corpus: DataFrame, k: int, cells: int = 16, pro
     many = _nearest_cells(corpus.sparkSession, centres, probes)
     vec = F.col("embedding").cast("array<double>")
     asked = queries.select("query_id", F.explode(many("embedding")).alias("scope"), vec.alias("payload"))
-    return batch_topk(asked, _placed(corpus, centres).withColumnRenamed("cell", "scope_0"), k, VectorBlock, n_scopes=1)
+    placed = _placed(corpus, centres).select("id", F.col("cell").alias("scope_0"), "payload")
+    return batch_topk(asked, placed, k, VectorBlock, n_scopes=1)
 
 
 def recall_at_k(approx: DataFrame, exact: DataFrame) -> DataFrame:

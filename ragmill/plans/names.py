@@ -138,7 +138,7 @@ ALIKE_MASTER_SQL = MASTER_SQL.replace("'特' ||", f"'{ALIKE}' ||")
 ALIKE_SQL = f"""SELECT o_orderkey AS query_id, '次の、{ALIKE}' || {KANJI.format('o_custkey')} || {FORMS.format('o_orderkey')} || 'と、 {ALIKE}' || {KANJI.format('o_custkey * 2')} || {FORMS.format('o_custkey')} || 'の' AS text FROM {{orders}}"""
 
 
-@query(f"""WITH flat AS (SELECT query_id, replace(replace(regexp_replace(text, '[\s　]', '', 'g'), '（', '('), '）', ')') AS text FROM ({ALIKE_SQL})),
+@query(f"""WITH flat AS (SELECT query_id, replace(replace(regexp_replace(text, '[\\s　]', '', 'g'), '（', '('), '）', ')') AS text FROM ({ALIKE_SQL})),
   p AS (SELECT query_id, string_split(text, '{ALIKE}') AS parts FROM flat),
   places AS (SELECT query_id, length(parts[1]) AS s, parts[2] AS rest FROM p UNION ALL SELECT query_id, length(parts[1]) + {len(ALIKE)} + length(parts[2]), parts[3] FROM p),
   k AS (SELECT law_num, law_title, unnest([regexp_replace(law_title, '（.*）', ''), replace(replace(law_title, '（', '('), '）', ')')]) AS key FROM ({ALIKE_MASTER_SQL})),

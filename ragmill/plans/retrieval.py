@@ -273,6 +273,46 @@ def ann_recall(spark, sf):
     return out
 
 
+# Rows in clusters: every vector is drawn close to one of forty, so the neighbours of a row are known to be together.
+def _clustered(spark, sf):
+    rows = table(spark, sf, "embeddings").filter("embedding is not null")
+    centres = rows.select(F.col("vec_id").alias("centre"), F.col("embedding").alias("middle")).filter("centre < 40")
+    near = rows.withColumn("centre", F.col("vec_id") % 40).join(centres, "centre")
+    drawn = F.expr("zip_with(middle, embedding, (m, x) -> cast(m as double) + (vec_id % 97) / 1000D * cast(x as double))")
+    return near.select(F.col("vec_id").alias("id"), drawn.alias("embedding"))
+
+
+CLUSTERED_DUCK = """
+clustered AS (
+  SELECT a.vec_id AS id, list_transform(list_zip(b.embedding, a.embedding), lambda x: x[1]::DOUBLE + (a.vec_id % 97) / 1000.0::DOUBLE * x[2]::DOUBLE) AS embedding
+  FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id % 40 WHERE a.embedding IS NOT NULL AND b.embedding IS NOT NULL),
+near_queries AS (SELECT id AS query_id, embedding FROM clustered WHERE id % 8 = 0)
+"""
+
+
+@query(f"WITH {CLUSTERED_DUCK}, {i.vector_hits_sql('hits', 'near_queries', 'clustered', 10)} {HITS} hits")
+def ann_topk_by_bound(spark, sf):
+    """The cell search that goes on while a cell can still reach the k-th score finds what the exact search finds."""
+    rows, root = _clustered(spark, sf), shared_dir(spark)
+    v.build_cells(rows, root, cells=64)
+    asked = rows.filter("id % 8 = 0").select(F.col("id").alias("query_id"), "embedding")
+    return hits(v.search_cells(asked, root, 10, probes=2, by_bound=True))
+
+
+@query(f"WITH {CLUSTERED_DUCK}, {i.vector_hits_sql('hits', 'near_queries', 'clustered', 10)} "
+       "SELECT count(DISTINCT query_id) AS queries, count(*) AS expected, TRUE AS recalled, TRUE AS quarter FROM hits")
+def ann_recall_in_clusters(spark, sf):
+    """Two of 64 cells: at least 0.96 of the exact top 10, from at most a quarter of the rows."""
+    rows, root = _clustered(spark, sf), shared_dir(spark)
+    v.build_cells(rows, root, cells=64)
+    asked = rows.filter("id % 8 = 0").select(F.col("id").alias("query_id"), "embedding")
+    found, read = v.cells_read(asked, root, 10, probes=2)
+    one = F.lit(1).alias("one")
+    share = read.agg(F.sum("n").alias("read")).select("*", one).join(rows.agg(F.count("*").alias("rows")).select("*", one), "one")
+    measured = v.recall_at_k(found, r.vector_topk(asked, rows, 10)).select("*", one).join(share, "one")
+    return measured.select("queries", "expected", (F.col("recall") >= 0.96).alias("recalled"), (F.col("read") <= 0.25 * F.col("rows") * F.col("queries")).alias("quarter"))
+
+
 @query(f"WITH {i.LABEL_QUERIES_SQL}, rows AS (SELECT vec_id AS id, embedding FROM embeddings), "
        f"{i.vector_hits_sql('hits', 'label_queries', 'rows', 10)} {HITS} hits")
 def ann_topk_all_cells(spark, sf):
