@@ -32,9 +32,9 @@ from ragmill.llm.texts import column, mix, release, slices, text_batches
 ALPHA = 2.0
 MARK = "▁"
 #: Bytes, about, that a worker keeps for units seen again; beyond that it starts anew.
-KEPT_BYTES = 48 << 20
+KEPT_BYTES = 64 << 20
 #: Text that a worker holds as units at one time.
-SLICE_BYTES = 512 << 10
+SLICE_BYTES = 1 << 20
 _UNIT = re.compile(" *[^ ]+| +")
 
 
@@ -380,7 +380,8 @@ def encode(docs: DataFrame, path: str, seed: int = 0, alpha: float = ALPHA) -> D
                     ],
                     ["doc_id", "pieces", "n_pieces", "pieces_crc32", "lossless"],
                 )
-            release()
+        lattices = vocab = None
+        release()
 
     rows = text_batches(docs).select("doc_id", "text", row_keys(F.col("doc_id"), F.col("text"), seed).alias("key"))
     return rows.mapInArrow(run, "doc_id long, pieces array<int>, n_pieces long, pieces_crc32 long, lossless boolean")

@@ -33,13 +33,18 @@ def slices(batch: pa.RecordBatch, column: str, size: int = SLICE_BYTES):
         stop = max(start + 1, int(np.searchsorted(total, before + size, side="right")))
         yield batch.slice(start, stop - start)
         start = stop
-    pa.default_memory_pool().release_unused()
+    release()
 
 
 def release() -> None:
-    """Give memory that is no longer in use back to the system, where the C library can; workers outlive their tasks."""
+    """Give memory that is no longer in use back to the system, where the C library can.
+
+    Workers outlive their tasks, and what a task leaves in cycles would stay with them.
+    """
     import ctypes
+    import gc
 
+    gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
