@@ -8,6 +8,8 @@ from ragmill.functions import dates
 from ragmill.operators import warehouse as w
 from ragmill.plans import inputs as i
 from ragmill.plans import query
+from ragmill.session import shared_dir
+from ragmill.sources import snapshots
 from ragmill.tables import sql, table
 
 LAST = f"DATE '{i.TODAY}'"
@@ -43,17 +45,30 @@ FROM {orders} WHERE o_orderpriority <> '5-LOW'
 """
 
 
-@query(f"""WITH t AS ({TARGET_SQL}), s AS ({SOURCE_SQL})
+MERGED_SQL = f"""WITH t AS ({TARGET_SQL}), s AS ({SOURCE_SQL})
 SELECT t.law_id, t.unique_anchor, CASE WHEN s.content <> t.content THEN s.content ELSE t.content END AS content,
   CASE WHEN s.content <> t.content THEN s.law_title ELSE t.law_title END AS law_title,
   CAST(CASE WHEN s.content <> t.content THEN 2 ELSE 1 END AS INTEGER) AS load_timestamp, t.enforce_date
 FROM t LEFT JOIN s ON s.law_id = t.law_id
 UNION ALL SELECT s.law_id, s.unique_anchor, s.content, s.law_title, 2,
-  CAST(try_strptime(split_part(s.law_id, '_', 2), '%Y%m%d') AS DATE) FROM s WHERE s.law_id NOT IN (SELECT law_id FROM t)""")
+  CAST(try_strptime(split_part(s.law_id, '_', 2), '%Y%m%d') AS DATE) FROM s WHERE s.law_id NOT IN (SELECT law_id FROM t)"""
+
+
+@query(MERGED_SQL)
 def merge_changed(spark, sf):
     return w.merge_changed(sql(spark, sf, TARGET_SQL), sql(spark, sf, SOURCE_SQL), F.lit(2))
 
 
+@query(MERGED_SQL)
+def merge_buckets(spark, sf):
+    """The same in two loads on a table of key ranges, of which each load rewrites its own."""
+    root, source = shared_dir(spark), sql(spark, sf, SOURCE_SQL)
+    snapshots.write_buckets(sql(spark, sf, TARGET_SQL), root, "law_id", 16)
+    for part in (source.filter("law_id < '3'"), source.filter("law_id >= '3'")):
+        snapshots.merge_buckets(part, root, "law_id", lambda t, s: w.merge_changed(t, s, F.lit(2)))
+    return snapshots.read_buckets(spark, root)
+
+
 @query(f"""WITH dwh AS ({i.DWH_SQL}) SELECT law_id, CAST(try_strptime(split_part(law_id, '_', 2), '%Y%m%d') AS DATE) AS enforce_date FROM dwh""")
 def enforce_date(spark, sf):
     return i.dwh(spark, sf).select("law_id", dates.enforce_date(F.col("law_id")).alias("enforce_date"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ragmill.functions import dates
 from ragmill.functions.text import decode_bytes_text
 from ragmill.operators import apps, paging, storage
+from ragmill.sources import snapshots
 from ragmill.operators import warehouse as w
 from ragmill.streaming import intake, jobs, run, tokens
 from ragmill.operators.embedding import hashing_embedder
@@ -140,3 +141,42 @@ def test_unknown_status_is_a_draft(spark):
     df = spark.createDataFrame([('{"status":"x","copyable":true}',), ("nonsense",), (None,)], "c string")
     got = [r[0] for r in df.select(apps.unpack_config(F.col("c"))).collect()]
     assert [(g["status"], g["copyable"], g["endpoint"]) for g in got] == [("draft", True, ""), ("draft", False, ""), ("draft", False, "")]
+
+
+def test_a_load_rewrites_only_the_ranges_of_its_keys(spark, tmp_path):
+    root = str(tmp_path / "table")
+    rows = [(f"L{i:05d}", "a", f"text {i}", 1, None) for i in range(4000)] + [(None, "a", "no key", 1, None)]
+    columns = "law_id string, unique_anchor string, content string, load_timestamp int, enforce_date date"
+    snapshots.write_buckets(spark.createDataFrame(rows, columns), root, "law_id", 100)
+    assert len(snapshots._manifest(spark, root)) == 100
+
+    def load(changed):
+        source = spark.createDataFrame([(k, "a", t) for k, t in changed], "law_id string, unique_anchor string, content string")
+        touched = snapshots.merge_buckets(source, root, "law_id", lambda t, s: w.merge_changed(t, s, F.lit(2)))
+        return touched, {r["law_id"]: (r["content"], r["load_timestamp"]) for r in snapshots.read_buckets(spark, root).collect()}
+
+    one_percent = [(f"L{i:05d}", f"new {i}") for i in range(1000, 1040)]
+    touched, now = load(one_percent)
+    assert len(touched) <= 2 and len(now) == 4001
+    assert all(now[k] == (t, 2) for k, t in one_percent) and now["L00999"] == ("text 999", 1) and now[None] == ("no key", 1)
+    written = {p.name for p in (tmp_path / "table" / "data" / "v=00000002").iterdir() if p.name.startswith("_bucket")}
+    assert len(written) <= 2
+    # New keys beyond all ranges, an empty load, and keys of many ranges.
+    touched, now = load([("Z", "last"), ("A", "first")])
+    assert touched == [0, 99] and now["Z"] == ("last", 2) and len(now) == 4003
+    assert load([])[0] == [] and len(load([(f"L{i:05d}", "x") for i in range(0, 4000, 20)])[1]) == 4003
+    # A load that failed before its manifest was written changes nothing, and the next one takes its place.
+    source = spark.createDataFrame([("L00001", "a", "broken")], "law_id string, unique_anchor string, content string")
+    with pytest.raises(ZeroDivisionError):
+        snapshots.merge_buckets(source, root, "law_id", lambda t, s: 1 / 0)
+    assert load([("L00001", "whole")])[1]["L00001"] == ("whole", 2)
+
+
+def test_an_empty_table_of_ranges(spark, tmp_path):
+    root = str(tmp_path / "none")
+    columns = "law_id string, unique_anchor string, content string, load_timestamp int, enforce_date date"
+    snapshots.write_buckets(spark.createDataFrame([], columns), root, "law_id", 4)
+    assert snapshots.read_buckets(spark, root).count() == 0
+    source = spark.createDataFrame([("k_20200101_1", "a", "b")], "law_id string, unique_anchor string, content string")
+    assert snapshots.merge_buckets(source, root, "law_id", lambda t, s: w.merge_changed(t, s, F.lit(2))) == [0]
+    assert [(r["content"], str(r["enforce_date"])) for r in snapshots.read_buckets(spark, root).collect()] == [("b", "2020-01-01")]
