@@ -8,10 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 # States, and seconds until a message comes again by how often it came.
 QUEUED, IN_PROGRESS, COMPLETED, FAILED = "QUEUED", "IN_PROGRESS", "COMPLETED", "FAILED"
@@ -73,44 +72,57 @@ CHANGES = "job string, status string, seq bigint, attempts bigint, detail string
 STATE = "status string, seq bigint, attempts bigint, detail string, version bigint"
 
 
+class JobState(StatefulProcessor):
+    """State of a job: its status, the message that decided it, attempts, detail and version.
+
+    Messages of a batch are folded one by one, so a job with many of them needs no more memory.
+    """
+
+    def __init__(self, expire_ms: int | None = None):
+        self.expire_ms = expire_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("job", STATE, self.expire_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        old = self.state.get()
+        status, seq, attempts, detail, version = old if old is not None else (QUEUED, -1, 0, None, 0)
+        if RANK[status] == 2:
+            if self.expire_ms:  # heard of again: its time starts anew
+                self.state.update(old)
+            return
+        end, last, tries, running = None, seq, attempts, status == IN_PROGRESS
+        for row in rows:
+            last = max(last, row.seq)
+            if row.outcome in ("completed", "failed"):
+                if end is None or row.seq < end[1]:
+                    end = (COMPLETED if row.outcome == "completed" else FAILED, row.seq, row.detail)
+            elif row.outcome in ("started", "retry"):
+                running = True
+                tries += row.outcome == "started"
+        new = (*(end or (IN_PROGRESS if running else status, last, detail)), tries)
+        if new != (status, seq, detail, attempts):
+            status, seq, detail, attempts, version = *new, version + 1
+            yield Row(job=key[0], status=status, seq=seq, attempts=attempts, detail=detail, version=version)
+        elif not self.expire_ms:
+            return
+        self.state.update((status, seq, attempts, detail, version))
+
+    def close(self) -> None:
+        pass
+
+
 def job_changes(events: DataFrame, expire_ms: int | None = None) -> DataFrame:
     """The same as a stream: one row per change of a job's state, with a version.
 
     A job that has ended stays as it is, whatever comes later: its end has already been reported. Among the messages
-    of one batch the one with the smallest ``seq`` ends it; ``job_state`` takes a whole table as one batch. Frames
-    are folded one by one, so a job with many messages needs no more memory. A continuous job sets ``expire_ms`` to
-    forget jobs that nothing was heard of for so long; a run that stops at the end of its input must not, as waiting
-    timeouts keep it going.
+    of one batch the one with the smallest ``seq`` ends it; ``job_state`` takes a whole table as one batch. A
+    continuous job sets ``expire_ms``: the state of a job that nothing was heard of for so long is dropped by the
+    state store itself, and a message that comes later begins the job anew. Such a stream always has a next batch to look
+    for expired state, so a run that is to stop at the end of its input must not set it.
     """
-
-    def advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        status, seq, attempts, detail, version = state.get if state.exists else (QUEUED, -1, 0, None, 0)
-        if RANK[status] < 2:
-            before = (status, seq, attempts, detail)
-            end, running = None, status == IN_PROGRESS
-            for frame in frames:
-                ended = frame[frame["outcome"].isin(["completed", "failed"])]
-                if len(ended):
-                    row = ended.loc[ended["seq"].idxmin()]
-                    if end is None or row["seq"] < end[1]:
-                        end = (COMPLETED if row["outcome"] == "completed" else FAILED, int(row["seq"]), row["detail"])
-                attempts += int((frame["outcome"] == "started").sum())
-                running = running or bool(frame["outcome"].isin(["started", "retry"]).any())
-                seq = max(seq, int(frame["seq"].max()))
-            status, seq, detail = end or (IN_PROGRESS if running else status, seq, detail)
-            if (status, seq, attempts, detail) != before:
-                state.update((status, seq, attempts, detail, version + 1))
-                yield pd.DataFrame([(key[0], status, seq, attempts, detail, version + 1)], columns=[c.split()[0] for c in CHANGES.split(", ")])
-        if expire_ms and state.exists:
-            state.setTimeoutDuration(expire_ms)
-
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if expire_ms else GroupStateTimeout.NoTimeout
-    return events.groupBy("job").applyInPandasWithState(
-        advance, outputStructType=CHANGES, stateStructType=STATE, outputMode="append", timeoutConf=timeout
-    )
+    mode = "ProcessingTime" if expire_ms else "None"
+    return events.select("job", "seq", "outcome", "detail").groupBy("job").transformWithState(JobState(expire_ms), CHANGES, "Append", mode)
 
 
 def current(changes: DataFrame) -> DataFrame:

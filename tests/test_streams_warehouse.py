@@ -1,3 +1,4 @@
+import time
 from datetime import date
 
 import pytest
@@ -180,3 +181,30 @@ def test_an_empty_table_of_ranges(spark, tmp_path):
     source = spark.createDataFrame([("k_20200101_1", "a", "b")], "law_id string, unique_anchor string, content string")
     assert snapshots.merge_buckets(source, root, "law_id", lambda t, s: w.merge_changed(t, s, F.lit(2))) == [0]
     assert [(r["content"], str(r["enforce_date"])) for r in snapshots.read_buckets(spark, root).collect()] == [("b", "2020-01-01")]
+
+
+def test_state_of_jobs_expires_in_a_running_stream(spark, tmp_path):
+    folder, root = tmp_path / "in", str(tmp_path / "out")
+
+    def send(*events):
+        spark.createDataFrame(events, "job string, seq long, outcome string, detail string").coalesce(1).write.mode("append").parquet(str(folder))
+
+    send(("a", 1, "started", None), ("a", 2, "completed", "x"), ("b", 1, "started", None))
+    schema = spark.read.parquet(str(folder)).schema
+
+    def changes(expire_ms):
+        return jobs.job_changes(run.file_stream(spark, str(folder), "*.parquet", schema), expire_ms)
+
+    def rows(log):
+        return sorted((r["job"], r["status"], r["seq"], r["attempts"], r["version"]) for r in log.collect())
+
+    first = [("a", "COMPLETED", 2, 1, 1), ("b", "IN_PROGRESS", 1, 1, 1)]
+    assert rows(run.append_log_until(changes(5_000), root, lambda log: log.count() >= 2, 90)) == first
+    # Heard of again too late: both begin anew, with a first version.
+    time.sleep(6)
+    send(("a", 3, "started", None), ("b", 2, "failed", "late"))
+    log = run.append_log_until(changes(5_000), root, lambda log: log.count() >= 4, 90)
+    assert rows(log) == sorted([*first, ("a", "IN_PROGRESS", 3, 1, 1), ("b", "FAILED", 2, 0, 1)])
+    # Without an expiry what has ended stays ended.
+    kept = run.append_log(changes(None), str(tmp_path / "kept"))
+    assert rows(kept) == [("a", "COMPLETED", 2, 2, 1), ("b", "FAILED", 2, 1, 1)]
