@@ -34,7 +34,7 @@ MARK = "▁"
 #: Bytes, about, that a worker keeps for units seen again; beyond that it starts anew.
 KEPT_BYTES = 64 << 20
 #: Text that a worker holds as units at one time.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 2 << 20
 _UNIT = re.compile(" *[^ ]+| +")
 
 
@@ -153,7 +153,7 @@ class Lattices:
 
     #: Longer units are filtered one by one.
     LONG = 48
-    CELLS = 50_000
+    CELLS = 30_000
 
     def __init__(self, vocab: Vocabulary):
         self.vocab = vocab
