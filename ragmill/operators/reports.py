@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ragmill.functions import names as names_fn
 from ragmill.functions import report as r
 from ragmill.operators import names, retrieval, warehouse
+from ragmill.operators.embedding import EmbedFn, embed_rows
 from ragmill.session import materialize
 
 #: Articles pre-ranked per query before selection.
@@ -77,6 +78,42 @@ def finalize_report(reports: DataFrame, references: DataFrame, data_line: Column
     return joined.select("query_id", text.alias("report"), "cited")
 
 
+# Words that names nobody knows are searched with, and how near a title must be to a question.
+BROAD = ("法律", "規則", "政令")
+QUESTION_TITLES, QUESTION_SCORE = 5, 0.5
+
+
+def nearest_laws(asked: DataFrame, queries: DataFrame, titles: DataFrame, embed: EmbedFn) -> DataFrame:
+    """(query_id, verdict, stage, law_num) without a dictionary of titles: current, or unidentified.
+
+    Each estimated name takes its nearest title; where none has one, the broad words do. A question without names takes
+    the titles near to itself, and is unidentified where there are none.
+    """
+    spark = asked.sparkSession
+    master = titles.select(F.col("law_num").alias("id"), "embedding")
+    named = embed_rows(asked.select("query_id", F.explode("law_names").alias("name")), embed, text="name")
+    broad = embed_rows(spark.createDataFrame([(w,) for w in BROAD], "name string"), embed, text="name")
+    by_name = retrieval.nearest_law_per_name(named, master, broad).select("query_id", F.col("id").alias("law_num"))
+    silent = queries.join(asked.filter("size(law_names) = 0").select("query_id"), "query_id", "left_semi")
+    by_question = retrieval.nearest_titles(silent, master, QUESTION_TITLES, QUESTION_SCORE).select("query_id", F.col("id").alias("law_num"))
+    laws = by_name.unionByName(by_question).distinct()
+    verdict = F.when((F.size("law_names") == 0) & F.col("law_num").isNull(), "unidentified").otherwise("current")
+    return asked.join(laws, "query_id", "left").select("query_id", verdict.alias("verdict"), F.lit(None).cast("string").alias("stage"), "law_num")
+
+
+def _summaries_upgraded(final: DataFrame, summaries: DataFrame, laws: DataFrame, article: DataFrame, include_future: bool) -> DataFrame:
+    """``final`` with the full articles of the laws and anchors of ``summaries`` in the place of the same anchor."""
+    own = summaries.groupBy("query_id", "law_num").agg(F.min("rank").alias("law_rank")).join(laws, ["query_id", "law_num"])
+    anchors = summaries.select("query_id", "unique_anchor").distinct()
+    full = own.join(anchors, "query_id").join(article.drop("id"), ["law_num", "unique_anchor"]).filter(F.length("content") > 0)
+    full = full.filter(~F.col("is_future") | F.col("pending") | F.lit(include_future))
+    # Of several laws with the anchor the last one counts.
+    rest = [c for c in article.columns if c not in ("id", "unique_anchor")]
+    best = full.groupBy("query_id", "unique_anchor").agg(F.max_by(F.struct(*rest), F.struct("law_rank", "law_num")).alias("u"))
+    joined = final.join(best, ["query_id", "unique_anchor"], "left")
+    return joined.select(*[F.coalesce(f"u.{c}", c).alias(c) if c in rest else F.col(c) for c in final.columns])
+
+
 def report_table(
     queries: DataFrame,
     master: DataFrame,
@@ -88,13 +125,21 @@ def report_table(
     today: str,
     as_of: str | None = None,
     aliases: dict[str, str] | None = None,
+    titles: DataFrame | None = None,
+    embed: EmbedFn | None = None,
+    meta: DataFrame | None = None,
 ) -> DataFrame:
-    """(query_id, outcome, verdict, prefix, report, cited) for a batch of questions.
+    """(query_id, outcome, verdict, prefix, report, cited, as_of, data_fetched, data_release, references) for a batch of questions.
 
     ``queries`` has (query_id, text, embedding); ``model`` holds what the language model
     answered per query: (query_id, law_names_text, selection, report); ``index`` is the
     version index with (id, embedding); ``candidates`` is the title search. ``outcome``
-    is ok or one of no_match, no_articles, no_full_articles, no_version.
+    is ok or one of no_law, no_match, no_articles, no_full_articles, no_version.
+
+    Where the dictionary of titles is empty, laws are the nearest ones by ``titles`` (law_num, embedding): by the vectors of
+    the names, which ``embed`` makes, or of the question where no name was estimated. ``meta`` (fetched, release) has the state
+    of the data in one row, which the report tells. Articles that the index marks ``is_summary_only``, where it has that
+    column, give their place to the full articles of the same anchor. ``references`` are those that a report cites.
     """
     include_future = as_of is not None
     given = queries.join(model, "query_id", "left")
@@ -110,11 +155,14 @@ def report_table(
     queries, asked, index = map(materialize, (queries, asked, index))
     found = materialize(names.titles_in_text(queries, master))
     status = warehouse.classify_enforcement(warehouse.enforcement_status(index))
-    verdicts = materialize(names.resolve(asked, master, status, candidates, found))
+    if titles is not None and master.isEmpty():
+        verdicts = materialize(nearest_laws(asked, queries, titles, embed))
+    else:
+        verdicts = materialize(names.resolve(asked, master, status, candidates, found))
     per_query = verdicts.groupBy("query_id").agg(F.max("verdict").alias("verdict"))
 
     # Pending laws are answered from articles that are not in force yet.
-    laws = verdicts.filter("verdict <> 'none'").select("query_id", "law_num", (F.col("verdict") == "pending").alias("pending"))
+    laws = verdicts.filter("verdict in ('current', 'pending') and law_num is not null").select("query_id", "law_num", (F.col("verdict") == "pending").alias("pending"))
     rows = index.withColumn("scope_key", F.when(F.col("is_future"), F.lit("f")).otherwise(F.lit("c")))
     both = F.when(F.col("pending") | F.lit(include_future), F.array(F.lit("c"), F.lit("f"))).otherwise(F.array(F.lit("c")))
     groups = laws.select("query_id", F.explode(both).alias("k"), "law_num").select(
@@ -141,6 +189,9 @@ def report_table(
     rest = full.join(named.select("query_id", "unique_anchor").distinct(), ["query_id", "unique_anchor"], "left_anti")
     final = named.unionByName(rest.withColumn("part", F.lit(1)).withColumn("rank", F.col("rank").cast("bigint")))
 
+    if "is_summary_only" in index.columns:
+        final = _summaries_upgraded(final, chosen.join(index.filter("is_summary_only").select("law_id", "unique_anchor"), ["law_id", "unique_anchor"], "left_semi"), laws, article, include_future)
+
     if as_of is not None:
         versions = warehouse.resolve_as_of(final, dwh, as_of, today).select(
             "law_num", "unique_anchor", F.col("law_id").alias("v_law_id"), F.col("content").alias("v_content"),
@@ -191,17 +242,26 @@ def report_table(
     )
     prefixes = context.select("query_id", prefix.alias("prefix"))
 
-    made = finalize_report(model.select("query_id", r.strip_preamble(F.col("report")).alias("report")), references)
+    state = meta.select("fetched", "release").first() if meta is not None else None
+    fetched, release = (F.lit(state["fetched"]), F.lit(state["release"])) if state else (F.lit(None).cast("string"),) * 2
+    line = r.data_date_line(fetched.cast("string"), release) if state else None
+    made = finalize_report(model.select("query_id", r.strip_preamble(F.col("report")).alias("report")), references, line)
+    # Badges are made of the same references as the text.
+    used = reference_meta(references.withColumn("resolved", F.lit(as_of is not None)))
+    used = used.join(made.select("query_id", F.explode("cited").alias("n")), ["query_id", "n"]).groupBy("query_id").agg(
+        F.sort_array(F.collect_list(F.struct("n", "title", "url", "enforce_date", "is_future", "next_enforce_date"))).alias("references")
+    )
     got = articles.select("query_id").distinct().withColumn("_a", F.lit(True))
     whole = full.select("query_id").distinct().withColumn("_f", F.lit(True))
     has = references.select("query_id").distinct().withColumn("_r", F.lit(True))
     out = (
         queries.select("query_id").join(per_query, "query_id", "left").join(got, "query_id", "left")
         .join(whole, "query_id", "left").join(has, "query_id", "left")
-        .join(prefixes, "query_id", "left").join(made, "query_id", "left")
+        .join(prefixes, "query_id", "left").join(made, "query_id", "left").join(used, "query_id", "left")
     )
     outcome = (
-        F.when(F.col("verdict") == "none", "no_match")
+        F.when(F.col("verdict") == "unidentified", "no_law")
+        .when(F.col("verdict") == "none", "no_match")
         .when(F.col("_a").isNull(), "no_articles")
         .when(F.col("_f").isNull(), "no_full_articles")
         .when(F.col("_r").isNull(), "no_version")
@@ -212,4 +272,6 @@ def report_table(
     return out.withColumn("outcome", outcome).select(
         "query_id", "outcome", "verdict", F.when(ok, F.col("prefix")).alias("prefix"),
         F.when(ok, F.col("report")).otherwise(message).alias("report"), F.when(ok, F.col("cited")).alias("cited"),
+        F.when(ok, F.lit(as_of).cast("date")).alias("as_of"), F.when(ok, fetched.cast("string")).alias("data_fetched"),
+        F.when(ok, release.cast("string")).alias("data_release"), F.when(ok, F.col("references")).alias("references"),
     )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ragmill.functions.text import WS, neutralize_markers
 from ragmill.operators.topk import SCOPE_ANY, GramIndex, VectorBlock, batch_topk
+from ragmill.session import materialize
 
 RRF_K = 60
 TOP_M = 10
@@ -272,22 +273,28 @@ def articles_by_key(index: DataFrame, keys: DataFrame, include_future: bool = Fa
     return rows.join(keys.select("law_num", "unique_anchor").distinct(), ["law_num", "unique_anchor"], "left_semi")
 
 
+#: Broad words are a handful of constants that every request left empty is given.
+MAX_BROAD = 100
+
+
 def nearest_law_per_name(names: DataFrame, master: DataFrame, broad: DataFrame | None = None) -> DataFrame:
-    """Nearest title per name without a floor; ``broad`` names serve requests left empty.
+    """(query_id, name, id, score): nearest title per name without a floor; ``broad`` names serve requests left empty.
 
-    ``names`` has (query_id, name, embedding), ``broad`` has (name, embedding).
+    ``names`` has (query_id, name, embedding), ``broad`` has (name, embedding). A name without a vector finds nothing.
     """
-    keyed = names.withColumn("query_id", F.concat_ws("\x1f", "query_id", "name"))
-    split = F.split("query_id", "\x1f")
-    found = vector_topk(keyed, master, 1).select(
-        split[0].alias("query_id"), split[1].alias("name"), "id", "score"
-    )
+    # Rows get numbers, so that ids and names may be of any type and hold any character.
+    rows = materialize(names.select("query_id", "name", "embedding", F.monotonically_increasing_id().alias("row")))
+    near = vector_topk(rows.select(F.col("row").alias("query_id"), "embedding"), master, 1)
+    found = near.select(F.col("query_id").alias("row"), "id", "score").join(rows, "row").select("query_id", "name", "id", "score")
     if broad is None:
         return found
-    empty = names.select(F.col("query_id").cast("string").alias("query_id")).distinct()
-    empty = empty.join(found.select("query_id"), "query_id", "left_anti")
-    spare = vector_topk(broad.withColumnRenamed("name", "query_id"), master, 1)
-    spare = spare.select(F.col("query_id").alias("name"), "id", "score")
-    # The broad words are a handful of constants, so every empty request gets all of them.
-    words = empty.withColumn("name", F.explode(F.array([F.lit(r[0]) for r in broad.select("name").toLocalIterator()])))
-    return found.unionByName(words.join(spare, "name").select("query_id", "name", "id", "score"))
+    found = materialize(found)
+    words = broad.limit(MAX_BROAD + 1).select("name", "embedding", F.monotonically_increasing_id().alias("row"))
+    words = materialize(words)
+    if words.count() > MAX_BROAD:
+        raise ValueError(f"more than {MAX_BROAD} broad names")
+    near = vector_topk(words.select(F.col("row").alias("query_id"), "embedding"), master, 1)
+    spare = near.select(F.col("query_id").alias("row"), "id", "score").join(words.select("row", "name"), "row").drop("row")
+    empty = rows.select("query_id").distinct().join(found.select("query_id"), "query_id", "left_anti")
+    every = empty.withColumn("_one", F.lit(1)).join(F.broadcast(spare.withColumn("_one", F.lit(1))), "_one")
+    return found.unionByName(every.select("query_id", "name", "id", "score"))

@@ -285,6 +285,8 @@ def batch_topk(
             shared = queries.sparkSession.sparkContext.broadcast(head)
 
             def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                if not shared.value.num_rows:  # nobody asks
+                    return
                 found = run(batches, shared.value)
                 if len(found):
                     yield pa.RecordBatch.from_pandas(found, preserve_index=False)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from ragmill.functions import report as r
@@ -215,3 +217,95 @@ def report_table(spark, sf):
 @query()
 def report_table_as_of(spark, sf):
     return _report_table(spark, sf, "1997-06-30").select("query_id", "outcome", "verdict", F.md5("prefix").alias("prefix_md5"), "report")
+
+
+# Questions that end in every way: one law per customer, present, without articles, without texts, unknown, not in force yet, or
+# in force only later. The second article is asked for, so it stands first among the references.
+ASKED_SQL = f"""SELECT c_custkey AS query_id, CAST(c_custkey % 7 AS INT) AS kind, 'L' || lpad(CAST(c_custkey AS STRING), 9, '0') AS law_num,
+  '特' || {np.KANJI.format('c_custkey')} || '令法' AS law_title, c_mktsegment FROM {{customer}}"""
+LAW_DAY = "CASE WHEN kind >= 5 THEN DATE '1998-03-01' ELSE DATE '1995-01-01' END"
+ARTICLE_ROWS_SQL = f"""SELECT law_num, law_num || '_19950101_1' AS law_id, law_title, 'Main_Article_' || CAST(n AS STRING) AS unique_anchor, 'Mp-At_' || CAST(n AS STRING) AS anchor,
+  CASE WHEN kind = 3 THEN '' ELSE 'Body ' || CAST(n AS STRING) || ' of ' || law_num END AS content, 'Head ' || CAST(n AS STRING) AS article_summary,
+  kind = 5 AS is_future, {LAW_DAY} AS enforce_date, law_num || '/' || CAST(n AS STRING) AS id
+  FROM ({ASKED_SQL}) a CROSS JOIN (SELECT 1 AS n UNION ALL SELECT 2 AS n) b WHERE kind NOT IN (2, 4)"""
+DATA_LINE = "'データ基準日: 2026-06-01時点のe-Gov法令データ（r7）'"
+
+
+def outcome_sql(as_of: bool) -> str:
+    """Outcome, report and the days of its references, by the kind of the question."""
+    late = "WHEN kind >= 5 THEN 'no_version'" if as_of else ""
+    errors = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in r.ERRORS.items())
+    title = "law_title || ' Head {0}'" if as_of else "law_title"
+    url = "'" + URL + "' || law_num" + (" || '#Mp-At_{0}'" if as_of else "")
+    suffix = "'（施行日: 1995-01-01）'" if as_of else "''"
+    line = (
+        "'[{1}] 🔗 **[' || " + title + " || '](' || " + url + " || ')**' || " + suffix + " || chr(10) || '　　> Body {0} of ' || law_num || '...'"
+    )
+    gap = "chr(10) || chr(10)"
+    report = (
+        f"'# Report' || chr(10) || 'see [[1]](' || {url.format(2)} || ') and [[2]](' || {url.format(1)} || ')' || {gap} || '{r.SOURCES_HEADING}' || {gap}"
+        f" || {DATA_LINE} || {gap} || {line.format(2, 1)} || {gap} || {line.format(1, 2)}"
+    )
+    return f"""WITH a AS ({ASKED_SQL.replace("{customer}", "customer")}),
+  o AS (SELECT *, CASE kind WHEN 2 THEN 'no_articles' WHEN 3 THEN 'no_full_articles' WHEN 4 THEN 'no_match' ELSE CASE {late} WHEN TRUE THEN 'ok' END END AS outcome,
+    CASE kind WHEN 2 THEN 'pending' WHEN 4 THEN 'none' WHEN 5 THEN 'pending' ELSE 'current' END AS verdict FROM a)
+SELECT query_id, outcome, verdict, CASE outcome {errors} ELSE {report} END AS report, CASE WHEN outcome = 'ok' THEN '1:1995-01-01,2:1995-01-01' END AS cited_days,
+  CASE WHEN outcome = 'ok' THEN 'r7' END AS data_release, {"CASE WHEN outcome = 'ok' THEN '1997-06-30' END" if as_of else "CAST(NULL AS VARCHAR)"} AS as_of FROM o"""
+
+
+def _outcomes(spark, sf, as_of):
+    embed = hashing_embedder(32)
+    asked = sql(spark, sf, ASKED_SQL)
+    rows = sql(spark, sf, ARTICLE_ROWS_SQL)
+    index = embed_rows(rows.drop("anchor"), embed, text="article_summary")
+    master = o.title_dictionary(asked.filter("kind <> 4").select("law_num", "law_title"))
+    text = F.concat("law_title", F.lit("の第2条は "), "c_mktsegment")
+    queries = embed_rows(asked.select("query_id", text.alias("text")), embed)
+    model = asked.select(
+        "query_id", F.concat(F.lit('{"law_names": ["'), "law_title", F.lit('"]}')).alias("law_names_text"), F.lit("1, 2").alias("selection"),
+        F.lit("<think>x</think># Report\nsee [1] and [2]").alias("report"),
+    )
+    candidates = asked.filter("kind <> 4").select("query_id", "law_num", "law_title")
+    meta = spark.createDataFrame([("2026-06-01", "r7")], "fetched string, release string")
+    out = rep.report_table(queries, master, index, rows, model, candidates, URL, "1998-01-01", as_of, meta=meta)
+    days = F.transform("references", lambda x: F.concat_ws(":", x["n"].cast("string"), x["enforce_date"].cast("string")))
+    return out.select("query_id", "outcome", "verdict", "report", F.array_join(days, ",").alias("cited_days"), "data_release", F.col("as_of").cast("string").alias("as_of"))
+
+
+@query(outcome_sql(False))
+def report_outcomes(spark, sf):
+    """The batch report with every outcome of a dictionary search, in full."""
+    return _outcomes(spark, sf, None)
+
+
+@query(outcome_sql(True))
+def report_outcomes_as_of(spark, sf):
+    """The same at a day on which some laws were not in force yet."""
+    return _outcomes(spark, sf, "1997-06-30")
+
+
+def _digest_vectors(texts: list[str]) -> list[list[float]]:
+    """A vector of its own for every text, so that a name is nearest to the equal title alone."""
+    return [[b / 127.5 - 1 for b in hashlib.sha512(t.encode()).digest()] for t in texts]
+
+
+@query(f"""WITH a AS ({ASKED_SQL.replace("{customer}", "customer")})
+SELECT query_id, CASE WHEN kind = 4 THEN 'no_law' WHEN kind = 2 THEN 'no_articles' WHEN kind = 3 THEN 'no_full_articles' ELSE 'ok' END AS outcome, CASE WHEN kind = 4 THEN 'unidentified' ELSE 'current' END AS verdict,
+  CASE WHEN kind IN (2, 3, 4) THEN '' ELSE law_num END AS law FROM a""")
+def report_without_titles(spark, sf):
+    """No dictionary of titles: laws by the vectors of their names, and none where neither a name nor a vector is given."""
+    embed = _digest_vectors
+    # Names of ordinances have no ordinances of their own.
+    asked = sql(spark, sf, ASKED_SQL).withColumn("law_title", F.regexp_replace("law_title", "法$", ""))
+    rows = sql(spark, sf, ARTICLE_ROWS_SQL).withColumn("is_future", F.lit(False))
+    index = embed_rows(rows.drop("anchor"), embed, text="article_summary")
+    master = o.title_dictionary(asked.limit(0).select("law_num", "law_title"))
+    titles = embed_rows(asked.select("law_num", "law_title"), embed, text="law_title").select("law_num", "embedding")
+    queries = embed_rows(asked.select("query_id", "kind", F.concat(F.lit("x "), "c_mktsegment").alias("text")), embed)
+    queries = queries.select("query_id", "text", F.when(F.col("kind") != 4, F.col("embedding")).alias("embedding"))
+    names = F.when(F.col("kind") == 4, F.lit('{"law_names": []}')).otherwise(F.concat(F.lit('{"law_names": ["'), "law_title", F.lit('"]}')))
+    model = asked.select("query_id", names.alias("law_names_text"), F.lit("1").alias("selection"), F.lit("# R [1]").alias("report"))
+    candidates = asked.limit(0).select("query_id", "law_num", "law_title")
+    out = rep.report_table(queries, master, index, rows, model, candidates, URL, "1998-01-01", titles=titles, embed=embed)
+    law = F.regexp_extract("report", r"law/(L\d+)", 1)
+    return out.select("query_id", "outcome", "verdict", F.when(F.col("outcome") == "ok", law).otherwise("").alias("law"))

@@ -218,6 +218,24 @@ def nearest_law_per_name(spark, sf):
     )
 
 
+NUMBER = "CAST(regexp_extract(owner, '(\\d+)', 1) AS INTEGER)"
+
+
+@query(f"""WITH {i.CORPUS_SQL}, {i.OWNER_QUERIES_SQL}, {i.LABEL_QUERIES_SQL},
+  named AS (SELECT owner AS query_id, embedding FROM owner_queries WHERE {NUMBER} % 3 <> 0),
+  words AS (SELECT query_id, embedding FROM label_queries WHERE query_id < 2),
+  {i.vector_hits_sql('by_name', 'named', 'corpus', 1)}, {i.vector_hits_sql('by_word', 'words', 'corpus', 1)}
+SELECT query_id, query_id AS name, id, round(score, 6) AS score FROM by_name
+UNION ALL SELECT o.owner, 'word ' || w.query_id, w.id, round(w.score, 6) FROM owner_queries o, by_word w WHERE {NUMBER} % 3 = 0""")
+def nearest_law_by_broad_words(spark, sf):
+    """Requests of which no name has a vector take the laws nearest to the broad words."""
+    vector = F.when(F.regexp_extract("owner", r"(\d+)", 1).cast("int") % 3 != 0, F.col("embedding"))
+    names = i.owner_queries(spark, sf).select(F.col("owner").alias("query_id"), F.col("owner").alias("name"), vector.alias("embedding"))
+    words = i.label_queries(spark, sf).filter("query_id < 2")
+    broad = words.select(F.concat(F.lit("word "), F.col("query_id").cast("string")).alias("name"), "embedding")
+    return r.nearest_law_per_name(names, i.corpus(spark, sf), broad).select("query_id", "name", "id", F.round("score", 6).alias("score"))
+
+
 @query("""WITH asked AS (SELECT event_id AS request_id, 'src' || (user_id % 25) AS owner,
     unnest(CASE event_type WHEN 'view' THEN [NULL] WHEN 'click' THEN ['en', 'de', 'en'] WHEN 'error' THEN ['en', 'xx'] ELSE ['fr'] END) AS collection
   FROM events), owned AS (SELECT DISTINCT source AS owner, lang AS collection FROM documents)

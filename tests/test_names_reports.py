@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ragmill.functions import names as n
 from ragmill.functions import report as r
 from ragmill.operators import names as o
+from ragmill.operators import reports as rep
+from ragmill.operators import retrieval
 
 
 def one(spark, column, *values):
@@ -141,3 +143,38 @@ def test_diagram_labels_are_escaped():
 def test_preamble_and_reasoning(spark):
     assert one(spark, r.strip_preamble(F.col("c0")), "<think>a\nb</think>hello\n# T\nx") == "# T\nx"
     assert one(spark, r.strip_preamble(F.col("c0")), "  plain 　") == "plain"
+
+
+def test_summaries_give_their_place_to_full_articles(spark):
+    columns = "query_id int, part int, rank long, law_num string, law_id string, law_title string, unique_anchor string, content string, article_summary string, is_future boolean"
+    final = spark.createDataFrame(
+        [(1, 0, 0, "A", "A_1", "a", "Main_Article_1", "short", "s", False), (1, 1, 2, "B", "B_1", "b", "Main_Article_9", "other", "s", False)], columns
+    )
+    summaries = final.filter("rank = 0").unionByName(final.filter("rank = 0").withColumn("law_num", F.lit("B")).withColumn("rank", F.lit(5).cast("long")))
+    laws = spark.createDataFrame([(1, "A", False), (1, "B", False)], "query_id int, law_num string, pending boolean")
+    article = spark.createDataFrame(
+        [("1", "A", "A_1", "a", "Main_Article_1", "full of A", "h", False), ("2", "B", "B_1", "b", "Main_Article_1", "full of B", "h", False),
+         ("3", "B", "B_2", "b", "Main_Article_1", "not yet", "h", True)],
+        "id string, law_num string, law_id string, law_title string, unique_anchor string, content string, article_summary string, is_future boolean",
+    )
+    got = rep._summaries_upgraded(final, summaries, laws, article, False).orderBy("part").collect()
+    assert [(x["law_num"], x["content"], x["rank"]) for x in got] == [("B", "full of B", 0), ("B", "other", 2)]
+    assert rep._summaries_upgraded(final, summaries.limit(0), laws, article, False).filter("content = 'short'").count() == 1
+
+
+def test_names_without_a_vector_fall_back_to_broad_words(spark):
+    vectors = "query_id string, name string, embedding array<double>"
+    names = spark.createDataFrame([("a\x1fb", "x\x1fy", [1.0, 0.0]), ("a\x1fb", "z", None), ("c", "w", None)], vectors)
+    master = spark.createDataFrame([("L1", [1.0, 0.1]), ("L2", [0.0, 1.0])], "id string, embedding array<double>")
+    broad = spark.createDataFrame([("法律", [0.1, 1.0]), ("規則", None)], "name string, embedding array<double>")
+    got = {(x["query_id"], x["name"], x["id"]) for x in retrieval.nearest_law_per_name(names, master, broad).collect()}
+    assert got == {("a\x1fb", "x\x1fy", "L1"), ("c", "法律", "L2")}
+    asked = spark.createDataFrame([(1, ["one"]), (2, []), (3, [])], "query_id int, law_names array<string>")
+    queries = spark.createDataFrame([(1, [0.0, 0.0]), (2, [0.0, 2.0]), (3, None)], "query_id int, embedding array<double>")
+    titles = master.withColumnRenamed("id", "law_num")
+    laws = rep.nearest_laws(asked, queries, titles, lambda texts: [[1.0, 0.0] for _ in texts]).collect()
+    assert sorted((x["query_id"], x["verdict"], x["law_num"]) for x in laws if x["law_num"]) == [(1, "current", "L1"), (2, "current", "L2")]
+    assert [x["verdict"] for x in laws if x["query_id"] == 3] == ["unidentified"]
+    with pytest.raises(ValueError, match="broad"):
+        many = spark.range(retrieval.MAX_BROAD + 1).selectExpr("cast(id as string) as name", "array(1D, 0D) as embedding")
+        retrieval.nearest_law_per_name(names, master, many)
