@@ -24,8 +24,23 @@ def page_text(spark, sf):
     return pages.select("page_id", F.length("text").alias("chars"), F.md5("text").alias("text_md5"))
 
 
-@query()
+# Pages built from columns: dropped elements, blocks, inline elements, references, a list and text kept as written.
+BUILT_PAGE = (
+    "'<!DOCTYPE html><html><head><style>p a</style><script>var a = \"</p>\"</script></head><body><nav>Nav ' || CAST(o_orderkey AS STRING) || '</nav>"
+    "<h1>' || o_orderpriority || ' &amp; co</h1><p>one <b>two</b>,  three<br>four &lt;' || o_orderstatus || '&gt;</p><template>no</template><ul><li>a</li>"
+    "<li>b' || CAST(o_custkey AS STRING) || '</li></ul><pre>\n keep\n  this </pre><!-- no --><div> </div>end</body></html>'"
+)
+
+
+@query("""SELECT o_orderkey AS page_id, concat_ws(chr(10), 'Nav ' || o_orderkey, o_orderpriority || ' & co', 'one two, three', 'four <' || o_orderstatus || '>', 'a', 'b' || o_custkey, ' keep', '  this', 'end') AS text FROM orders""")
+def built_page_text(spark, sf):
+    pages = sql(spark, sf, f"SELECT o_orderkey AS page_id, {BUILT_PAGE} AS html FROM {{orders}}")
+    return pages.select("page_id", html_text(F.col("html")).alias("text"))
+
+
+@query("SELECT doc_id AS document_id, 0 AS section, CAST(NULL AS VARCHAR) AS header_path, md5(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS body_md5 FROM documents WHERE regexp_matches(text, '\\S')")
 def header_sections(spark, sf):
+    """The given texts have no headings, so each is one section."""
     return c.header_sections(_docs(spark, sf)).select("document_id", "section", "header_path", F.md5("body").alias("body_md5"))
 
 
@@ -126,6 +141,48 @@ def packed_words(spark, sf):
     return chunks.select("document_id", "chunk_index", F.size(F.split("chunk_text", " ")).cast("bigint").alias("words"))
 
 
+WORDS = """o AS (SELECT o_orderkey AS document_id, 'u' || o_custkey AS owner, 1 + o_orderkey % 200 AS n FROM orders),
+  k AS (SELECT *, CASE WHEN n <= 16 THEN 1 ELSE 1 + CAST(ceil((n - 16) / 12.0) AS BIGINT) END AS chunks FROM o)"""
+
+
+def _word_documents(spark, sf):
+    text = "trim(repeat('abcd ', CAST(1 + o_orderkey % 200 AS INT)))"
+    return sql(spark, sf, f"SELECT o_orderkey AS document_id, 'u' || CAST(o_custkey AS STRING) AS owner, {text} AS text FROM {{orders}}")
+
+
+def _measures(texts: list[str]) -> list[list[float]]:
+    """Vectors that SQL can tell as well: characters and blanks."""
+    return [[len(t), t.count(" ")] for t in texts]
+
+
+@query(f"""WITH {WORDS}, p AS (SELECT *, unnest(range(chunks)) AS i FROM k WHERE chunks <= 10)
+SELECT document_id, owner, i::int AS chunk_index, (5 * least(16, n - 12 * i) - 1)::double AS chars, (least(16, n - 12 * i) - 1)::double AS blanks FROM p""")
+def embedded_words(spark, sf):
+    """Chunks with the vector that their own text gives, documents of more than ten chunks left out whole."""
+    _, chunks = c.chunk_and_embed(_word_documents(spark, sf), _measures, 80, 20, 10)
+    vector = F.col("embedding")
+    return chunks.select("document_id", "owner", "chunk_index", vector[0].cast("double").alias("chars"), vector[1].cast("double").alias("blanks"))
+
+
+@query(f"""WITH {WORDS} SELECT document_id, owner, chunks AS chunk_count, CASE WHEN chunks > 10 THEN 'rejected' ELSE 'ok' END AS outcome,
+  CASE WHEN chunks > 10 THEN 'too_many_chunks' END AS reason FROM k""")
+def word_document_outcomes(spark, sf):
+    documents, _ = c.chunk_and_embed(_word_documents(spark, sf), _measures, 80, 20, 10)
+    return documents.select("document_id", "owner", "chunk_count", "outcome", "reason")
+
+
+# Paragraphs of 290 characters: three fill a chunk, and none fits into the overlap. Every fifth is longer than a chunk and falls
+# into its own lines of 400 characters, of which two fill a chunk.
+@query("""WITH o AS (SELECT o_orderkey AS document_id, 1 + o_orderkey % 9 AS n, o_orderkey % 5 = 0 AS long FROM orders),
+  p AS (SELECT *, unnest(range(CAST(ceil(n / CASE WHEN long THEN 2.0 ELSE 3.0 END) AS BIGINT))) AS i FROM o)
+SELECT document_id, i::int AS chunk_index, CASE WHEN long THEN md5(rtrim(repeat(repeat('x', 400) || chr(10), least(2, n - 2 * i)), chr(10)))
+  ELSE md5(rtrim(repeat(repeat('y', 290) || chr(10) || chr(10), least(3, n - 3 * i)), chr(10))) END AS text_md5 FROM p""")
+def packed_paragraphs(spark, sf):
+    text = "CASE WHEN o_orderkey % 5 = 0 THEN repeat(repeat('x', 400) || '\n', CAST(1 + o_orderkey % 9 AS INT)) ELSE repeat(repeat('y', 290) || '\n\n', CAST(1 + o_orderkey % 9 AS INT)) END"
+    docs = sql(spark, sf, f"SELECT o_orderkey AS document_id, {text} AS text FROM {{orders}}")
+    return c.chunk_documents(docs).select("document_id", "chunk_index", F.md5("chunk_text").alias("text_md5"))
+
+
 @query("SELECT doc_id AS id, 64 AS dims FROM documents LEFT JOIN embeddings ON vec_id = doc_id WHERE (embedding IS NULL OR lang = 'en') AND length(trim(text)) > 0")
 def embed_missing(spark, sf):
     """Vectors for the documents that have none; English ones are to be made anew."""
