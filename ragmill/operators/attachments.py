@@ -35,7 +35,6 @@ def attachment_budget(df: DataFrame, limits: dict | None = None) -> DataFrame:
     sums = running(
         numbered, ["request_id"], (-F.col("message")).cast("bigint"), ["pos"],
         {"_spent": F.when(counted & ok, capped).otherwise(none), "_images": F.when(image & ok, one).otherwise(none)},
-        source=df,
     )
     left = F.greatest(F.lit(top["total_chars"]) - F.col("_spent"), F.lit(0))
     kept = F.least(capped, left)

@@ -9,6 +9,7 @@ from ragmill.functions.html import page_text
 from ragmill.operators import attachments, chunking
 from ragmill.operators import scoring as s
 from ragmill.operators.embedding import BatchRefused, embed_all, hashing_embedder
+from ragmill.operators import ranking
 from ragmill.operators.ranking import ranked
 from ragmill.sources import bronze, jsonl, lawxml, snapshots
 from ragmill.streaming import tokens
@@ -200,6 +201,25 @@ def test_budget_equals_the_loop(spark):
     assert got == want
 
 
+def test_running_sums_of_one_scope_with_equal_order_values(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(None if i % 50 == 0 else "hot", 7 if i % 3 else 8, i, rng.choice([None, 1, -2, 5])) for i in range(3000)]
+    df = spark.createDataFrame(rows, "scope string, v long, id int, x long").repartition(5)
+    written = []
+    keep = ranking.materialize
+    monkeypatch.setattr(ranking, "materialize", lambda d: written.append(keep(d)) or written[-1])
+    got = {r["id"]: (r["n"], r["s"]) for r in ranking.running(df, ["scope"], F.col("v"), ["id"], {"n": F.lit(1), "s": F.col("x")}, splits=9).collect()}
+    for scope in (None, "hot"):
+        n = s = 0
+        for _, i, x in sorted((v, i, x) for k, v, i, x in rows if k == scope):
+            assert got[i] == (n, s)
+            n, s = n + 1, s + (x or 0)
+    # Equal values of one scope are spread over the ranges by their ties.
+    sizes = [r["count"] for r in written[0].groupBy("_range").count().collect()]
+    assert len(sizes) >= 7 and max(sizes) < 1000
+    assert ranking.running(df.limit(0), ["scope"], F.col("v"), ["id"], {"n": F.lit(1)}).count() == 0
+
+
 def test_ranks_of_a_hot_scope(spark):
     rng = random.Random(2)
     rows = [(0 if i < 900 else i % 7, rng.randint(0, 40), i) for i in range(1200)]
