@@ -15,8 +15,6 @@ BAD_URL_CHARS = r"[\x00-\x1F⁄∕／\\]"
 ENCODED_SLASH = r"(?i)%25(?:2f|5c)|%(?:2f|5c)"
 PRIVATE_RANGES = ("127.0.0.0/8", "10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "169.254.0.0/16", "0.0.0.0/8")
 LOCAL_NAMES = ("localhost", "host.docker.internal", "::1", "::")
-#: Allow-list entries become one expression in the plan.
-MAX_ALLOWED = 1_000
 
 
 def key_owner(key: Column) -> Column:
@@ -168,25 +166,47 @@ def is_private(host: Column) -> Column:
     return named | F.when(address.isNotNull(), in_ranges(address, PRIVATE_RANGES)).otherwise(~F.contains(host, F.lit(".")))
 
 
-def endpoint_audit(apps: DataFrame, allow_private: bool, allowed: tuple[str, ...] = ()) -> DataFrame:
+def listed_hosts(hosts: DataFrame, entries: DataFrame) -> DataFrame:
+    """The distinct rows of ``hosts`` (host) that the allow-list ``entries`` (entry) names: host names, or IPv4 ranges.
+
+    An address lies in a range just when both have the same first bits, so each address is looked up once for every length
+    that ranges have, of which there are 33 at most. Entries that are neither are left out.
+    """
+    own = F.col("entry")
+    names = entries.filter(~F.contains(own, F.lit("/"))).select(F.lower(own).alias("host"))
+    base, bits = ipv4(F.split_part(own, F.lit("/"), F.lit(1))), F.split_part(own, F.lit("/"), F.lit(2))
+    ranges = (
+        entries.filter(own.rlike(r"^[^/]+/\d{1,2}$")).select(base.alias("base"), bits.try_cast("int").alias("bits"))
+        .filter("base is not null and bits <= 32").select("bits", F.expr("shiftright(base, 32 - bits)").alias("first")).distinct()
+    )
+    lengths = sorted(r["bits"] for r in ranges.select("bits").distinct().collect())
+    hosts = hosts.select("host").distinct()
+    listed = hosts.join(names.distinct(), "host", "left_semi")
+    if not lengths:
+        return listed
+    places = F.array(*[F.struct(F.lit(b).alias("bits"), F.shiftright("address", 32 - b).alias("first")) for b in lengths])
+    asked = hosts.withColumn("address", ipv4(F.col("host"))).filter("address is not null").select("host", F.inline(places))
+    return listed.unionByName(asked.join(ranges, ["bits", "first"], "left_semi").select("host")).distinct()
+
+
+def endpoint_audit(apps: DataFrame, allow_private: bool, allowed: tuple[str, ...] | DataFrame = ()) -> DataFrame:
     """Apps with the ``host`` of their ``endpoint`` and a ``verdict``.
 
-    invalid, bad_protocol, public, private_blocked, private_not_listed or private_allowed.
+    invalid, bad_protocol, public, private_blocked, private_not_listed or private_allowed. ``allowed`` is a table (entry) of
+    any size, or a few entries.
     """
-    if len(allowed) > MAX_ALLOWED:
-        raise ValueError(f"at most {MAX_ALLOWED} allow-list entries")
-    host = F.regexp_replace(url_host(F.col("endpoint")), r"^\[|\]$", "")
+    if not isinstance(allowed, DataFrame):
+        allowed = apps.sparkSession.createDataFrame([(a,) for a in allowed], "entry string")
+    rows = apps.withColumn("host", F.regexp_replace(url_host(F.col("endpoint")), r"^\[|\]$", ""))
+    listed = listed_hosts(rows.filter(is_private(F.col("host"))), allowed).withColumn("_listed", F.lit(True))
+    rows = rows.join(listed, "host", "left")
     scheme = F.lower(F.regexp_extract(F.trim("endpoint"), r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1))
-    names = [a.lower() for a in allowed if "/" not in a]
-    listed = in_ranges(ipv4(F.col("host")), tuple(a for a in allowed if "/" in a))
-    if names:
-        listed = listed | F.col("host").isin(*names)
     verdict = (
         F.when((scheme == "") | ((F.col("host") == "") & scheme.isin("http", "https")), "invalid")
         .when(~scheme.isin("http", "https"), "bad_protocol")
         .when(~is_private(F.col("host")), "public")
         .when(F.lit(not allow_private), "private_blocked")
-        .when(listed, "private_allowed")
+        .when(F.col("_listed"), "private_allowed")
         .otherwise("private_not_listed")
     )
-    return apps.withColumn("host", host).withColumn("verdict", verdict)
+    return rows.withColumn("verdict", verdict).select(*apps.columns, "host", "verdict")

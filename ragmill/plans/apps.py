@@ -362,6 +362,27 @@ def endpoint_audit(spark, sf):
     return st.endpoint_audit(sql(spark, sf, ENDPOINTS_SQL), True, allowed).select("app_id", "verdict")
 
 
+# As many ranges as there are orders, of 12 to 32 bits; DuckDB compares first and last addresses.
+RANGES_SQL = "SELECT o_orderkey AS k, CAST(12 + o_orderkey % 21 AS INT) AS bits FROM {orders}"
+
+
+@query(f"""WITH r AS ({RANGES_SQL.replace("{orders}", "orders")}),
+  b AS (SELECT DISTINCT bits, (CAST(10 AS BIGINT) << 24) + ((k * 7919) % 16777216) AS base FROM r),
+  a AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, '10.' || (l_partkey % 256) || '.' || (l_suppkey % 256) || '.' || (l_orderkey % 256) AS host,
+    (CAST(10 AS BIGINT) << 24) + (l_partkey % 256) * 65536 + (l_suppkey % 256) * 256 + l_orderkey % 256 AS address FROM lineitem),
+  f AS (SELECT DISTINCT bits, base >> (32 - bits) AS first FROM b),
+  l AS (SELECT DISTINCT address FROM (SELECT DISTINCT address FROM a) x, (SELECT DISTINCT bits FROM f) n WHERE EXISTS (SELECT 1 FROM f WHERE f.bits = n.bits AND f.first = x.address >> (32 - n.bits)))
+SELECT host, CASE WHEN l.address IS NULL THEN 'private_not_listed' ELSE 'private_allowed' END AS verdict, count(*) AS n FROM a LEFT JOIN l ON l.address = a.address GROUP BY ALL""")
+def endpoint_audit_many_ranges(spark, sf):
+    address = "(shiftleft(10L, 24) + (k * 7919) % 16777216)"
+    dotted = " || '.' || ".join(f"CAST(shiftright({address}, {s}) % 256 AS STRING)" for s in (24, 16, 8, 0))
+    allowed = sql(spark, sf, RANGES_SQL).selectExpr(f"{dotted} || '/' || CAST(bits AS STRING) AS entry")
+    lines = table(spark, sf, "lineitem")
+    host = F.concat_ws(".", F.lit("10"), *[(F.col(c) % 256).cast("string") for c in ("l_partkey", "l_suppkey", "l_orderkey")])
+    apps = lines.select(F.concat(F.lit("http://"), host, F.lit("/x")).alias("endpoint"))
+    return st.endpoint_audit(apps, True, allowed).groupBy("host", "verdict").agg(F.count("*").alias("n"))
+
+
 @query("SELECT p_partkey, p_brand AS owner, p_name AS name, count(*) OVER (PARTITION BY p_brand, p_name) > 1 AS conflict FROM part")
 def unique_names(spark, sf):
     rows = table(spark, sf, "part").select("p_partkey", F.col("p_brand").alias("owner"), F.col("p_name").alias("name"))

@@ -9,7 +9,7 @@ from ragmill.functions.html import page_text
 from ragmill.operators import attachments, chunking
 from ragmill.operators import scoring as s
 from ragmill.operators.embedding import BatchRefused, embed_all, hashing_embedder
-from ragmill.operators import ranking
+from ragmill.operators import ranking, storage
 from ragmill.operators.ranking import ranked
 from ragmill.sources import bronze, jsonl, lawxml, snapshots
 from ragmill.streaming import tokens
@@ -228,3 +228,21 @@ def test_ranks_of_a_hot_scope(spark):
     for scope in range(7):
         ordered = sorted((v, i) for s_, v, i in rows if s_ == scope)
         assert [got[i] for _, i in ordered] == list(range(1, len(ordered) + 1))
+
+
+def test_allow_list_of_any_size(spark):
+    hosts = ["10.1.2.3", "10.1.2.4", "192.168.77.1", "container", "fd00::1", "10.255.0.1", "172.16.0.9"]
+    apps = spark.createDataFrame([(i, f"http://{'[' + h + ']' if ':' in h else h}:80/x") for i, h in enumerate(hosts)], "id int, endpoint string")
+
+    def verdicts(*entries):
+        rows = spark.createDataFrame([(e,) for e in entries], "entry string")
+        return {r["host"]: r["verdict"] == "private_allowed" for r in storage.endpoint_audit(apps, True, rows).collect()}
+
+    assert set(verdicts().values()) == {False}
+    got = verdicts("10.1.2.3/32", "192.168.0.0/17", "CONTAINER", "10.255.0.0/8x", "300.1.1.1/8", "10.0.0.0/33", "a/8", "172.16.0.0/", "/8")
+    assert {h for h, ok in got.items() if ok} == {"10.1.2.3", "192.168.77.1", "container"}
+    assert {h for h, ok in verdicts("0.0.0.0/0").items() if ok} == {h for h in hosts if h[0] == "1"}
+    many = spark.range(100_000).selectExpr("concat('11.', id % 256, '.', (id div 256) % 256, '.', id % 7, '/', 20 + id % 13) as entry")
+    many = many.unionByName(spark.createDataFrame([("10.1.2.0/30",)], "entry string"))
+    got = storage.endpoint_audit(apps, True, many).filter("verdict = 'private_allowed'").collect()
+    assert [r["host"] for r in got] == ["10.1.2.3"]
