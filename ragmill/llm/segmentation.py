@@ -153,7 +153,7 @@ class Lattices:
 
     #: Longer units are filtered one by one.
     LONG = 48
-    CELLS = 30_000
+    CELLS = 50_000
 
     def __init__(self, vocab: Vocabulary):
         self.vocab = vocab
