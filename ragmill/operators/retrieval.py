@@ -92,6 +92,26 @@ def vector_topk_scoped(queries: DataFrame, corpus: DataFrame, k: int, id_col: st
     )
 
 
+def search_chunks(queries: DataFrame, root: str, k: int, buckets: int = 32) -> DataFrame:
+    """``vector_topk_scoped`` over chunks stored by ``snapshots.write_chunks`` under ``root``.
+
+    Only folders of the queries' owners are listed and read, and their rows stay where they are read.
+    """
+    spark = queries.sparkSession
+    # As many numbers as there are folders at most.
+    bucket = F.pmod(F.xxhash64(F.col("owner").cast("string")), F.lit(buckets)).cast("int").alias("b")
+    wanted = [r["b"] for r in queries.select(bucket).distinct().collect()]
+    rows = spark.read.parquet(root).filter(F.col("owner_bucket").isin(wanted))
+    return batch_topk(
+        _vector_side(_scoped_queries(queries), F.col("scope"), id_col="query_id", name="query_id"),
+        _vector_side(rows, *_corpus_scopes(), id_col="id", name="id"),
+        k,
+        VectorBlock,
+        n_scopes=2,
+        pruned=True,
+    )
+
+
 def bigram_topk_scoped(
     queries: DataFrame, corpus: DataFrame, k: int, min_sim: float = MIN_SIMILARITY, id_col: str = "id"
 ) -> DataFrame:

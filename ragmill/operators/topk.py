@@ -262,25 +262,29 @@ def batch_topk(
     n_scopes: int = 0,
     query_rows: int | None = None,
     corpus_rows: int = CORPUS_BLOCK_ROWS,
+    pruned: bool = False,
 ) -> DataFrame:
     """Exact top-k per query: (query_id, rank, id, score).
 
     ``queries`` has (query_id, scope, payload), ``corpus`` has (id, payload,
     scope_0..). Without corpus scopes every query searches the whole corpus. With them the two sides meet by scope, and
-    corpus rows of a scope that no query names are not shuffled.
+    corpus rows of a scope that no query names are not shuffled. ``pruned`` tells that most of ``corpus`` is asked for:
+    then a block of queries goes to the rows, which are not shuffled at all.
     """
     block_rows = query_rows or _block_rows(queries)
     id_type = corpus.schema["id"].dataType.simpleString()
     qid_type = queries.schema["query_id"].dataType.simpleString()
     schema = f"query_id {qid_type}, id {id_type}, score double"
 
-    if n_scopes:
-        partial = _by_scope(queries, corpus, k, blocks_of, n_scopes, schema, block_rows, corpus_rows)
-    else:
-        run = _search(blocks_of, k, 0)
+    head = None
+    if pruned or not n_scopes:
+        run = _search(blocks_of, k, n_scopes)
         head = queries.limit(block_rows + 1).toArrow()
         if head.nbytes > QUERY_BLOCK_BYTES:
             block_rows = max(1, head.num_rows * QUERY_BLOCK_BYTES // head.nbytes // 2)
+    if n_scopes and (head is None or head.num_rows > block_rows):
+        partial = _by_scope(queries, corpus, k, blocks_of, n_scopes, schema, block_rows, corpus_rows)
+    else:
         if head.num_rows <= block_rows:
             shared = queries.sparkSession.sparkContext.broadcast(head)
 
@@ -291,7 +295,7 @@ def batch_topk(
                 if len(found):
                     yield pa.RecordBatch.from_pandas(found, preserve_index=False)
 
-            partial = spread(corpus).mapInArrow(scan, schema)
+            partial = (corpus if n_scopes else spread(corpus)).mapInArrow(scan, schema)
         else:
             partial = _blocked(queries, corpus, run, schema, block_rows, corpus_rows)
 

@@ -11,6 +11,7 @@ from ragmill.operators import warehouse as w
 from ragmill.plans import inputs as i
 from ragmill.plans import query
 from ragmill.session import materialize, shared_dir
+from ragmill.sources import snapshots
 from ragmill.tables import table
 
 HITS = "SELECT query_id, rank, id, round(score, 6) AS score FROM "
@@ -32,6 +33,15 @@ def vector_topk_scoped(spark, sf):
     return hits(r.vector_topk_scoped(i.owner_queries(spark, sf), i.corpus(spark, sf), 5))
 
 
+@query(f"WITH {i.CORPUS_SQL}, {i.OWNER_QUERIES_SQL}, "
+       f"{i.vector_hits_sql('hits', 'owner_queries', 'corpus', 5, i.SCOPE_EXTRA)} {HITS} hits")
+def stored_chunk_search(spark, sf):
+    """The same over chunks stored by owner."""
+    root = f"{shared_dir(spark)}/chunks"
+    snapshots.write_chunks(i.corpus(spark, sf), root, "model", {"size": 1000})
+    return hits(r.search_chunks(i.owner_queries(spark, sf), root, 5))
+
+
 @query(f"WITH {i.grams_sql('grams', 'benchmark', 'item_id', 'text')} "
        "SELECT k AS item_id, count(*) AS n_bigrams, string_agg(g, '|' ORDER BY encode(g)) AS grams FROM grams GROUP BY k")
 def bigram_sets(spark, sf):

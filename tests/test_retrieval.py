@@ -9,6 +9,7 @@ from ragmill.operators import retrieval as r
 from ragmill.operators import topk
 from ragmill.operators.topk import VectorBlock, batch_topk, bigram_codes
 from ragmill.operators.vectors import ann_topk, recall_at_k
+from ragmill.sources import snapshots
 
 
 def fuse(spark, lists, **options):
@@ -165,3 +166,23 @@ def test_gram_index_grows_with_its_sets():
     index = topk.GramIndex(table, 0.2)
     row, flags, starts, lists = index.parts[""]
     assert len(index.vocabulary) > 100_000 and flags.nbytes < 1 << 20 and len(lists) <= index.sizes.sum()
+
+
+def test_stored_chunks_are_read_by_owner_and_not_shuffled(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    rows = [(i, f"o{i % 40}", "cd"[i % 2], rng.normal(size=4).tolist()) for i in range(2000)]
+    corpus = spark.createDataFrame(rows, "id int, owner string, collection string, embedding array<double>")
+    root = str(tmp_path / "chunks")
+    snapshots.write_chunks(corpus, root, "m", {"size": 1})
+    asked = [(n, f"o{n}", ["c"] if n % 2 else None, rng.normal(size=4).tolist()) for n in (3, 4)]
+    queries = spark.createDataFrame(asked, "query_id int, owner string, collections array<string>, embedding array<double>")
+    found = r.search_chunks(queries, root, 6)
+    want = r.vector_topk_scoped(queries, corpus, 6)
+    key = lambda x: (x["query_id"], x["rank"], x["id"], round(x["score"], 9))
+    assert sorted(map(key, found.collect())) == sorted(map(key, want.collect())) and found.count() == 12
+    plan = r.search_chunks(queries, root, 6)._jdf.queryExecution().executedPlan().toString()
+    corpus_side = plan[plan.index("MapInArrow") :]
+    assert "Exchange" not in corpus_side and "PartitionFilters: [owner_bucket" in corpus_side
+    stored = spark.read.parquet(root)
+    buckets = stored.filter(F.col("owner").isin("o3", "o4")).select("owner_bucket").distinct().count()
+    assert buckets <= 2 and stored.select("owner_bucket").distinct().count() > 10
