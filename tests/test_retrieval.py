@@ -174,7 +174,7 @@ def test_stored_chunks_are_read_by_owner_and_not_shuffled(spark, tmp_path):
     corpus = spark.createDataFrame(rows, "id int, owner string, collection string, embedding array<double>")
     root = str(tmp_path / "chunks")
     snapshots.write_chunks(corpus, root, "m", {"size": 1})
-    asked = [(n, f"o{n}", ["c"] if n % 2 else None, rng.normal(size=4).tolist()) for n in (3, 4)]
+    asked = [(n, f"o{n}", ["d"] if n % 2 else None, rng.normal(size=4).tolist()) for n in (3, 4)]
     queries = spark.createDataFrame(asked, "query_id int, owner string, collections array<string>, embedding array<double>")
     found = r.search_chunks(queries, root, 6)
     want = r.vector_topk_scoped(queries, corpus, 6)
