@@ -16,15 +16,50 @@ ENACTMENT_NUMBER = "(明治|大正|昭和|平成|令和)[一二三四五六七
 PARENTHETICAL = "[（(][^（()）]*[)）]"
 PARENTHETICAL_BODY = "[（(]([^（()）]*)[)）]"
 KEY_PARTICLES = "のにをはがともへや"
-FORM_SUFFIXES = """
-の施行に伴う関係法律の整備等に関する法律 の施行に伴う関係政令の整備等に関する政令
-の一部を改正する法律 の一部を改正する政令 の一部を改正する省令 の一部を改正する規則
-に関する法律施行令 に関する法律施行規則 の特例に関する法律
-に関する法律 に関する政令 に関する省令 に関する府令 に関する規則 に関する命令 に関する件
-を定める政令 を定める省令 を定める規則 を定める件
-法律施行令 法律施行規則 法施行令 法施行規則 施行令 施行規則 施行法 設置法 組織令 組織規則 の特例
-法律 省令 政令 府令 条例 規則 命令 法 令 律 等
-""".split()
+FORM_SUFFIXES = (
+    "の施行に伴う関係法律の整備等に関する法律",
+    "の施行に伴う関係政令の整備等に関する政令",
+    "の一部を改正する法律",
+    "の一部を改正する政令",
+    "の一部を改正する省令",
+    "の一部を改正する規則",
+    "に関する法律施行令",
+    "に関する法律施行規則",
+    "の特例に関する法律",
+    "に関する法律",
+    "に関する政令",
+    "に関する省令",
+    "に関する府令",
+    "に関する規則",
+    "に関する命令",
+    "に関する件",
+    "を定める政令",
+    "を定める省令",
+    "を定める規則",
+    "を定める件",
+    "法律施行令",
+    "法律施行規則",
+    "法施行令",
+    "法施行規則",
+    "施行令",
+    "施行規則",
+    "施行法",
+    "設置法",
+    "組織令",
+    "組織規則",
+    "の特例",
+    "法律",
+    "省令",
+    "政令",
+    "府令",
+    "条例",
+    "規則",
+    "命令",
+    "法",
+    "令",
+    "律",
+    "等",
+)
 SUFFIX_ROUNDS = 6
 MIN_LENGTH = 2
 SPOKEN_NAME = "[一-龥ァ-ヴー]+(?:法律|法|規則|政令|条例|省令)(?![一-龥ァ-ヴー])"

@@ -19,6 +19,8 @@ from ragmill.session import materialize, plan_bytes, spread
 
 #: Aliases become a constant map in the plan.
 MAX_ALIASES = 10_000
+#: A 2-gram that more titles hold is looked at only where nothing rarer decides.
+HEAVY_GRAM = 500
 #: Characters of a text that are looked at together.
 WINDOW = 32
 #: Written bytes up to which the dictionary of titles is sent to every task; a larger one is joined by a shuffle.
@@ -296,6 +298,38 @@ def best_match(name: Column, candidates: Column) -> Column:
     return F.struct(top["best"].alias("best"), top["sim"].alias("sim"))
 
 
+def nearest_by_grams(names: DataFrame, master: DataFrame, heavy: int = HEAVY_GRAM) -> DataFrame:
+    """(query_id, name, law_num, law_title, sim): the title most similar to each name, of equal ones the first.
+
+    A join on shared 2-grams in place of arrays of candidates. Titles that share a 2-gram which at most ``heavy`` titles have
+    are compared first. A title that shares only more frequent ones with a name has no more in common with it than the
+    name has of those; only names that this could still give a better title, or as good a one, meet these titles too.
+    Names and titles without a common 2-gram have no row.
+    """
+    asked = names.select("query_id", "name").distinct().select("query_id", "name", name_bigrams(F.col("name")).alias("grams"))
+    asked = materialize(asked.filter("size(grams) > 0"))
+    titles = materialize(master.select("law_num", "law_title", name_bigrams(F.col("law_title")).alias("t_grams")).filter("size(t_grams) > 0"))
+    index = titles.select("law_num", F.explode("t_grams").alias("g"))
+    often = materialize(index.groupBy("g").count().filter(F.col("count") > heavy).select("g"))
+
+    def best(wanted: DataFrame, entries: DataFrame) -> DataFrame:
+        pairs = wanted.select("query_id", "name", F.explode("grams").alias("g")).join(entries, "g").select("query_id", "name", "law_num").distinct()
+        both = pairs.join(wanted, ["query_id", "name"]).join(titles, "law_num")
+        scored = both.withColumn("sim", set_jaccard(F.col("grams"), F.col("t_grams")))
+        return scored.groupBy("query_id", "name").agg(F.min_by(F.struct("law_num", "law_title", "sim"), F.struct(-F.col("sim"), "law_num")).alias("b"))
+
+    first = materialize(best(asked, index.join(often, "g", "left_anti")))
+    common = asked.select("query_id", "name", F.explode("grams").alias("g")).join(often, "g").groupBy("query_id", "name").count()
+    open_ = (
+        asked.join(common, ["query_id", "name"]).join(first, ["query_id", "name"], "left")
+        .filter(F.col("count") / F.size("grams") >= F.coalesce("b.sim", F.lit(0.0))).select("query_id", "name", "grams")
+    )
+    second = best(materialize(open_), index.join(often, "g", "left_semi"))
+    found = first.unionByName(second).select("query_id", "name", "b.*")
+    rows = found.groupBy("query_id", "name").agg(F.min_by(F.struct("law_num", "law_title", "sim"), F.struct(-F.col("sim"), "law_num")).alias("b"))
+    return rows.select("query_id", "name", "b.*")
+
+
 def weak_matches(names: Column, candidates: Column, below: float) -> Column:
     """Names whose best match stays below the threshold, as (name, best, sim)."""
 

@@ -150,6 +150,24 @@ def titles_that_begin_alike(spark, sf):
     return o.titles_in_text(sql(spark, sf, ALIKE_SQL), o.title_dictionary(sql(spark, sf, ALIKE_MASTER_SQL)))
 
 
+# Every customer's name against every title, all of which begin with the same character.
+def grams_sql(text: str) -> str:
+    bare = f"regexp_replace({text}, '[をにはがのもとでやへからまで等]', '', 'g')"
+    return f"list_distinct(list_transform(range(1, length({bare})), lambda n: substr({bare}, n::INT, 2)))"
+
+
+SPOKEN_SQL = f"""SELECT c_custkey AS query_id, '特' || {KANJI.format('c_custkey * 3')} || CASE CAST(c_custkey % 3 AS INT) WHEN 0 THEN '法' WHEN 1 THEN '保護法' ELSE '等施行規則' END AS name FROM {{customer}}"""
+
+
+@query(f"""WITH n AS (SELECT query_id, name, {grams_sql('name')} AS g FROM ({SPOKEN_SQL})), t AS (SELECT law_num, law_title, {grams_sql('law_title')} AS g FROM ({MASTER_SQL})),
+  p AS (SELECT query_id, name, law_num, law_title, len(list_intersect(n.g, t.g)) AS c, len(n.g) + len(t.g) AS s FROM n, t),
+  r AS (SELECT *, c / (s - c)::DOUBLE AS sim, row_number() OVER (PARTITION BY query_id ORDER BY c / (s - c)::DOUBLE DESC, law_num) AS rn FROM p WHERE c > 0)
+SELECT query_id, name, law_num, law_title, round(sim, 6) AS sim FROM r WHERE rn = 1""")
+def nearest_by_grams(spark, sf):
+    found = o.nearest_by_grams(sql(spark, sf, SPOKEN_SQL), sql(spark, sf, MASTER_SQL))
+    return found.withColumn("sim", F.round("sim", 6))
+
+
 # Candidates of the title search, stood in for by the neighbours of the asked number.
 CANDIDATES_SPARK_SQL = f"""SELECT q.query_id, m.law_num, m.law_title FROM (SELECT o_orderkey AS query_id, explode(array(o_custkey, o_custkey * 2)) AS p FROM {{orders}}) q JOIN ({MASTER_SQL}) m ON m.p_partkey = q.p"""
 GATED_NAMES = "query_id % 3 = 0"

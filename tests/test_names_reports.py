@@ -178,3 +178,27 @@ def test_names_without_a_vector_fall_back_to_broad_words(spark):
     with pytest.raises(ValueError, match="broad"):
         many = spark.range(retrieval.MAX_BROAD + 1).selectExpr("cast(id as string) as name", "array(1D, 0D) as embedding")
         retrieval.nearest_law_per_name(names, master, many)
+
+
+@pytest.mark.parametrize("heavy", [0, 1, 3, 10**6])
+def test_the_nearest_title_by_grams_whatever_is_frequent(spark, heavy):
+    rng = random.Random(heavy)
+    word = lambda: "特定" + "".join(rng.choice("甲乙丙丁戊") for _ in range(rng.randrange(0, 5))) + rng.choice(["法", "施行令"])
+    titles = [(f"L{i:03d}", word()) for i in range(60)] + [("L900", "x"), ("L901", "")]
+    names = [(i, word()) for i in range(40)] + [(1, "特定甲法"), (2, "none"), (3, ""), (4, None)]
+
+    def grams(text):
+        bare = re.sub("[をにはがのもとでやへからまで等]", "", text or "")
+        return {bare[i : i + 2] for i in range(len(bare) - 1)}
+
+    want = []
+    for q, name in set(names):
+        a = grams(name)
+        sims = [(-len(a & grams(t)) / len(a | grams(t)), k, t) for k, t in titles if a & grams(t)]
+        if sims:
+            s, k, t = min(sims)
+            want.append((q, name, k, t, round(-s, 9)))
+    found = o.nearest_by_grams(
+        spark.createDataFrame(names, "query_id int, name string"), spark.createDataFrame(titles, "law_num string, law_title string"), heavy
+    )
+    assert sorted((x["query_id"], x["name"], x["law_num"], x["law_title"], round(x["sim"], 9)) for x in found.collect()) == sorted(want)
