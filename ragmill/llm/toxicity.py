@@ -462,16 +462,21 @@ def score(docs: DataFrame, model: Classifier, keep: tuple[str, ...] = ("doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vote = voters(model.mined)
         for batch in batches:
-            scores = [model.score(*vote(t.as_py())) for t in column(batch, "__text")]
-            yield pa.RecordBatch.from_arrays(
-                [*(column(batch, n) for n in names), pa.array(scores, pa.float64())], [*names, "score"]
-            )
+            # By place, so that no name can clash.
+            scores = [model.score(*vote(t.as_py())) for t in batch.column(len(names))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(scores, pa.float64())], [*names, name])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*names).schema)
     return source.mapInArrow(run, f"{schema}, `{name}` double")
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that score below ``threshold``, in their own columns."""
-    names = docs.columns
-    return score(docs, fit(docs, labels), tuple(names), "__score").filter(F.col("__score") < threshold).select(*names)
+    """The rows of ``docs`` that score below ``threshold``, in their own columns.
+
+    Null and empty texts are scored like others, texts of any length whole; rows that repeat an id or a text are decided each on
+    its own and alike. An empty table gives an empty one.
+    """
+    names, own = docs.columns, "score"
+    while own.lower() in (n.lower() for n in names):
+        own = f"_{own}"
+    return score(docs, fit(docs, labels), tuple(names), own).filter(F.col(own) < threshold).select(*names)
