@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ragmill.llm.texts import column, offsets_of
+from ragmill.llm.texts import column, offsets_of, release
 from ragmill.session import materialize, plan_bytes
 
 LEAST = 3
@@ -164,7 +164,7 @@ def term_packs(docs: DataFrame, least: int = LEAST) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _gathered(batches, SLICE_BYTES, SLICE_ROWS):
             yield pa.RecordBatch.from_arrays([pa.array([_slice_pack(rows, least)], pa.binary())], ["pack"])
-            pa.default_memory_pool().release_unused()
+            release()
 
     return docs.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source", "text")]).mapInArrow(run, "pack binary")
 
