@@ -27,6 +27,10 @@ from ragmill.tables import table
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
+#: Words of texts, and the smallest id reachable by links (a, b), which stand in both directions.
+WORDS = r"[^\x20\x09-\x0D]+"
+REACHED = "reached(node, other) AS (SELECT a, b FROM links UNION SELECT r.node, l.b FROM reached r JOIN links l ON l.a = r.other)"
+
 
 def query(fn):
     QUERIES[fn.__name__] = fn
@@ -49,6 +53,22 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+ORACLE["op8_minhash"] = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORDS}') AS ws FROM documents
+), x AS (SELECT doc_id, len(ws) AS n, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM w),
+y AS (
+  SELECT doc_id, n, pos, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS shingle FROM x
+), s AS (SELECT DISTINCT doc_id, shingle FROM y WHERE pos <= greatest(n - 4, 1)),
+c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT i.doc_id AS a, j.doc_id AS b, count(*) AS both_have FROM s i JOIN s j ON i.shingle = j.shingle AND i.doc_id <> j.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM p JOIN c i ON i.doc_id = a JOIN c j ON j.doc_id = b WHERE 100 * both_have >= 75 * (i.n + j.n - both_have)),
+{REACHED}, m AS (SELECT node, least(node, min(other)) AS component FROM reached GROUP BY node)
+SELECT d.doc_id, coalesce(c.n, 0) AS n_shingles, coalesce(component, d.doc_id) AS component_id, coalesce(component, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN m ON m.node = d.doc_id
+"""
+
+
 @query
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
@@ -64,6 +84,21 @@ def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+ORACLE["op7_substrings"] = f"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORDS}') AS ws FROM documents),
+x AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM w),
+y AS (
+  SELECT doc_id, pos, md5(string_agg(word, ' ') OVER part) AS k, count(*) OVER part AS n FROM x
+  WINDOW part AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)
+), r AS (SELECT k FROM y WHERE n = 35 GROUP BY k HAVING count(*) > 1),
+c AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + 35)) AS pos FROM y WHERE n = 35 AND k IN (SELECT k FROM r)),
+g AS (SELECT doc_id, count(*) AS n FROM c GROUP BY 1),
+t AS (SELECT x.doc_id, string_agg(word, ' ' ORDER BY x.pos) AS kept FROM x LEFT JOIN c ON c.doc_id = x.doc_id AND c.pos = x.pos WHERE c.pos IS NULL GROUP BY 1)
+SELECT w.doc_id, len(ws) AS n_words, coalesce(g.n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN g ON g.doc_id = w.doc_id LEFT JOIN t ON t.doc_id = w.doc_id
+"""
+
+
 @query
 def op1_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its surrogates and where they stand. The tables are made up, so a test key may do."""
@@ -86,6 +121,19 @@ def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+ORACLE["op2_embeddings"] = f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT i.vec_id AS a, j.vec_id AS b FROM v i JOIN v j ON i.vec_id <> j.vec_id AND len(i.e) = len(j.e) WHERE list_cosine_similarity(i.e, j.e) >= 0.9
+), {REACHED}, m AS (SELECT node, least(node, min(other)) AS component FROM reached GROUP BY node),
+n AS (SELECT a, count(*) AS n FROM links GROUP BY 1)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, coalesce(component, vec_id) AS component_id, coalesce(component, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN m ON m.node = vec_id
+"""
+
+
 @query
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").filter(topk.usable(F.col("embedding"))).select(
