@@ -31,10 +31,9 @@ from ragmill.llm.texts import column, mix, release, slices, text_batches
 
 ALPHA = 2.0
 MARK = "▁"
-#: Bytes, about, that a worker keeps for units seen again; beyond that it starts anew.
-KEPT_BYTES = 64 << 20
-#: Text that a worker holds as units at one time.
-SLICE_BYTES = 2 << 20
+#: Bytes, about, that a worker keeps for units seen again, beyond which it starts anew, and text that it holds as units at one time.
+#: Smaller ones change no result; they cost time and spare memory.
+KEPT_BYTES, SLICE_BYTES = 128 << 20, 4 << 20
 _UNIT = re.compile(" *[^ ]+| +")
 
 
@@ -353,7 +352,9 @@ def row_keys(doc_id, text, seed: int = 0) -> F.Column:
     return F.when(doc_id.isNull(), F.xxhash64(F.coalesce(text, F.lit("")), F.lit(seed))).otherwise(F.xxhash64(doc_id, F.lit(seed)))
 
 
-def encode(docs: DataFrame, path: str, seed: int = 0, alpha: float = ALPHA) -> DataFrame:
+def encode(
+    docs: DataFrame, path: str, seed: int = 0, alpha: float = ALPHA, kept_bytes: int = KEPT_BYTES, slice_bytes: int = SLICE_BYTES
+) -> DataFrame:
     """(doc_id, pieces, n_pieces, pieces_crc32, lossless) per row of ``docs`` (doc_id, text).
 
     ``lossless`` tells that decoding gave back the whole text. Null and empty texts have no pieces. Rows that
@@ -364,10 +365,10 @@ def encode(docs: DataFrame, path: str, seed: int = 0, alpha: float = ALPHA) -> D
         vocab = vocabulary(path, alpha)
         lattices = Lattices(vocab)
         for batch in batches:
-            for part in slices(batch, "text", SLICE_BYTES):
+            for part in slices(batch, "text", slice_bytes):
                 texts = [t or "" for t in column(part, "text").to_pylist()]
                 ids = sample(texts, column(part, "key").to_numpy().view(np.uint64), vocab, lattices)
-                if lattices.bytes > KEPT_BYTES:
+                if lattices.bytes > kept_bytes:
                     lattices = Lattices(vocab)
                 sizes = np.array([len(i) for i in ids])
                 flat = np.concatenate(ids) if len(ids) else np.zeros(0, np.int32)
