@@ -33,7 +33,8 @@ def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """The pieces of every document; passes of one document have the same, as draws are seeded by its id."""
     import public_tokenizers
 
-    return segmentation.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    # Executors have grown in the stages before, so workers keep little.
+    return segmentation.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), kept_bytes=32 << 20, slice_bytes=512 << 10)
 
 
 STAGES = [
