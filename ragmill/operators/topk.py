@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ragmill.session import spread
+from ragmill.session import materialize, spread
 
 #: Rows of one query block. With 768 float64 values a block is about 25 MB.
 QUERY_BLOCK_ROWS = 4096
@@ -136,30 +136,26 @@ class GramIndex:
         self.min_sim = min_sim
         sets = [bigram_codes(t) for t in table["payload"].to_pylist()]
         self.sizes = np.array([len(s) for s in sets], np.int64)
+        self.parts = {scope: self._part([sets[r] for r in rows]) for scope, rows in self.by_scope.items()}
+
+    def _part(self, sets: list[np.ndarray]):
+        """(2-grams, row of flags or -1 by 2-gram, flags, starts of lists by 2-gram, lists) for the queries of a scope."""
         flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
-        owner = np.repeat(np.arange(len(sets)), self.sizes)
-        self.vocabulary, code = np.unique(flat, return_inverse=True)
-        self.parts = {scope: self._part(rows, owner, code) for scope, rows in self.by_scope.items()}
-
-    def _part(self, rows: np.ndarray, owner: np.ndarray, code: np.ndarray):
-        """(row of flags or -1 by 2-gram, flags, starts of lists by 2-gram, lists) for the queries of a scope."""
-        place = np.full(len(self.sizes), -1)
-        place[rows] = np.arange(len(rows))
-        mine = place[owner] >= 0
-        order = np.argsort(code[mine], kind="stable")
-        gram, who = code[mine][order], place[owner[mine]][order]
-        held = np.bincount(gram, minlength=len(self.vocabulary))
-        often = held * self.SPARSE > len(rows)
+        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        grams, code = np.unique(flat, return_inverse=True)
+        order = np.argsort(code, kind="stable")
+        gram, who = code[order], owner[order]
+        held = np.bincount(gram, minlength=len(grams))
+        often = held * self.SPARSE > len(sets)
         row = np.where(often, np.cumsum(often) - 1, -1)
-        flags = np.zeros((int(often.sum()), len(rows)), np.uint8)
+        flags = np.zeros((int(often.sum()), len(sets)), np.uint8)
         flags[row[gram[often[gram]]], who[often[gram]]] = 1
-        few = ~often[gram]
         starts = np.concatenate([[0], np.cumsum(np.where(often, 0, held))])
-        return row, flags, starts, who[few]
+        return grams, row, flags, starts, who[~often[gram]]
 
     def _common(self, part, at: np.ndarray, doc: np.ndarray, n: int, wide: int) -> np.ndarray:
         """How many 2-grams each of ``n`` documents shares with each query."""
-        row, flags, starts, lists = part
+        _, row, flags, starts, lists = part
         common = np.zeros((n, wide), np.int32)
         often = row[at] >= 0
         if often.any():
@@ -179,7 +175,9 @@ class GramIndex:
         lengths = np.array([len(s) for s in sets], np.int64)
         widest, least = self.sizes.max(initial=0), self.sizes.min(initial=0)
         for scope, rows, cols in _matching(self.by_scope, scopes, len(ids)):
-            sizes = self.sizes[rows]
+            sizes, grams = self.sizes[rows], self.parts[scope][0]
+            if not len(grams):
+                continue
             # common / larger set >= t is impossible once the sizes differ that much.
             cols = cols[(lengths[cols] > 0) & (lengths[cols] * self.min_sim <= widest) & (least * self.min_sim <= lengths[cols])]
             cells = np.cumsum(lengths[cols] * len(rows))
@@ -189,9 +187,9 @@ class GramIndex:
                 own = cols[start:stop]
                 doc = np.repeat(np.arange(len(own)), lengths[own])
                 codes = np.concatenate([sets[c] for c in own])
-                at = np.searchsorted(self.vocabulary, codes)
-                at[at == len(self.vocabulary)] = 0
-                known = self.vocabulary[at] == codes
+                at = np.searchsorted(grams, codes)
+                at[at == len(grams)] = 0
+                known = grams[at] == codes
                 common = self._common(self.parts[scope], at[known], doc[known], len(own), len(rows))
                 sims = common / np.maximum(sizes[None, :], lengths[own][:, None])
                 hit, query = np.nonzero((common > 0) & (sims >= self.min_sim) & (sims >= top.floor[rows][None, :]))
@@ -312,16 +310,26 @@ def batch_topk(
 
 def _by_scope(queries, corpus, k, blocks_of, n_scopes, schema, block_rows, corpus_rows) -> DataFrame:
     """Both sides grouped by scope. Scopes above a block's size are cut: their corpus rows lie in blocks, and only
-    their own queries are copied to them; many queries of one scope are cut likewise."""
-    run = _search(blocks_of, k, 0)
+    their own queries are copied to them; many queries of one scope are cut likewise. Small scopes share a block, so that
+    there are as many groups as the rows ask for and not as many as there are scopes."""
+    run = _search(blocks_of, k, 1)
     placed = corpus.select("id", "payload", F.explode(F.array_distinct(F.array_compact(F.array(*[f"scope_{i}" for i in range(n_scopes)])))).alias("scope"))
-    asked = queries.groupBy("scope").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("q_blocks"))
+    asked = queries.groupBy("scope").agg(F.count(F.lit(1)).alias("asked"))
     is_vector = isinstance(corpus.schema["payload"].dataType, T.ArrayType)
     width = F.size("payload") * 8 if is_vector else F.octet_length("payload")
-    sizes = (
+    sizes = materialize(
         placed.groupBy("scope").agg(F.count(F.lit(1)).alias("rows"), F.sum(width.cast("long")).alias("bytes")).join(asked, "scope")
-        .select("scope", "q_blocks", F.ceil(F.greatest(F.col("rows") / corpus_rows, F.col("bytes") / CORPUS_BLOCK_BYTES)).cast("int").alias("c_blocks"))
+        .withColumn("q_blocks", F.ceil(F.col("asked") / block_rows).cast("int"))
+        .withColumn("c_blocks", F.ceil(F.greatest(F.col("rows") / corpus_rows, F.col("bytes") / CORPUS_BLOCK_BYTES)).cast("int"))
     )
+    own_block = (F.col("q_blocks") > 1) | (F.col("c_blocks") > 1)
+    small = sizes.filter(~own_block).agg(F.sum("rows"), F.sum("bytes"), F.sum("asked")).first()
+    parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shared = max(parts, *(math.ceil((n or 0) / most) for n, most in zip(small, (corpus_rows, CORPUS_BLOCK_BYTES, block_rows), strict=True)))
+    place = F.when(own_block, F.concat(F.lit("s"), "scope")).otherwise(F.pmod(F.xxhash64("scope"), F.lit(shared)).cast("string"))
+
+    def placed_as() -> DataFrame:  # columns of its own for either side
+        return sizes.select("scope", *[F.col(c).alias(c) for c in ("q_blocks", "c_blocks")], place.alias("place"))
 
     def every(n: str) -> Column:
         return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -331,24 +339,21 @@ def _by_scope(queries, corpus, k, blocks_of, n_scopes, schema, block_rows, corpu
 
     # Queries and sizes are keyed by scope as well, so a scope's rows are found by an equi-join.
     right = (
-        placed.join(sizes, "scope").withColumn("cb", own("id", "c_blocks")).withColumn("qb", every("q_blocks"))
-        .select("scope", "cb", "qb", "id", "payload")
+        placed.join(placed_as(), "scope").withColumn("cb", own("id", "c_blocks")).withColumn("qb", every("q_blocks"))
+        .select("place", "cb", "qb", "id", F.col("scope").alias("scope_0"), "payload")
     )
     left = (
-        queries.join(sizes, "scope").withColumn("qb", own("query_id", "q_blocks")).withColumn("cb", every("c_blocks"))
-        .select("scope", "cb", "qb", "query_id", "payload")
+        queries.join(placed_as(), "scope").withColumn("qb", own("query_id", "q_blocks")).withColumn("cb", every("c_blocks"))
+        .select("place", "cb", "qb", "query_id", "scope", "payload")
     )
 
     def meet(qs: pa.Table, cs: pa.Table) -> pa.Table:
-        found = None
-        if qs.num_rows and cs.num_rows:
-            whole = qs.set_column(qs.schema.get_field_index("scope"), "scope", pa.array([SCOPE_ANY] * qs.num_rows))
-            found = run(cs.combine_chunks().to_batches(), whole)
+        found = run(cs.combine_chunks().to_batches(), qs) if qs.num_rows and cs.num_rows else None
         if found is None or not len(found):
             return pa.table({"query_id": qs["query_id"][:0], "id": cs["id"][:0], "score": pa.array([], pa.float64())})
         return pa.Table.from_pandas(found, preserve_index=False)
 
-    keys = ("scope", "qb", "cb")
+    keys = ("place", "qb", "cb")
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, schema)
 
 

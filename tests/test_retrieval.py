@@ -164,8 +164,8 @@ def test_gram_index_grows_with_its_sets():
     texts = ["".join(chr(0x4E00 + x) for x in rng.integers(0, 20_000, 40)) for _ in range(3_000)]
     table = pa.table({"query_id": range(3_000), "scope": [""] * 3_000, "payload": texts})
     index = topk.GramIndex(table, 0.2)
-    row, flags, starts, lists = index.parts[""]
-    assert len(index.vocabulary) > 100_000 and flags.nbytes < 1 << 20 and len(lists) <= index.sizes.sum()
+    vocabulary, row, flags, starts, lists = index.parts[""]
+    assert len(vocabulary) > 100_000 and flags.nbytes < 1 << 20 and len(lists) <= index.sizes.sum()
 
 
 def test_stored_chunks_are_read_by_owner_and_not_shuffled(spark, tmp_path):
