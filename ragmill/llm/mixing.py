@@ -144,7 +144,9 @@ def mix(docs: DataFrame, entropy: float | None = None, repeat_limit: float = REP
     """(doc_id, source, block, order_key, tokens, weight): one row per pass of a document.
 
     A source is read block after block, each in the order of ``order_key``. Every row of ``docs`` is in at least one
-    block; rows without tokens are in the first only, with the weight null where their source has none.
+    block; rows without tokens are in the first only, with the weight null where their source has none. Null texts have no
+    tokens, texts of any length are counted whole; rows that share an id or a text are passed each. An empty table gives no
+    rows. Columns other than doc_id, text and source are not read, whatever their names are.
     """
     rows = materialize(token_rows(docs))
     return _passes(rows, plan(rows, entropy, repeat_limit, seed), seed).select(
@@ -154,7 +156,7 @@ def mix(docs: DataFrame, entropy: float | None = None, repeat_limit: float = REP
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, in their own columns, as often as the mix passes them."""
+    """The rows of ``docs``, in their own columns, as often as the mix passes them; none where ``docs`` is empty."""
     names = docs.columns
     seed = options.get("seed", SEED)
     rows = materialize(token_rows(docs))

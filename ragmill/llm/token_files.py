@@ -240,7 +240,8 @@ def write(docs: DataFrame, path: str, tokenizer: str) -> None:
     """Write the ids of all rows of ``docs`` (doc_id, text), an end id after each, to segments under ``path``.
 
     Null and empty texts have the end id only. Rows with a null id come first, rows that share an id follow each
-    other in an order that depends on their texts only.
+    other in an order that depends on their texts only. A text of any length is one document of one segment. An empty table
+    gives an empty folder of segments. Other columns are not read, whatever their names are.
     """
     buckets = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     quantiles = [i / buckets for i in range(1, buckets)]

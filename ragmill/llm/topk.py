@@ -111,7 +111,8 @@ def search(docs: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
 
     Values are arrays of whole numbers; only vectors of as many dimensions meet. A query leaves out documents with its own
     id. Queries that repeat an id count once, with the smallest of their values. Ties go to the smaller id; a document
-    that repeats an id counts as often as it stands there.
+    that repeats an id counts as often as it stands there. Null ids take no part; empty tables give no rows. Other columns
+    are not read, whatever their names are.
     """
     queries = queries.filter("id is not null").groupBy("id").agg(F.min("value").alias("value"))
     n_docs, n_queries = docs.count(), queries.count()

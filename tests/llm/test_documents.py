@@ -468,6 +468,15 @@ def test_arrow_slices_of_one_long_text():
     assert len(hashes) == 200_000 and sizes.tolist() == [200_000]
 
 
+def test_mix_and_token_files_with_clashing_names(frame):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = [(1, "one two"), (2, None), (None, "x " * 3000), (3, "one two")]
+    odd = frame(rows).selectExpr("*", "'a' as s", "1 as tokens", "2 as block", "0L as bucket", "'t' as tie", "3 as ids", "1D as Weight")
+    assert {r["doc_id"] for r in mixing.mix(odd).collect()} == {1, 2, 3, None}
+    files = {r["doc_id"]: r["n_tokens"] for r in token_files.write_and_read(odd, path).collect()}
+    assert files == {1: 3, 2: 1, None: 3001, 3: 3}
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
