@@ -34,7 +34,7 @@ def passage_queries(spark: SparkSession, sf: str) -> DataFrame:
     items = table(spark, sf, "benchmark").select(
         F.col("item_id").alias("query_id"), "text", F.pmod("item_id", F.lit(10)).cast("int").alias("label")
     )
-    return items.join(F.broadcast(means), "label").select("query_id", "text", "embedding")
+    return items.join(means, "label").select("query_id", "text", "embedding")
 
 
 def owner_queries(spark: SparkSession, sf: str) -> DataFrame:

@@ -227,7 +227,7 @@ LAW_DAY = "CASE WHEN kind >= 5 THEN DATE '1998-03-01' ELSE DATE '1995-01-01' END
 ARTICLE_ROWS_SQL = f"""SELECT law_num, law_num || '_19950101_1' AS law_id, law_title, 'Main_Article_' || CAST(n AS STRING) AS unique_anchor, 'Mp-At_' || CAST(n AS STRING) AS anchor,
   CASE WHEN kind = 3 THEN '' ELSE 'Body ' || CAST(n AS STRING) || ' of ' || law_num END AS content, 'Head ' || CAST(n AS STRING) AS article_summary,
   kind = 5 AS is_future, {LAW_DAY} AS enforce_date, law_num || '/' || CAST(n AS STRING) AS id
-  FROM ({ASKED_SQL}) a CROSS JOIN (SELECT 1 AS n UNION ALL SELECT 2 AS n) b WHERE kind NOT IN (2, 4)"""
+  FROM ({ASKED_SQL}) a LATERAL VIEW explode(array(1, 2)) b AS n WHERE kind NOT IN (2, 4)"""
 DATA_LINE = "'データ基準日: 2026-06-01時点のe-Gov法令データ（r7）'"
 
 
