@@ -152,7 +152,7 @@ def signatures(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", give_back=True):
                 elements, counts = shingle_sets(column(part, "text"))
                 values = superminhash(elements, counts)
                 starts = offsets_of(counts)

@@ -365,7 +365,7 @@ def encode(
         vocab = vocabulary(path, alpha)
         lattices = Lattices(vocab)
         for batch in batches:
-            for part in slices(batch, "text", slice_bytes):
+            for part in slices(batch, "text", slice_bytes, give_back=True):
                 texts = [t or "" for t in column(part, "text").to_pylist()]
                 ids = sample(texts, column(part, "key").to_numpy().view(np.uint64), vocab, lattices)
                 if lattices.bytes > kept_bytes:

@@ -23,8 +23,11 @@ def text_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def slices(batch: pa.RecordBatch, column: str, size: int = SLICE_BYTES):
-    """Cuts of a batch with about ``size`` bytes of one text column each, whole rows only."""
+def slices(batch: pa.RecordBatch, column: str, size: int = SLICE_BYTES, give_back: bool = False):
+    """Cuts of a batch with about ``size`` bytes of one text column each, whole rows only.
+
+    ``give_back`` returns all free memory to the system after the batch, which takes some time.
+    """
     lengths = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0)
     total = np.cumsum(lengths.to_numpy(zero_copy_only=False).astype(np.int64))
     start = 0
@@ -33,7 +36,10 @@ def slices(batch: pa.RecordBatch, column: str, size: int = SLICE_BYTES):
         stop = max(start + 1, int(np.searchsorted(total, before + size, side="right")))
         yield batch.slice(start, stop - start)
         start = stop
-    release()
+    if give_back:
+        release()
+    else:
+        pa.default_memory_pool().release_unused()
 
 
 def release() -> None:
