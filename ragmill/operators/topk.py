@@ -74,12 +74,9 @@ class TopK:
         at, col = np.nonzero(scores >= floor[:, None])
         self.offer(rows[at], scores[at, col], ids[col])
 
-    def frame(self, query_ids: np.ndarray) -> pd.DataFrame:
-        if self.id is None:
-            return pd.DataFrame({"query_id": [], "id": [], "score": []})
-        return pd.DataFrame(
-            {"query_id": query_ids[self.row], "id": self.id, "score": self.score}
-        )
+    def table(self, query_ids: pa.Array, id_type: pa.DataType) -> pa.Table:
+        ids = pa.array([] if self.id is None else self.id, id_type)
+        return pa.table({"query_id": query_ids.take(pa.array(self.row)), "id": ids, "score": pa.array(self.score, pa.float64())})
 
 
 def _ids(column) -> np.ndarray:
@@ -104,7 +101,7 @@ class VectorBlock:
     """Query vectors of one block, grouped by scope."""
 
     def __init__(self, table: pa.Table):
-        self.query_ids = _ids(table["query_id"].to_pandas())
+        self.query_ids = table["query_id"].combine_chunks()
         self.unit = _unit(_matrix(table["payload"].combine_chunks()))
         self.by_scope = _rows_by_scope(table)
 
@@ -131,7 +128,7 @@ class GramIndex:
     SPARSE = 32
 
     def __init__(self, table: pa.Table, min_sim: float):
-        self.query_ids = _ids(table["query_id"].to_pandas())
+        self.query_ids = table["query_id"].combine_chunks()
         self.by_scope = _rows_by_scope(table)
         self.min_sim = min_sim
         sets = [bigram_codes(t) for t in table["payload"].to_pylist()]
@@ -231,15 +228,16 @@ def _matching(by_scope, scopes, n: int) -> Iterator[tuple[str, np.ndarray, np.nd
 def _search(blocks_of: Callable, k: int, n_scopes: int) -> Callable:
     """The task body: stream corpus batches, keep a running top-k, emit it once."""
 
-    def run(batches: Iterable[pa.RecordBatch], query_table: pa.Table) -> pd.DataFrame:
-        block = blocks_of(query_table)
+    def run(batches: Iterable[pa.RecordBatch], query_table: pa.Table) -> pa.Table | None:
+        block, id_type = blocks_of(query_table), None
         top = TopK(len(block.query_ids), k)
         for batch in batches:
             if batch.num_rows:
+                id_type = batch.column("id").type
                 ids = _ids(batch.column("id").to_pandas())
                 scopes = [np.asarray(batch.column(f"scope_{i}").to_pandas(), dtype=object) for i in range(n_scopes)]
                 block.offer(top, ids, scopes, batch.column("payload"))
-        return top.frame(block.query_ids)
+        return top.table(block.query_ids, id_type) if top.id is not None else None
 
     return run
 
@@ -290,8 +288,8 @@ def batch_topk(
                 if not shared.value.num_rows:  # nobody asks
                     return
                 found = run(batches, shared.value)
-                if len(found):
-                    yield pa.RecordBatch.from_pandas(found, preserve_index=False)
+                if found is not None:
+                    yield from found.to_batches()
 
             partial = (corpus if n_scopes else spread(corpus)).mapInArrow(scan, schema)
         else:
@@ -349,9 +347,9 @@ def _by_scope(queries, corpus, k, blocks_of, n_scopes, schema, block_rows, corpu
 
     def meet(qs: pa.Table, cs: pa.Table) -> pa.Table:
         found = run(cs.combine_chunks().to_batches(), qs) if qs.num_rows and cs.num_rows else None
-        if found is None or not len(found):
+        if found is None:
             return pa.table({"query_id": qs["query_id"][:0], "id": cs["id"][:0], "score": pa.array([], pa.float64())})
-        return pa.Table.from_pandas(found, preserve_index=False)
+        return found
 
     keys = ("place", "qb", "cb")
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, schema)
@@ -375,8 +373,8 @@ def _blocked(queries, corpus, run, schema, block_rows, corpus_rows) -> DataFrame
 
     def meet(qs: pa.Table, cs: pa.Table) -> pa.Table:
         found = run(cs.combine_chunks().to_batches(), qs) if qs.num_rows and cs.num_rows else None
-        if found is None or not len(found):
+        if found is None:
             return pa.table({"query_id": qs["query_id"][:0], "id": cs["id"][:0], "score": pa.array([], pa.float64())})
-        return pa.Table.from_pandas(found, preserve_index=False)
+        return found
 
     return left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInArrow(meet, schema)

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,31 +33,35 @@ PARTIAL_KEYS = 50_000
 def mean_vectors(df: DataFrame, key: str) -> DataFrame:
     """Mean vector per key: tasks sum in numpy, so only partial sums are shuffled."""
 
-    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
         for batch in batches:
-            if not len(batch):
+            if not batch.num_rows:
                 continue
-            matrix = _stack(batch["embedding"])
-            codes, keys = pd.factorize(batch[key])
+            matrix = _stack(batch.column("embedding").to_pandas())
+            # A null key is a key of its own, as in a grouping.
+            coded = batch.column(key).dictionary_encode(null_encoding="encode")
+            codes, keys = coded.indices.to_numpy(), coded.dictionary.to_pylist()
             total = np.zeros((len(keys), matrix.shape[1]))
             np.add.at(total, codes, matrix)
             for name, vector, n in zip(keys, total, np.bincount(codes, minlength=len(keys))):
                 old = held.get(name)
                 held[name] = (vector, n) if old is None else (old[0] + vector, old[1] + n)
             if len(held) > PARTIAL_KEYS:
-                yield frame(held)
+                yield partials(held, coded.dictionary.type)
                 held = {}
-        yield frame(held)
+        if held:  # a split of a file may have no rows
+            yield partials(held, coded.dictionary.type)
 
-    def frame(held: dict) -> pd.DataFrame:
-        return pd.DataFrame(
-            {key: list(held), "total": [v for v, _ in held.values()], "n": [n for _, n in held.values()]}
+    def partials(held: dict, kind: pa.DataType) -> pa.RecordBatch:
+        total = pa.array([v for v, _ in held.values()], pa.list_(pa.float64()))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(list(held), kind), total, pa.array([n for _, n in held.values()], pa.int64())], names=[key, "total", "n"]
         )
 
     key_type = df.schema[key].dataType.simpleString()
     rows = df.filter(F.col("embedding").isNotNull()).select(key, "embedding")
-    partial = rows.mapInPandas(sums, f"{key} {key_type}, total array<double>, n bigint")
+    partial = rows.mapInArrow(sums, f"`{key}` {key_type}, total array<double>, n bigint")
     each = partial.select(key, F.posexplode("total").alias("pos", "x"), "n")
     means = each.groupBy(key, "pos").agg((F.sum("x") / F.sum("n")).alias("m"))
     ordered = F.sort_array(F.collect_list(F.struct("pos", "m")))
@@ -92,7 +97,8 @@ def _mean_step(vectors: DataFrame, centres: np.ndarray) -> tuple[np.ndarray, np.
                 np.add.at(total, cell, unit)
                 n += np.bincount(cell, minlength=len(n))
         used = np.nonzero(n)[0]
-        yield pd.DataFrame({"cell": used, "n": n[used], "total": list(total[used])})
+        if len(used):  # a split of a file may have no rows
+            yield pd.DataFrame({"cell": used, "n": n[used], "total": list(total[used])})
 
     partial = vectors.mapInPandas(sums, "cell int, n long, total array<double>")
     dim = centres.shape[1]
@@ -260,8 +266,10 @@ def ann_topk(queries: DataFrame, corpus: DataFrame, k: int, cells: int = 16, pro
 
 def recall_at_k(approx: DataFrame, exact: DataFrame) -> DataFrame:
     """Share of the exact top-k that the approximate search found: (queries, expected, found, recall)."""
-    hit = approx.select("query_id", "id").withColumn("_hit", F.lit(1))
-    joined = exact.select("query_id", "id").join(hit, ["query_id", "id"], "left")
+    hit = approx.select(F.col("query_id").alias("_query"), F.col("id").alias("_id"), F.lit(1).alias("_hit"))
+    # The query without an id has neighbours too.
+    same = F.col("query_id").eqNullSafe(F.col("_query")) & (F.col("id") == F.col("_id"))
+    joined = exact.select("query_id", "id").join(hit, same, "left")
     return joined.agg(
         F.count_distinct("query_id").alias("queries"),
         F.count(F.lit(1)).alias("expected"),

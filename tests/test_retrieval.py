@@ -8,7 +8,7 @@ from ragmill.operators import evaluation as e
 from ragmill.operators import retrieval as r
 from ragmill.operators import topk
 from ragmill.operators.topk import VectorBlock, batch_topk, bigram_codes
-from ragmill.operators.vectors import ann_topk, recall_at_k
+from ragmill.operators.vectors import ann_topk, mean_vectors, recall_at_k
 from ragmill.sources import snapshots
 
 
@@ -186,3 +186,16 @@ def test_stored_chunks_are_read_by_owner_and_not_shuffled(spark, tmp_path):
     stored = spark.read.parquet(root)
     buckets = stored.filter(F.col("owner").isin("o3", "o4")).select("owner_bucket").distinct().count()
     assert buckets <= 2 and stored.select("owner_bucket").distinct().count() > 10
+
+
+def test_splits_without_rows_and_keys_without_a_value(spark):
+    rows = spark.createDataFrame([(1, 5, [1.0, 0.0]), (2, None, [0.0, 2.0]), (3, None, [0.0, 4.0])], "id long, label int, embedding array<float>")
+    spread = rows.repartitionByRange(8, "id").union(rows.limit(0))  # most of its partitions are empty
+    means = mean_vectors(spread, "label").withColumnRenamed("label", "query_id")
+    assert {(r["query_id"], tuple(r["embedding"])) for r in means.collect()} == {(5, (1.0, 0.0)), (None, (0.0, 3.0))}
+    exact = r.vector_topk(means, spread, 1)
+    assert {(x["query_id"], x["id"]) for x in exact.collect()} == {(5, 1), (None, 2)}
+    named = means.withColumn("query_id", F.col("query_id").cast("string"))
+    assert {(x["query_id"], x["id"]) for x in r.vector_topk(named, spread, 1).collect()} == {("5", 1), (None, 2)}
+    found = ann_topk(means, spread, 1, cells=2, probes=2)
+    assert recall_at_k(found, exact).first()["recall"] == 1.0
