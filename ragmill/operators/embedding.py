@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ragmill.operators.topk import bigram_codes
-from ragmill.session import spread
+from ragmill.session import slices, spread
 
 EmbedFn = Callable[[list[str]], Sequence[Sequence[float]]]
 # Fixed value: texts per call of the embedding function.
@@ -75,7 +75,7 @@ def embed_missing(
         todo = md5_sample(todo, list(keys), limit)
 
     def fill(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in slices(frames, text):
             yield frame.assign(**{vector: embed_all(frame[text].tolist(), embed_fn, batch)})
 
     return spread(todo).mapInPandas(fill, df.schema)
@@ -85,7 +85,7 @@ def embed_rows(df: DataFrame, embed_fn: EmbedFn, text: str = "text", vector: str
     """Add a vector to rows just made; blank text gets none. One pass, nothing is computed twice."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in slices(frames, text):
             texts = frame[text].fillna("")
             has = texts.str.strip() != ""
             made = iter(embed_all(texts[has].tolist(), embed_fn, batch))

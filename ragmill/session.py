@@ -6,7 +6,9 @@ import atexit
 import os
 import shutil
 import tempfile
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -74,6 +76,23 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
+#: Rows and length of texts that a Python step works on at a time; what it makes of them is handed on before the next.
+SLICE_ROWS, SLICE_LENGTH = 4096, 1 << 19
+
+
+def slices(frames: Iterator[pd.DataFrame], text: str) -> Iterator[pd.DataFrame]:
+    """Frames of few rows, fewer where ``text`` is long, so that a task holds the results of a slice and not of an Arrow batch."""
+    for frame in frames:
+        start, length = 0, 0
+        for at, value in enumerate(frame[text]):
+            length += len(value) if value is not None else 0
+            if length >= SLICE_LENGTH or at + 1 - start == SLICE_ROWS:
+                yield frame.iloc[start : at + 1]
+                start, length = at + 1, 0
+        if start < len(frame):
+            yield frame.iloc[start:]
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write an intermediate result to the shared folder and go on from there.
 

@@ -1,8 +1,10 @@
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from ragmill import session
 from ragmill.functions import text as t
 from ragmill.functions.files import decode_bytes, decode_text
 from ragmill.functions.html import page_text
@@ -246,3 +248,18 @@ def test_allow_list_of_any_size(spark):
     many = many.unionByName(spark.createDataFrame([("10.1.2.0/30",)], "entry string"))
     got = storage.endpoint_audit(apps, True, many).filter("verdict = 'private_allowed'").collect()
     assert [r["host"] for r in got] == ["10.1.2.3"]
+
+
+def test_python_steps_work_in_slices():
+    frames = [pd.DataFrame({"text": ["x" * session.SLICE_LENGTH, "a", None, "b"]}), pd.DataFrame({"text": []})]
+    frames.append(pd.DataFrame({"text": ["c"] * (session.SLICE_ROWS + 1)}))
+    parts = list(session.slices(iter(frames), "text"))
+    assert [len(p) for p in parts] == [1, 3, session.SLICE_ROWS, 1]
+    assert pd.concat(parts)["text"].tolist() == pd.concat(frames)["text"].tolist()
+
+
+def test_short_pieces_are_packed_like_mixed_ones():
+    words = " ".join(["abcd"] * 40)
+    assert list(chunking.recursive_split(words, (" ", ""), 80, 20)) == [" ".join(["abcd"] * n) for n in (16, 16, 16)]
+    assert list(chunking.recursive_split("", (" ", ""), 80, 20)) == []
+    assert [p for _, p in chunking.split_headers(" # no\n# h\nb")] == ["# no", "b"]
