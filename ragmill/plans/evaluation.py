@@ -92,7 +92,10 @@ first AS (SELECT s.query_id, min(CASE WHEN f.id = s.query_id THEN rank END) AS r
   round(avg(CASE WHEN r <= 10 THEN 1.0 ELSE 0.0 END::DOUBLE), 6) AS hit_at_k, round(avg(coalesce(1.0::DOUBLE / r, 0)), 6) AS mrr FROM first""")
 def self_retrieval(spark, sf):
     chunks = i.corpus(spark, sf)
-    sample = md5_sample(chunks.filter(F.col("embedding").isNotNull()), ["id"], 30)
+    # Thirty ids first, so that no text is moved for the sample.
+    vectors = chunks.filter(F.col("embedding").isNotNull())
+    ids = [row["id"] for row in md5_sample(vectors.select("id"), ["id"], 30).collect()]
+    sample = md5_sample(vectors.filter(F.col("id").isin(ids)), ["id"], 30)
     sample = sample.select(F.col("id").alias("query_id"), "text", "embedding")
     found = e.self_hits(r.hybrid_search(sample, chunks))
     out = e.summary(e.rank_metrics(found, sample, 10))

@@ -240,7 +240,8 @@ UNION ALL SELECT o.owner, 'word ' || w.query_id, w.id, round(w.score, 6) FROM ow
 def nearest_law_by_broad_words(spark, sf):
     """Requests of which no name has a vector take the laws nearest to the broad words."""
     vector = F.when(F.regexp_extract("owner", r"(\d+)", 1).cast("int") % 3 != 0, F.col("embedding"))
-    names = i.owner_queries(spark, sf).select(F.col("owner").alias("query_id"), F.col("owner").alias("name"), vector.alias("embedding"))
+    owners = i.owner_queries(spark, sf).filter("owner is not null")
+    names = owners.select(F.col("owner").alias("query_id"), F.col("owner").alias("name"), vector.alias("embedding"))
     words = i.label_queries(spark, sf).filter("query_id < 2")
     broad = words.select(F.concat(F.lit("word "), F.col("query_id").cast("string")).alias("name"), "embedding")
     return r.nearest_law_per_name(names, i.corpus(spark, sf), broad).select("query_id", "name", "id", F.round("score", 6).alias("score"))
