@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ragmill.functions import names as n
 from ragmill.functions.bigrams import name_bigrams, set_jaccard
-from ragmill.functions.text import map_of
+from ragmill.functions.text import let, map_of
 from ragmill.session import materialize, plan_bytes, spread
 
 #: Aliases become a constant map in the plan.
@@ -289,13 +289,21 @@ def _forms(keyed: DataFrame) -> DataFrame:
 
 def best_match(name: Column, candidates: Column) -> Column:
     """(best, sim): the most similar candidate of an array; the first of equal ones."""
-    grams = name_bigrams(name)
-    scored = F.transform(
-        candidates,
-        lambda c, i: F.struct(set_jaccard(grams, name_bigrams(c)).alias("sim"), (-i).alias("at"), c.alias("best")),
-    )
-    top = F.array_max(scored)
-    return F.struct(top["best"].alias("best"), top["sim"].alias("sim"))
+    return let(_with_grams(candidates), lambda known: _best_of(name, known))
+
+
+def _with_grams(candidates: Column) -> Column:
+    return F.transform(candidates, lambda c, i: F.struct((-i).alias("at"), c.alias("best"), name_bigrams(c).alias("grams")))
+
+
+def _best_of(name: Column, known: Column) -> Column:
+    """``best_match`` over candidates that come with their 2-grams."""
+
+    def best(grams: Column) -> Column:
+        scored = F.transform(known, lambda c: F.struct(set_jaccard(grams, c["grams"]).alias("sim"), c["at"].alias("at"), c["best"].alias("best")))
+        return let(F.array_max(scored), lambda top: F.struct(top["best"].alias("best"), top["sim"].alias("sim")))
+
+    return let(name_bigrams(name), best)
 
 
 def nearest_by_grams(names: DataFrame, master: DataFrame, heavy: int = HEAVY_GRAM) -> DataFrame:
@@ -333,12 +341,12 @@ def nearest_by_grams(names: DataFrame, master: DataFrame, heavy: int = HEAVY_GRA
 def weak_matches(names: Column, candidates: Column, below: float) -> Column:
     """Names whose best match stays below the threshold, as (name, best, sim)."""
 
-    def row(name: Column) -> Column:
-        match = best_match(name, candidates)
-        return F.struct(name.alias("name"), match["best"].alias("best"), match["sim"].alias("sim"))
+    def row(name: Column, known: Column) -> Column:
+        return let(_best_of(name, known), lambda m: F.struct(name.alias("name"), m["best"].alias("best"), m["sim"].alias("sim")))
 
     none = F.array().cast("array<struct<name:string,best:string,sim:double>>")
-    weak = F.filter(F.transform(names, row), lambda m: m["sim"] < below)
+    rows = let(_with_grams(candidates), lambda known: F.transform(names, lambda name: row(name, known)))
+    weak = F.filter(rows, lambda m: m["sim"] < below)
     return F.when((F.size(names) > 0) & (F.size(candidates) > 0), weak).otherwise(none)
 
 

@@ -10,6 +10,7 @@ from ragmill.operators import names as o
 from ragmill.operators import warehouse as w
 from ragmill.plans import inputs as i
 from ragmill.plans import query
+from ragmill.session import spread
 from ragmill.tables import sql, table
 
 KANJI = "translate(CAST({0} AS STRING), '0123456789', '零壱弐参四伍六七八九')"
@@ -249,19 +250,19 @@ def _candidates():
 @query(f"WITH {BEST_SQL} SELECT p_partkey, best, round(sim, 6) AS sim FROM best")
 def best_match(spark, sf):
     match = o.best_match(F.col("p_name"), _candidates())
-    return table(spark, sf, "part").select("p_partkey", match.alias("m")).select("p_partkey", "m.best", F.round("m.sim", 6).alias("sim"))
+    return spread(table(spark, sf, "part").select("p_partkey", "p_name")).select("p_partkey", match.alias("m")).select("p_partkey", "m.best", F.round("m.sim", 6).alias("sim"))
 
 
 @query(f"WITH {BEST_SQL} SELECT p_partkey, best, round(sim, 6) AS sim FROM best WHERE sim < 0.3")
 def substitutions(spark, sf):
     weak = o.substitutions(F.array("p_name"), _candidates())
-    return table(spark, sf, "part").select("p_partkey", F.inline(weak)).select("p_partkey", "best", F.round("sim", 6).alias("sim"))
+    return spread(table(spark, sf, "part").select("p_partkey", "p_name")).select("p_partkey", F.inline(weak)).select("p_partkey", "best", F.round("sim", 6).alias("sim"))
 
 
 @query(f"WITH {BEST_SQL} SELECT p_partkey, best, round(sim, 6) AS sim FROM best WHERE sim < 0.4")
 def divergences(spark, sf):
     weak = o.divergences(F.array("p_name"), _candidates())
-    return table(spark, sf, "part").select("p_partkey", F.inline(weak)).select("p_partkey", "best", F.round("sim", 6).alias("sim"))
+    return spread(table(spark, sf, "part").select("p_partkey", "p_name")).select("p_partkey", F.inline(weak)).select("p_partkey", "best", F.round("sim", 6).alias("sim"))
 
 
 # Selected articles of a query: the lines of an order, anchored by line number.

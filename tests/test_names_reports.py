@@ -202,3 +202,13 @@ def test_the_nearest_title_by_grams_whatever_is_frequent(spark, heavy):
         spark.createDataFrame(names, "query_id int, name string"), spark.createDataFrame(titles, "law_num string, law_title string"), heavy
     )
     assert sorted((x["query_id"], x["name"], x["law_num"], x["law_title"], round(x["sim"], 9)) for x in found.collect()) == sorted(want)
+
+
+def test_weak_matches_compute_every_gram_once(spark):
+    names, titles = F.array(F.lit("港湾管理法"), F.lit("")), F.array(F.lit("港湾法"), F.lit("港湾管理令"), F.lit("港湾管理令"))
+    rows = spark.range(1).select(o.weak_matches(names, titles, 0.7).alias("weak"), o.best_match(F.col("id").cast("string"), titles).alias("best"))
+    row = rows.first()
+    assert [(m["name"], m["best"], round(m["sim"], 6)) for m in row["weak"]] == [("港湾管理法", "港湾管理令", 0.6), ("", "港湾法", 0.0)]
+    assert (row["best"]["best"], row["best"]["sim"]) == ("港湾法", 0.0)
+    # Each of the two expressions has the 2-grams of names and of titles in one place.
+    assert rows._jdf.queryExecution().analyzed().toString().count("regexp_extract_all") <= 4
