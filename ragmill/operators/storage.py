@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ragmill.functions.text import let
+from ragmill.session import materialize
+
 # Limits, url forms and address ranges.
 OFFLOAD_BYTES = 10_240
 S3_URL = r"^s3://([^/]+)/(.+)$"
@@ -15,6 +18,8 @@ BAD_URL_CHARS = r"[\x00-\x1F⁄∕／\\]"
 ENCODED_SLASH = r"(?i)%25(?:2f|5c)|%(?:2f|5c)"
 PRIVATE_RANGES = ("127.0.0.0/8", "10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "169.254.0.0/16", "0.0.0.0/8")
 LOCAL_NAMES = ("localhost", "host.docker.internal", "::1", "::")
+#: First bits of an IPv4 address that make a bucket of the allow-list.
+BUCKET_BITS = 16
 
 
 def key_owner(key: Column) -> Column:
@@ -137,9 +142,13 @@ def valid_url(url: Column, host: str) -> Column:
 
 def ipv4(host: Column) -> Column:
     """The address as a number; null when it is not four numbers up to 255."""
-    parts = F.transform(F.split(host, r"\."), lambda p: p.try_cast("bigint"))
-    good = host.rlike(r"^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}$") & F.forall(parts, lambda p: p <= 255)
-    return F.when(good, F.aggregate(parts, F.lit(0).cast("bigint"), lambda a, p: a * 256 + p))
+
+    def number(parts: Column) -> Column:
+        value = F.aggregate(parts, F.lit(0).cast("bigint"), lambda a, p: a * 256 + p)
+        return F.when((F.size(parts) == 4) & F.forall(parts, lambda p: p <= 255), value)
+
+    good = F.when(host.rlike(r"^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}$"), host)
+    return let(F.transform(F.split(good, r"\."), lambda p: p.try_cast("bigint")), number)
 
 
 def _range(cidr: str) -> tuple[int, int] | None:
@@ -161,16 +170,20 @@ def in_ranges(address: Column, ranges: tuple[str, ...]) -> Column:
 
 
 def is_private(host: Column) -> Column:
-    address = ipv4(host)
-    named = host.isin(*LOCAL_NAMES) | host.endswith(".localhost") | host.rlike("^f[cd][0-9a-f]{2}:") | host.rlike("^fe[89ab][0-9a-f]:")
-    return named | F.when(address.isNotNull(), in_ranges(address, PRIVATE_RANGES)).otherwise(~F.contains(host, F.lit(".")))
+    def private(h: Column) -> Column:
+        named = h.isin(*LOCAL_NAMES) | h.endswith(".localhost") | h.rlike("^f[cd][0-9a-f]{2}:") | h.rlike("^fe[89ab][0-9a-f]:")
+        plain = ~F.contains(h, F.lit("."))
+        return named | let(ipv4(h), lambda address: F.when(address.isNotNull(), in_ranges(address, PRIVATE_RANGES)).otherwise(plain))
+
+    return let(host, private)
 
 
 def listed_hosts(hosts: DataFrame, entries: DataFrame) -> DataFrame:
     """The distinct rows of ``hosts`` (host) that the allow-list ``entries`` (entry) names: host names, or IPv4 ranges.
 
-    An address lies in a range just when both have the same first bits, so each address is looked up once for every length
-    that ranges have, of which there are 33 at most. Entries that are neither are left out.
+    Addresses and ranges meet in buckets of the first ``BUCKET_BITS`` bits. A range of so many bits or fewer covers whole buckets.
+    Of the longer ones a running maximum of last addresses tells whether any that begins before an address reaches it; a
+    bucket has 65,536 addresses at most, so no window grows with the tables. Entries that are neither are left out.
     """
     own = F.col("entry")
     names = entries.filter(~F.contains(own, F.lit("/"))).select(F.lower(own).alias("host"))
@@ -179,14 +192,22 @@ def listed_hosts(hosts: DataFrame, entries: DataFrame) -> DataFrame:
         entries.filter(own.rlike(r"^[^/]+/\d{1,2}$")).select(base.alias("base"), bits.try_cast("int").alias("bits"))
         .filter("base is not null and bits <= 32").select("bits", F.expr("shiftright(base, 32 - bits)").alias("first")).distinct()
     )
-    lengths = sorted(r["bits"] for r in ranges.select("bits").distinct().collect())
     hosts = hosts.select("host").distinct()
     listed = hosts.join(names.distinct(), "host", "left_semi")
-    if not lengths:
-        return listed
-    places = F.array(*[F.struct(F.lit(b).alias("bits"), F.shiftright("address", 32 - b).alias("first")) for b in lengths])
-    asked = hosts.withColumn("address", ipv4(F.col("host"))).filter("address is not null").select("host", F.inline(places))
-    return listed.unionByName(asked.join(ranges, ["bits", "first"], "left_semi").select("host")).distinct()
+    asked = hosts.select("host", ipv4(F.col("host")).alias("low")).filter("low is not null")
+    asked = asked.select(F.shiftright("low", 32 - BUCKET_BITS).alias("bucket"), "low", F.lit(None).cast("bigint").alias("high"), "host")
+    wide = ranges.filter(F.col("bits") <= BUCKET_BITS).select(
+        F.explode(F.expr(f"sequence(shiftleft(first, {BUCKET_BITS} - bits), shiftleft(first + 1, {BUCKET_BITS} - bits) - 1)")).alias("bucket")
+    )
+    narrow = ranges.filter(F.col("bits") > BUCKET_BITS).select(
+        F.expr(f"shiftright(first, bits - {BUCKET_BITS})").alias("bucket"), F.expr("shiftleft(first, 32 - bits)").alias("low"),
+        F.expr("shiftleft(first + 1, 32 - bits) - 1").alias("high"), F.lit(None).cast("string").alias("host"),
+    )
+    # Ranges that begin at an address are peers of it, so they count.
+    reach = F.max("high").over(Window.partitionBy("bucket").orderBy("low"))
+    reached = narrow.unionByName(asked).withColumn("reach", reach).filter("host is not null and reach >= low")
+    covered = asked.join(wide.distinct(), "bucket", "left_semi")
+    return listed.unionByName(reached.select("host")).unionByName(covered.select("host")).distinct()
 
 
 def endpoint_audit(apps: DataFrame, allow_private: bool, allowed: tuple[str, ...] | DataFrame = ()) -> DataFrame:
@@ -198,13 +219,15 @@ def endpoint_audit(apps: DataFrame, allow_private: bool, allowed: tuple[str, ...
     if not isinstance(allowed, DataFrame):
         allowed = apps.sparkSession.createDataFrame([(a,) for a in allowed], "entry string")
     rows = apps.withColumn("host", F.regexp_replace(url_host(F.col("endpoint")), r"^\[|\]$", ""))
-    listed = listed_hosts(rows.filter(is_private(F.col("host"))), allowed).withColumn("_listed", F.lit(True))
-    rows = rows.join(listed, "host", "left")
+    # What depends on the host alone is asked once for each of them.
+    hosts = materialize(rows.select("host").distinct().withColumn("_private", is_private(F.col("host"))))
+    listed = listed_hosts(hosts.filter("_private"), allowed).withColumn("_listed", F.lit(True))
+    rows = rows.join(hosts.join(listed, "host", "left"), "host", "left")
     scheme = F.lower(F.regexp_extract(F.trim("endpoint"), r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1))
     verdict = (
         F.when((scheme == "") | ((F.col("host") == "") & scheme.isin("http", "https")), "invalid")
         .when(~scheme.isin("http", "https"), "bad_protocol")
-        .when(~is_private(F.col("host")), "public")
+        .when(~F.col("_private"), "public")
         .when(F.lit(not allow_private), "private_blocked")
         .when(F.col("_listed"), "private_allowed")
         .otherwise("private_not_listed")

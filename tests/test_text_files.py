@@ -1,3 +1,4 @@
+import ipaddress
 import random
 
 import pandas as pd
@@ -250,6 +251,17 @@ def test_allow_list_of_any_size(spark):
     assert [r["host"] for r in got] == ["10.1.2.3"]
 
 
+def test_hosts_meet_ranges_without_copies(spark):
+    rng = random.Random(5)
+    hosts = [f"10.{rng.randint(0, 2)}.{rng.randint(0, 255)}.{rng.randint(0, 255)}" for _ in range(300)] + ["container", "1.2.3", "10.256.0.1"]
+    entries = [f"10.{rng.randint(0, 2)}.{rng.randint(0, 255)}.{rng.randint(0, 255)}/{b}" for b in (*range(15, 33), 24, 24, 32)] + [hosts[0], hosts[1] + "/32"]
+    found = storage.listed_hosts(spark.createDataFrame([(h,) for h in hosts], "host string"), spark.createDataFrame([(e,) for e in entries], "entry string"))
+    nets = [ipaddress.ip_network(e, strict=False) for e in entries]
+    assert {r["host"] for r in found.collect()} == {h for h in hosts[:300] if any(ipaddress.ip_address(h) in n for n in nets)}
+    # No row per host and length of a range.
+    assert "inline(" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_python_steps_work_in_slices():
     frames = [pd.DataFrame({"text": ["x" * session.SLICE_LENGTH, "a", None, "b"]}), pd.DataFrame({"text": []})]
     frames.append(pd.DataFrame({"text": ["c"] * (session.SLICE_ROWS + 1)}))
