@@ -93,7 +93,7 @@ def embed_rows(df: DataFrame, embed_fn: EmbedFn, text: str = "text", vector: str
 
     out = df.drop(vector)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema]
-    return out.mapInPandas(run, ", ".join([*fields, f"`{vector}` array<double>"]))
+    return spread(out).mapInPandas(run, ", ".join([*fields, f"`{vector}` array<double>"]))
 
 
 def fill_vectors(df: DataFrame, embed_fn: EmbedFn, text: str = "text", vector: str = "embedding") -> DataFrame:
