@@ -32,6 +32,10 @@ CORPUS_BLOCK_ROWS = 50_000
 CORPUS_BLOCK_BYTES = 256 << 20
 #: Cells of one score matrix held at a time (float64).
 SCORE_CELLS = 1 << 22
+#: Entries that wait until they are ranked among those held.
+WAITING = 1 << 14
+#: Tiles of queries of one group when both sides are blocked.
+QUERY_TILES = 32
 #: Scores are compared at this many decimals, so that ties do not hang on fold order.
 TIE_DECIMALS = 9
 
@@ -47,14 +51,24 @@ class TopK:
         self.row = np.empty(0, dtype=np.int64)
         self.score = np.empty(0)
         self.id = None
+        self.waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.n_waiting = 0
 
     def offer(self, row: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
+        """Offers wait until there are as many as are held, so that many small ones cost no more than a large one."""
         if len(row) == 0:
             return
-        if self.id is not None:
-            row = np.concatenate([self.row, row])
-            score = np.concatenate([self.score, score])
-            ids = np.concatenate([self.id, ids])
+        self.waiting.append((row, score, ids))
+        self.n_waiting += len(row)
+        if self.n_waiting >= max(WAITING, len(self.row)):
+            self.fold()
+
+    def fold(self) -> None:
+        if not self.waiting:
+            return
+        held = [] if self.id is None else [(self.row, self.score, self.id)]
+        row, score, ids = map(np.concatenate, zip(*held, *self.waiting, strict=True))
+        self.waiting, self.n_waiting = [], 0
         order = np.lexsort((ids, -score, row))
         row, score, ids = row[order], score[order], ids[order]
         starts = np.searchsorted(row, row, side="left")
@@ -107,11 +121,19 @@ class VectorBlock:
 
     def offer(self, top: TopK, ids: np.ndarray, scopes: list[np.ndarray], payload: pa.Array):
         vectors = _unit(_matrix(payload))
+        known = not (np.isnan(vectors).any() or np.isnan(self.unit).any())
         for _, rows, cols in _matching(self.by_scope, scopes, len(ids)):
             step = max(1, SCORE_CELLS // max(1, len(rows)))
             for start in range(0, len(cols), step):
                 part = cols[start : start + step]
-                scores = np.round(self.unit[rows] @ vectors[part].T, TIE_DECIMALS)
+                scores = self.unit[rows] @ vectors[part].T
+                floor = top.floor[rows]
+                if known and np.isfinite(floor).all():
+                    # Only what can still enter is rounded; a hair below may round up to the k-th score.
+                    at, col = np.nonzero(scores >= (floor - 10.0**-TIE_DECIMALS)[:, None])
+                    top.offer(rows[at], np.round(scores[at, col], TIE_DECIMALS), ids[part[col]])
+                    continue
+                scores = np.round(scores, TIE_DECIMALS)
                 # A zero vector has no direction: it ranks after everything else.
                 scores = np.where(np.isnan(scores), -2.0, scores)
                 top.offer_matrix(rows, scores, ids[part])
@@ -237,6 +259,7 @@ def _search(blocks_of: Callable, k: int, n_scopes: int) -> Callable:
                 ids = _ids(batch.column("id").to_pandas())
                 scopes = [np.asarray(batch.column(f"scope_{i}").to_pandas(), dtype=object) for i in range(n_scopes)]
                 block.offer(top, ids, scopes, batch.column("payload"))
+        top.fold()
         return top.table(block.query_ids, id_type) if top.id is not None else None
 
     return run
@@ -356,12 +379,21 @@ def _by_scope(queries, corpus, k, blocks_of, n_scopes, schema, block_rows, corpu
 
 
 def _blocked(queries, corpus, run, schema, block_rows, corpus_rows) -> DataFrame:
-    """Both sides in hash blocks; one task meets one query block and one corpus block."""
-    q_blocks = max(1, math.ceil(queries.count() / block_rows))
+    """Both sides in hash blocks; one task meets one query block and one corpus block.
+
+    Every row is copied once for each block of the other side, so blocks are as large as their bytes allow, as long as
+    there are pairs of blocks for all cores. The queries of a pair are searched tile by tile.
+    """
     is_vector = isinstance(corpus.schema["payload"].dataType, T.ArrayType)
     width = F.size("payload") * 8 if is_vector else F.octet_length("payload")
-    rows, size = corpus.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    (asked, asked_size), (rows, size) = (
+        side.agg(F.count(F.lit(1)), F.coalesce(F.sum(width.cast("long")), F.lit(0))).first() for side in (queries, corpus)
+    )
     c_blocks = max(1, math.ceil(rows / corpus_rows), math.ceil(size / CORPUS_BLOCK_BYTES))
+    tiles = max(1, math.ceil(asked / block_rows))
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    least = max(math.ceil(tiles / QUERY_TILES), math.ceil(asked_size / QUERY_BLOCK_BYTES), math.ceil(4 * cores / c_blocks))
+    q_blocks = min(tiles, least)
 
     def every(n: int) -> Column:
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -372,9 +404,9 @@ def _blocked(queries, corpus, run, schema, block_rows, corpus_rows) -> DataFrame
     right = right.withColumn("qb", every(q_blocks))
 
     def meet(qs: pa.Table, cs: pa.Table) -> pa.Table:
-        found = run(cs.combine_chunks().to_batches(), qs) if qs.num_rows and cs.num_rows else None
-        if found is None:
-            return pa.table({"query_id": qs["query_id"][:0], "id": cs["id"][:0], "score": pa.array([], pa.float64())})
-        return found
+        batches = cs.combine_chunks().to_batches() if qs.num_rows else []
+        found = [run(batches, qs.slice(start, block_rows)) for start in range(0, qs.num_rows, block_rows)] if batches else []
+        none = pa.table({"query_id": qs["query_id"][:0], "id": cs["id"][:0], "score": pa.array([], pa.float64())})
+        return pa.concat_tables([none, *(f for f in found if f is not None)])
 
     return left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInArrow(meet, schema)

@@ -7,6 +7,7 @@ from ragmill.functions.bigrams import bigram_jaccard, bigram_similarity
 from ragmill.operators import evaluation as e
 from ragmill.operators import retrieval as r
 from ragmill.operators import topk
+from ragmill.operators.embedding import embed_rows, hashing_embedder
 from ragmill.operators.topk import VectorBlock, batch_topk, bigram_codes
 from ragmill.operators.vectors import ann_topk, mean_vectors, recall_at_k
 from ragmill.sources import snapshots
@@ -199,3 +200,35 @@ def test_splits_without_rows_and_keys_without_a_value(spark):
     assert {(x["query_id"], x["id"]) for x in r.vector_topk(named, spread, 1).collect()} == {("5", 1), (None, 2)}
     found = ann_topk(means, spread, 1, cells=2, probes=2)
     assert recall_at_k(found, exact).first()["recall"] == 1.0
+
+
+def test_small_offers_are_ranked_together(monkeypatch):
+    folds, fold = [], topk.TopK.fold
+    monkeypatch.setattr(topk.TopK, "fold", lambda self: (folds.append(1), fold(self)))
+    rng = np.random.default_rng(3)
+    top = topk.TopK(500, 2)
+    row, score = rng.integers(0, 500, 5000), np.round(rng.random(5000), 2)
+    for start in range(0, 5000, 5):
+        top.offer(row[start : start + 5], score[start : start + 5], np.arange(start, start + 5))
+    top.fold()
+    assert len(folds) < 10
+    best = {r: sorted((-score[i], i) for i in np.flatnonzero(row == r))[:2] for r in range(500)}
+    assert list(zip(top.row, -top.score, top.id)) == [(r, s_, i) for r in range(500) for s_, i in best[r]]
+
+
+def test_blocks_of_queries_copy_rows_seldom(spark):
+    rng = np.random.default_rng(4)
+    vectors = [[float(x) for x in v] for v in np.round(rng.normal(size=(300, 3)), 1)] + [[0.0, 0.0, 0.0]]
+    corpus = spark.createDataFrame(list(enumerate(vectors)), "id int, embedding array<double>")
+    queries = corpus.withColumnRenamed("id", "query_id")
+    sides = [r._vector_side(queries, r._any(), id_col="query_id", name="query_id"), r._vector_side(corpus, id_col="id", name="id")]
+    blocked = topk.batch_topk(*sides, 3, topk.VectorBlock, query_rows=1, corpus_rows=10)
+    assert sorted(map(tuple, blocked.collect()), key=repr) == sorted(map(tuple, r.vector_topk(queries, corpus, 3).collect()), key=repr)
+    # 301 queries one by one; 31 blocks of the corpus have pairs for all cores with ten blocks of queries.
+    assert "sequence(0, 300" not in blocked._jdf.queryExecution().toString()
+
+
+def test_vectors_are_made_on_all_cores(spark, tmp_path):
+    spark.range(20).selectExpr("id", "concat('text ', id) AS text").coalesce(1).write.parquet(f"{tmp_path}/rows")
+    rows = spark.read.parquet(f"{tmp_path}/rows")
+    assert embed_rows(rows, hashing_embedder(4)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
