@@ -12,6 +12,7 @@ the counters say how many documents fail which filters together, they give every
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from hashlib import sha256
 from itertools import permutations
@@ -36,6 +37,8 @@ BATCH_FILES = 4
 SLICE_BYTES = 4 << 20
 #: Rows that a task folds before the shuffle.
 FOLD_ROWS = 200_000
+#: Groups that texts are dealt to. A call into Python and a batch of results serve all texts of a group, not one text.
+GROUPS = 4096
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 CHANGES = "part string, mask int, good int, toxic int, n long"
 _ROWS = "key binary, doc_id long, part string, mask int, good int, toxic int, n long"
@@ -136,36 +139,45 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class SmallestId(StatefulProcessor):
-    """State of a text: its smallest id so far, the mask and labels of that id, and its rows by part."""
+    """State of a text: its smallest id so far, the mask and labels of that id, and its rows by part.
+
+    A group of texts has a map of their states, by the key of a text, and gives the sums of its changes.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState(
-            "smallest", "doc_id long, mask int, good int, toxic int, parts array<struct<part:string,n:long>>"
+        self.states = handle.getMapState(
+            "smallest", "key binary", "doc_id long, mask int, good int, toxic int, parts array<struct<part:string,n:long>>"
         )
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        held, changed = None, False
+        held: dict[bytes, list] = {}  # key: smallest id, its marks, rows by part, changed
+        sums: Counter = Counter()
         for row in rows:
+            marks = (row.mask, row.good, row.toxic)
             if row.doc_id is None:
-                yield Row(part=row.part, mask=row.mask, good=row.good, toxic=row.toxic, n=row.n)
+                sums[row.part, *marks] += row.n
                 continue
-            if held is None:
-                old = self.state.get()
-                held = (old[0], old[1:4], {p[0]: p[1] for p in old[4]}) if old else (None, None, {})
-            smallest, marks, parts = held
+            text = held.get(row.key)
+            if text is None:
+                old = self.states.getValue((row.key,))
+                text = held[row.key] = [old[0], tuple(old[1:4]), {p[0]: p[1] for p in old[4]}, False] if old else [None, None, {}, False]
+            smallest, known, parts, _ = text
             if smallest is not None and row.doc_id > smallest:
-                yield Row(part=row.part, mask=row.mask | COPY, good=row.good, toxic=row.toxic, n=row.n)
+                sums[row.part, row.mask | COPY, row.good, row.toxic] += row.n
                 continue
             if smallest is None or row.doc_id < smallest:
                 for part, n in parts.items():
-                    yield Row(part=part, mask=marks[0], good=marks[1], toxic=marks[2], n=-n)
-                    yield Row(part=part, mask=marks[0] | COPY, good=marks[1], toxic=marks[2], n=n)
-                held = (row.doc_id, (row.mask, row.good, row.toxic), {})
-            held[2][row.part] = held[2].get(row.part, 0) + row.n
-            changed = True
-            yield Row(part=row.part, mask=row.mask, good=row.good, toxic=row.toxic, n=row.n)
-        if changed:
-            self.state.update((held[0], *held[1], list(held[2].items())))
+                    sums[part, *known] -= n
+                    sums[part, known[0] | COPY, *known[1:]] += n
+                text[:3] = row.doc_id, marks, {}
+            text[2][row.part] = text[2].get(row.part, 0) + row.n
+            text[3] = True
+            sums[row.part, *marks] += row.n
+        for name, (smallest, marks, parts, changed) in held.items():
+            if changed:
+                self.states.updateValue((name,), (smallest, *marks, list(parts.items())))
+        for (part, mask, good, toxic), n in sums.items():
+            yield Row(part=part, mask=mask, good=good, toxic=toxic, n=n)
 
     def close(self) -> None:
         pass
@@ -174,7 +186,8 @@ class SmallestId(StatefulProcessor):
 def changes(stream: DataFrame, labels: DataFrame) -> DataFrame:
     """The changes of the part counters, as documents arrive."""
     rows = _single(stream, labels).mapInArrow(_fold, _ROWS)
-    return rows.groupBy("key").transformWithState(SmallestId(), CHANGES, "Update", "None")
+    group = F.pmod(F.xxhash64("key"), F.lit(GROUPS)).cast("int").alias("group")
+    return rows.select(group, "*").groupBy("group").transformWithState(SmallestId(), CHANGES, "Update", "None")
 
 
 def run(stream: DataFrame, labels: DataFrame, root: str) -> None:

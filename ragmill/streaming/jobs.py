@@ -72,41 +72,52 @@ CHANGES = "job string, status string, seq bigint, attempts bigint, detail string
 STATE = "status string, seq bigint, attempts bigint, detail string, version bigint"
 
 
+#: Groups that jobs are dealt to. A call into Python and a batch of results serve all jobs of a group, not one job.
+GROUPS = 4096
+
+
 class JobState(StatefulProcessor):
     """State of a job: its status, the message that decided it, attempts, detail and version.
 
-    Messages of a batch are folded one by one, so a job with many of them needs no more memory.
+    A group of jobs has a map of their states. Messages of a batch are folded one by one, so a job with many of them needs
+    no more memory.
     """
 
     def __init__(self, expire_ms: int | None = None):
         self.expire_ms = expire_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("job", STATE, self.expire_ms)
+        self.states = handle.getMapState("jobs", "job string", STATE, self.expire_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        old = self.state.get()
-        status, seq, attempts, detail, version = old if old is not None else (QUEUED, -1, 0, None, 0)
-        if RANK[status] == 2:
-            if self.expire_ms:  # heard of again: its time starts anew
-                self.state.update(old)
-            return
-        end, last, tries, running = None, seq, attempts, status == IN_PROGRESS
+        heard: dict[str | None, list] = {}  # job: state, end, last, attempts, running
         for row in rows:
-            last = max(last, row.seq)
+            job = heard.get(row.job)
+            if job is None:
+                old = tuple(self.states.getValue((row.job,)) or (QUEUED, -1, 0, None, 0))
+                job = heard[row.job] = [old, None, old[1], old[2], old[0] == IN_PROGRESS]
+            if RANK[job[0][0]] == 2:
+                continue
+            job[2] = max(job[2], row.seq)
             if row.outcome in ("completed", "failed"):
-                if end is None or row.seq < end[1]:
-                    end = (COMPLETED if row.outcome == "completed" else FAILED, row.seq, row.detail)
+                if job[1] is None or row.seq < job[1][1]:
+                    job[1] = (COMPLETED if row.outcome == "completed" else FAILED, row.seq, row.detail)
             elif row.outcome in ("started", "retry"):
-                running = True
-                tries += row.outcome == "started"
-        new = (*(end or (IN_PROGRESS if running else status, last, detail)), tries)
-        if new != (status, seq, detail, attempts):
-            status, seq, detail, attempts, version = *new, version + 1
-            yield Row(job=key[0], status=status, seq=seq, attempts=attempts, detail=detail, version=version)
-        elif not self.expire_ms:
-            return
-        self.state.update((status, seq, attempts, detail, version))
+                job[4] = True
+                job[3] += row.outcome == "started"
+        for name, (old, end, last, tries, running) in heard.items():
+            status, seq, attempts, detail, version = old
+            if RANK[status] == 2:
+                if self.expire_ms:  # heard of again: its time starts anew
+                    self.states.updateValue((name,), old)
+                continue
+            new = (*(end or (IN_PROGRESS if running else status, last, detail)), tries)
+            if new != (status, seq, detail, attempts):
+                status, seq, detail, attempts, version = *new, version + 1
+                yield Row(job=name, status=status, seq=seq, attempts=attempts, detail=detail, version=version)
+            elif not self.expire_ms:
+                continue
+            self.states.updateValue((name,), (status, seq, attempts, detail, version))
 
     def close(self) -> None:
         pass
@@ -122,7 +133,9 @@ def job_changes(events: DataFrame, expire_ms: int | None = None) -> DataFrame:
     for expired state, so a run that is to stop at the end of its input must not set it.
     """
     mode = "ProcessingTime" if expire_ms else "None"
-    return events.select("job", "seq", "outcome", "detail").groupBy("job").transformWithState(JobState(expire_ms), CHANGES, "Append", mode)
+    group = F.pmod(F.xxhash64("job"), F.lit(GROUPS)).cast("int").alias("group")
+    grouped = events.select(group, "job", "seq", "outcome", "detail").groupBy("group")
+    return grouped.transformWithState(JobState(expire_ms), CHANGES, "Append", mode)
 
 
 def current(changes: DataFrame) -> DataFrame:
