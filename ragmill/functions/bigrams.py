@@ -34,10 +34,13 @@ def bigram_similarity(a: Column, b: Column) -> Column:
     return set_similarity(bigrams(a), bigrams(b))
 
 
+def without_particles(name: Column) -> Column:
+    return F.regexp_replace(F.coalesce(name, F.lit("")), f"[{NAME_PARTICLES}]", "")
+
+
 def name_bigrams(name: Column) -> Column:
     """Distinct 2-grams of a name, particles removed, without padding."""
-    bare = F.regexp_replace(F.coalesce(name, F.lit("")), f"[{NAME_PARTICLES}]", "")
-    return F.array_distinct(F.regexp_extract_all(bare, F.lit(PAIRS), F.lit(1)))
+    return F.array_distinct(F.regexp_extract_all(without_particles(name), F.lit(PAIRS), F.lit(1)))
 
 
 def set_jaccard(a: Column, b: Column) -> Column:

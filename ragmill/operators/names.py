@@ -7,14 +7,16 @@ Columns used throughout: ``master`` is (law_num, law_title, normalized, key), ma
 from __future__ import annotations
 
 from bisect import bisect_left
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ragmill.functions import names as n
-from ragmill.functions.bigrams import name_bigrams, set_jaccard
+from ragmill.functions.bigrams import name_bigrams, set_jaccard, without_particles
 from ragmill.functions.text import let, map_of
+from ragmill.operators.topk import SCOPE_ANY, NameIndex, batch_topk
 from ragmill.session import materialize, plan_bytes, spread
 
 #: Aliases become a constant map in the plan.
@@ -309,32 +311,28 @@ def _best_of(name: Column, known: Column) -> Column:
 def nearest_by_grams(names: DataFrame, master: DataFrame, heavy: int = HEAVY_GRAM) -> DataFrame:
     """(query_id, name, law_num, law_title, sim): the title most similar to each name, of equal ones the first.
 
-    A join on shared 2-grams in place of arrays of candidates. Titles that share a 2-gram which at most ``heavy`` titles have
-    are compared first. A title that shares only more frequent ones with a name has no more in common with it than the
-    name has of those; only names that this could still give a better title, or as good a one, meet these titles too.
-    Names and titles without a common 2-gram have no row.
+    A name without any 2-gram that more than ``heavy`` titles have meets its titles in a join on 2-grams. All other names are
+    searched in all titles, block by block, each text once: that is quadratic in its time, but no pair of a name and a
+    title becomes a row. Names and titles without a common 2-gram have no row.
     """
     asked = names.select("query_id", "name").distinct().select("query_id", "name", name_bigrams(F.col("name")).alias("grams"))
-    asked = materialize(asked.filter("size(grams) > 0"))
+    asked = asked.filter("size(grams) > 0").withColumn("bare", without_particles(F.col("name")))
     titles = materialize(master.select("law_num", "law_title", name_bigrams(F.col("law_title")).alias("t_grams")).filter("size(t_grams) > 0"))
     index = titles.select("law_num", F.explode("t_grams").alias("g"))
     often = materialize(index.groupBy("g").count().filter(F.col("count") > heavy).select("g"))
-
-    def best(wanted: DataFrame, entries: DataFrame) -> DataFrame:
-        pairs = wanted.select("query_id", "name", F.explode("grams").alias("g")).join(entries, "g").select("query_id", "name", "law_num").distinct()
-        both = pairs.join(wanted, ["query_id", "name"]).join(titles, "law_num")
-        scored = both.withColumn("sim", set_jaccard(F.col("grams"), F.col("t_grams")))
-        return scored.groupBy("query_id", "name").agg(F.min_by(F.struct("law_num", "law_title", "sim"), F.struct(-F.col("sim"), "law_num")).alias("b"))
-
-    first = materialize(best(asked, index.join(often, "g", "left_anti")))
-    common = asked.select("query_id", "name", F.explode("grams").alias("g")).join(often, "g").groupBy("query_id", "name").count()
-    open_ = (
-        asked.join(common, ["query_id", "name"]).join(first, ["query_id", "name"], "left")
-        .filter(F.col("count") / F.size("grams") >= F.coalesce("b.sim", F.lit(0.0))).select("query_id", "name", "grams")
-    )
-    second = best(materialize(open_), index.join(often, "g", "left_semi"))
-    found = first.unionByName(second).select("query_id", "name", "b.*")
-    rows = found.groupBy("query_id", "name").agg(F.min_by(F.struct("law_num", "law_title", "sim"), F.struct(-F.col("sim"), "law_num")).alias("b"))
+    frequent = asked.select("query_id", "name", F.explode("grams").alias("g")).join(often, "g").select("query_id", "name", F.lit(True).alias("often")).distinct()
+    asked = materialize(asked.join(frequent, ["query_id", "name"], "left"))
+    rare, wide = asked.filter("often is null"), asked.filter("often")
+
+    met = rare.select("query_id", "name", F.explode("grams").alias("g")).join(index, "g").select("query_id", "name", "law_num").distinct()
+    bare = F.col("bare")
+    texts = wide.select(bare.alias("query_id"), F.lit(SCOPE_ANY).alias("scope"), bare.alias("payload")).distinct()
+    known = titles.filter("law_num is not null").groupBy(without_particles(F.col("law_title")).alias("payload")).agg(F.min("law_num").alias("id"))
+    nearest = batch_topk(texts, known.select("id", "payload"), 1, partial(NameIndex, min_sim=0.0))
+    found = wide.join(nearest.select(F.col("query_id").alias("bare"), F.col("id").alias("law_num")), "bare").select("query_id", "name", "law_num")
+    both = met.unionByName(found).join(asked, ["query_id", "name"]).join(titles, "law_num")
+    scored = both.withColumn("sim", set_jaccard(F.col("grams"), F.col("t_grams")))
+    rows = scored.groupBy("query_id", "name").agg(F.min_by(F.struct("law_num", "law_title", "sim"), F.struct(-F.col("sim"), "law_num")).alias("b"))
     return rows.select("query_id", "name", "b.*")
 
 

@@ -153,10 +153,17 @@ class GramIndex:
         self.query_ids = table["query_id"].combine_chunks()
         self.by_scope = _rows_by_scope(table)
         self.min_sim = min_sim
-        sets = [bigram_codes(t) for t in table["payload"].to_pylist()]
+        sets = [self.codes(t) for t in table["payload"].to_pylist()]
         self.sizes = np.array([len(s) for s in sets], np.int64)
         self.parts = {scope: self._part([sets[r] for r in rows]) for scope, rows in self.by_scope.items()}
 
+    def codes(self, text: str | None) -> np.ndarray:
+        return bigram_codes(text)
+
+    def similarity(self, common: np.ndarray, sizes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """common / larger set, as in ``functions.bigrams.set_similarity``."""
+        return common / np.maximum(sizes, lengths)
+
     def _part(self, sets: list[np.ndarray]):
         """(2-grams, row of flags or -1 by 2-gram, flags, starts of lists by 2-gram, lists) for the queries of a scope."""
         flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
@@ -190,7 +197,7 @@ class GramIndex:
         return common
 
     def offer(self, top: TopK, ids: np.ndarray, scopes: list[np.ndarray], payload: pa.Array):
-        sets = [bigram_codes(t) for t in payload.to_pylist()]
+        sets = [self.codes(t) for t in payload.to_pylist()]
         lengths = np.array([len(s) for s in sets], np.int64)
         widest, least = self.sizes.max(initial=0), self.sizes.min(initial=0)
         for scope, rows, cols in _matching(self.by_scope, scopes, len(ids)):
@@ -210,22 +217,69 @@ class GramIndex:
                 at[at == len(grams)] = 0
                 known = grams[at] == codes
                 common = self._common(self.parts[scope], at[known], doc[known], len(own), len(rows))
-                sims = common / np.maximum(sizes[None, :], lengths[own][:, None])
+                sims = self.similarity(common, sizes[None, :], lengths[own][:, None])
                 hit, query = np.nonzero((common > 0) & (sims >= self.min_sim) & (sims >= top.floor[rows][None, :]))
                 top.offer(rows[query], sims[hit, query], ids[own[hit]])
                 start = stop
 
 
+class NameIndex(GramIndex):
+    """The same over names: 2-grams without padding, common / union as in ``functions.bigrams.set_jaccard``."""
+
+    def codes(self, text: str | None) -> np.ndarray:
+        points = _points(text)
+        return np.unique(points[:-1] << 21 | points[1:])
+
+    def similarity(self, common: np.ndarray, sizes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        return common / (sizes + lengths - common)
+
+    def offer(self, top: TopK, ids: np.ndarray, scopes: list[np.ndarray], payload: pa.Array):
+        """Names are short, so common 2-grams are counted in bytes; a pair is scored only where they are enough for the top-k."""
+        sets = [self.codes(t) for t in payload.to_pylist()]
+        lengths = np.array([len(s) for s in sets], np.int64)
+        if max(lengths.max(initial=0), self.sizes.max(initial=0)) > np.iinfo(np.uint8).max:
+            return super().offer(top, ids, scopes, payload)
+        for scope, rows, cols in _matching(self.by_scope, scopes, len(ids)):
+            sizes, (grams, row, flags, starts, lists) = self.sizes[rows], self.parts[scope]
+            step = max(1, SCORE_CELLS // max(1, len(rows)))
+            for length in np.unique(lengths[cols][lengths[cols] > 0]) if len(grams) else ():
+                alike = cols[lengths[cols] == length]
+                for start in range(0, len(alike), step):
+                    own = alike[start : start + step]
+                    floor = np.maximum(top.floor[rows], self.min_sim)
+                    # common / union >= floor; a hair less, as this is rounded otherwise than the score.
+                    need = np.maximum(np.ceil(floor * (sizes + length) / (1 + floor) - 1e-6), 1)
+                    codes = np.stack([sets[c] for c in own])
+                    at = np.minimum(np.searchsorted(grams, codes), len(grams) - 1)
+                    known = grams[at] == codes
+                    common = np.zeros((len(own), len(rows)), np.uint8)
+                    for doc, place in zip(*np.nonzero(known), strict=True):
+                        gram = at[doc, place]
+                        if row[gram] >= 0:
+                            common[doc] += flags[row[gram]]
+                        else:
+                            common[doc, lists[starts[gram] : starts[gram + 1]]] += 1
+                    hit, query = np.nonzero(common >= np.minimum(need, 255).astype(np.uint8))
+                    sims = self.similarity(common[hit, query].astype(np.int64), sizes[query], length)
+                    enough = sims >= floor[query]
+                    top.offer(rows[query[enough]], sims[enough], ids[own[hit[enough]]])
+                    top.fold()
+
+
 #: Whitespace of the 2-gram measure: that of ``functions.text.WS``.
 _SPACES = np.array([*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
 
 
+def _points(text: str | None) -> np.ndarray:
+    return np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+
+
 def bigram_codes(text: str | None) -> np.ndarray:
     """Distinct 2-grams of a text as sorted integers (two code points each).
 
     Words are separated and surrounded by one space, as in ``functions.bigrams.padded``.
     """
-    points = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+    points = _points(text)
     padded = np.concatenate([[32], np.where(np.isin(points, _SPACES), 32, points), [32]])
     kept = padded[np.concatenate([[True], (padded[1:] != 32) | (padded[:-1] != 32)])]
     return np.unique(kept[:-1] << 21 | kept[1:])

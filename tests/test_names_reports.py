@@ -204,6 +204,25 @@ def test_the_nearest_title_by_grams_whatever_is_frequent(spark, heavy):
     assert sorted((x["query_id"], x["name"], x["law_num"], x["law_title"], round(x["sim"], 9)) for x in found.collect()) == sorted(want)
 
 
+def test_alike_names_meet_titles_without_a_row_per_pair(spark, monkeypatch):
+    n, met = 700, []
+    titles = spark.range(n).selectExpr("concat('L', lpad(id, 5, '0')) as law_num", "concat('特', translate(id, '0123456789', '零壱弐参四伍六七八九'), '法') as law_title")
+    names = titles.selectExpr("cast(substr(law_num, 2) as int) as query_id", "law_title as name")
+    jaccard = o.set_jaccard
+
+    def counted(a, b):
+        met.append(spark.sparkContext.accumulator(0))
+        seen = met[-1]
+        count = F.udf(lambda: seen.add(1), "string").asNondeterministic()
+        return jaccard(a, b) + F.when(count().isNotNull(), 1.0).otherwise(0.0)
+
+    monkeypatch.setattr(o, "set_jaccard", counted)
+    found = {r["query_id"]: (r["law_num"], r["sim"]) for r in o.nearest_by_grams(names, titles, 5).collect()}
+    assert len(found) == n and all(sim == 1.0 for _, sim in found.values())
+    assert found[123][0] == "L00123"
+    assert sum(c.value for c in met) < 20 * n  # of 490,000 pairs, all of which share a 2-gram
+
+
 def test_weak_matches_compute_every_gram_once(spark):
     names, titles = F.array(F.lit("港湾管理法"), F.lit("")), F.array(F.lit("港湾法"), F.lit("港湾管理令"), F.lit("港湾管理令"))
     rows = spark.range(1).select(o.weak_matches(names, titles, 0.7).alias("weak"), o.best_match(F.col("id").cast("string"), titles).alias("best"))
