@@ -91,10 +91,11 @@ class JobState(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         heard: dict[str | None, list] = {}  # job: state, end, last, attempts, running
+        known = self.states.exists()  # asked once, so that new groups ask for no job
         for row in rows:
             job = heard.get(row.job)
             if job is None:
-                old = tuple(self.states.getValue((row.job,)) or (QUEUED, -1, 0, None, 0))
+                old = tuple((known and self.states.getValue((row.job,))) or (QUEUED, -1, 0, None, 0))
                 job = heard[row.job] = [old, None, old[1], old[2], old[0] == IN_PROGRESS]
             if RANK[job[0][0]] == 2:
                 continue

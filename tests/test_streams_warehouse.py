@@ -2,6 +2,7 @@ import time
 from datetime import date
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from ragmill.functions import dates
@@ -43,6 +44,28 @@ def test_chunks_of_a_stream_keep_their_held_tail_between_batches(spark, tmp_path
     assert "".join(r["text"] for r in log.orderBy("seq").collect()) == "x　y<0xE3>"
 
 
+def test_new_groups_of_jobs_ask_the_store_once():
+    class States(dict):
+        asked = 0
+
+        def exists(self):
+            return bool(self)
+
+        def getValue(self, key):
+            self.asked += 1
+            return self.get(key)
+
+        updateValue = dict.__setitem__
+
+    states, state = States(), jobs.JobState()
+    state.init(type("Handle", (), {"getMapState": lambda *_: states})())
+    rows = [Row(job=f"j{i % 50}", seq=i, outcome="started", detail=None) for i in range(200)]
+    first = list(state.handleInputRows((0,), iter(rows), None))
+    assert len(first) == len(states) == 50 and states.asked == 0
+    then = list(state.handleInputRows((0,), iter([Row(job="j1", seq=999, outcome="failed", detail="x"), Row(job="new", seq=1, outcome="started", detail=None)]), None))
+    assert [(r.job, r.status, r.attempts, r.version) for r in then] == [("j1", "FAILED", 4, 2), ("new", "IN_PROGRESS", 1, 1)] and states.asked == 2
+
+
 def test_a_finished_job_stays_finished(spark, tmp_path):
     for row in (("a", 5, "completed", "x"), ("a", 3, "failed", "earlier"), ("a", 9, "started", None)):
         df = spark.createDataFrame([row], "job string, seq long, outcome string, detail string")
