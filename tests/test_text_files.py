@@ -275,3 +275,13 @@ def test_short_pieces_are_packed_like_mixed_ones():
     assert list(chunking.recursive_split(words, (" ", ""), 80, 20)) == [" ".join(["abcd"] * n) for n in (16, 16, 16)]
     assert list(chunking.recursive_split("", (" ", ""), 80, 20)) == []
     assert [p for _, p in chunking.split_headers(" # no\n# h\nb")] == ["# no", "b"]
+
+
+def test_packed_runs_are_parts_of_the_text():
+    rng = random.Random(5)
+    for _ in range(300):
+        pieces = ["x" * rng.randrange(0, 9) for _ in range(rng.randrange(1, 40))]
+        text, (size, overlap) = ", ".join(pieces), rng.choice([(10, 0), (20, 6), (40, 15)])
+        runs = list(chunking.merge_splits(pieces, ", ", size, overlap, text))
+        assert runs == list(chunking.merge_splits(pieces, ", ", size, overlap)) and all(r in text for r in runs)
+        assert all(len(r) <= size for r in runs) and text.startswith(runs[0]) and text.endswith(runs[-1])
