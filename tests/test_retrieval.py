@@ -232,3 +232,21 @@ def test_vectors_are_made_on_all_cores(spark, tmp_path):
     spark.range(20).selectExpr("id", "concat('text ', id) AS text").coalesce(1).write.parquet(f"{tmp_path}/rows")
     rows = spark.read.parquet(f"{tmp_path}/rows")
     assert embed_rows(rows, hashing_embedder(4)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_name_index_scores_as_sets_do():
+    rng = np.random.default_rng(2)
+    for widest in (9, 400):  # longer sets than bytes can count take the general way
+        texts = ["".join(chr(0x4E00 + c) for c in rng.integers(0, 12 if widest < 50 else 300, rng.integers(0, widest))) for _ in range(60)]
+        asked, rows = texts[:30], texts[20:]
+        table = pa.table({"query_id": asked, "scope": [""] * len(asked), "payload": asked})
+        index, top = topk.NameIndex(table, 0.0), topk.TopK(len(asked), 1)
+        ids = np.array([f"L{i:02d}" for i in range(len(rows))])
+        for at in range(0, len(rows), 7):
+            index.offer(top, ids[at : at + 7], [], pa.array(rows[at : at + 7]))
+        top.fold()
+        got = {int(r): (str(i), s) for r, i, s in zip(top.row, top.id, top.score)}
+        pairs = lambda t: {t[i : i + 2] for i in range(len(t) - 1)}
+        for q, text in enumerate(asked):
+            sims = [(-len(pairs(text) & pairs(r)) / len(pairs(text) | pairs(r)), i) for r, i in zip(rows, ids) if pairs(text) & pairs(r)]
+            assert got.get(q) == ((str(min(sims)[1]), -min(sims)[0]) if sims else None)
