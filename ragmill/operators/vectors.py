@@ -128,7 +128,8 @@ def _split(vectors: DataFrame, centres: np.ndarray, sizes: np.ndarray) -> np.nda
 def cell_centres(corpus: DataFrame, cells: int, rounds: int = 2) -> np.ndarray:
     """Centres from a sample, improved by a few mean steps over the whole corpus; crowded cells are split once more.
 
-    ``cells`` is what the sample starts with. Only cells x dim sums leave each task, and cells is bounded.
+    ``cells`` is what the sample starts with, so there may be more centres; a search that asks for all ``cells`` takes them
+    all (``_probes``). Only cells x dim sums leave each task, and cells is bounded.
     """
     if cells > MAX_CELLS:
         raise ValueError(f"at most {MAX_CELLS} cells")
@@ -141,6 +142,11 @@ def cell_centres(corpus: DataFrame, cells: int, rounds: int = 2) -> np.ndarray:
     return centres
 
 
+def _probes(probes: int, cells: int, centres: int) -> int:
+    """Cells to look into: all there are where all that were asked for are, as crowded ones were split into more."""
+    return max(probes, centres) if probes >= cells else probes
+
+
 def _nearest_cells(spark, centres: np.ndarray, n: int):
     shared = spark.sparkContext.broadcast(centres)
 
@@ -189,9 +195,9 @@ def build_cells(corpus: DataFrame, root: str, cells: int = 16, rounds: int = 2,
     size = stored.groupBy("cell").agg(
         F.count("*").alias("n"), F.max(F.when(F.col("home"), _angles(spark, centres)("payload", "cell"))).alias("radius")
     )
-    rows = [(str(i), [float(x) for x in c]) for i, c in enumerate(centres)]
-    known = spark.createDataFrame(rows, "cell string, centre array<double>").join(size, "cell", "left")
-    known.select(F.col("cell").cast("int"), "centre", F.coalesce("n", F.lit(0)).alias("n"), "radius").coalesce(1).write.parquet(f"{root}/centres")
+    rows = [(str(i), [float(x) for x in c], cells) for i, c in enumerate(centres)]
+    known = spark.createDataFrame(rows, "cell string, centre array<double>, asked int").join(size, "cell", "left")
+    known.select(F.col("cell").cast("int"), "centre", F.coalesce("n", F.lit(0)).alias("n"), "radius", "asked").coalesce(1).write.parquet(f"{root}/centres")
 
 
 def _cell_order(queries: DataFrame, centres: pd.DataFrame) -> DataFrame:
@@ -214,8 +220,9 @@ def _cell_order(queries: DataFrame, centres: pd.DataFrame) -> DataFrame:
 def search_cells(queries: DataFrame, root: str, k: int, probes: int = 4, by_bound: bool = False) -> DataFrame:
     """Approximate cosine top-k over stored cells; cells that no query looks into are not read.
 
-    A query looks into the ``probes`` cells of the nearest centres. With ``by_bound`` it goes on with those whose rows
-    can still reach its k-th score, which makes the result exact; where rows lie in clusters these are few.
+    A query looks into the ``probes`` cells of the nearest centres, and into every cell where ``probes`` is the number that
+    the cells were built with. With ``by_bound`` it goes on with those whose rows can still reach its k-th score, which makes
+    the result exact; where rows lie in clusters these are few.
     """
     return cells_read(queries, root, k, probes, by_bound)[0]
 
@@ -224,6 +231,8 @@ def cells_read(queries: DataFrame, root: str, k: int, probes: int, by_bound: boo
     """``search_cells``, and (query_id, cell, n): the cells that were read with their rows."""
     spark = queries.sparkSession
     centres = spark.read.parquet(f"{root}/centres").orderBy("cell").toPandas()
+    # Cells stored before they told what was asked for have as many as that, or more.
+    probes = _probes(probes, int(centres["asked"].max()) if "asked" in centres else len(centres), len(centres))
     vectors = spark.read.parquet(f"{root}/vectors")
     ordered = materialize(_cell_order(queries, centres))
 
@@ -254,10 +263,10 @@ def cells_read(queries: DataFrame, root: str, k: int, probes: int, by_bound: boo
 def ann_topk(queries: DataFrame, corpus: DataFrame, k: int, cells: int = 16, probes: int = 4) -> DataFrame:
     """Approximate cosine top-k: each query looks only into its nearest cells.
 
-    For one search of a corpus; ``build_cells`` and ``search_cells`` keep the cells.
+    With as many probes as cells it is exact. For one search of a corpus; ``build_cells`` and ``search_cells`` keep the cells.
     """
     centres = cell_centres(corpus, cells)
-    many = _nearest_cells(corpus.sparkSession, centres, probes)
+    many = _nearest_cells(corpus.sparkSession, centres, _probes(probes, cells, len(centres)))
     vec = F.col("embedding").cast("array<double>")
     asked = queries.select("query_id", F.explode(many("embedding")).alias("scope"), vec.alias("payload"))
     placed = _placed(corpus, centres).select("id", F.col("cell").alias("scope_0"), "payload")

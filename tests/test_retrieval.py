@@ -7,6 +7,7 @@ from ragmill.functions.bigrams import bigram_jaccard, bigram_similarity
 from ragmill.operators import evaluation as e
 from ragmill.operators import retrieval as r
 from ragmill.operators import topk
+from ragmill.operators import vectors as v
 from ragmill.operators.embedding import embed_rows, hashing_embedder
 from ragmill.operators.topk import VectorBlock, batch_topk, bigram_codes
 from ragmill.operators.vectors import ann_topk, mean_vectors, recall_at_k
@@ -123,6 +124,20 @@ def test_probing_every_cell_is_exact(spark):
     assert recall_at_k(ann_topk(queries, corpus, 5, cells=8, probes=2), exact).first()["recall"] > 0.3
 
 
+def test_every_cell_is_probed_when_crowded_ones_were_split(spark, tmp_path):
+    rng = np.random.default_rng(11)
+    vectors = np.concatenate([rng.normal(size=(40, 8)), np.eye(8)[0] + rng.normal(size=(160, 8)) / 1000, np.tile(np.eye(8)[1], (60, 1))])
+    corpus = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "id int, embedding array<double>")
+    queries = corpus.filter("id in (0, 50, 230)").withColumnRenamed("id", "query_id")
+    assert len(v.cell_centres(corpus, 8)) > 8
+    exact = sorted(map(tuple, r.vector_topk(queries, corpus, len(vectors)).collect()))
+    assert len(exact) == 3 * len(vectors)  # every row is one of so many nearest
+    assert sorted(map(tuple, ann_topk(queries, corpus, len(vectors), cells=8, probes=8).collect())) == exact
+    v.build_cells(corpus, str(tmp_path / "cells"), cells=8)
+    assert sorted(map(tuple, v.search_cells(queries, str(tmp_path / "cells"), len(vectors), probes=8).collect())) == exact
+    assert v.ann_topk(queries, corpus, len(vectors), cells=8, probes=2).count() < len(exact)
+
+
 def grams(text):
     flat = " ".join(text.split())
     return {f" {flat} "[i : i + 2] for i in range(len(flat) + 1)} if flat else set()
