@@ -36,7 +36,11 @@ def hashing_embedder(dim: int = 64) -> EmbedFn:
 
 
 def embed_all(texts: list[str], embed_fn: EmbedFn, batch: int = BATCH) -> list[list[float]]:
-    """Vectors of all texts in order; a refused batch is halved, a wrong count is an error."""
+    """Vectors of all texts in order; a refused batch is halved.
+
+    A wrong count is an error, and so is what is no vector: none, one without values or with values that are not finite, or
+    one of another length than the others.
+    """
     out: list[list[float]] = []
     todo = [texts[i : i + batch] for i in range(0, len(texts), batch)][::-1]
     while todo:
@@ -50,7 +54,11 @@ def embed_all(texts: list[str], embed_fn: EmbedFn, batch: int = BATCH) -> list[l
             continue
         if len(vectors) != len(part):
             raise ValueError(f"embedding count mismatch: expected {len(part)}, got {len(vectors)}")
-        out += [[float(x) for x in v] for v in vectors]
+        for text, vector in zip(part, vectors):
+            made = [float(x) for x in vector] if vector is not None else []
+            if not made or not np.isfinite(made).all() or out and len(made) != len(out[0]):
+                raise ValueError(f"no vector like the others for a text of {len(text)} characters: {len(made)} values")
+            out.append(made)
     return out
 
 

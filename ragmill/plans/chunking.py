@@ -77,8 +77,10 @@ def reject_over_chunked(spark, sf):
 
 @query()
 def chunk_and_embed(spark, sf):
-    _, chunks = c.chunk_and_embed(_docs(spark, sf), m.hashing_embedder(32))
-    return chunks.select("document_id", "owner", "chunk_index", F.md5("chunk_text").alias("text_md5"), F.size("embedding").alias("dims"))
+    """Chunks with vectors; a document that was refused, failed or has no text shows it in a row without a chunk."""
+    _, chunks = c.chunk_and_embed(_docs(spark, sf), m.hashing_embedder(32), every=True)
+    dims = F.when(F.col("embedding").isNotNull(), F.size("embedding")).alias("dims")
+    return chunks.select("document_id", "owner", "chunk_index", F.md5("chunk_text").alias("text_md5"), dims, "outcome", "reason")
 
 
 @query()

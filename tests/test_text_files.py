@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as contract
 from ragmill import session
 from ragmill.functions import text as t
 from ragmill.functions.files import decode_bytes, decode_text
@@ -132,6 +133,25 @@ def test_refused_batches_are_halved():
     assert hashing_embedder(8)(["a b"]) == hashing_embedder(8)([" a  b "])
 
 
+def test_a_document_without_chunks_shows_why(spark, tmp_path):
+    rows = [(1, "one two"), (2, None), (3, " "), (4, "word " * 60_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"source": F.lit("s"), "lang": F.lit("en"), "n_chars": F.length("text")})
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    found = contract.queries()["chunk_and_embed"](spark, str(tmp_path)).collect()
+    assert sorted((r["document_id"], r["chunk_index"], r["dims"], r["outcome"], r["reason"]) for r in found) == [
+        (1, 0, 32, "ok", None), (2, None, None, "failed", "no_text"), (3, None, None, "ok", None), (4, None, None, "rejected", "too_many_chunks"),
+    ]
+    documents, chunks = chunking.chunk_and_embed(docs.withColumnRenamed("doc_id", "document_id"), hashing_embedder(4))
+    assert sorted((r["document_id"], r["outcome"]) for r in documents.collect()) == [(1, "ok"), (2, "failed"), (3, "ok"), (4, "rejected")]
+    assert [r["document_id"] for r in chunks.collect()] == [1]
+
+
+@pytest.mark.parametrize("bad", [None, [], [float("nan"), 1.0], [1.0, float("inf")], [1.0, 2.0, 3.0]])
+def test_what_is_no_vector_is_an_error(bad):
+    with pytest.raises(ValueError):
+        embed_all(["a", "b"], lambda texts: [[1.0, 0.5], bad])
+
+
 def test_byte_tokens():
     assert t.decode_bytes_text("a<0xE3><0x80><0x80>b<0xFF><0xC3><0xA9>") == "a　b<0xFF>é"
     held, out = "", ""
