@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ragmill.functions import names as n
 from ragmill.functions.bigrams import name_bigrams, set_jaccard, without_particles
 from ragmill.functions.text import let, map_of
-from ragmill.operators.topk import SCOPE_ANY, NameIndex, batch_topk
+from ragmill.operators.topk import FEW_NAMES, NAME_QUERIES, NAME_ROWS, SCOPE_ANY, NameIndex, batch_topk
 from ragmill.session import materialize, plan_bytes, spread
 
 #: Aliases become a constant map in the plan.
@@ -312,8 +312,8 @@ def nearest_by_grams(names: DataFrame, master: DataFrame, heavy: int = HEAVY_GRA
     """(query_id, name, law_num, law_title, sim): the title most similar to each name, of equal ones the first.
 
     A name without any 2-gram that more than ``heavy`` titles have meets its titles in a join on 2-grams. All other names are
-    searched in all titles, block by block, each text once: that is quadratic in its time, but no pair of a name and a
-    title becomes a row. Names and titles without a common 2-gram have no row.
+    searched in all titles, block by block, each text once: groups of like titles are passed over by what they can reach at
+    most, and no pair of a name and a title becomes a row. Names and titles without a common 2-gram have no row.
     """
     asked = names.select("query_id", "name").distinct().select("query_id", "name", name_bigrams(F.col("name")).alias("grams"))
     asked = asked.filter("size(grams) > 0").withColumn("bare", without_particles(F.col("name")))
@@ -328,7 +328,9 @@ def nearest_by_grams(names: DataFrame, master: DataFrame, heavy: int = HEAVY_GRA
     bare = F.col("bare")
     texts = wide.select(bare.alias("query_id"), F.lit(SCOPE_ANY).alias("scope"), bare.alias("payload")).distinct()
     known = titles.filter("law_num is not null").groupBy(without_particles(F.col("law_title")).alias("payload")).agg(F.min("law_num").alias("id"))
-    nearest = batch_topk(texts, known.select("id", "payload"), 1, partial(NameIndex, min_sim=0.0))
+    known = materialize(known.select("id", "payload"))
+    blocks = {"query_rows": NAME_QUERIES, "corpus_rows": NAME_ROWS} if known.count() >= FEW_NAMES else {}
+    nearest = batch_topk(texts, known, 1, partial(NameIndex, min_sim=0.0), **blocks)
     found = wide.join(nearest.select(F.col("query_id").alias("bare"), F.col("id").alias("law_num")), "bare").select("query_id", "name", "law_num")
     both = met.unionByName(found).join(asked, ["query_id", "name"]).join(titles, "law_num")
     scored = both.withColumn("sim", set_jaccard(F.col("grams"), F.col("t_grams")))

@@ -223,8 +223,87 @@ class GramIndex:
                 start = stop
 
 
+#: Names that are searched as one block, queries that search it, and how many names side by side have one bit for each 2-gram.
+NAME_ROWS, NAME_QUERIES, NAMES_A_BIT = 1 << 19, 1 << 16, 8
+#: Below so many names it takes longer to look for groups than to compare them all.
+FEW_NAMES = 30_000
+
+
+class BitCounter:
+    """For every 2-gram, which groups have it, as bits: a 64-bit word stands for 64 groups.
+
+    A 2-gram in many words has a bitmap, one in few of them has these words alone, so all of it grows with the sets of the groups.
+    """
+
+    DENSE = 8
+
+    def __init__(self, gram: np.ndarray, group: np.ndarray, n_grams: int, n_groups: int):
+        self.words = wide = max(1, -(-n_groups // 64))
+        key = np.sort(gram * (wide * 64) + group)
+        word = key >> 6
+        cuts = np.flatnonzero(np.diff(word, prepend=-1))
+        self.values = np.bitwise_or.reduceat(np.uint64(1) << (key & 63).astype(np.uint64), cuts) if len(cuts) else np.zeros(0, np.uint64)
+        owner, self.at = word[cuts] // wide, word[cuts] % wide
+        self.starts = np.searchsorted(owner, np.arange(n_grams + 1))
+        many = np.diff(self.starts) * self.DENSE > wide
+        self.row = np.where(many, np.cumsum(many) - 1, -1).tolist()
+        self.maps = np.zeros((int(many.sum()), wide), np.uint64)
+        dense = many[owner]
+        self.maps[np.asarray(self.row)[owner[dense]], self.at[dense]] = self.values[dense]
+
+    def _bits(self, gram: int) -> np.ndarray:
+        if self.row[gram] >= 0:
+            return self.maps[self.row[gram]]
+        part, bits = slice(self.starts[gram], self.starts[gram + 1]), np.zeros(self.words, np.uint64)
+        bits[self.at[part]] = self.values[part]
+        return bits
+
+    def digits(self, grams: list[int]) -> list[np.ndarray]:
+        """How many of ``grams`` each group has, as binary digits, the lowest first: full adders over the bitmaps."""
+        level, out = [self._bits(g) for g in grams], []
+        while level:
+            carries = []
+            while len(level) > 1:
+                x, y = level.pop(), level.pop()
+                total, carry = x ^ y, x & y
+                if level:
+                    z = level.pop()
+                    carry |= total & z
+                    total ^= z
+                level.append(total)
+                carries.append(carry)
+            out.append(level[0])
+            level = carries
+        return out
+
+    def with_count(self, digits: list[np.ndarray], count: int) -> np.ndarray:
+        """The groups that have just so many."""
+        held = None
+        for place, digit in enumerate(digits):
+            digit = digit if count >> place & 1 else ~digit
+            held = digit if held is None else held & digit
+        words = np.flatnonzero(held)
+        bit = np.flatnonzero(np.unpackbits(held[words].view(np.uint8), bitorder="little").view(bool))
+        return words[bit >> 6] * 64 + (bit & 63)
+
+
 class NameIndex(GramIndex):
-    """The same over names: 2-grams without padding, common / union as in ``functions.bigrams.set_jaccard``."""
+    """The same over names: 2-grams without padding, common / union as in ``functions.bigrams.set_jaccard``.
+
+    For the nearest name alone, names are sorted and stand in small groups of one size and of like texts. What a query has in
+    common with a group is no less than what it has in common with a name of it, so groups are counted as bits and their names are
+    compared from the highest count down, as long as a name of a group can reach the best so far.
+    """
+
+    ROWS = NAME_ROWS
+
+    def __init__(self, table: pa.Table, min_sim: float):
+        self.query_ids = table["query_id"].combine_chunks()
+        self.by_scope = _rows_by_scope(table)
+        self.table, self.min_sim, self.parts = table, min_sim, None
+        self.flat, self.starts = name_codes(table["payload"].to_pylist())
+        self.sizes = np.diff(self.starts)
+        self.grams, self.asked = np.unique(self.flat, return_inverse=True)
 
     def codes(self, text: str | None) -> np.ndarray:
         points = _points(text)
@@ -234,7 +313,22 @@ class NameIndex(GramIndex):
         return common / (sizes + lengths - common)
 
     def offer(self, top: TopK, ids: np.ndarray, scopes: list[np.ndarray], payload: pa.Array):
+        if top.k > 1 or len(ids) < FEW_NAMES:
+            return self._offer_few(top, ids, scopes, payload)
+        texts = payload.to_pylist()
+        by_text = np.array(sorted(range(len(texts)), key=lambda i: texts[i] or ""), np.int64)
+        for _, rows, cols in _matching(self.by_scope, scopes, len(ids)):
+            asked = np.zeros(len(ids), bool)
+            asked[cols] = True
+            cols = by_text[asked[by_text]]
+            for start in range(0, len(cols), NAME_ROWS):
+                own = cols[start : start + NAME_ROWS]
+                self._offer(top, rows[self.sizes[rows] > 0], ids[own], [texts[i] for i in own])
+
+    def _offer_few(self, top: TopK, ids: np.ndarray, scopes: list[np.ndarray], payload: pa.Array):
         """Names are short, so common 2-grams are counted in bytes; a pair is scored only where they are enough for the top-k."""
+        if self.parts is None:
+            super().__init__(self.table, self.min_sim)
         sets = [self.codes(t) for t in payload.to_pylist()]
         lengths = np.array([len(s) for s in sets], np.int64)
         if max(lengths.max(initial=0), self.sizes.max(initial=0)) > np.iinfo(np.uint8).max:
@@ -265,6 +359,59 @@ class NameIndex(GramIndex):
                     top.offer(rows[query[enough]], sims[enough], ids[own[hit[enough]]])
                     top.fold()
 
+    def _offer(self, top: TopK, rows: np.ndarray, ids: np.ndarray, texts: list[str | None]) -> None:
+        flat, starts = name_codes(texts)
+        lengths = np.diff(starts)
+        order = np.argsort(lengths, kind="stable")
+        order = order[lengths[order] > 0]
+        if not len(order) or not len(rows):
+            return
+        ids, starts, lengths = ids[order], starts[order], lengths[order]
+        # The 2-grams that queries have too, name by name.
+        place = np.arange(lengths.sum()) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
+        gram = np.minimum(np.searchsorted(self.grams, flat[place]), len(self.grams) - 1)
+        known = self.grams[gram] == flat[place]
+        gram, doc = gram[known], np.repeat(np.arange(len(order)), lengths)[known]
+        begin = np.searchsorted(doc, np.arange(len(order) + 1))
+        # The names of a group differ in size only where one size ends and the next begins.
+        shortest = lengths[::NAMES_A_BIT]
+        bits = BitCounter(gram, doc // NAMES_A_BIT, len(self.grams), len(shortest))
+        present, mark = np.diff(bits.starts) > 0, np.zeros(len(self.grams), bool)
+        found: list[tuple[int, float, int]] = []
+        for row in rows.tolist():
+            size, floor, best = int(self.sizes[row]), max(float(top.floor[row]), self.min_sim), None
+            mine = self.asked[self.starts[row] : self.starts[row + 1]]
+            mine = mine[present[mine]]
+            digits, least = bits.digits(mine.tolist()), int(shortest[0])
+            mark[mine] = True
+            for common in range(len(mine), 0, -1):
+                if common / (size + max(least, common) - common) < floor:
+                    break
+                groups = bits.with_count(digits, common)
+                if len(groups):
+                    groups = groups[common / (size + np.maximum(shortest[groups], common) - common) >= floor]
+                for at in range(0, len(groups), 1 << 12):
+                    docs = (groups[at : at + (1 << 12), None] * NAMES_A_BIT + np.arange(NAMES_A_BIT)).ravel()
+                    docs = docs[docs < len(order)]
+                    wide = begin[docs + 1] - begin[docs]
+                    ends = np.cumsum(wide)
+                    hit = np.concatenate([[0], np.cumsum(mark[gram[np.arange(ends[-1]) + np.repeat(begin[docs] - (ends - wide), wide)]])])
+                    both = hit[ends] - hit[ends - wide]
+                    sims = both / (size + lengths[docs] - both)
+                    sim = sims.max()
+                    if both.any() and sim >= floor:
+                        near = docs[sims == sim]
+                        near = near[np.argmin(ids[near])] if ids.dtype.kind != "U" else min(near.tolist(), key=ids.__getitem__)
+                        if best is None or sim > best[0] or ids[near] < ids[best[1]]:
+                            floor, best = float(sim), (float(sim), int(near))
+            mark[mine] = False
+            if best is not None:
+                found.append((row, *best))
+        if found:
+            row, sim, near = zip(*found)
+            top.offer(np.array(row, np.int64), np.array(sim), ids[list(near)])
+            top.fold()
+
 
 #: Whitespace of the 2-gram measure: that of ``functions.text.WS``.
 _SPACES = np.array([*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
@@ -274,6 +421,20 @@ def _points(text: str | None) -> np.ndarray:
     return np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
 
 
+def name_codes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct 2-grams of every text without padding, as ``NameIndex.codes``, one text after the other, and where each begins."""
+    texts = [t or "" for t in texts]
+    points = _points("".join(texts))
+    owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    both = owner[:-1] == owner[1:]
+    codes, owner = (points[:-1] << 21 | points[1:])[both], owner[:-1][both]
+    order = np.lexsort((codes, owner))
+    codes, owner = codes[order], owner[order]
+    kept = np.ones(len(codes), bool)
+    kept[1:] = (codes[1:] != codes[:-1]) | (owner[1:] != owner[:-1])
+    return codes[kept], np.searchsorted(owner[kept], np.arange(len(texts) + 1))
+
+
 def bigram_codes(text: str | None) -> np.ndarray:
     """Distinct 2-grams of a text as sorted integers (two code points each).
 
@@ -301,13 +462,25 @@ def _matching(by_scope, scopes, n: int) -> Iterator[tuple[str, np.ndarray, np.nd
                 yield scope, rows, np.asarray(cols)
 
 
+def _together(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches of so many rows, where a block is made for many at once; fewer where they are wide."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows or sum(b.nbytes for b in held) >= CORPUS_BLOCK_BYTES:
+            yield pa.concat_batches(held) if len(held) > 1 else batch
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _search(blocks_of: Callable, k: int, n_scopes: int) -> Callable:
     """The task body: stream corpus batches, keep a running top-k, emit it once."""
 
     def run(batches: Iterable[pa.RecordBatch], query_table: pa.Table) -> pa.Table | None:
         block, id_type = blocks_of(query_table), None
         top = TopK(len(block.query_ids), k)
-        for batch in batches:
+        for batch in _together(batches, getattr(block, "ROWS", 0)):
             if batch.num_rows:
                 id_type = batch.column("id").type
                 ids = _ids(batch.column("id").to_pandas())
@@ -447,15 +620,17 @@ def _blocked(queries, corpus, run, schema, block_rows, corpus_rows) -> DataFrame
     tiles = max(1, math.ceil(asked / block_rows))
     cores = queries.sparkSession.sparkContext.defaultParallelism
     least = max(math.ceil(tiles / QUERY_TILES), math.ceil(asked_size / QUERY_BLOCK_BYTES), math.ceil(4 * cores / c_blocks))
-    q_blocks = min(tiles, least)
+    q_blocks = min(max(tiles, math.ceil(asked / QUERY_BLOCK_ROWS)), least)
 
     def every(n: int) -> Column:
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
     left = queries.withColumn("qb", F.pmod(F.xxhash64("query_id", "scope"), F.lit(q_blocks)).cast("int"))
     right = corpus.withColumn("cb", F.pmod(F.xxhash64("id"), F.lit(c_blocks)).cast("int"))
-    left = left.withColumn("cb", every(c_blocks))
-    right = right.withColumn("qb", every(q_blocks))
+    # So many partitions that hardly two pairs share one; Spark would join small ones, though a pair takes long whatever its bytes.
+    parts = 8 * q_blocks * c_blocks
+    left = left.withColumn("cb", every(c_blocks)).repartition(parts, "qb", "cb")
+    right = right.withColumn("qb", every(q_blocks)).repartition(parts, "qb", "cb")
 
     def meet(qs: pa.Table, cs: pa.Table) -> pa.Table:
         batches = cs.combine_chunks().to_batches() if qs.num_rows else []

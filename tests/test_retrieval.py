@@ -265,3 +265,27 @@ def test_name_index_scores_as_sets_do():
         for q, text in enumerate(asked):
             sims = [(-len(pairs(text) & pairs(r)) / len(pairs(text) | pairs(r)), i) for r, i in zip(rows, ids) if pairs(text) & pairs(r)]
             assert got.get(q) == ((str(min(sims)[1]), -min(sims)[0]) if sims else None)
+
+
+def test_name_index_passes_over_groups_of_titles(monkeypatch):
+    rng, compared, with_count = np.random.default_rng(8), [], topk.BitCounter.with_count
+
+    def counted(self, digits, count):
+        found = with_count(self, digits, count)
+        compared.append(len(found) * topk.NAMES_A_BIT)
+        return found
+
+    monkeypatch.setattr(topk.BitCounter, "with_count", counted)
+    titles = ["特" + "".join(chr(0x4E00 + int(c)) for c in str(i)) + "法" for i in range(30_000)]
+    names = [titles[i][:-1] + "令" for i in rng.integers(0, len(titles), 200)] + ["港湾", ""]
+    index, top = topk.NameIndex(pa.table({"query_id": names, "scope": [""] * len(names), "payload": names}), 0.0), topk.TopK(len(names), 1)
+    ids = np.array([f"L{i:05d}" for i in range(len(titles))])
+    index.offer(top, ids, [], pa.array(titles))
+    pairs = lambda t: {t[i : i + 2] for i in range(len(t) - 1)}
+    got = {int(r): (str(i), s) for r, i, s in zip(top.row, top.id, top.score)}
+    sets = [pairs(t) for t in titles]
+    for q in range(0, 200, 20):
+        mine = pairs(names[q])
+        assert got[q] == min(((i, len(mine & t) / len(mine | t)) for i, t in zip(ids.tolist(), sets)), key=lambda x: (-x[1], x[0]))
+    assert 200 not in got and 201 not in got
+    assert sum(compared) < len(names) * len(titles) / 50
