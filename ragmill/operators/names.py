@@ -25,8 +25,9 @@ MAX_ALIASES = 10_000
 HEAVY_GRAM = 500
 #: Characters of a text that are looked at together.
 WINDOW = 32
-#: Written bytes up to which the dictionary of titles is sent to every task; a larger one is joined by a shuffle.
-DICTIONARY_BYTES = 16 << 20
+#: Written bytes and rows up to which the dictionary of titles is sent to every task; a larger one is joined by a shuffle. A row
+#: takes some 200 bytes in the driver and in every executor, however little it takes in a file.
+DICTIONARY_BYTES, DICTIONARY_ROWS = 16 << 20, 50_000
 # A title must not follow one of the characters of these ranges.
 WORD_BEFORE = (("一", "龥"), ("ァ", "ヴ"), ("ー", "ー"), ("々", "々"))
 # Stages of the resolution, in the order they are tried.
@@ -160,18 +161,36 @@ def titles_in_text(texts: DataFrame, master: DataFrame) -> DataFrame:
     the lengths of its titles, and beginning, length and end the title. So a place meets one title for each
     length at most, however many titles begin alike. Rows that repeat both id and text count once.
     """
-    keys = materialize(_halves(master))
-    found = keys.agg(F.max("length").alias("longest"), F.sort_array(F.collect_set("size")).alias("sizes")).first()
-    longest, sizes = found["longest"] or 1, found["sizes"] or [1]
-    small = plan_bytes(keys) <= DICTIONARY_BYTES
-    heads = keys.groupBy("size", "head").agg(F.collect_set("length").alias("lengths"))
-    text = spread(texts.select("query_id", "text")).select("query_id", n.normalize_query(F.col("text")).alias("text"))
-    begun = F.array(*[F.expr(f"if(length(rest) >= {s}, struct({s} as size, xxhash64(left(rest, {s})) as head), null)") for s in sizes])
+    keys = materialize(_halves(master).withColumn("ending", F.expr("right(key, 2)")))
+    ends = keys.select("size", "head", "length", "ending").distinct()
+    # A row for each power of two.
+    found = {r["size"]: r for r in keys.groupBy("size").agg(F.max("length").alias("longest"), F.count(F.lit(1)).alias("rows")).join(
+        ends.groupBy("size").agg(F.count(F.lit(1)).alias("ends")), "size").collect()}
+    longest, sizes = max((r["longest"] for r in found.values()), default=1), sorted(found) or [1]
+    few = [s for s in sizes if s not in found or found[s]["ends"] <= DICTIONARY_ROWS]
+    many = [s for s in sizes if s not in few]
+    small = plan_bytes(keys) <= DICTIONARY_BYTES and sum(r["rows"] for r in found.values()) <= DICTIONARY_ROWS
     begins = keys.select(F.left("key", F.lit(sizes[0])).alias("begin")).distinct()
-    places = _places(text, F.broadcast(begins) if small else begins, sizes[0], longest).withColumn("x", F.explode(begun)).filter("x is not null")
-    met = places.select("query_id", "text_key", "start", "rest", "x.*").join(F.broadcast(heads) if small else heads, ["size", "head"])
-    spans = met.withColumn("length", F.explode("lengths")).filter("length <= length(rest)")
-    spans = spans.withColumn("tail", F.expr("xxhash64(substring(rest, length - size + 1, size))"))
+    few_begins = begins.limit(DICTIONARY_ROWS + 1).count() <= DICTIONARY_ROWS
+    text = spread(texts.select("query_id", "text")).select("query_id", n.normalize_query(F.col("text")).alias("text"))
+    places = _places(text, F.broadcast(begins) if few_begins else begins, sizes[0], longest)
+    if few and many:
+        places = materialize(places)
+
+    def spans_of(some: list[int], sent: bool) -> DataFrame:
+        """Spans that begin like titles of these sizes; where they are ``sent``, spans that end otherwise are dropped at once."""
+        part = keys.filter(F.col("size").isin(some))
+        heads = part.groupBy("size", "head").agg(F.collect_set("length").alias("lengths"))
+        begun = F.array(*[F.expr(f"if(length(rest) >= {s}, struct({s} as size, xxhash64(left(rest, {s})) as head), null)") for s in some])
+        asked = places.withColumn("x", F.explode(begun)).filter("x is not null").select("query_id", "text_key", "start", "rest", "x.*")
+        met = asked.join(F.broadcast(heads) if sent else heads, ["size", "head"])
+        spans = met.withColumn("length", F.explode("lengths")).filter("length <= length(rest)").drop("lengths")
+        if sent:
+            known = F.broadcast(ends.filter(F.col("size").isin(some)))
+            spans = spans.withColumn("ending", F.expr("right(left(rest, length), 2)")).join(known, ["size", "head", "length", "ending"], "left_semi").drop("ending")
+        return spans.withColumn("tail", F.expr("xxhash64(substring(rest, length - size + 1, size))"))
+
+    spans = spans_of(few, True).unionByName(spans_of(many, False)) if few and many else spans_of(few or many, bool(few))
     known = spans.join(F.broadcast(keys) if small else keys, ["size", "length", "head", "tail"]).filter("left(rest, length) = key")
     span = F.struct("start", (F.col("start") + F.col("length")).alias("end"), "law_title")
     # Spans of one text only; their number is bounded by the length of that text.

@@ -80,6 +80,24 @@ def test_titles_that_begin_alike_and_long_texts(spark, monkeypatch, sent):
     assert titles(spark, "あ" * 1000, "ああ", "あああ") == [("あああ", 3 * i, 3 * i + 3) for i in range(333)]
 
 
+@pytest.mark.parametrize("rows", [0, 60, 1000])
+def test_a_large_dictionary_is_not_sent_but_its_endings_are(spark, monkeypatch, rows):
+    """None, some and all of the sizes of titles have few beginnings and endings."""
+    monkeypatch.setattr(o, "DICTIONARY_ROWS", rows)
+    rng = random.Random(5)
+    common = "さだめるいちばんながいきそくのだいご"
+    names = [common + "".join(rng.choice("一二三四五") for _ in range(rng.randrange(3, 6))) + "法" for _ in range(150)]
+    names += [f"{a}{b}法" for a in "港湾灯台船" for b in "港湾灯台船"]
+    text = "".join(rng.choice([*names, "、", "と", common]) + "の" for _ in range(120))
+    master = o.title_dictionary(spark.createDataFrame([(f"L{i}", t) for i, t in enumerate(names)], "law_num string, law_title string"))
+    found = o.titles_in_text(spark.createDataFrame([(1, text)], "query_id int, text string"), master)
+    assert [(x["law_title"], x["start"], x["end"]) for x in found.orderBy("start").collect()] == plain_titles(text, names)
+    monkeypatch.setattr(o, "plan_bytes", lambda df: 0)  # however few bytes it takes in a file
+    plan = o.titles_in_text(spark.createDataFrame([(1, text)], "query_id int, text string"), master)._jdf.queryExecution().optimizedPlan().toString()
+    sent = [line for line in plan.split("\n") if "Join Inner" in line and "tail" in line]
+    assert sent and all(("broadcast" in line) == (rows == 1000) for line in sent)
+
+
 def resolve(spark, text, law_names, spoken, laws, candidates=()):
     master = o.title_dictionary(spark.createDataFrame([(k, t) for k, t, _ in laws], "law_num string, law_title string"))
     status = spark.createDataFrame([(k, v) for k, _, v in laws], "law_num string, verdict string")
