@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from functools import partial
+from itertools import product
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ragmill.functions.text import WS, neutralize_markers
-from ragmill.operators.topk import SCOPE_ANY, GramIndex, VectorBlock, batch_topk
+from ragmill.operators.topk import QUERY_BLOCK_ROWS, SCOPE_ANY, GramIndex, VectorBlock, batch_topk
 from ragmill.session import materialize
 
 RRF_K = 60
@@ -297,6 +300,50 @@ def articles_by_key(index: DataFrame, keys: DataFrame, include_future: bool = Fa
 MAX_BROAD = 100
 
 
+#: Unit vectors whose cosine is 1 at the decimals that scores are compared at (``TIE_DECIMALS``) are at most 3.2e-5 apart.
+APART = 4e-5
+#: Width of the cells in which they are looked for, along so many directions.
+CELL_WIDTH, DIRECTIONS = 1e-3, 4
+
+
+def _near_cells(apart: float):
+    """The cells of a vector's direction, and of all directions that are at most ``apart`` from it; none of a zero vector."""
+
+    @F.pandas_udf("array<string>")
+    def cells(vectors: pd.Series) -> pd.Series:
+        out, made = [], {}
+        for vector in vectors:
+            vector = np.where(np.isfinite(vector), vector, 0.0)
+            norm = np.sqrt((vector * vector).sum())
+            if len(vector) not in made:
+                axes = np.random.default_rng(0).normal(size=(DIRECTIONS, len(vector)))
+                made[len(vector)] = axes / np.sqrt((axes * axes).sum(axis=1, keepdims=True))
+            along = made[len(vector)] @ vector / norm if norm > 0 else None
+            if along is None or not np.isfinite(along).all():
+                out.append([])
+                continue
+            low, high = (np.floor((along + d) / CELL_WIDTH).astype(int).tolist() for d in (-apart, apart))
+            out.append(["_".join(map(str, c)) for c in product(*(range(a, b + 1) for a, b in zip(low, high)))])
+        return pd.Series(out, dtype=object)
+
+    return cells
+
+
+def _nearest_one(queries: DataFrame, corpus: DataFrame) -> DataFrame:
+    """``vector_topk`` with k 1, for query ids that are distinct and not null.
+
+    No score is above 1, so a query with rows of its own direction has its nearest among these. They are found by cells, and
+    only the other queries are searched in the whole corpus.
+    """
+    if queries.limit(QUERY_BLOCK_ROWS + 1).count() <= QUERY_BLOCK_ROWS:
+        return vector_topk(queries, corpus, 1)
+    asked = _vector_side(queries, id_col="query_id", name="query_id").withColumn("scope", F.explode(_near_cells(APART)("payload")))
+    rows = _vector_side(corpus, id_col="id", name="id").withColumn("scope_0", F.get(_near_cells(0.0)("payload"), 0))
+    same = materialize(batch_topk(asked, rows, 1, VectorBlock, n_scopes=1).filter("score >= 1"))
+    rest = materialize(queries.join(same.select("query_id"), "query_id", "left_anti"))
+    return same.unionByName(vector_topk(rest, corpus, 1))
+
+
 def nearest_law_per_name(names: DataFrame, master: DataFrame, broad: DataFrame | None = None) -> DataFrame:
     """(query_id, name, id, score): nearest title per name without a floor; ``broad`` names serve requests left empty.
 
@@ -304,7 +351,7 @@ def nearest_law_per_name(names: DataFrame, master: DataFrame, broad: DataFrame |
     """
     # Rows get numbers, so that ids and names may be of any type and hold any character.
     rows = materialize(names.select("query_id", "name", "embedding", F.monotonically_increasing_id().alias("row")))
-    near = vector_topk(rows.select(F.col("row").alias("query_id"), "embedding"), master, 1)
+    near = _nearest_one(rows.select(F.col("row").alias("query_id"), "embedding"), master)
     found = near.select(F.col("query_id").alias("row"), "id", "score").join(rows, "row").select("query_id", "name", "id", "score")
     if broad is None:
         return found

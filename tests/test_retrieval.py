@@ -289,3 +289,21 @@ def test_name_index_passes_over_groups_of_titles(monkeypatch):
         assert got[q] == min(((i, len(mine & t) / len(mine | t)) for i, t in zip(ids.tolist(), sets)), key=lambda x: (-x[1], x[0]))
     assert 200 not in got and 201 not in got
     assert sum(compared) < len(names) * len(titles) / 50
+
+
+def test_names_with_the_vector_of_a_title_are_not_searched_in_all(spark, monkeypatch):
+    rng, searched, whole = np.random.default_rng(6), [], r.vector_topk
+    titles = rng.normal(size=(80, 6))
+    titles[60:70] = titles[20:30] * 3 + 1e-7  # of one direction at nine decimals; the smaller id counts
+    titles[79] = 0
+    names = np.concatenate([titles * 0.5, rng.normal(size=(20, 6)), np.zeros((1, 6))])
+    names[0, 0] = float("nan")
+    master = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(titles)], "id int, embedding array<double>")
+    rows = [(i, f"n{i}", v.tolist()) for i, v in enumerate(names)] + [(500, "none", None)]
+    asked = spark.createDataFrame(rows, "query_id int, name string, embedding array<double>")
+    want = sorted(map(tuple, r.nearest_law_per_name(asked, master).collect()))
+    monkeypatch.setattr(r, "QUERY_BLOCK_ROWS", 10)
+    monkeypatch.setattr(r, "vector_topk", lambda q, c, k: (searched.append(q.count()), whole(q, c, k))[1])
+    assert sorted(map(tuple, r.nearest_law_per_name(asked, master).collect())) == want
+    assert len(want) == 101 and [x[2] for x in want[60:70]] == list(range(20, 30))
+    assert searched == [24]  # of 102: twenty others, two zero vectors, the changed one and the one without a vector
