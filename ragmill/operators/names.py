@@ -183,7 +183,7 @@ def titles_in_text(texts: DataFrame, master: DataFrame) -> DataFrame:
         heads = part.groupBy("size", "head").agg(F.collect_set("length").alias("lengths"))
         begun = F.array(*[F.expr(f"if(length(rest) >= {s}, struct({s} as size, xxhash64(left(rest, {s})) as head), null)") for s in some])
         asked = places.withColumn("x", F.explode(begun)).filter("x is not null").select("query_id", "text_key", "start", "rest", "x.*")
-        met = asked.join(F.broadcast(heads) if sent else heads, ["size", "head"])
+        met = asked.join(F.broadcast(heads) if sent else heads.hint("merge"), ["size", "head"])
         spans = met.withColumn("length", F.explode("lengths")).filter("length <= length(rest)").drop("lengths")
         if sent:
             known = F.broadcast(ends.filter(F.col("size").isin(some)))
@@ -191,7 +191,8 @@ def titles_in_text(texts: DataFrame, master: DataFrame) -> DataFrame:
         return spans.withColumn("tail", F.expr("xxhash64(substring(rest, length - size + 1, size))"))
 
     spans = spans_of(few, True).unionByName(spans_of(many, False)) if few and many else spans_of(few or many, bool(few))
-    known = spans.join(F.broadcast(keys) if small else keys, ["size", "length", "head", "tail"]).filter("left(rest, length) = key")
+    # Spark itself would send a dictionary that takes few bytes in its files.
+    known = spans.join(F.broadcast(keys) if small else keys.hint("merge"), ["size", "length", "head", "tail"]).filter("left(rest, length) = key")
     span = F.struct("start", (F.col("start") + F.col("length")).alias("end"), "law_title")
     # Spans of one text only; their number is bounded by the length of that text.
     hits = known.groupBy("query_id", "text_key").agg(F.collect_set(span).alias("hits"))
