@@ -226,7 +226,10 @@ def report_table(
     )
     titles = found.groupBy("query_id").agg(names.titles_in_order(), F.collect_list(F.struct("start", "end")).alias("title_spans"))
     law_titles = articles.groupBy("query_id").agg(F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("rank", "law_title"))), lambda x: x["law_title"])).alias("law_titles"))
-    context = asked.join(titles, "query_id", "left").join(law_titles, "query_id", "left").join(pending, "query_id", "left").join(mentions, "query_id", "left")
+    # Each has a row per question at most. Spark would send them through the driver, as they take few bytes when shuffled.
+    context = asked
+    for side in (titles, law_titles, pending, mentions):
+        context = context.join(side.hint("merge"), "query_id", "left")
     empty = F.array().cast("array<string>")
     titles_col = F.coalesce("titles", empty)
     # Words that stand inside a title found in the text are pieces of it, not names of their own.
@@ -254,11 +257,9 @@ def report_table(
     got = articles.select("query_id").distinct().withColumn("_a", F.lit(True))
     whole = full.select("query_id").distinct().withColumn("_f", F.lit(True))
     has = references.select("query_id").distinct().withColumn("_r", F.lit(True))
-    out = (
-        queries.select("query_id").join(per_query, "query_id", "left").join(got, "query_id", "left")
-        .join(whole, "query_id", "left").join(has, "query_id", "left")
-        .join(prefixes, "query_id", "left").join(made, "query_id", "left").join(used, "query_id", "left")
-    )
+    out = queries.select("query_id")
+    for side in (per_query, got, whole, has, prefixes, made, used):
+        out = out.join(side.hint("merge"), "query_id", "left")
     outcome = (
         F.when(F.col("verdict") == "unidentified", "no_law")
         .when(F.col("verdict") == "none", "no_match")
